@@ -42,5 +42,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_media, op5_sentencepiece, op6_token_store, op7_language)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
+    model = fit(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0))
+    return score_toxicity(docs, model, evidence=False).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity)}
 ORACLE: dict[str, str] = {}
