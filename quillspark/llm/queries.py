@@ -50,5 +50,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, evidence=False).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), outputs=("n_words", "n_removed", "kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup)}
 ORACLE: dict[str, str] = {}
