@@ -56,5 +56,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), outputs=("n_words", "n_removed", "kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
 ORACLE: dict[str, str] = {}
