@@ -14,6 +14,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import link_embeddings
+
+    return link_embeddings(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import analysed, media_column
 
@@ -62,5 +68,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_embed_dedup, op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
 ORACLE: dict[str, str] = {}
