@@ -20,6 +20,12 @@ def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import analysed, media_column
 
@@ -68,5 +74,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_embed_dedup, op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_embed_dedup, op2_packing, op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
 ORACLE: dict[str, str] = {}
