@@ -2,9 +2,9 @@
 
 Layout under one folder (every file is Parquet, so any Spark reader opens it):
 
-  chunks/    digest binary (16), n_ids int, ids binary   each distinct chunk once, by digest
-  recipes/   doc_id, n_tokens, start, digests binary, root binary   ascending doc_id, files in order
-  manifest/  shard, first_doc, last_doc, n_docs, n_tokens, root     one row per recipe file's shard
+  objects/kind=1/  key binary (16), n long, data binary   each distinct chunk once: digest, size, ids
+  recipes/         doc_id, n_tokens, start, digests binary, root binary   ascending doc_id, files in order
+  manifest/        shard, first_doc, last_doc, n_docs, n_tokens, root     one row per recipe file's shard
 
 A rolling hash over a window of ids cuts each document's id stream, so equal passages give equal
 chunks. Ids are stored little-endian in 2 bytes where the vocabulary fits, else 4. A document's
@@ -103,12 +103,12 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     """Tokenize df's whole texts and write the store to path (a folder all executors reach)."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    _split(rows, tokenizer, end_id).write.partitionBy("kind").parquet(f"{path}/cut")
-    cut = spark.read.parquet(f"{path}/cut")
-    chunks = cut.filter("kind = 1").select("key", "n", "data")
+    # one exchange by digest keeps each chunk once; documents' rows travel along
+    cut = _split(rows, tokenizer, end_id).groupBy("kind", "key", "doc_id").agg(F.first("n").alias("n"), F.first("data").alias("data"), F.count("*").alias("copies"))
+    cut.write.partitionBy("kind").parquet(f"{path}/objects")
     n = shuffle_partitions(spark)
-    chunks.groupBy("key").agg(F.first("n").alias("n_ids"), F.first("data").alias("ids")).withColumnRenamed("key", "digest").write.parquet(f"{path}/chunks")
-    docs = cut.filter("kind = 0").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("digests"))
+    docs = spark.read.parquet(f"{path}/objects/kind=0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    docs = docs.select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("digests"))
     docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id()).write.parquet(f"{path}/sorted")
     docs = spark.read.parquet(f"{path}/sorted")
     shards = docs.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -121,8 +121,8 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     recipes = docs.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, "shard")
     recipes = recipes.select("shard", "doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "digests", "root")
     recipes.write.parquet(f"{path}/recipes")
-    delete(spark, f"{path}/cut")
     delete(spark, f"{path}/sorted")
+    delete(spark, f"{path}/objects/kind=0")
 
 
 def _shard_roots(docs: DataFrame) -> DataFrame:
@@ -158,15 +158,20 @@ def _composed(batches):
     joiner = Joiner()
     for batch in batches:
         crcs = []
-        for d, total, digests, root, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            crc = count = 0
-            parts.sort(key=lambda p: p["pos"])
-            own = [p["digest"] for p in parts]
-            if b"".join(own) != digests or merkle(own) != root:
+        lists = batch.column(4)
+        flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+        bounds = (bounds - bounds[0]).tolist()
+        pos, crc_of, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "crc", "n_ids"))
+        key = flat.field("digest").to_pylist()
+        for k, (d, total, digests, root) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+            own = np.argsort(pos[bounds[k] : bounds[k + 1]]) + bounds[k]
+            keys = [key[i] for i in own.tolist()]
+            if None in keys or b"".join(keys) != digests or merkle(keys) != root:
                 raise ValueError(f"document {d}: the recipe does not match its root")
-            for p in parts:
-                crc = joiner.join(crc, p["crc"], 4 * p["n_ids"]) if count else p["crc"]
-                count += p["n_ids"]
+            crc, count = 0, 0
+            for c, n in zip(crc_of[own].tolist(), size[own].tolist(), strict=True):
+                crc = joiner.join(crc, int(c), 4 * int(n)) if count else int(c)
+                count += int(n)
             if count != total:
                 raise ValueError(f"document {d}: {count} ids read, {total} in its recipe")
             crcs.append(crc)
@@ -175,7 +180,7 @@ def _composed(batches):
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32; raises on any mismatch."""
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", F.col("n_ids").cast("long"), "ids")
+    chunks = spark.read.parquet(f"{path}/objects/kind=1").select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), F.col("data").alias("ids"))
     seen = chunks.mapInArrow(_checked, "digest binary, crc long, n_ids long")
     recipes = spark.read.parquet(f"{path}/recipes")  # start names a row: every document has an id at least
     count = (F.length("digests") / DIGEST).cast("int")
@@ -188,7 +193,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and its whole ids again, for training jobs."""
-    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/objects/kind=1").select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), F.col("data").alias("ids"))
     recipes = spark.read.parquet(f"{path}/recipes")  # start names a row: every document has an id at least
     count = (F.length("digests") / DIGEST).cast("int")
     entries = recipes.select("start", "doc_id", F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"), "digests")

@@ -14,7 +14,7 @@ from itertools import islice
 
 import numpy as np
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 900_000
 MAX_CHUNK_CHARS = 200
 
 _KEEP: dict = {}
@@ -57,16 +57,14 @@ class _Chunks:
 
     def learn(self, chunks: set[str]) -> None:
         table = self.table
-        new = [c for c in chunks if c not in table]
-        if not new:
-            return
-        if len(table) + len(new) > MAX_CHUNKS:  # what came first is the most frequent: half of it stays
-            self.table = table = dict(islice(table.items(), MAX_CHUNKS // 2))
-            new = [c for c in chunks if c not in table]
+        new = list(chunks)
+        if len(table) + len(new) > MAX_CHUNKS:  # what came first is the most frequent: two thirds stay
+            self.table = table = dict(islice(table.items(), MAX_CHUNKS * 2 // 3))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             good = [c for c in part if not self.unsafe(c)]
-            table.update(dict.fromkeys(part))
+            if len(good) < len(part):
+                table.update(dict.fromkeys(set(part).difference(good)))
             table.update(zip(good, self.encode_joined(good), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -74,21 +72,25 @@ class _Chunks:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            cuts, size, start = [], 0, at
+            cuts, got, size, start = [], [], 0, at
+            get, need = self.table.get, set()
             while at < len(texts) and size < 4_000_000:
-                cuts.append(self.cut(texts[at]))
+                cut = self.cut(texts[at])
+                found = list(map(get, cut))
+                if None in found:
+                    need.update(c for c, raw in zip(cut, found, strict=True) if raw is None)
+                cuts.append(cut)
+                got.append(found)
                 size += len(texts[at])
                 at += 1
-            need: set[str] = set()
-            for c in cuts:
-                need.update(c)
-            long = {c for c in need if len(c) > MAX_CHUNK_CHARS}
-            self.learn(need - long)
-            get = self.table.__getitem__
-            for text, cut in zip(texts[start:at], cuts, strict=True):
+            self.learn({c for c in need if len(c) <= MAX_CHUNK_CHARS and c not in self.table})
+            get = self.table.get
+            for text, cut, found in zip(texts[start:at], cuts, got, strict=True):
+                if None in found:
+                    found = [get(c) if raw is None else raw for c, raw in zip(cut, found, strict=True)]
                 try:
-                    out.append(b"".join(map(get, cut)))
-                except (TypeError, KeyError):
+                    out.append(b"".join(found))
+                except TypeError:  # a chunk that is not safe
                     out.append(self._slow(text))
         return out
 
@@ -113,10 +115,20 @@ class _Library(_Chunks):
     def __init__(self, path: str):
         super().__init__(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
+        # the same model over words that are split already
+        self.bare = Tokenizer(self.lib.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\x01")
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.visible = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in [" ", *map(chr, range(0xC0, 0x100))]}
+        names = sorted(self.lib.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.width, self.closes = np.zeros(names[-1][1] + 1, np.int64), np.zeros(names[-1][1] + 1, bool)
+        for name, i in names:
+            self.width[i], self.closes[i] = len(name), name.endswith("</w>")
         self.lib.encode_special_tokens = True
+        self.tails: dict[str, bytes] = {}
 
     #: Stands between joined chunks; encodes to one id that no safe chunk has.
     between = ""
@@ -124,7 +136,54 @@ class _Library(_Chunks):
     def encode_all(self, chunks):
         return [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
 
+    #: Punctuation that the word pattern splits from a word of Latin letters before it.
+    tail_marks = ".,!?;:"
+
+    def stem(self, chunk: str) -> str:
+        """A spelling of chunk without its tail marks that has the same ids."""
+        return chunk.rstrip(self.tail_marks)
+
     def encode_joined(self, chunks):
+        """Chunks that are a plain word and marks are put together from the ids of both."""
+        table, tails = self.table, self.tails
+        stems, plain, other = [], {}, {}
+        for c in chunks:
+            w = self.stem(c)
+            bare = w[1:] if w[:1] == " " else w
+            if bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ" and not self._rare(bare)):
+                if w not in table:
+                    plain[w] = b""
+                if len(w) < len(c) and c[len(w) :] not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[c[len(w) :]] = np.array(self.encode_all([c[len(w) :]])[0], dtype="<u4").tobytes()
+            else:
+                w = c
+                other[w] = b""
+            stems.append(w)
+        own = plain | other
+        for kind, words in ((self._words, [w for w in plain if w.isascii()]), (self._words, [w for w in plain if not w.isascii()]), (self._library, list(other))):
+            own.update(zip(words, kind(words), strict=True))
+        table.update((w, own[w]) for w in plain)
+        return [(own[w] if w in own else table[w]) + (tails[c[len(w) :]] if len(w) < len(c) else b"") for c, w in zip(chunks, stems, strict=True)]
+
+    #: Latin letters that are not plain letters of every library's classes.
+    _rare = re.compile("[ªµº]").search
+
+    def _words(self, words):
+        """Words of Latin letters, perhaps behind a space: the file's model over split parts."""
+        if not words:
+            return []
+        text = "\x01".join(words)
+        text = text.replace(" ", self.visible[32]) if text.isascii() else text.translate(self.visible)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = self.borders(ids, words)
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            raise ValueError("word borders were lost")
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _library(self, chunks):
         if not chunks:
             return []
         mark = self.encode_all([self.between])[0]
@@ -147,6 +206,10 @@ class ByteChunks(_Library):
 
     between = "\t"
 
+    def borders(self, ids, words):
+        size = [len(w.encode()) for w in words]
+        return np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1  # a byte is a character of a name
+
     def cut(self, text):
         if "\0" in text:
             return [""]
@@ -165,6 +228,12 @@ class WordChunks(_Library):
 
     between = " \x01 "
 
+    def borders(self, ids, words):
+        return np.flatnonzero(self.closes[ids]) + 1
+
+    def stem(self, chunk):
+        return chunk.rstrip(self.tail_marks).lower()
+
     def cut(self, text):
         return text.replace("\n", " ").split(" ")
 
