@@ -263,20 +263,21 @@ def _cut(width: int, outputs: tuple[str, ...], id_col: str):
     return run
 
 
-def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_removed", "kept", "intervals"), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_windows: int = 2_000_000) -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_removed", "kept", "intervals"), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_windows: int = 1_000_000) -> DataFrame:
     """Per row of df: its id and of n_words, n_removed, kept (words left, joined by one space),
     kept_sha256 and intervals (maximal removed runs of words, end exclusive) those in outputs."""
     outputs = tuple(outputs)
-    n = buckets or 4 * shuffle_partitions(df.sparkSession)
+    parts = shuffle_partitions(df.sparkSession)
+    n, m = buckets or 2 * parts, 2 * parts  # buckets and targets
     kinds = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string", "intervals": "array<struct<first:bigint,end:bigint>>"}
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sent = rows.mapInArrow(_windows(width, n, block_windows), _SENT)
-    gone = sent.groupBy("bucket").applyInArrow(_firsts(n), "target int, ids binary, ths binary, sizes binary, pos binary")
+    gone = sent.groupBy("bucket").applyInArrow(_firsts(m), "target int, ids binary, ths binary, sizes binary, pos binary")
 
     @F.pandas_udf("int")
     def target(ids):
         with np.errstate(over="ignore"):
-            return __import__("pandas").Series((_mix(ids.to_numpy().astype(np.uint64)) % np.uint64(n)).astype(np.int32))
+            return __import__("pandas").Series((_mix(ids.to_numpy().astype(np.uint64)) % np.uint64(m)).astype(np.int32))
 
     dealt = rows.withColumn("target", target("id"))
     schema = ", ".join([f"{id_col} long", *(f"{o} {kinds[o]}" for o in outputs)])
