@@ -3,11 +3,11 @@
 A document's set holds its distinct runs of `width` words (A-Z lower-cased; fewer words: the whole
 sequence is its one shingle). One hash orders all shingles and the K smallest are its sketch.
 Equal sets are one class. A class enters the inverted lists of its HEADS smallest values, one list
-for each value and size step (sets whose sizes differ by more than the threshold cannot link); two
-sets at the threshold share none of these lists with probability near 1e-8. In a list, pairs are
-compared by the union of their sketches (the K smallest values of both), kept if the estimate is
-within 4.5 standard deviations of the threshold, and confirmed on full sets: 100 * intersection >=
-percent * union, exactly.
+for each value and size step (sets whose sizes differ by more than the threshold cannot link). A pair
+belongs to the list of the first value it shares; at the threshold a pair has more than APART unshared
+values before it with probability 0.2^8. In a list, pairs are compared by the union of their sketches
+(first the PROBE smallest values, then K), kept if the estimate is within 4.5 standard deviations of
+the threshold, and confirmed on full sets: 100 * intersection >= percent * union, exactly.
 
 Pairs within a list are not all emitted. A round proposes a spanning forest of a list's estimated
 links; confirmed links join components; lists whose proposals failed are opened again, first with a
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .substring import window_hashes, word_spans
 
-K, HEADS, BLOCK, RANKS, FEW = 32, 8, 256, 12, 4
+K, HEADS, BLOCK, FEW = 32, 8, 256, 4
+APART = 7  # values only one of two sets has before the first they share
+PROBE, PROBE_LEAST = 12, 3  # a first look at so many values must find so many shared
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PAD = 0xFFFFFFFF
@@ -86,15 +88,17 @@ def _compare(percent: int, mode: int):
     """Proposed pairs of a batch of whole groups; mode 1: forest, 2: a few a component pair, 3: all."""
     t = percent / 100
 
-    def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shared among the smallest of the union, how many those are, and the first shared value."""
+        k = a.shape[1]
         both = np.sort(np.concatenate([a, b], axis=1), axis=1)
         eq = np.zeros(both.shape, bool)
         eq[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)
         rank = np.cumsum(~eq & (both != _PAD), axis=1)
-        size = np.minimum(rank[:, -1], K)
-        return (eq & (rank <= K)).sum(axis=1) / np.maximum(size, 1), size
+        first = np.take_along_axis(both, eq.argmax(axis=1)[:, None], 1)[:, 0]
+        return (eq & (rank <= k)).sum(axis=1), np.minimum(rank[:, -1], k), first
 
-    def batch_pairs(group, ident, n, rank, side, comp, sketch):
+    def batch_pairs(group, ident, n, rank, side, comp, step_of, at_step, value, sketch):
         size = len(group)
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         end = np.repeat(np.append(starts[1:], size), np.diff(np.append(starts, size)))
@@ -105,15 +109,20 @@ def _compare(percent: int, mode: int):
 
         def settle():
             a, b = np.concatenate(wait_i), np.concatenate(wait_j)
-            for at in range(0, len(a), 50_000):
-                x, y = a[at : at + 50_000], b[at : at + 50_000]
-                est, k = estimates(sketch[x], sketch[y])
+            for at in range(0, len(a), 20_000):
+                x, y = a[at : at + 20_000], b[at : at + 20_000]
+                hits, k, first = estimates(sketch[x, :PROBE], sketch[y, :PROBE])
+                # a pair belongs to the list of the first value it shares
+                good = (first == value[x]) & (hits >= np.minimum(PROBE_LEAST, np.ceil(t * k / 2)))
+                x, y = x[good], y[good]
+                hits, k, _ = estimates(sketch[x], sketch[y])
+                est = hits / np.maximum(k, 1)
                 good = est >= t - 4.5 * np.sqrt(t * (1 - t) / np.maximum(k, 1)) - 1e-9
                 found.append((x[good], y[good], est[good]))
 
         while len(i):
             j = i + step
-            ok = (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])) & (rank[i] + rank[j] <= RANKS) & (ident[i] != ident[j]) & (comp[i] != comp[j])
+            ok = (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])) & (rank[i] + rank[j] <= APART) & (np.maximum(step_of[i], step_of[j]) == at_step[i]) & (ident[i] != ident[j]) & (comp[i] != comp[j])
             ok &= (side[i] < 0) | (side[i] != side[j])
             wait_i.append(i[ok]), wait_j.append(j[ok])
             held += int(ok.sum())
@@ -184,7 +193,7 @@ def _compare(percent: int, mode: int):
                 yield out
 
     def one(rows: pa.Table):
-        cols = [rows.column(c).to_numpy() for c in ("g", "id", "n", "rank", "side", "comp")]
+        cols = [rows.column(c).to_numpy() for c in ("g", "id", "n", "rank", "side", "comp", "step", "at_step", "value")]
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u4").reshape(-1, K)
         return batch_pairs(*cols, sketch)
 
@@ -225,7 +234,7 @@ def _proposals(lists: DataFrame, sketches: DataFrame, percent: int, mode: int, c
         seen = (F.col("nb") <= 3) | (F.col("lo") == F.col("hi")) | (F.col("lo") == 0) | (F.col("hi") - F.col("lo") == 1) | (F.col("hi") - F.col("lo") == F.col("nb") - 1)
         new = rows.filter(~seen) if mode == 2 else rows.filter("false")
         rows = new.unionByName((rows.filter(seen) if mode == 2 else rows).join(only, "g", "left_semi").select(*new.columns))
-    rows = rows.select("g", "id", "n", "rank", "side", "comp").join(sketches, "id")
+    rows = rows.select("g", "id", "n", "rank", "side", "comp", "step", "at_step", "value").join(sketches, "id")
     rows = rows.repartition("g").sortWithinPartitions("g")
     return rows.mapInArrow(_compare(percent, mode), "g long, a long, b long, more boolean")
 
@@ -240,11 +249,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     # lists: small rows first; those of one member go before sketches are sent
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     heads = reps.select("id", "n", step.alias("step"), F.posexplode("heads").alias("rank", "value"))
-    heads = heads.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
-    heads = heads.select(F.xxhash64("value", "step").alias("key"), "id", "n", "rank")
+    heads = heads.withColumn("at_step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    heads = heads.select(F.xxhash64("value", "at_step").alias("key"), "id", "n", "rank", "step", "at_step", F.shiftrightunsigned("value", 32).alias("value"))
     counts = heads.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     lists = heads.join(counts, "key").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int"))
-    lists = stored(lists.select("key", "id", "n", "rank", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk")), "lists")
+    lists = stored(lists.select("key", "id", "n", "rank", "step", "at_step", "value", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk")), "lists")
     sketches = reps.select("id", "sketch")
 
     first = stored(_proposals(lists, sketches, percent, 1), "round1")

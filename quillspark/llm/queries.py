@@ -32,6 +32,21 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysed(media_column(table(spark, sf_dir, "documents")), arrays=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find, fit
+
+    docs = table(spark, sf_dir, "documents")
+    found = find(docs, fit(docs))
+
+    def joined(c):
+        return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(k):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_decode
 
@@ -74,5 +89,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_embed_dedup, op2_packing, op3_media, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_embed_dedup, op2_packing, op3_media, op4_pii, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
 ORACLE: dict[str, str] = {}
