@@ -225,7 +225,7 @@ def _firsts(targets: int):
     return run
 
 
-def _cut(width: int, outputs: tuple[str, ...], id_col: str):
+def _cut(width: int, outputs: tuple[str, ...], id_col: str, carry: tuple[str, ...] = ()):
     kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string(), "intervals": pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))}
 
     def run(docs: pa.Table, removed: pa.Table) -> pa.Table:
@@ -258,19 +258,23 @@ def _cut(width: int, outputs: tuple[str, ...], id_col: str):
             for o, c in cols.items():
                 c.append(made[o] if o in made else joined.decode() if o == "kept" else hashlib.sha256(joined).hexdigest())
         out_ids = pa.array([None if d == NO_ID else d for d in ids], pa.int64())
-        return pa.table([out_ids, *(pa.array(cols[o], kinds[o]) for o in outputs)], names=[id_col, *outputs])
+        return pa.table([out_ids, *(pa.array(cols[o], kinds[o]) for o in outputs), *(docs.column(f"carry_{c}") for c in carry)], names=[id_col, *outputs, *carry])
 
     return run
 
 
-def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_removed", "kept", "intervals"), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_windows: int = 1_000_000) -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_removed", "kept", "intervals"), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, block_windows: int = 1_000_000, carry=()) -> DataFrame:
     """Per row of df: its id and of n_words, n_removed, kept (words left, joined by one space),
-    kept_sha256 and intervals (maximal removed runs of words, end exclusive) those in outputs."""
+    kept_sha256 and intervals (maximal removed runs of words, end exclusive) those in outputs; carry
+    names columns of df to pass on."""
     outputs = tuple(outputs)
     parts = shuffle_partitions(df.sparkSession)
     n, m = buckets or 2 * parts, 2 * parts  # buckets and targets
     kinds = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string", "intervals": "array<struct<first:bigint,end:bigint>>"}
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    carry = tuple(carry)
+    given = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wide = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     sent = rows.mapInArrow(_windows(width, n, block_windows), _SENT)
     gone = sent.groupBy("bucket").applyInArrow(_firsts(m), "target int, ids binary, ths binary, sizes binary, pos binary")
 
@@ -279,6 +283,6 @@ def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_remove
         with np.errstate(over="ignore"):
             return __import__("pandas").Series((_mix(ids.to_numpy().astype(np.uint64)) % np.uint64(m)).astype(np.int32))
 
-    dealt = rows.withColumn("target", target("id"))
-    schema = ", ".join([f"{id_col} long", *(f"{o} {kinds[o]}" for o in outputs)])
-    return dealt.groupBy("target").cogroup(gone.groupBy("target")).applyInArrow(_cut(width, outputs, id_col), schema)
+    dealt = wide.withColumn("target", target("id"))
+    schema = ", ".join([f"{id_col} long", *(f"{o} {kinds[o]}" for o in outputs), *(f"`{c}` {given[c]}" for c in carry)])
+    return dealt.groupBy("target").cogroup(gone.groupBy("target")).applyInArrow(_cut(width, outputs, id_col, carry), schema)
