@@ -12,8 +12,7 @@ the threshold, and confirmed on full sets: 100 * intersection >= percent * union
 Pairs within a list are not all emitted. A round proposes a spanning forest of a list's estimated
 links; confirmed links join components; lists whose proposals failed are opened again, first with a
 few pairs for each pair of components, then with all that are left between different components, so
-components are those of all links. Lists longer than BLOCK are split: in the first round blocks meet
-themselves, the next and the first; later only where more than one component is left.
+components are those of all links. Lists longer than BLOCK are split and their blocks meet two by two.
 
 Texts that are null or hold no word link with nothing (component: their own id). Rows of one id with
 different texts are judged each by its text; a null id has component null, links with nothing and is
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .substring import window_hashes, word_spans
 
-K, HEADS, BLOCK, FEW = 32, 8, 256, 4
+K, HEADS, BLOCK, FEW = 32, 8, 1024, 4
 APART = 7  # values only one of two sets has before the first they share
 PROBE, PROBE_LEAST = 12, 3  # a first look at so many values must find so many shared
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -98,7 +97,7 @@ def _compare(percent: int, mode: int):
         first = np.take_along_axis(both, eq.argmax(axis=1)[:, None], 1)[:, 0]
         return (eq & (rank <= k)).sum(axis=1), np.minimum(rank[:, -1], k), first
 
-    def batch_pairs(group, ident, n, rank, side, comp, step_of, at_step, value, sketch):
+    def batch_pairs(group, key, ident, n, rank, side, comp, step_of, at_step, value, sketch):
         size = len(group)
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         end = np.repeat(np.append(starts[1:], size), np.diff(np.append(starts, size)))
@@ -167,7 +166,7 @@ def _compare(percent: int, mode: int):
         kinds, inv = np.unique(g, return_inverse=True)
         more = np.bincount(inv) > np.bincount(inv, keep)
         a, b = np.minimum(ident[x], ident[y])[keep], np.maximum(ident[x], ident[y])[keep]
-        return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(a), pa.array(b), pa.array(more[inv][keep])], names=["g", "a", "b", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(key[x][keep]), pa.array(a), pa.array(b), pa.array(more[inv][keep])], names=["key", "a", "b", "more"])
 
     def run(batches):
         carry, held = [], 0
@@ -193,7 +192,7 @@ def _compare(percent: int, mode: int):
                 yield out
 
     def one(rows: pa.Table):
-        cols = [rows.column(c).to_numpy() for c in ("g", "id", "n", "rank", "side", "comp", "step", "at_step", "value")]
+        cols = [rows.column(c).to_numpy() for c in ("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value")]
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u4").reshape(-1, K)
         return batch_pairs(*cols, sketch)
 
@@ -214,29 +213,20 @@ def _confirm(percent: int, width: int):
 
 
 def _proposals(lists: DataFrame, sketches: DataFrame, percent: int, mode: int, comp: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Rows (g, a, b, more) proposed by the groups of the lists; only: groups of the round before."""
-    if comp is not None:
-        lists = lists.join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "id")).drop("node", "component_id")
+    """Rows (key, a, b, more) proposed by the lists; only: keys of the lists to open again."""
+    if only is None:
+        lists = lists.withColumn("comp", F.col("id"))
+    else:
+        lists = lists.join(only, "key", "left_semi").join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "id")).drop("node", "component_id")
         mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         lists = lists.join(mixed, "key", "left_semi")
-    else:
-        lists = lists.withColumn("comp", F.col("id"))
-    every = F.sequence(F.lit(0), F.col("nb") - 1)
-    if mode == 1:
-        near = F.array_distinct(F.array(F.lit(0), F.col("blk"), F.pmod(F.col("blk") + 1, F.col("nb")), F.pmod(F.col("blk") - 1, F.col("nb"))))
-        every = F.when((F.col("nb") <= 3) | (F.col("blk") == 0), every).otherwise(near)
-    rows = lists.withColumn("other", F.explode(every))
+    rows = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
     rows = rows.withColumn("g", F.xxhash64("key", "lo", "hi"))
     rows = rows.withColumn("side", F.when(F.col("lo") == F.col("hi"), F.lit(-1)).otherwise(F.col("blk")))
-    if only is not None:
-        # groups the first round left out (far blocks) are new; others count only if open
-        seen = (F.col("nb") <= 3) | (F.col("lo") == F.col("hi")) | (F.col("lo") == 0) | (F.col("hi") - F.col("lo") == 1) | (F.col("hi") - F.col("lo") == F.col("nb") - 1)
-        new = rows.filter(~seen) if mode == 2 else rows.filter("false")
-        rows = new.unionByName((rows.filter(seen) if mode == 2 else rows).join(only, "g", "left_semi").select(*new.columns))
-    rows = rows.select("g", "id", "n", "rank", "side", "comp", "step", "at_step", "value").join(sketches, "id")
+    rows = rows.select("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value").join(sketches, "id")
     rows = rows.repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(_compare(percent, mode), "g long, a long, b long, more boolean")
+    return rows.mapInArrow(_compare(percent, mode), "key long, a long, b long, more boolean")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +260,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     comp = stored(components(tested.filter("linked")), "components1")
     last = first
     for mode in (2, 3):
-        failed = last.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("g").distinct()
+        failed = last.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
         offered = stored(_proposals(lists, sketches, percent, mode, comp, failed), f"round{mode}")
         fresh = offered.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         if not fresh.head(1):

@@ -30,7 +30,7 @@ from .common import shuffle_partitions, texts_of
 from .crc import Joiner
 from .tokens import WordChunks, shared
 
-WINDOW, MASK_BITS, LEAST, MOST = 8, 8, 64, 1024
+WINDOW, MASK_BITS, LEAST, MOST = 8, 9, 128, 2048
 DIGEST = 16
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from itertools import islice
 
 import numpy as np
 
 MAX_CHUNKS = 900_000
 MAX_CHUNK_CHARS = 200
+BATCH_CHARS = 2_000_000
 
 _KEEP: dict = {}
 
@@ -74,11 +76,11 @@ class _Chunks:
         while at < len(texts):
             cuts, got, size, start = [], [], 0, at
             get, need = self.table.get, set()
-            while at < len(texts) and size < 4_000_000:
+            while at < len(texts) and size < BATCH_CHARS:
                 cut = self.cut(texts[at])
                 found = list(map(get, cut))
                 if None in found:
-                    need.update(c for c, raw in zip(cut, found, strict=True) if raw is None)
+                    need.update([c for c, raw in zip(cut, found) if raw is None])  # noqa: B905
                 cuts.append(cut)
                 got.append(found)
                 size += len(texts[at])
@@ -137,7 +139,7 @@ class _Library(_Chunks):
         return [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
 
     #: Punctuation that the word pattern splits from a word of Latin letters before it.
-    tail_marks = ".,!?;:"
+    tail_marks = string.punctuation
 
     def stem(self, chunk: str) -> str:
         """A spelling of chunk without its tail marks that has the same ids."""
