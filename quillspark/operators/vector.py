@@ -1,8 +1,8 @@
 """Retrieval: exact dense and sparse top-k, rank fusion, reranking, FAQ matching.
 
-Dense search takes a stated query set against all rows: queries are packed into blocks (a few rows
-of many vectors), the blocks meet the vectors, and each vector batch is scored as a matrix with the
-block; a partial top-k leaves each batch, so what is shuffled is k rows per query and batch.
+Dense search takes a stated query set against all rows, block by block: each vector batch is scored
+as a matrix with a block, and a partial top-k leaves each batch, so what is shuffled is k rows per
+query and batch.
 """
 
 from __future__ import annotations
@@ -32,28 +32,37 @@ def top_k(df: DataFrame, group: str | list[str], score: str, k: int | Column, ti
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def dense_search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", block: int = 256) -> DataFrame:
-    """query_id, id, score (rounded to 6), rank by inner product; queries: (query_id, vec)."""
-    numbered = queries.select("query_id", F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
-    packed = numbered.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-numbered.count() // block)))).alias("blk")).agg(F.collect_list(F.struct("query_id", "v")).alias("qs"))
-    right = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
+def dense_search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", block: int = 4096) -> DataFrame:
+    """query_id, id, score (rounded to 6), rank by inner product; queries: (query_id, vec).
 
-    def score(batches):
-        for df in batches:
-            for _, part in df.groupby("blk", sort=False):
-                m = np.stack(part["v"].to_numpy())
-                qs = part["qs"].iloc[0]
-                s = np.round(np.stack([q["v"] for q in qs]) @ m.T, 6)
-                ids = part["id"].to_numpy()
-                for q, row in zip(qs, s, strict=True):
-                    best = np.lexsort((ids, -row))[:k]
-                    yield pd.DataFrame({"query_id": q["query_id"], "id": ids[best], "score": row[best]})
-
-    from pyspark.sql.functions import broadcast
-
-    # one block holds at most `block` vectors, so what a task gets beside its own rows is bounded
-    met = right.crossJoin(broadcast(packed)) if packed.count() == 1 else right.join(packed, F.lit(True))
-    return top_k(met.mapInPandas(score, "query_id long, id long, score double"), "query_id", "score", k, ["id"])
+    The query set goes out in blocks of about `block` vectors, each a broadcast of bounded size.
+    """
+    spark = rows.sparkSession
+    asked = queries.select("query_id", F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
+    right = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not part:
+            continue
+        held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in part]), np.array([r["v"] for r in part])))
+
+        def score(batches, held=held):
+            qid, q = held.value
+            for df in batches:
+                if not len(df):
+                    continue
+                s = np.round(q @ np.stack(df["v"].to_numpy()).T, 6)
+                ids = df["id"].to_numpy()
+                best = [np.lexsort((ids, -row))[:k] for row in s]
+                yield pd.DataFrame({"query_id": np.repeat(qid, [len(x) for x in best]), "id": np.concatenate([ids[x] for x in best]), "score": np.concatenate([row[x] for row, x in zip(s, best, strict=True)])})
+
+        leg = right.mapInPandas(score, "query_id long, id long, score double")
+        found = leg if found is None else found.unionByName(leg)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, score double")
+    return top_k(found, "query_id", "score", k, ["id"])
 
 
 def sparse_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
