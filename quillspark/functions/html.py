@@ -9,6 +9,7 @@ from urllib.parse import urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 
@@ -136,22 +137,26 @@ def _anchor_groups(html: str | None, base: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("string")
+# types as objects: workers import this module without a session
+_ANCHORS = T.ArrayType(T.StructType([T.StructField("grp", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("href", T.StringType())]))
+
+
+@F.pandas_udf(T.StringType())
 def body_text_udf(html: pd.Series) -> pd.Series:
     return html.map(body_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text_udf(html: pd.Series) -> pd.Series:
     return html.map(page_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_udf(raw: pd.Series) -> pd.Series:
     return raw.map(decode_page)
 
 
-@F.pandas_udf("array<struct<grp:int,pos:int,title:string,href:string>>")
+@F.pandas_udf(_ANCHORS)
 def anchors_udf(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([_anchor_groups(h, b) for h, b in zip(html, base, strict=True)])
 
