@@ -9,10 +9,11 @@ values before it with probability 0.2^8. In a list, pairs are compared by the un
 (first the PROBE smallest values, then K), kept if the estimate is within 4.5 standard deviations of
 the threshold, and confirmed on full sets: 100 * intersection >= percent * union, exactly.
 
-Pairs within a list are not all emitted. A round proposes a spanning forest of a list's estimated
-links; confirmed links join components; lists whose proposals failed are opened again, first with a
-few pairs for each pair of components, then with all that are left between different components, so
-components are those of all links. Lists longer than BLOCK are split and their blocks meet two by two.
+Pairs within a list are not all emitted. The first round proposes a spanning forest of each list's
+estimated links; confirmed ones join components. Lists with failed proposals are opened again with
+full sets: pairs of different components are compared exactly, best estimates first, unless joined
+meanwhile, and only a forest of true links leaves the task. So components are those of all links.
+Lists longer than BLOCK members (or BLOCK_SHINGLES values) are split and their blocks meet two by two.
 
 Texts that are null or hold no word link with nothing (component: their own id). Rows of one id with
 different texts are judged each by its text; a null id has component null, links with nothing and is
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .substring import window_hashes, word_spans
 
-K, HEADS, BLOCK, FEW = 32, 8, 1024, 4
+K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 8, 1024, 4_000_000
 APART = 7  # values only one of two sets has before the first they share
 PROBE, PROBE_LEAST = 12, 3  # a first look at so many values must find so many shared
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,16 +65,25 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    top = np.full(K, _PAD, "<u4")
+    top[: min(K, len(s))] = (s[:K] >> np.uint64(32)).astype("<u4")
+    return top
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two sorted runs: a merge
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _sketches(width: int):
     def run(batches):
         for batch in batches:
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
             heads = [s[:HEADS].view(np.int64) for s in sets]
-            sketch = []
-            for s in sets:
-                top = np.full(K, _PAD, "<u4")
-                top[: min(K, len(s))] = (s[:K] >> np.uint64(32)).astype("<u4")
-                sketch.append(top.tobytes())
+            sketch = [_sketch(s).tobytes() for s in sets]
             mark = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(mark, pa.binary()), pa.array(sketch, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
@@ -83,8 +93,9 @@ def _sketches(width: int):
     return run
 
 
-def _compare(percent: int, mode: int):
-    """Proposed pairs of a batch of whole groups; mode 1: forest, 2: a few a component pair, 3: all."""
+def _compare(percent: int, exact: bool):
+    """Pairs of a batch of whole groups: a forest of estimated links, or with exact one of true links
+    between components, each pair compared on its full sets unless already joined."""
     t = percent / 100
 
     def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +108,7 @@ def _compare(percent: int, mode: int):
         first = np.take_along_axis(both, eq.argmax(axis=1)[:, None], 1)[:, 0]
         return (eq & (rank <= k)).sum(axis=1), np.minimum(rank[:, -1], k), first
 
-    def batch_pairs(group, key, ident, n, rank, side, comp, step_of, at_step, value, sketch):
+    def batch_pairs(group, key, ident, n, rank, side, comp, step_of, at_step, value, sketch, sets):
         size = len(group)
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         end = np.repeat(np.append(starts[1:], size), np.diff(np.append(starts, size)))
@@ -138,31 +149,27 @@ def _compare(percent: int, mode: int):
         if not len(x):
             return None
         g = group[x]
-        if mode == 1:
-            root = list(range(size))
-
-            def top(v):
-                while root[v] != v:
-                    root[v] = root[root[v]]
-                    v = root[v]
-                return v
-
-            keep = np.zeros(len(x), bool)
-            order = np.argsort(-est, kind="stable")
-            for e, a, b in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
-                a, b = top(a), top(b)
-                if a != b:
-                    root[a] = b
-                    keep[e] = True
-        elif mode == 2:
-            lo, hi = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-            order = np.lexsort((-est, hi, lo, g))
-            new = np.concatenate([[True], (np.diff(g[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)])
-            place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            keep = np.zeros(len(x), bool)
-            keep[order[place < FEW]] = True
+        # within a group, rows of one component are joined from the start
+        if exact:
+            _, at = np.unique(np.stack([group, comp]), axis=1, return_inverse=True)
+            at = at.ravel()
         else:
-            keep = np.ones(len(x), bool)
+            at = np.arange(size)
+        root = list(range(size))
+
+        def top(v):
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        keep = np.zeros(len(x), bool)
+        order = np.argsort(-est, kind="stable")
+        for e, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+            a, b = top(at[i]), top(at[j])
+            if a != b and (not exact or _linked(sets[i], sets[j], percent)):
+                root[a] = b
+                keep[e] = True
         kinds, inv = np.unique(g, return_inverse=True)
         more = np.bincount(inv) > np.bincount(inv, keep)
         a, b = np.minimum(ident[x], ident[y])[keep], np.maximum(ident[x], ident[y])[keep]
@@ -193,8 +200,11 @@ def _compare(percent: int, mode: int):
 
     def one(rows: pa.Table):
         cols = [rows.column(c).to_numpy() for c in ("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value")]
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u4").reshape(-1, K)
-        return batch_pairs(*cols, sketch)
+        raws = rows.column("sketch").to_pylist()
+        if not exact:
+            return batch_pairs(*cols, np.frombuffer(b"".join(raws), "<u4").reshape(-1, K), None)
+        sets = [np.frombuffer(r, "<u8") for r in raws]
+        return batch_pairs(*cols, np.array([_sketch(s) for s in sets]), sets)
 
     return run
 
@@ -203,17 +213,23 @@ def _confirm(percent: int, width: int):
     def run(batches):
         for batch in batches:
             left, right = ([t or "" for t in batch.column(c).to_pylist()] for c in (2, 3))
-            good = []
-            for a, b in zip(shingle_sets(left, width), shingle_sets(right, width), strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+            good = [_linked(a, b, percent) for a, b in zip(shingle_sets(left, width), shingle_sets(right, width), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
-def _proposals(lists: DataFrame, sketches: DataFrame, percent: int, mode: int, comp: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Rows (key, a, b, more) proposed by the lists; only: keys of the lists to open again."""
+def _full_sets(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sketch"])
+
+    return run
+
+
+def _proposals(lists: DataFrame, sketches: DataFrame, percent: int, comp: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Rows (key, a, b, more) of the lists; only: keys of lists to open again, with full sets for sketches."""
     if only is None:
         lists = lists.withColumn("comp", F.col("id"))
     else:
@@ -226,7 +242,7 @@ def _proposals(lists: DataFrame, sketches: DataFrame, percent: int, mode: int, c
     rows = rows.withColumn("side", F.when(F.col("lo") == F.col("hi"), F.lit(-1)).otherwise(F.col("blk")))
     rows = rows.select("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value").join(sketches, "id")
     rows = rows.repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(_compare(percent, mode), "key long, a long, b long, more boolean")
+    return rows.mapInArrow(_compare(percent, only is not None), "key long, a long, b long, more boolean")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,38 +257,25 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     heads = reps.select("id", "n", step.alias("step"), F.posexplode("heads").alias("rank", "value"))
     heads = heads.withColumn("at_step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     heads = heads.select(F.xxhash64("value", "at_step").alias("key"), "id", "n", "rank", "step", "at_step", F.shiftrightunsigned("value", 32).alias("value"))
-    counts = heads.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    lists = heads.join(counts, "key").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int"))
+    counts = heads.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("most")).filter("c > 1")
+    lists = heads.join(counts, "key").withColumn("nb", F.ceil(F.col("c") * F.greatest(F.lit(1 / BLOCK), F.col("most") / BLOCK_SHINGLES)).cast("int"))
     lists = stored(lists.select("key", "id", "n", "rank", "step", "at_step", "value", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk")), "lists")
     sketches = reps.select("id", "sketch")
 
-    first = stored(_proposals(lists, sketches, percent, 1), "round1")
+    first = stored(_proposals(lists, sketches, percent), "round1")
     ends = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = stored(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-        wide = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return stored(wide.mapInArrow(_confirm(percent, width), "a long, b long, linked boolean"), name)
-
-    tested = confirmed(first, "tested1")
-    comp = stored(components(tested.filter("linked")), "components1")
-    last = first
-    for mode in (2, 3):
-        failed = last.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
-        offered = stored(_proposals(lists, sketches, percent, mode, comp, failed), f"round{mode}")
-        fresh = offered.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if not fresh.head(1):
-            if mode == 2:
-                last = offered
-                continue
-            break
-        # a pair is confirmed once; later rounds see every verdict
-        now = confirmed(fresh, f"tested{mode}")
-        tested = tested.unionByName(now)
-        comp = stored(components(tested.filter("linked")), f"components{mode}")
-        last = offered
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
+    wide = first.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    tested = stored(wide.mapInArrow(_confirm(percent, width), "a long, b long, linked boolean"), "tested")
+    links = tested.filter("linked").select("a", "b")
+    comp = stored(components(links), "components1")
+    failed = first.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    sets = texts.mapInArrow(_full_sets(width), "id long, sketch binary")
+    rest = stored(_proposals(lists, sets, percent, comp, failed), "round2")
+    if rest.head(1):
+        comp = stored(components(links.unionByName(rest.select("a", "b"))), "components2")
     member = full.join(classes, "mark").select("id", "mark", "rep").distinct()
     found = member.join(comp, F.col("rep") == F.col("node"), "left").select("id", "mark", F.coalesce("component_id", "rep").alias("component_id"))
     out = all_rows.select("id", "n", "mark").join(found, ["id", "mark"], "left")

@@ -74,22 +74,23 @@ class _Chunks:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            cuts, got, size, start = [], [], 0, at
+            cuts, got, gaps, size, start = [], [], [], 0, at
             get, need = self.table.get, set()
             while at < len(texts) and size < BATCH_CHARS:
                 cut = self.cut(texts[at])
                 found = list(map(get, cut))
-                if None in found:
-                    need.update([c for c, raw in zip(cut, found) if raw is None])  # noqa: B905
+                gap = [i for i, raw in enumerate(found) if raw is None] if None in found else []
+                need.update([cut[i] for i in gap])
                 cuts.append(cut)
+                gaps.append(gap)
                 got.append(found)
                 size += len(texts[at])
                 at += 1
             self.learn({c for c in need if len(c) <= MAX_CHUNK_CHARS and c not in self.table})
             get = self.table.get
-            for text, cut, found in zip(texts[start:at], cuts, got, strict=True):
-                if None in found:
-                    found = [get(c) if raw is None else raw for c, raw in zip(cut, found, strict=True)]
+            for text, cut, found, gap in zip(texts[start:at], cuts, got, gaps, strict=True):
+                for i in gap:
+                    found[i] = get(cut[i])
                 try:
                     out.append(b"".join(found))
                 except TypeError:  # a chunk that is not safe
