@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 N = 3
 SLOT_BITS = 20
+BLOCK_CHARS = 300_000  # characters looked up at once
 _LETTER = re.compile(r"[^\W\d_]")
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -81,8 +82,13 @@ class LanguageFilter:
         at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         if not at or not self.langs:
             return lang, score
-        for first in range(0, len(at), 200):
-            part = at[first : first + 200]
+        first = 0
+        while first < len(at):
+            last, size = first, 0
+            while last < len(at) and (last == first or size + len(texts[at[last]]) < BLOCK_CHARS):
+                size += len(texts[at[last]])
+                last += 1
+            part, first = at[first:last], last
             a, b, ends = _slots([texts[i] for i in part])
             both = self.mask[a] & self.mask[b]
             begins = np.concatenate([[0], ends[:-1]])

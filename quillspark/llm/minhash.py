@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, stored
 from .substring import window_hashes, word_spans
 
-K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 8, 1024, 4_000_000
+K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 8, 1024, 2_000_000
 APART = 7  # values only one of two sets has before the first they share
 PROBE, PROBE_LEAST = 12, 3  # a first look at so many values must find so many shared
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -136,7 +136,7 @@ def _compare(percent: int, exact: bool):
             ok &= (side[i] < 0) | (side[i] != side[j])
             wait_i.append(i[ok]), wait_j.append(j[ok])
             held += int(ok.sum())
-            if held > 500_000:
+            if held > 200_000:
                 settle()
                 wait_i, wait_j, held = [], [], 0
             step += 1
@@ -182,7 +182,7 @@ def _compare(percent: int, exact: bool):
                 continue
             carry.append(batch)
             held += batch.num_rows
-            if held < 20_000:
+            if held < 10_000:
                 continue
             whole = pa.Table.from_batches(carry).combine_chunks()
             g = whole.column("g").to_numpy()
