@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 
+def let(c: Column, body) -> Column:
+    """body of a value computed once: inside a lambda a plain expression would run for every element."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -19,11 +24,8 @@ def clean_text(c: Column, noise: tuple[str, ...] = C.NOISE_LINES, counters: str
     lines = F.transform(F.split(text, "\n", -1), strip)
     if noise:
         lines = F.filter(lines, lambda x: ~x.rlike("(?U)" + "|".join(f"(?:{p})" for p in noise)))
-    squeezed = F.filter(
-        F.transform(lines, lambda x, i: F.struct(x.alias("t"), F.when(i == 0, F.lit("")).otherwise(F.get(lines, i - 1)).alias("before"))),
-        lambda s: (s["t"] != "") | (s["before"] != ""),
-    )
-    joined = F.array_join(F.transform(squeezed, lambda s: s["t"]), "\n")
+    # a blank line stays only behind a line that is not blank
+    joined = let(lines, lambda ls: F.array_join(F.filter(ls, lambda x, i: (x != "") | ((i > 0) & (F.get(ls, i - 1) != ""))), "\n"))
     return F.regexp_replace(joined, r"^\n+|\n+$", "")
 
 
@@ -155,8 +157,13 @@ def near_dup_form(c: Column) -> Column:
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams; none for shorter texts."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(chars: Column) -> Column:
+        last = F.size(chars) - n + 1
+        at = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])))
+
+    return let(F.filter(F.split(c, ""), lambda ch: ch != ""), grams)
 
 
 def semester(d: Column, autumn: str = "秋季", spring: str = "春季", summer: str = "暑期") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.text import let
 
 
 def words(c: Column) -> Column:
@@ -24,12 +25,13 @@ class LexicalEncoder:
 
     def sparse(self, c: Column) -> Column:
         """array<struct<token, weight>> with weight 1 + ln(count)."""
-        w = words(c)
-        return F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("token"), (1 + F.log(F.size(F.filter(w, lambda x: x == t)).cast("double"))).alias("weight")))
+        count = lambda w, t: F.size(F.filter(w, lambda x: x == t)).cast("double")
+        return let(words(c), lambda w: F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("token"), (1 + F.log(count(w, t))).alias("weight"))))
 
     def dense(self, c: Column) -> Column:
         at = F.transform(words(c), lambda w: F.pmod(F.crc32(w), F.lit(self.dim)))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+        every = F.sequence(F.lit(0), F.lit(self.dim - 1))
+        return let(at, lambda a: F.transform(every, lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
 
 
 class OverlapReranker:

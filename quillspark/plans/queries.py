@@ -1,4 +1,780 @@
-"""Registered queries of the reference's operators and their oracle SQL."""
+"""Registered queries of the reference's operators over whole tables, with their oracle SQL (DuckDB).
 
-QUERIES: dict = {}
+The tables hold no Chinese text, so queries that need a lexicon use config.LATIN; the same functions
+are tested with the Chinese lexicon in tests/. Queries without SQL are held against brute force there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions import html as H
+from ..functions import text as X
+from ..operators import chunking as K
+from ..operators import dedup as D
+from ..operators import metrics as M
+from ..operators import routing as R
+from ..operators import safety as S
+from ..operators import vector as V
+from ..operators.providers import LexicalEncoder, OverlapReranker, train_classifier
+from ..streaming.sessions import session_states
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+L = C.LATIN
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_FIXED = """(select doc_id, (s/692)::int as chunk_index, substr(text, s+1, 768) as text from
+  (select doc_id, text, unnest(range(0, length(text), 692)) as s from documents)
+  where trim(substr(text, s+1, 768), ' \t\n') <> '')"""
+_BARE = "regexp_replace({}, '\\s+', '', 'g')"
+
+
+# ------------------------------------------------------------------ evidence
+@query(f"""with c as {_FIXED} select c.doc_id, c.chunk_index, b.item_id from c, benchmark b
+where contains({_BARE.format("c.text")}, {_BARE.format("b.text")})""")
+def evidence_located(spark, d):
+    chunks = K.fixed(t(spark, d, "documents").select("doc_id", "text"))
+    items = t(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    return M.gold_pairs(items, chunks).select("doc_id", F.col("chunk_index").cast("int"), "item_id")
+
+
+@query(f"""with c as {_FIXED}, w as (select 'whole' strategy, b.item_id, count(*) n from documents x, benchmark b where contains({_BARE.format("x.text")}, {_BARE.format("b.text")}) group by b.item_id),
+f as (select 'fixed' strategy, b.item_id, count(*) n from c, benchmark b where contains({_BARE.format("c.text")}, {_BARE.format("b.text")}) group by b.item_id)
+select s.strategy, count(*) items, round(avg(case when n > 0 then 1.0 else 0.0 end), 6) recall, round(avg(coalesce(n, 0)), 6) mean_gold
+from (select unnest(['whole', 'fixed']) strategy) s, benchmark b left join (select * from w union all select * from f) g on g.item_id = b.item_id and g.strategy = s.strategy group by s.strategy""")
+def evidence_recall_by_strategy(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    items = t(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    legs = {"whole": docs, "fixed": K.fixed(docs)}
+    out = None
+    for name, chunks in legs.items():
+        n = M.gold_pairs(items, chunks).groupBy("item_id").agg(F.count("*").alias("n"))
+        leg = items.select("item_id").join(n, "item_id", "left").na.fill(0).agg(
+            F.count("*").alias("items"), F.round(F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg("n"), 6).alias("mean_gold")
+        ).withColumn("strategy", F.lit(name))
+        out = leg if out is None else out.unionByName(leg)
+    return out.select("strategy", "items", "recall", "mean_gold")
+
+
+# ------------------------------------------------------------------ text
+@query(r"""with l as (select doc_id, i, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') x, unnest(range(len(string_split(text, chr(10))))) i from (select doc_id, text, 0 i from documents)),
+k as (select doc_id, i, x, lag(x) over (partition by doc_id order by i) b from (select doc_id, l.i_1 i, x from (select doc_id, x, i_1 from (select doc_id, x, i as i_1 from (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') x, unnest(range(len(string_split(text, chr(10))))) i from documents)) ) l) where not regexp_matches(x, '^Copyright.*$|^All Rights Reserved.*$|^Licensed under.*$')),
+j as (select doc_id, string_agg(x, chr(10) order by i) s from k where x <> '' or coalesce(b, '') <> '' group by doc_id)
+select d.doc_id, md5(coalesce(regexp_replace(s, '^\n+|\n+$', '', 'g'), '')) clean_md5, length(coalesce(regexp_replace(s, '^\n+|\n+$', '', 'g'), '')) chars from documents d left join j using (doc_id)""")
+def clean_text(spark, d):
+    noise = (*C.NOISE_LINES, r"^Licensed under.*$")
+    c = X.clean_text(F.col("text"), noise)
+    return t(spark, d, "documents").select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("long").alias("chars"))
+
+
+@query(r"select doc_id, regexp_replace(regexp_replace(text, '1[3-9]\d{9}', '[手机号]', 'g'), '\b\d{8,11}\b', '[学号]', 'g') masked from documents")
+def mask_pii(spark, d):
+    return t(spark, d, "documents").select("doc_id", X.mask_pii(F.col("text")).alias("masked"))
+
+
+@query(r"select doc_id, left(regexp_replace(regexp_replace(text, '1[3-9]\d{9}', '[手机号]', 'g'), '\b\d{8,11}\b', '[学号]', 'g'), 100) summary from documents")
+def sanitize_trunc(spark, d):
+    return t(spark, d, "documents").select("doc_id", X.sanitize(F.col("text"), 100).alias("summary"))
+
+
+@query("select doc_id, length(regexp_replace(text, '[\\s　]+', '', 'g')) chars, md5(regexp_replace(text, '[\\s　]+', '', 'g')) bare from documents")
+def normalise_match(spark, d):
+    n = X.normalise(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.length(n).cast("long").alias("chars"), F.md5(n).alias("bare"))
+
+
+@query("select page_id, md5(url) url_hash from pages")
+def url_hash(spark, d):
+    return t(spark, d, "pages").select("page_id", X.url_hash(F.col("url")).alias("url_hash"))
+
+
+@query(r"select page_id, coalesce(nullif(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g'), ''), url) title from pages")
+def page_title(spark, d):
+    return t(spark, d, "pages").select("page_id", H.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+@query(r"""with p as (select page_id, regexp_extract(html, '(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})', ['y','m','d']) g from pages)
+select page_id, case when g.y <> '' then g.y || '-' || lpad(g.m, 2, '0') || '-' || lpad(g.d, 2, '0') else '1970-01-01' end published from p""")
+def publish_date(spark, d):
+    return t(spark, d, "pages").select("page_id", X.publish_date(F.col("html"), F.lit("1970-01-01")).alias("published"))
+
+
+@query(r"select event_id, cast(json_extract_string(regexp_extract('said: ' || props || ' end', '(?s)\{.*\}', 0), '$.k') as bigint) k from events")
+def json_object_parse(spark, d):
+    v = X.json_object(F.concat(F.lit("said: "), "props", F.lit(" end")))
+    return t(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
+@query(r"""select doc_id, len(list_distinct(list_transform(range(1, greatest(length(n) - 1, 2)), lambda i: substr(n, i, 3)))) * (case when length(n) >= 3 then 1 else 0 end) grams
+from (select doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}_]+', '', 'g')) n from documents)""")
+def char_ngrams(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.size(X.char_ngrams(X.near_dup_form(F.col("text")))).cast("long").alias("grams"))
+
+
+@query(r"""select page_id, regexp_replace(regexp_replace(regexp_replace(n, '(.)\.[^.]*$', '\1'), '_[0-9a-f]{8}$', ''), '(?i)(.)\.(pdf|html|htm|doc|docx|txt|md)$', '\1') title
+from (select page_id, 'a' || page_id || '.pdf_' || left(md5(url), 8) || '.pdf' n from pages)""")
+def title_from_name(spark, d):
+    n = F.concat(F.lit("a"), "page_id", F.lit(".pdf_"), F.left(F.md5("url"), F.lit(8)), F.lit(".pdf"))
+    return t(spark, d, "pages").select("page_id", X.title_from_name(n).alias("title"))
+
+
+@query(r"""select page_id, coalesce(nullif(left(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(x, '[\\/:*?"<>|\r\n\t]', '', 'g')), '\s+', ' ', 'g')), '(?i)\.(pdf|doc|docx)$', '')), 60), ''), md5(url)) name
+from (select page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || '.pdf' x from pages)""")
+def safe_filename(spark, d):
+    title = F.concat(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(".pdf"))
+    return t(spark, d, "pages").select("page_id", X.safe_filename(title, F.md5("url")).alias("name"))
+
+
+@query("select doc_id, md5(regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g')) key_md5 from documents")
+def dedup_key(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(X.dedup_key(F.col("text"))).alias("key_md5"))
+
+
+# ------------------------------------------------------------------ filters
+@query("""with p as (select unnest(['本科生','研究生','访客']) as who), x as (select o_orderkey, ['全部','本科生','研究生','教职工'][o_custkey % 4 + 1] audience, case when o_orderkey % 3 = 0 then '长期有效' when o_orderkey % 3 = 1 then '1996-1997秋季' else '1995-1996春季' end valid from orders)
+select p.who, count(*) n, count(*) filter (where audience = '全部') everyone from x, p where valid in ('长期有效','1996-1997秋季') and (audience = '全部' or (p.who in ('本科生','研究生','留学生') and audience = p.who)) group by p.who""")
+def visibility_filter(spark, d):
+    audience = F.element_at(F.array(*map(F.lit, ("全部", "本科生", "研究生", "教职工"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    valid = F.when(F.col("o_orderkey") % 3 == 0, C.ALWAYS).when(F.col("o_orderkey") % 3 == 1, "1996-1997秋季").otherwise("1995-1996春季")
+    rows = t(spark, d, "orders").select(audience.alias("audience"), valid.alias("valid"))
+    people = spark.createDataFrame([("本科生",), ("研究生",), ("访客",)], ["who"])
+    seen = rows.join(F.broadcast(people), X.visible(F.col("audience"), F.col("valid"), F.col("who"), F.lit("1996-1997秋季")))
+    return seen.groupBy("who").agg(F.count("*").alias("n"), F.count_if(F.col("audience") == "全部").alias("everyone"))
+
+
+_SEM = """case when month({0}) >= 9 then year({0}) || '-' || (year({0}) + 1) || '秋季' when month({0}) = 1 then (year({0}) - 1) || '-' || year({0}) || '秋季'
+when month({0}) <= 6 then (year({0}) - 1) || '-' || year({0}) || '春季' else (year({0}) - 1) || '-' || year({0}) || '暑期' end"""
+
+
+@query(f"select o_orderkey, {_SEM.format('o_orderdate')} semester from orders")
+def semester_of_date(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", X.semester(F.col("o_orderdate")).alias("semester"))
+
+
+@query(f"""select event_id, case when event_id % 2 = 0 then '长期有效' when event_id % 5 = 0 then '长期有效' else {_SEM.format("ts")} end semester from events""")
+def effective_semester(spark, d):
+    policy = F.when(F.col("event_id") % 2 == 0, C.ALWAYS).otherwise("发布学期")
+    date = F.when(F.col("event_id") % 5 == 0, "2024-13-99").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return t(spark, d, "events").select("event_id", X.effective_semester(policy, date).alias("semester"))
+
+
+@query(f"with c as {_FIXED} select doc_id, chunk_index, length(text) chars from c where length(text) >= 120 and (length(text) - length(regexp_replace(text, '[a-zà-ÿ]', '', 'g'))) / length(text)::double >= 0.8")
+def usable_chunks(spark, d):
+    s = C.Settings(usable_share=0.8)
+    c = K.fixed(t(spark, d, "documents").select("doc_id", "text")).filter(X.usable_chunk(F.col("text"), "[a-zà-ÿ]", s))
+    return c.select("doc_id", F.col("chunk_index").cast("int"), F.length("text").cast("long").alias("chars"))
+
+
+@query(r"select page_id, regexp_matches(regexp_replace(url, '[?#].*$', ''), 'page\.htm$') detail, regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.(pdf|doc|docx)$') attachment from pages")
+def detail_page_urls(spark, d):
+    return t(spark, d, "pages").select("page_id", X.is_detail_page(F.col("url")).alias("detail"), X.is_attachment(F.col("url")).alias("attachment"))
+
+
+@query("select conv_id, turn from conversations where role = 'user' and length(text) between 1 and 4000")
+def request_validation(spark, d):
+    return t(spark, d, "conversations").filter((F.col("role") == "user") & F.length("text").between(1, 4000)).select("conv_id", "turn")
+
+
+@query("select conv_id, turn from conversations where length(text) between 8 and 120")
+def sample_length_window(spark, d):
+    return t(spark, d, "conversations").filter(F.length("text").between(*C.DEFAULT.sample_chars)).select("conv_id", "turn")
+
+
+@query("select doc_id, case when lang in ('en','de') then lang end closed, coalesce(case when lang in ('en','de') then lang end, 'en') opened from documents")
+def enum_validation(spark, d):
+    c = F.col("lang")
+    return t(spark, d, "documents").select("doc_id", S.known_or(c, ("en", "de")).alias("closed"), S.known_or(c, ("en", "de"), F.lit("en")).alias("opened"))
+
+
+# ------------------------------------------------------------------ chunks
+@query(f"with c as {_FIXED} select doc_id, chunk_index, md5(text) chunk_md5 from c")
+def chunk_fixed(spark, d):
+    return K.fixed(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("chunk_index").cast("int"), F.md5("text").alias("chunk_md5"))
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) i from documents),
+g as (select *, sum(case when regexp_matches(x, '^[AT]') then 1 else 0 end) over (partition by doc_id order by i) g from l),
+c as (select doc_id, g, regexp_replace(string_agg(x, chr(10) order by i), '^\s+|\s+$', '', 'g') x from g where g > 0 group by doc_id, g),
+k as (select doc_id, row_number() over (partition by doc_id order by g) - 1 chunk_index, x from c where x <> ''
+union all select doc_id, 0, regexp_replace(text, '^\s+|\s+$', '', 'g') from documents where doc_id not in (select doc_id from g where g > 0))
+select doc_id, chunk_index::int chunk_index, md5(x) chunk_md5 from k""")
+def chunk_by_marker(spark, d):
+    return K.by_marker(t(spark, d, "documents").select("doc_id", "text"), marker="[AT]").select("doc_id", F.col("chunk_index").cast("int"), F.md5("text").alias("chunk_md5"))
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) i from documents),
+g as (select *, sum(case when regexp_matches(trim(x), '^The.{2,400}\.$') then 1 else 0 end) over (partition by doc_id order by i) g from l),
+c as (select doc_id, g, regexp_replace(string_agg(x, chr(10) order by i), '^\s+|\s+$', '', 'g') x from g where g > 0 group by doc_id, g),
+k as (select doc_id, row_number() over (partition by doc_id order by g) - 1 chunk_index, x from c where x <> ''
+union all select doc_id, 0, regexp_replace(text, '^\s+|\s+$', '', 'g') from documents where doc_id not in (select doc_id from g where g > 0))
+select doc_id, chunk_index::int chunk_index, md5(x) chunk_md5 from k""")
+def chunk_by_title(spark, d):
+    return K.by_title(t(spark, d, "documents").select("doc_id", "text"), title=r"^The.{2,400}\.$").select("doc_id", F.col("chunk_index").cast("int"), F.md5("text").alias("chunk_md5"))
+
+
+@query("select p_partkey, '这是' || p_brand || '的表格内容' || chr(10) || p_name chunk from part")
+def chunk_table(spark, d):
+    return K.table_chunk(t(spark, d, "part").select("p_partkey", "p_brand", F.col("p_name").alias("text")), description=F.col("p_brand")).select("p_partkey", F.col("text").alias("chunk"))
+
+
+@query()
+def chunk_recursive(spark, d):
+    return K.recursive(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("chunk_index").cast("int"), F.md5("text").alias("chunk_md5"), F.length("text").alias("chars"))
+
+
+@query()
+def chunk_strategies(spark, d):
+    c = K.three_strategies(t(spark, d, "documents").select("doc_id", "text"))
+    return c.groupBy("strategy").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.max(F.length("text")).alias("max_chars"))
+
+
+@query(r"select doc_id, len(list_filter(list_transform(string_split(text, '. '), lambda p, i: case when i < len(string_split(text, '. ')) then p || '. ' else p end), lambda p: p <> '')) pieces from documents")
+def split_keeping(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.size(K.split_keeping(F.col("text"), ". ")).cast("long").alias("pieces"))
+
+
+@query()
+def qa_pairs(spark, d):
+    return K.qa_pairs(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "pos", "question", "answer")
+
+
+# ------------------------------------------------------------------ pages
+@query(r"""with h as (select page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) a from pages)
+select page_id, href, min(i) pos from (select page_id, unnest(a) href, unnest(range(len(a)))::int i from h) group by page_id, href""")
+def page_links(spark, d):
+    return H.links(t(spark, d, "pages"))
+
+
+@query(r"""with h as (select page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) a from pages)
+select page_id, href, min(i) pos from (select page_id, unnest(a) href, unnest(range(len(a)))::int i from h) where regexp_matches(href, '(?i)\.(pdf|doc|docx)$') group by page_id, href""")
+def page_attachments(spark, d):
+    return H.links(t(spark, d, "pages"), only=C.SUFFIX_RE)
+
+
+@query()
+def page_body(spark, d):
+    p = t(spark, d, "pages").select("page_id", H.body_text_udf("html").alias("body"))
+    return p.select("page_id", X.clean_text(F.col("body")).alias("body"))
+
+
+@query()
+def page_text(spark, d):
+    return t(spark, d, "pages").select("page_id", H.page_text_udf("html").alias("body"))
+
+
+@query()
+def page_items(spark, d):
+    return H.list_items(t(spark, d, "pages"))
+
+
+@query()
+def page_routes(spark, d):
+    p = t(spark, d, "pages")
+    n = H.links(p, only=C.SUFFIX_RE).groupBy("page_id").agg(F.count("*").alias("n"))
+    body = p.select("page_id", H.body_text_udf("html").alias("body")).withColumn("chars", F.length(X.clean_text(F.col("body"))))
+    return body.join(n, "page_id", "left").select("page_id", H.page_route(F.col("chars"), F.coalesce("n", F.lit(0))).alias("route"))
+
+
+@query(r"select page_id, coalesce(try_cast(nullif(regexp_extract(html, '(?s)href=[\"''][^\"'']*list(\d+)\.htm[^\"'']*[\"''][^>]*>\s*尾页', 1), '') as int), 1) pages from pages")
+def page_count(spark, d):
+    return t(spark, d, "pages").select("page_id", H.total_pages(F.col("html")).alias("pages"))
+
+
+@query("select n_nationkey source, unnest(range(1, greatest(1, least(n_nationkey, 5)) + 1))::int page from nation")
+def crawl_list_pages(spark, d):
+    from ..sources.corpus import list_pages
+
+    return list_pages(t(spark, d, "nation").select(F.col("n_nationkey").alias("source"), F.col("n_nationkey").alias("total"), F.lit(5).alias("max_pages")))
+
+
+# ------------------------------------------------------------------ retrieval
+_VEC = "list_transform(embedding, lambda x: x::double)"
+_DENSE = """(select q.vec_id query_id, v.vec_id id, round(list_dot_product(q.e, v.e), 6) score from (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings where vec_id % 100 = 0) q,
+(select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings) v)"""
+
+
+@query(f"select vec_id, round(list_sum(list_transform({_VEC}, lambda x: x / case when n = 0 then 1 else n end)), 6) unit_sum from (select *, sqrt(list_sum(list_transform({_VEC}, lambda x: x * x))) n from embeddings)")
+def l2_normalise(spark, d):
+    u = X.F.aggregate(V.normalised(F.col("embedding")), F.lit(0.0), lambda a, x: a + x)
+    return t(spark, d, "embeddings").select("vec_id", F.round(u, 6).alias("unit_sum"))
+
+
+def _queries(spark, d):
+    e = t(spark, d, "embeddings")
+    return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+@query(f"select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from {_DENSE}) where rank <= 20")
+def dense_topk(spark, d):
+    q, rows = _queries(spark, d)
+    return V.dense_search(q, rows, C.DEFAULT.top_k)
+
+
+@query("""with q as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings where vec_id % 100 = 0), v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings where label in (0, 1, 2))
+select * from (select q.vec_id query_id, v.vec_id id, round(list_dot_product(q.e, v.e), 6) score, row_number() over (partition by q.vec_id order by round(list_dot_product(q.e, v.e), 6) desc, v.vec_id)::int rank from q, v) where rank <= 20""")
+def filtered_topk(spark, d):
+    q, rows = _queries(spark, d)
+    return V.dense_search(q, rows.filter(F.col("label").isin(0, 1, 2)), C.DEFAULT.top_k)
+
+
+_TOK = r"""tok as (select doc_id, w token, 1 + ln(count(*)) weight from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) w from documents) group by 1, 2),
+qt as (select item_id, w token, 1 + ln(count(*)) weight from (select item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) w from benchmark) group by 1, 2)"""
+_SPARSE = "sp as (select qt.item_id query_id, tok.doc_id id, round(sum(qt.weight * tok.weight), 6) score from qt join tok using (token) group by 1, 2)"
+
+
+def _tokens(df: DataFrame, key: str, name: str) -> DataFrame:
+    w = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+", -1), lambda x: x != "")).alias("token")
+    return df.select(F.col(key).alias(name), w).groupBy(name, "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
+
+
+def _sparse(spark, d, k):
+    return V.sparse_search(_tokens(t(spark, d, "benchmark"), "item_id", "query_id"), _tokens(t(spark, d, "documents"), "doc_id", "id"), k)
+
+
+@query(f"with {_TOK}, {_SPARSE} select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from sp) where rank <= 20")
+def sparse_topk(spark, d):
+    return _sparse(spark, d, C.DEFAULT.top_k)
+
+
+_FUSE = f"""{_TOK}, {_SPARSE}, r1 as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from sp) where rank <= 20),
+l as (select item_id query_id, doc_id id, length(d.text) n, row_number() over (partition by item_id order by abs(length(d.text) - length(b.text)), doc_id) rank from benchmark b, documents d),
+u as (select query_id, id, rank from r1 union all select query_id, id, rank from l where rank <= 20),
+f as (select query_id, id, round(sum(1.0 / (60 + rank)), 6) score from u group by 1, 2)"""
+
+
+def _by_length(spark, d, k):
+    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark")
+    q = items.select(F.col("item_id").alias("query_id"), F.length("text").alias("qn"))
+    near = docs.select(F.col("doc_id").alias("id"), F.length("text").alias("n")).join(F.broadcast(q), F.lit(True))
+    return V.top_k(near.withColumn("score", -F.abs(F.col("n") - F.col("qn"))), "query_id", "score", k, ["id"])
+
+
+@query(f"with {_FUSE} select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from f) where rank <= 20")
+def rrf_fusion(spark, d):
+    return V.rrf([_sparse(spark, d, 20), _by_length(spark, d, 20)], 20)
+
+
+@query(rf"""with {_FUSE}, c as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from f) where rank <= 20),
+w as (select c.query_id, c.id, c.rank prior_rank, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) q, list_filter(regexp_split_to_array(lower(d.text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') t from c join benchmark b on b.item_id = c.query_id join documents d on d.doc_id = c.id),
+s as (select query_id, id, prior_rank::int prior_rank, round(len(list_intersect(q, t)) / len(q)::double, 6) score from w)
+select * from (select *, row_number() over (partition by query_id order by score desc, prior_rank)::int rank from s) where rank <= 5""")
+def rerank_topk(spark, d):
+    c = V.rrf([_sparse(spark, d, 20), _by_length(spark, d, 20)], 20).drop("score")
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    wide = c.join(docs, "id").join(F.broadcast(items), "query_id")
+    return V.rerank(wide, OverlapReranker().score(F.col("q"), F.col("text"))).select("query_id", "id", "prior_rank", "score", "rank")
+
+
+@query("""select p_partkey entry_id, i variant, ([p_name] || case when p_size > 25 then [p_type, p_brand] else [] end)[i + 1] indexed, p_name question from part, (select unnest([0, 1, 2])::int i) where i = 0 or p_size > 25""")
+def faq_index(spark, d):
+    similar = F.when(F.col("p_size") > 25, F.array("p_type", "p_brand"))
+    e = t(spark, d, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("question"), similar.alias("similar_questions"), F.col("p_type").alias("answer"), F.array("p_brand").alias("tags"))
+    return V.faq_index(e).select("entry_id", F.col("variant").cast("int"), "indexed", "question")
+
+
+@query(f"""with h as (select * from (select *, row_number() over (partition by query_id order by score desc, id) r from {_DENSE} where query_id <> id) where r <= 3)
+select query_id, case when max(score) > 0.4 then arg_max(id, (score, -id)) end match_id, max(score) score from h group by query_id""")
+def faq_match_threshold(spark, d):
+    q, rows = _queries(spark, d)
+    hits = V.dense_search(q, rows, C.DEFAULT.faq_candidates + 1).filter("query_id <> id")
+    return V.faq_match(V.top_k(hits.drop("rank"), "query_id", "score", C.DEFAULT.faq_candidates, ["id"]), 0.4)
+
+
+@query(f"""with h as (select query_id, id, score, 0 v from {_DENSE} where query_id <> id and id % 2 = 0 union all select query_id, id, score, 1 v from {_DENSE} where query_id <> id and id % 2 = 1)
+select query_id, arg_max(id, (score, -v, -id)) match_id, arg_max(v, (score, -v, -id))::int variant, max(score) score from h where score > 0.3 group by query_id""")
+def faq_dual_query(spark, d):
+    q, rows = _queries(spark, d)
+    even = V.dense_search(q, rows.filter("id % 2 = 0"), 4).filter("query_id <> id").select("query_id", "id", "score")
+    odd = V.dense_search(q, rows.filter("id % 2 = 1"), 4).filter("query_id <> id").select("query_id", "id", "score")
+    return V.faq_dual(even, odd, 0.3)
+
+
+@query(f"""with r as (select distinct query_id, unnest([0, 1, 2]) retry from {_DENSE}), c as (select r.query_id, r.retry, x.id, x.score, e.label from r join {_DENSE} x using (query_id) join embeddings e on e.vec_id = x.id where (r.retry > 0 or e.label < 5))
+select query_id, retry::int retry, id, score, rank, (5 + 2 * retry)::int rerank_k from (select *, row_number() over (partition by query_id, retry order by score desc, id)::int rank from c) where rank <= 20 * (retry + 1)""")
+def retry_widened(spark, d):
+    q, rows = _queries(spark, d)
+    # the widest retry's candidates with the narrow filter, and with none
+    seen = V.dense_search(q, rows.filter("label < 5"), 20).withColumn("narrow", F.lit(True))
+    everything = V.dense_search(q, rows, 60).withColumn("narrow", F.lit(False))
+    ranked = seen.unionByName(everything).drop("rank")
+    retries = q.select("query_id").distinct().select("query_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("retry"))
+    return V.widened(ranked, retries, F.col("narrow"), ~F.col("narrow")).select("query_id", "retry", "id", "score", "rank", "rerank_k")
+
+
+@query(f"""with {_TOK}, {_SPARSE}, h as (select query_id % 10 query_id, query_id // 10 sub, id, row_number() over (partition by query_id order by score desc, id)::int rank from sp),
+x as (select h.*, d.text from h join documents d on d.doc_id = h.id where rank <= 10),
+y as (select *, row_number() over (partition by query_id, text order by sub, rank, id) k from x)
+select query_id, sub, rank, id from y where k = 1""")
+def subquery_dedup(spark, d):
+    hits = _sparse(spark, d, 10).join(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = hits.select((F.col("query_id") % 10).alias("query_id"), F.floor(F.col("query_id") / 10).alias("sub"), "id", "rank", "text")
+    return V.merged_sub_queries(hits).select("query_id", "sub", "rank", "id")
+
+
+# ------------------------------------------------------------------ safety
+_RULE = """case when regexp_matches(m, 'scum') then '高危' when regexp_matches(m, 'worthless') then '高危' when regexp_matches(text, 'moron') then '中度困扰' when regexp_matches(text, 'pathetic') then '中度困扰' else '正常' end"""
+_HIT = """case when regexp_matches(m, 'scum') then 'scum' when regexp_matches(m, 'worthless') then 'worthless' when regexp_matches(text, 'moron') then 'moron' when regexp_matches(text, 'pathetic') then 'pathetic' end"""
+_MASK = "replace(replace(text, 'the scum', '＊＊＊＊＊＊＊＊'), 'the worthless', '＊＊＊＊＊＊＊＊＊＊＊＊＊')"
+
+
+@query(f"select doc_id, {_RULE} level, {_HIT} rule from (select *, {_MASK} m from documents)")
+def rule_levels(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.rule_level(F.col("text"), L["high"], L["mid"], L["negated"]).alias("r")).select("doc_id", "r.level", "r.rule")
+
+
+_TURNS = "(select conv_id, turn, text, coalesce(sum(case when regexp_matches(text, 'ent|ion') then 1 else 0 end) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding), 0) = 3 escalated from conversations where role = 'user')"
+
+
+@query(f"select conv_id, turn, escalated from {_TURNS}")
+def multi_turn_escalation(spark, d):
+    return S.escalated(t(spark, d, "conversations"), ("ent", "ion")).select("conv_id", "turn", "escalated")
+
+
+@query(f"""select conv_id, turn, case when {_RULE} = '正常' and escalated then '中度困扰' else {_RULE} end as level, case when {_RULE} = '正常' and escalated then 'escalation' else {_HIT} end as rule from (select *, {_MASK} m from {_TURNS})""")
+def turn_levels(spark, d):
+    return S.rule_levels(t(spark, d, "conversations"), L["high"], L["mid"], L["negated"], ("ent", "ion"))
+
+
+_FUSED_IN = "(select event_id, ['正常','中度困扰','高危'][event_id % 3 + 1] rule, case when event_id % 7 = 0 then null else [value / (value + 60), 10 / (value + 60), 20 / (value + 60), 30 / (value + 60)] end p from events)"
+
+
+@query(f"""select event_id, case when rule = '高危' then rule when p is null or list_max(p) <= 0.5 then rule when rule = '中度困扰' and p[4] > 0.5 then '高危' else ['正常','轻度困扰','中度困扰','高危'][list_position(p, list_max(p))] end as level,
+case when rule = '高危' or p is null or list_max(p) <= 0.5 then '规则引擎' when rule = '中度困扰' and p[4] > 0.5 then '规则+模型融合' else '分类模型' end source,
+round(case when rule = '高危' then 1.0::double when p is null or list_max(p) <= 0.5 then 0.6::double when rule = '中度困扰' and p[4] > 0.5 then p[4] else list_max(p) end, 6) confidence from {_FUSED_IN}""")
+def fusion_decision(spark, d):
+    return _fused_events(spark, d).select("event_id", "e.level", "e.source", F.round("e.confidence", 6).alias("confidence"))
+
+
+def _fused_events(spark, d):
+    rule = F.element_at(F.array(*map(F.lit, ("正常", "中度困扰", "高危"))), (F.col("event_id") % 3 + 1).cast("int"))
+    total = F.col("value") + 60
+    probs = F.when(F.col("event_id") % 7 != 0, F.array(F.col("value") / total, 10 / total, 20 / total, 30 / total))
+    return t(spark, d, "events").select("event_id", "value", S.fused(rule, probs).alias("e"))
+
+
+@query("""select event_id, case when event_id % 4 = 0 and event_id % 3 = 0 then '高危' else ['正常','中度困扰'][event_id % 2 + 1] end as level, case when event_id % 4 = 0 and event_id % 3 = 0 then '语义判别' else '规则引擎' end source,
+case when event_id % 4 = 0 and event_id % 3 = 0 then '本人' when event_id % 4 = 3 then null else ['本人','他人','引用'][event_id % 3 + 1] end referent from events""")
+def semantic_upgrade(spark, d):
+    i = F.col("event_id")
+    base = F.struct(F.element_at(F.array(F.lit("正常"), F.lit("中度困扰")), (i % 2 + 1).cast("int")).alias("level"), F.lit(C.SOURCES[0]).alias("source"), F.lit(0.6).alias("confidence"))
+    level = F.when(i % 4 == 0, "高危").when(i % 4 == 3, "???").otherwise("正常")
+    referent = F.element_at(F.array(*map(F.lit, ("本人", "他人", "引用"))), (i % 3 + 1).cast("int"))
+    return t(spark, d, "events").select("event_id", S.upgraded(base, level, referent).alias("e")).select("event_id", "e.level", "e.source", "e.referent")
+
+
+@query("""with s as (select event_id, [['正常','轻度困扰','中度困扰','高危'][event_id % 4 + 1], ['正常','轻度困扰','中度困扰','高危'][(event_id // 4) % 4 + 1], ['正常','轻度困扰','中度困扰','高危'][(event_id // 16) % 4 + 1]] s from events),
+o as (select event_id, s[1] f, list_max(list_transform(s, lambda x: list_position(['正常','轻度困扰','中度困扰','高危'], x))) m from s)
+select event_id, case when f = '中度困扰' then ['正常','轻度困扰','中度困扰','高危'][m] else f end as level from o""")
+def boundary_resample(spark, d):
+    pick = lambda e: F.element_at(F.array(*map(F.lit, C.LEVELS)), (e % 4 + 1).cast("int"))
+    i = F.col("event_id")
+    return t(spark, d, "events").select("event_id", S.resampled(F.array(pick(i), pick(F.floor(i / 4)), pick(F.floor(i / 16)))).alias("level"))
+
+
+@query(r"""with c as (select conv_id, turn, regexp_matches(text, 'scum|worthless') high, case when turn % 3 = 1 then 'English' when turn % 3 = 2 then 'Latin' end req, case when conv_id % 2 = 0 then 'English' end inp from conversations where role = 'user')
+select conv_id, turn, coalesce(last_value(case when not high and req = 'English' then req end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row), first_value(inp ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row), '中文') as language from c""")
+def session_language(spark, d):
+    u = t(spark, d, "conversations").filter("role = 'user'")
+    rows = u.select(
+        F.col("conv_id").alias("session"), "turn", F.when(F.col("text").rlike("scum|worthless"), S.HIGH).alias("level"),
+        F.when(F.col("turn") % 3 == 1, "English").when(F.col("turn") % 3 == 2, "Latin").alias("requested"), F.when(F.col("conv_id") % 2 == 0, "English").alias("input_language"),
+    )
+    return R.session_language(rows).select(F.col("session").alias("conv_id"), "turn", "language")
+
+
+@query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) r from conversations) where r <= 4")
+def history_tail(spark, d):
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return t(spark, d, "conversations").withColumn("r", F.row_number().over(w)).filter("r <= 4").select("conv_id", "turn", "role")
+
+
+@query(r"""with m as (select conv_id, turn, role, regexp_replace(regexp_replace(text, '1[3-9]\d{9}', '[手机号]', 'g'), '\b\d{8,11}\b', '[学号]', 'g') x, text from conversations),
+b as (select *, list(role || ':' || x) over (partition by conv_id order by turn rows between 3 preceding and 1 preceding) ctx from m)
+select conv_id, turn, left(x, 100) trigger_summary, coalesce(len(ctx), 0)::int context_size, md5(coalesce(array_to_string(ctx, '|'), '')) context_md5 from b where role = 'user' and regexp_matches(text, 'ent')""")
+def alert_records(spark, d):
+    c = t(spark, d, "conversations").withColumn("level", F.when((F.col("role") == "user") & F.col("text").rlike("ent"), S.HIGH))
+    a = S.alert_records(c)
+    said = F.array_join(F.transform("recent_context", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return a.select("conv_id", "turn", "trigger_summary", F.size("recent_context").alias("context_size"), F.md5(said).alias("context_md5"))
+
+
+@query("""select event_id, case event_type when 'error' then 'report' else 'intent_route' end first_to, case event_type when 'click' then 'plan_and_retrieve' when 'view' then 'chitchat_response' else 'retrieve' end second_to,
+case when value > 10 then 'care_suffix' else 'generate' end third_to, case when value > 10 then 'care_suffix' else 'retrieve' end fourth_to, case event_type when 'view' then 'end' else 'memory_write' end fifth_to from events""")
+def route_turns(spark, d):
+    kind = F.col("event_type")
+    category = F.when(kind == "click", C.INTENTS[1]).when(kind == "view", C.INTENTS[3]).otherwise(C.INTENTS[0])
+    return t(spark, d, "events").select(
+        "event_id", R.after_emotion(F.when(kind == "error", S.HIGH).otherwise(S.NORMAL)).alias("first_to"), R.after_intent(category).alias("second_to"),
+        R.after_retrieve(F.when(F.col("value") > 10, F.col("value"))).alias("third_to"), R.after_quality(F.col("value") > 10).alias("fourth_to"), R.after_suffix(category).alias("fifth_to"),
+    )
+
+
+@query("""select event_id, case when event_id % 3 = 0 then 1 when event_id % 5 = 0 then 2 else 2 end::int retry_count, case when event_id % 3 = 0 then round(value, 2) when event_id % 5 = 0 then 0.9 else 0.5 end::double score, event_id % 3 <> 0 and event_id % 5 <> 0 forced from events""")
+def quality_gate(spark, d):
+    i = F.col("event_id")
+    v = lambda ok, s: F.struct(ok.alias("passed"), s.cast("double").alias("score"))
+    q = R.quality(F.array(v(i % 3 == 0, F.round("value", 2)), v(i % 5 == 0, F.lit(0.9))))
+    return t(spark, d, "events").select("event_id", q.alias("q")).select("event_id", "q.retry_count", "q.score", "q.forced")
+
+
+@query("""select event_id, coalesce(case when event_id % 4 in (0, 1, 2) then ['简单问答','复杂查询','FAQ'][event_id % 4 + 1] end, '简单问答') category, case when event_id % 4 = 3 then 'q' || event_id else 'r' || event_id end rewritten from events""")
+def intent_parse(spark, d):
+    i = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, ("简单问答", "复杂查询", "FAQ", "?"))), (i % 4 + 1).cast("int"))
+    good = F.concat(F.lit('ok {"category": "'), name, F.lit('", "rewritten_query": "r'), i.cast("string"), F.lit('"} done'))
+    raw = F.when(i % 4 == 3, "no json").otherwise(good)
+    return t(spark, d, "events").select("event_id", R.intent(raw, F.concat(F.lit("q"), i.cast("string"))).alias("x")).select("event_id", "x.category", F.col("x.rewritten_query").alias("rewritten"))
+
+
+@query("""select event_id, case event_id % 3 when 0 then 'a' when 1 then 'a' || chr(10) || chr(10) || 'Sounds like things may feel a bit heavy lately. Take care of yourself.' else 'a' || chr(10) || chr(10) || 'If you would like to talk to someone: 021-00000000' end final from events""")
+def care_suffixes(spark, d):
+    level = F.element_at(F.array(*map(F.lit, C.LEVELS)), (F.col("event_id") % 3 + 1).cast("int"))
+    return t(spark, d, "events").select("event_id", R.final_response(F.lit("a"), R.care_suffix(level, F.lit("English"))).alias("final"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'cloud' when event_id % 3 = 1 then 'backup' else 'local' end hop, case when event_id % 6 = 0 then true else coalesce(event_id % 2 = 0 and event_id % 5 <> 0, true) end accepted from events")
+def fallback_chain(spark, d):
+    from ..operators.providers import hop_name
+
+    i = F.col("event_id")
+    hops = [F.when(i % 3 == 0, "x"), F.when(i % 3 != 2, "y"), F.lit("z")]
+    same = F.when(i % 6 != 0, i % 2 == 0)
+    return t(spark, d, "events").select("event_id", hop_name(["cloud", "backup", "local"], hops).alias("hop"), F.when(i % 6 == 0, F.lit(True)).otherwise(V.accepted(same, i % 5 != 0)).alias("accepted"))
+
+
+@query("select event_id, '用户：' || left('question number ' || event_id || ' about things in general', 30) || '；助手：' || left(props, 30) summary from events")
+def memory_summaries(spark, d):
+    said = F.concat(F.lit("question number "), "event_id", F.lit(" about things in general"))
+    return t(spark, d, "events").select("event_id", R.memory_summary(F.lit(None).cast("string"), said, F.col("props")).alias("summary"))
+
+
+@query()
+def answer_turns(spark, d):
+    return R.answer(t(spark, d, "conversations"), {"high": L["high"], "mid": L["mid"], "negated": L["negated"], "weak": ("ent", "ion")})
+
+
+# ------------------------------------------------------------------ dedup, sampling, tables
+@query("select page_id, md5(url) url_hash from pages where md5(url) not in (select md5(url) from pages where page_id % 3 = 0)")
+def incremental_anti_join(spark, d):
+    p = t(spark, d, "pages").select("page_id", X.url_hash(F.col("url")).alias("url_hash"))
+    return D.unseen(p, p.filter("page_id % 3 = 0"))
+
+
+@query(r"select doc_id, source from (select doc_id, source, row_number() over (partition by regexp_replace(text, '[^\p{L}\p{N}_]+', '', 'g') order by doc_id) r from documents) where r = 1")
+def keep_first_dedup(spark, d):
+    docs = t(spark, d, "documents").withColumn("key", F.xxhash64(X.dedup_key(F.col("text"))))
+    return D.keep_first(docs.select("doc_id", "source", "key"), F.col("key"), ["doc_id"]).select("doc_id", "source")
+
+
+_GRAMS = r"""g0 as (select {0} id, {1} side, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) grams from (select *, lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]+', '', 'g')) n from {2}) where length(n) >= 3)"""
+_PREFIX = """e as (select id, side, len(grams) n, unnest(grams) gram from g0), f as (select gram, count(*) df from e group by gram),
+p as (select * from (select e.*, row_number() over (partition by side, id order by df, e.gram) r from e join f using (gram)) where r <= n - ceil(0.8 * n - 1e-9) + 1)"""
+
+
+@query(f"""with {_GRAMS.format("doc_id", "0", "documents")}, {_PREFIX}, c as (select distinct a.id a, b.id b from p a join p b on a.gram = b.gram and a.id < b.id and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+j as (select a, b, len(list_intersect(x.grams, y.grams))::double / (len(x.grams) + len(y.grams) - len(list_intersect(x.grams, y.grams))) j from c join g0 x on x.id = a join g0 y on y.id = b)
+select a, b, round(j, 6) jaccard from j where j >= 0.8""")
+def near_dup_pairs(spark, d):
+    return D.near_pairs(t(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+@query()
+def near_dup_greedy(spark, d):
+    docs = t(spark, d, "documents")
+    return D.greedy_kept(docs, D.near_pairs(docs, "doc_id", F.col("text")), "doc_id").select(F.col("id").alias("doc_id"))
+
+
+@query("select d.doc_id from documents d where not exists (select 1 from benchmark b where contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')))")
+def contamination(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    items = t(spark, d, "benchmark").select(F.col("text").alias("evidence"))
+    return docs.join(F.broadcast(items), X.located(F.col("text"), F.col("evidence")), "left_anti").select("doc_id")
+
+
+@query("select source, doc_id, pick::int pick from (select *, row_number() over (partition by source order by md5('42' || doc_id::varchar), doc_id) pick from documents) where pick <= 3")
+def per_source_sample(spark, d):
+    return D.per_group_sample(t(spark, d, "documents"), "source", "doc_id", 3, "42").select("source", "doc_id", "pick")
+
+
+@query("""with h as (select o_orderkey, (o_orderkey % 500)::int n, round_even((o_orderkey % 500) * 0.25, 0)::int high from orders)
+select o_orderkey, ((n - high) // 3)::int normal, ((n - high) // 3)::int mild, (n - high - 2 * ((n - high) // 3))::int middle, high from h""")
+def label_quota(spark, d):
+    q = D.label_quotas((F.col("o_orderkey") % 500).cast("int"), F.lit(0.25))
+    return t(spark, d, "orders").select("o_orderkey", q.alias("q")).select("o_orderkey", "q.normal", "q.mild", "q.middle", "q.high")
+
+
+@query("select doc_id, toxic, copy::int copy from labels, (select unnest([1, 2]) copy) where copy = 1 or toxic = 1")
+def oversample(spark, d):
+    return D.oversampled(t(spark, d, "labels"), F.col("toxic") == 1).select("doc_id", "toxic", "copy")
+
+
+@query("select user_id, event_id, rank::int rank from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rank from events) where rank <= 5")
+def recent_per_user(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_id", "ts")
+    return R.recent_memories(e, 5, "user_id", "ts", "event_id").select("user_id", "event_id", "rank")
+
+
+@query("select doc_id, source, 'old' version from documents where source not in (select source from documents where doc_id % 50 = 0) union all select doc_id, source, 'new' from documents where doc_id % 50 = 0")
+def replace_by_source(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "source")
+    return D.replaced(docs.withColumn("version", F.lit("old")), docs.filter("doc_id % 50 = 0").withColumn("version", F.lit("new")), "source")
+
+
+@query("select c.conv_id, n.referent from (select distinct conv_id from conversations) c left join (select conv_id, arg_max(role, turn) referent from conversations where turn > 0 group by conv_id) n using (conv_id)")
+def late_annotation(spark, d):
+    c = t(spark, d, "conversations")
+    notes = c.filter("turn > 0").select("conv_id", F.col("role").alias("referent"), "turn")
+    return D.latest(c.select("conv_id").distinct(), notes, "conv_id", "referent", "turn")
+
+
+@query("select p.page_id from pages p where not exists (select 1 from pages c where c.page_id = p.page_id and c.page_id % 4 = 0 and length(c.html) % 2 = 0)")
+def parse_cache(spark, d):
+    p = t(spark, d, "pages").select("page_id", F.length("html").alias("size"))
+    return p.join(p.filter("page_id % 4 = 0 and size % 2 = 0"), ["page_id", "size"], "left_anti").select("page_id")
+
+
+@query("select doc_id, doc_type, audience from (select doc_id, coalesce(case when doc_id % 2 = 0 then 'h' end, case when doc_id % 3 = 0 then 's' end, '全部') audience, case source when 'src1' then '通知' else '手册' end doc_type from documents)")
+def metadata_coalesce(spark, d):
+    i = F.col("doc_id")
+    kind = F.when(F.col("source") == "src1", "通知").otherwise("手册")
+    return t(spark, d, "documents").select("doc_id", kind.alias("doc_type"), F.coalesce(F.when(i % 2 == 0, "h"), F.when(i % 3 == 0, "s"), F.lit(C.EVERYONE)).alias("audience"))
+
+
+# ------------------------------------------------------------------ metrics
+_PRED = "(select l.doc_id, toxic y_true, case when regexp_matches(text, 'loser|idiot|scum') then 1 else 0 end y_pred, source from labels l join documents d using (doc_id))"
+
+
+def _predictions(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "source", F.when(F.col("text").rlike("loser|idiot|scum"), 1).otherwise(0).alias("y_pred"))
+    return t(spark, d, "labels").select("doc_id", F.col("toxic").alias("y_true")).join(docs, "doc_id")
+
+
+@query(f"""with p as {_PRED}, c as (select l as label, count(*) filter (where y_true = l and y_pred = l) tp, count(*) filter (where y_true = l) support, count(*) filter (where y_pred = l) predicted from p, (select unnest([0, 1, 2]) l) group by l)
+select label::bigint as label, round(coalesce(tp / nullif(predicted, 0)::double, 0), 6) as precision, round(coalesce(tp / nullif(support, 0)::double, 0), 6) recall,
+round(coalesce(2 * (tp / nullif(predicted, 0)::double) * (tp / nullif(support, 0)::double) / nullif((tp / nullif(predicted, 0)::double) + (tp / nullif(support, 0)::double), 0), 0), 6) f1, support from c""")
+def classification_report(spark, d):
+    return M.classification_report(_predictions(spark, d), (0, 1, 2))
+
+
+@query(f"with p as {_PRED} select l::bigint as label, count(*) filter (where y_true = l and y_pred = 0) n_0, count(*) filter (where y_true = l and y_pred = 1) n_1 from p, (select unnest([0, 1]) l) group by l")
+def confusion_matrix(spark, d):
+    return M.confusion(_predictions(spark, d), (0, 1))
+
+
+@query(f"with p as {_PRED} select count(*) support, count(*) filter (where y_pred = 1) hits, count(*) filter (where y_pred <> 1) missed, round(count(*) filter (where y_pred = 1) / count(*)::double, 6) recall, count(*) filter (where y_pred = 1) / count(*)::double >= 0.95 gate from p where y_true = 1")
+def high_risk_recall(spark, d):
+    return M.missed(_predictions(spark, d), 1)
+
+
+@query(f"with p as {_PRED} select source, count(*) n, count(*) filter (where y_pred = 1) hits from p where y_true = 1 group by source")
+def source_breakdown(spark, d):
+    return M.source_breakdown(_predictions(spark, d), 1)
+
+
+@query(f"""with p as (select *, 'a' mode, doc_id % 7 latency, case when doc_id % 9 = 0 then null else y_pred end q from {_PRED} union all select *, 'b', doc_id % 5, y_pred from {_PRED})
+select mode, round(count(*) filter (where y_true = 1 and coalesce(q, 0) = 1) / count(*) filter (where y_true = 1)::double, 6) recall, count(*) filter (where y_true <> 1 and coalesce(q, 0) = 1) false_positives,
+round(avg((y_true = coalesce(q, 0))::int), 6) accuracy, count(*) filter (where q is null) errors, round(avg(latency), 6) latency from p group by mode""")
+def level_report(spark, d):
+    p = _predictions(spark, d)
+    a = p.select(F.lit("a").alias("mode"), "y_true", F.when(F.col("doc_id") % 9 != 0, F.col("y_pred")).alias("y_pred"), (F.col("doc_id") % 7).alias("latency"))
+    b = p.select(F.lit("b").alias("mode"), "y_true", "y_pred", (F.col("doc_id") % 5).alias("latency"))
+    return M.level_report(a.unionByName(b), 1, 0)
+
+
+@query(f"""with h as (select x.query_id, row_number() over (partition by x.query_id order by score desc, x.id) rank, e.label = q.label gold from {_DENSE} x join embeddings e on e.vec_id = x.id join embeddings q on q.vec_id = x.query_id where x.query_id <> x.id),
+b as (select query_id, min(rank) filter (where gold and rank <= 10) best from h group by query_id)
+select count(*) questions, round(avg(case when best <= 1 then 1.0 else 0.0 end), 6) recall_at_1, round(avg(case when best <= 5 then 1.0 else 0.0 end), 6) recall_at_5, round(avg(case when best <= 10 then 1.0 else 0.0 end), 6) recall_at_10 from b""")
+def recall_at_k(spark, d):
+    q, rows = _queries(spark, d)
+    hits = V.top_k(V.dense_search(q, rows, 11).filter("query_id <> id").drop("rank"), "query_id", "score", 10, ["id"])
+    label = t(spark, d, "embeddings").select("vec_id", "label")
+    j = hits.join(label.withColumnRenamed("vec_id", "id"), "id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    return M.recall_at(j.select("query_id", "rank", (F.col("label") == F.col("own")).alias("gold")), q, (1, 5, 10))
+
+
+@query("with r as (select lang strategy, avg(n_chars) recall from documents group by lang) select strategy, round(recall, 6) recall, round((recall - (select recall from r where strategy = 'en')) / (select recall from r where strategy = 'en'), 6) lift from r")
+def strategy_lift(spark, d):
+    r = t(spark, d, "documents").groupBy(F.col("lang").alias("strategy")).agg(F.avg("n_chars").alias("recall"))
+    return M.lift(r, "en").withColumn("recall", F.round("recall", 6))
+
+
+@query("select l::bigint as label, coalesce(n, 0) n, round((select count(*) from labels) / (3 * greatest(coalesce(n, 0), 1)::double), 6) weight from (select unnest([0, 1, 2]) l) left join (select toxic, count(*) n from labels group by toxic) on toxic = l")
+def class_weights(spark, d):
+    return M.class_weights(t(spark, d, "labels"), (0, 1, 2), "toxic")
+
+
+@query("""with v as (select event_type metric, case when event_id % 10 = 0 then 'nan'::double else value end v from events), m as (select metric, round(avg(v) filter (where not isnan(v)), 4) mean from v group by metric),
+t as (select unnest(['click', 'view', 'none']) metric, unnest([5.0, 500.0, 1.0])::double target) select t.metric, m.mean, t.target, coalesce(m.mean >= t.target, false) met from t left join m using (metric)""")
+def metric_means(spark, d):
+    v = t(spark, d, "events").select(F.col("event_type").alias("metric"), F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return M.metric_means(v, {"click": 5.0, "view": 500.0, "none": 1.0})
+
+
+@query("select lang, count(*) n from documents group by lang")
+def label_distribution(spark, d):
+    return M.distribution(t(spark, d, "documents"), "lang")
+
+
+@query("select doc_id, n_chars from documents order by n_chars desc, doc_id limit 3")
+def slowest_three(spark, d):
+    return t(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(3)
+
+
+@query(f"""with c as {_FIXED}, i as (select d.doc_id, 0 chunk_index, left(d.text, 40) evidence from documents d union all select doc_id, 1, 'no such words at all' from documents)
+select i.doc_id, i.chunk_index, i.evidence from i left join c on c.doc_id = i.doc_id and c.chunk_index = i.chunk_index where not coalesce(contains({_BARE.format("c.text")}, {_BARE.format("i.evidence")}), false)""")
+def evidence_drift(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    items = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("chunk_index"), F.left("text", F.lit(40)).alias("evidence")), F.struct(F.lit(1).alias("chunk_index"), F.lit("no such words at all").alias("evidence")))).alias("i")).select("doc_id", "i.*")
+    return M.drift(items, K.fixed(docs)).select("doc_id", "chunk_index", "evidence")
+
+
+# ------------------------------------------------------------------ models and streams
+@query()
+def encode_documents(spark, d):
+    v = LexicalEncoder(16).dense(F.col("text"))
+    return t(spark, d, "conversations").select("conv_id", "turn", V.normalised(v).alias("vec"))
+
+
+@query()
+def train_classifier_scores(spark, d):
+    rows = t(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    model = train_classifier(rows)
+    return model.transform(rows.select("doc_id", "text", "label")).select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query()
+def stream_sessions(spark, d):
+    """The batch table replayed as a stream with a real checkpoint; the result is read from its sink."""
+    from ..streaming.sessions import run_once
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        D.scratch(spark.range(1))
+        base = spark.conf.get("spark.checkpoint.dir")
+    import uuid
+
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    t(spark, d, "conversations").select("conv_id", "turn", "role", "text").write.parquet(f"{path}/in")
+    source = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{path}/in")
+    run_once(session_states(source, ("ent", "ion")), f"{path}/out", f"{path}/state")
+    return spark.read.schema("conv_id long, turn long, history_size int, escalated boolean").parquet(f"{path}/out")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.html import decode_udf, page_text_udf
-from ..functions.text import clean_text, strip, title_from_name, url_hash
+from ..functions.text import clean_text, let, strip, title_from_name, url_hash
 
 DEFAULTS = {"适用对象": C.EVERYONE, "生效学期": C.ALWAYS, "发布日期": "", "原文链接": "manual_upload"}
 FAQ_SCHEMA = "question string, answer string, similar_questions array<string>, tags array<string>"
@@ -39,26 +39,38 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("error is null").drop("content", "error"), rows.filter("error is not null").select("path", "error")
 
 
+_KEY_LINE = f"^【({'|'.join(C.HEADER_KEYS)})】(.*)$"
+
+
+def _blank_after_key(lines: Column) -> Column:
+    """0-based place of the first blank line behind a key line; null if there is none."""
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(_KEY_LINE)), F.lit(True))
+
+    def find(at: Column) -> Column:
+        blank = F.array_position(F.transform(lines, lambda x, i: (x == "") & (at > 0) & (i >= at)), F.lit(True))
+        return F.when(blank > 0, (blank - 1).cast("int"))
+
+    return let(first, find)
+
+
 def header(text: Column) -> Column:
-    """map of the header keys, of the lines before the first blank line after a key."""
-    lines = F.split(text, "\n", -1)
-    is_key = f"^【({'|'.join(C.HEADER_KEYS)})】(.*)$"
-    first = F.array_position(F.transform(lines, lambda x: strip(x).rlike(is_key)), F.lit(True))
-    blanks = F.filter(F.transform(lines, lambda x, i: F.when((strip(x) == "") & (first > 0) & (i >= first), i)), lambda i: i.isNotNull())
-    head = F.filter(F.slice(lines, 1, F.coalesce(F.get(blanks, 0).cast("int"), F.size(lines))), lambda x: strip(x).rlike(is_key))
-    pairs = F.transform(head, lambda x: F.struct(F.regexp_extract(strip(x), is_key, 1), strip(F.regexp_extract(strip(x), is_key, 2))))
-    # of a repeated key the last value counts
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["col1"] == p["col1"]))
+    """map of the header keys, of the lines before the first blank line after a key; of a repeated key
+    the last value counts."""
+    lines = F.transform(F.split(text, "\n", -1), strip)
+
+    def pairs(ls: Column) -> Column:
+        head = F.slice(ls, 1, F.coalesce(_blank_after_key(ls), F.size(ls)))
+        return F.transform(F.filter(head, lambda x: x.rlike(_KEY_LINE)), lambda x: F.struct(F.regexp_extract(x, _KEY_LINE, 1), strip(F.regexp_extract(x, _KEY_LINE, 2))))
+
+    last = let(let(lines, pairs), lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["col1"] == p["col1"])))
     return F.map_from_entries(last)
 
 
 def body(text: Column) -> Column:
     """What follows the header's blank line; the whole text if there is no such line."""
     lines = F.split(text, "\n", -1)
-    is_key = f"^【({'|'.join(C.HEADER_KEYS)})】"
-    first = F.array_position(F.transform(lines, lambda x: strip(x).rlike(is_key)), F.lit(True))
-    blanks = F.filter(F.transform(lines, lambda x, i: F.when((strip(x) == "") & (first > 0) & (i >= first), i)), lambda i: i.isNotNull())
-    return F.when(F.size(blanks) > 0, F.array_join(F.slice(lines, F.get(blanks, 0).cast("int") + 2, F.size(lines)), "\n")).otherwise(text)
+    at = let(F.transform(lines, strip), _blank_after_key)
+    return F.when(at.isNotNull(), F.array_join(F.slice(lines, at + 2, F.greatest(F.size(lines), F.lit(1))), "\n")).otherwise(text)
 
 
 def with_metadata(records: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
