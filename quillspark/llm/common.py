@@ -53,6 +53,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: What a Python worker keeps between tasks (tokenizer tables), by key.
+KEPT: dict = {}
+
+
+def release(*but) -> None:
+    """Called where a worker begins another kind of task: kept tables give their memory back."""
+    for key in [k for k in KEPT if k not in but]:
+        del KEPT[key]
+
+
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(col)).to_pylist()]
 

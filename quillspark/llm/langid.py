@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 N = 3
 SLOT_BITS = 20
 BLOCK_CHARS = 300_000  # characters looked up at once
@@ -131,6 +133,7 @@ def identify(df: DataFrame, model: LanguageFilter, text_col: str = "text") -> Da
     out = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string", "score double"])
 
     def run(batches):
+        release()
         m = held.value
         for batch in batches:
             lang, score = m.predict(batch.column(batch.schema.names.index(text_col)).to_pylist())

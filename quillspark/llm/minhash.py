@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, release, stored
 from .substring import window_hashes, word_spans
 
 K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 8, 1024, 2_000_000
@@ -80,6 +80,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _sketches(width: int):
     def run(batches):
+        release()
         for batch in batches:
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
             heads = [s[:HEADS].view(np.int64) for s in sets]
@@ -176,6 +177,7 @@ def _compare(percent: int, exact: bool):
         return pa.RecordBatch.from_arrays([pa.array(key[x][keep]), pa.array(a), pa.array(b), pa.array(more[inv][keep])], names=["key", "a", "b", "more"])
 
     def run(batches):
+        release()
         carry, held = [], 0
         for batch in batches:
             if not batch.num_rows:

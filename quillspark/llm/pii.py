@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 KINDS = ("email", "ip", "card", "phone")
 _GATE = re.compile("[0-9@]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -436,6 +438,7 @@ def mask(df: DataFrame, tagger: SpanTagger, text_col: str = "text") -> DataFrame
     held = df.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches):
+        release()
         for batch in batches:
             k = batch.schema.names.index(text_col)
             texts = batch.column(k).to_pylist()

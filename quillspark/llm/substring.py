@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import release, shuffle_partitions
 
 NO_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -154,6 +154,7 @@ def _windows(width: int, buckets: int, block_windows: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
+        release()
         docs, parts, held = [], [], 0
         for batch in batches:
             ids, raws = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]

@@ -15,19 +15,19 @@ from itertools import islice
 
 import numpy as np
 
-MAX_CHUNKS = 900_000
+from .common import KEPT, release
+
+MAX_CHUNKS = 700_000
 MAX_CHUNK_CHARS = 200
 BATCH_CHARS = 2_000_000
 
-_KEEP: dict = {}
-
-
 def shared(kind, path: str):
     """One table for each worker process and model file."""
-    key = (kind, path)
-    if key not in _KEEP:
-        _KEEP[key] = kind(path)
-    return _KEEP[key]
+    key = (kind.__name__, path)
+    release(key)
+    if key not in KEPT:
+        KEPT[key] = kind(path)
+    return KEPT[key]
 
 
 class _Chunks:
