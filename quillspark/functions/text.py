@@ -39,7 +39,7 @@ def locate_span(haystack: Column, needle: Column) -> Column:
     bare = normalise(needle)
     quoted = F.transform(F.split(bare, ""), lambda ch: F.concat(F.lit("\\Q"), ch, F.lit("\\E")))
     pattern = F.array_join(F.filter(quoted, lambda q: q != "\\Q\\E"), r"\s*")
-    loose = F.when(F.contains(normalise(haystack), bare), F.nullif(F.regexp_extract(haystack, F.concat(F.lit("(?U)"), pattern), 0), F.lit("")))
+    loose = F.when(F.contains(normalise(haystack), bare), F.nullif(F.regexp_substr(haystack, F.concat(F.lit("(?U)"), pattern)), F.lit("")))
     return F.when(bare == "", F.lit(None)).when(F.contains(haystack, needle), needle).otherwise(loose)
 
 

@@ -31,7 +31,7 @@ class LexicalEncoder:
     def dense(self, c: Column) -> Column:
         at = F.transform(words(c), lambda w: F.pmod(F.crc32(w), F.lit(self.dim)))
         every = F.sequence(F.lit(0), F.lit(self.dim - 1))
-        return let(at, lambda a: F.transform(every, lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
+        return F.when(c.isNotNull(), let(at, lambda a: F.transform(every, lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double"))))
 
 
 class OverlapReranker:
