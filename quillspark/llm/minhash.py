@@ -242,7 +242,7 @@ def _proposals(lists: DataFrame, sketches: DataFrame, percent: int, comp: DataFr
     rows = rows.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
     rows = rows.withColumn("g", F.xxhash64("key", "lo", "hi"))
     rows = rows.withColumn("side", F.when(F.col("lo") == F.col("hi"), F.lit(-1)).otherwise(F.col("blk")))
-    rows = rows.select("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value").join(sketches, "id")
+    rows = rows.select("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value").join(sketches.hint("merge"), "id")
     rows = rows.repartition("g").sortWithinPartitions("g")
     return rows.mapInArrow(_compare(percent, only is not None), "key long, a long, b long, more boolean")
 
@@ -253,23 +253,24 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     all_rows = stored(rows.mapInArrow(_sketches(width), "id long, n long, mark binary, sketch binary, heads array<long>"), "sketches")
     full = all_rows.filter("n > 0 and id is not null")
     classes = full.groupBy("mark").agg(F.min("id").alias("rep"))
-    reps = full.join(classes, "mark").filter("id = rep").dropDuplicates(["id", "mark"])
+    reps = full.join(classes.hint("merge"), "mark").filter("id = rep").dropDuplicates(["id", "mark"])
     # lists: small rows first; those of one member go before sketches are sent
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     heads = reps.select("id", "n", step.alias("step"), F.posexplode("heads").alias("rank", "value"))
     heads = heads.withColumn("at_step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     heads = heads.select(F.xxhash64("value", "at_step").alias("key"), "id", "n", "rank", "step", "at_step", F.shiftrightunsigned("value", 32).alias("value"))
     counts = heads.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("most")).filter("c > 1")
-    lists = heads.join(counts, "key").withColumn("nb", F.ceil(F.col("c") * F.greatest(F.lit(1 / BLOCK), F.col("most") / BLOCK_SHINGLES)).cast("int"))
+    lists = heads.join(counts.hint("merge"), "key").withColumn("nb", F.ceil(F.col("c") * F.greatest(F.lit(1 / BLOCK), F.col("most") / BLOCK_SHINGLES)).cast("int"))
     lists = stored(lists.select("key", "id", "n", "rank", "step", "at_step", "value", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk")), "lists")
     sketches = reps.select("id", "sketch")
 
     first = stored(_proposals(lists, sketches, percent), "round1")
     ends = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(rows.join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # neither side of these joins has a bound, so they are sort-merge joins at every size
+    texts = stored(rows.join(ends.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    wide = first.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    wide = first.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
     tested = stored(wide.mapInArrow(_confirm(percent, width), "a long, b long, linked boolean"), "tested")
     links = tested.filter("linked").select("a", "b")
     comp = stored(components(links), "components1")
