@@ -17,7 +17,7 @@ import numpy as np
 
 from .common import KEPT, release
 
-MAX_CHUNKS = 700_000
+MAX_CHUNKS = 1_000_000
 MAX_CHUNK_CHARS = 200
 BATCH_CHARS = 2_000_000
 
