@@ -114,3 +114,28 @@ def replaced(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 
 def latest(rows: DataFrame, notes: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     return rows.join(notes.groupBy(key).agg(F.max_by(value, seq).alias(value)), key, "left")
+
+
+def consistent_labels(rows: DataFrame, rule_level: Column, high: str, label: str = "label") -> DataFrame:
+    """Rows but those the rules call high and the label does not."""
+    return rows.filter(~((rule_level == high) & (F.coalesce(F.col(label), F.lit("")) != high)))
+
+
+def evidenced(rows: DataFrame, found: Column, fields: tuple[str, ...]) -> DataFrame:
+    """Generated items none of whose fields is blank and whose evidence is found."""
+    full = F.lit(True)
+    for f in fields:
+        full = full & (F.trim(F.coalesce(F.col(f), F.lit(""))) != "")
+    return rows.filter(full & F.coalesce(found, F.lit(False)))
+
+
+def enriched(pairs: DataFrame, extras: DataFrame, questions: int = 3, tags: int = 2) -> DataFrame:
+    """At most so many similar questions and tags for each pair; pairs without an answer get none."""
+    j = pairs.join(extras, "pos", "left")
+    empty = F.array().cast("array<string>")
+    return j.withColumn("similar_questions", F.slice(F.coalesce("similar_questions", empty), 1, questions)).withColumn("tags", F.slice(F.coalesce("tags", empty), 1, tags))
+
+
+def round_robin(values: tuple[str, ...], offset: Column) -> Column:
+    """Value at offset, going round."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(offset, F.lit(len(values))) + 1).cast("int"))

@@ -107,3 +107,23 @@ def class_weights(df: DataFrame, labels, label: str = "label") -> DataFrame:
 
 def distribution(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def metric_grid(rows: DataFrame, judge, metrics: tuple[str, ...]) -> DataFrame:
+    """Each row with a score per metric (null where the judge has no input): row_id, metric, value.
+
+    rows: row_id, question, answer, contexts, reference.
+    """
+    args = [F.col(c) for c in ("question", "answer", "contexts", "reference")]
+    scores = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(judge.score(m, *args), 6).alias("value")) for m in metrics])
+    return rows.select("row_id", F.explode(scores).alias("s")).select("row_id", "s.metric", "s.value")
+
+
+def side_by_side(rows: DataFrame, key: str, mode: str, value: str, modes: tuple[str, ...]) -> DataFrame:
+    """One row per key, one column per mode."""
+    return rows.groupBy(key).agg(*[F.max(F.when(F.col(mode) == m, F.col(value))).alias(m) for m in modes])
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """Cases by category and verdict; an open verdict is blank."""
+    return rows.groupBy("category", F.coalesce("verdict", F.lit("")).alias("verdict")).agg(F.count("*").alias("n"))

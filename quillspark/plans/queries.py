@@ -748,6 +748,53 @@ def evidence_drift(spark, d):
     return M.drift(items, K.fixed(docs)).select("doc_id", "chunk_index", "evidence")
 
 
+# ------------------------------------------------------------------ synthesis and judged evaluation
+@query("select doc_id, toxic from labels join documents using (doc_id) where not (regexp_matches(replace(replace(text, 'the scum', '＊＊＊＊＊＊＊＊'), 'the worthless', '＊＊＊＊＊＊＊＊＊＊＊＊＊'), 'scum|worthless') and toxic <> 1)")
+def label_consistency(spark, d):
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = rows.withColumn("label", F.when(F.col("toxic") == 1, S.HIGH).otherwise(S.NORMAL))
+    level = S.rule_level(F.col("text"), L["high"], L["mid"], L["negated"])["level"]
+    return D.consistent_labels(rows, level, S.HIGH).select("doc_id", "toxic")
+
+
+@query("select doc_id from documents where doc_id % 3 <> 0 and doc_id % 5 <> 0")
+def evidence_check(spark, d):
+    i = F.col("doc_id")
+    rows = t(spark, d, "documents").select("doc_id", "text", F.when(i % 3 != 0, F.lit("q")).alias("question"), F.when(i % 5 == 0, "no such words").otherwise(F.left("text", F.lit(12))).alias("evidence"))
+    return D.evidenced(rows, X.located(F.col("text"), F.col("evidence")), ("question", "evidence")).select("doc_id")
+
+
+@query("select p_partkey pos, case when p_partkey % 2 = 0 then 3 else 0 end n_similar, case when p_partkey % 2 = 0 then 2 else 0 end n_tags, ['a', 'b', 'c'][p_partkey % 3 + 1] scenario from part")
+def faq_enrichment(spark, d):
+    pairs = t(spark, d, "part").select(F.col("p_partkey").alias("pos"))
+    extras = pairs.filter("pos % 2 = 0").select("pos", F.split(F.lit("a b c d e"), " ").alias("similar_questions"), F.split(F.lit("x y z"), " ").alias("tags"))
+    e = D.enriched(pairs, extras)
+    return e.select("pos", F.size("similar_questions").alias("n_similar"), F.size("tags").alias("n_tags"), D.round_robin(("a", "b", "c"), F.col("pos")).alias("scenario"))
+
+
+@query("select user_id, max(value) filter (where event_type = 'click') click, max(value) filter (where event_type = 'view') as view from events group by user_id")
+def spot_check(spark, d):
+    return M.side_by_side(t(spark, d, "events"), "user_id", "event_type", "value", ("click", "view"))
+
+
+@query("select lang category, case when doc_id % 4 = 0 then '' else 'pass' end verdict, count(*) n from documents group by 1, 2")
+def red_team_counts(spark, d):
+    rows = t(spark, d, "documents").select(F.col("lang").alias("category"), F.when(F.col("doc_id") % 4 != 0, "pass").alias("verdict"))
+    return M.verdicts(rows)
+
+
+@query(r"""with w as (select conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') a, list_filter(regexp_split_to_array(lower(left(text, 60)), '[^\p{L}\p{N}_]+'), lambda x: x <> '') q from conversations)
+select conv_id * 1000 + turn row_id, m.metric, case when len(case m.metric when 'faithfulness' then a else q end) = 0 then 0.0 else round(len(list_intersect(list_distinct(case m.metric when 'faithfulness' then a else q end), case m.metric when 'faithfulness' then q else a end)) / len(list_distinct(case m.metric when 'faithfulness' then a else q end))::double, 6) end as value
+from w, (select unnest(['faithfulness', 'answer_relevancy']) metric) m""")
+def metric_grid(spark, d):
+    from ..operators.providers import OverlapJudge
+
+    c = t(spark, d, "conversations")
+    head = F.left("text", F.lit(60))
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), head.alias("question"), F.col("text").alias("answer"), F.array(head).alias("contexts"), F.lit(None).cast("string").alias("reference"))
+    return M.metric_grid(rows, OverlapJudge(), ("faithfulness", "answer_relevancy"))
+
+
 # ------------------------------------------------------------------ models and streams
 @query()
 def encode_documents(spark, d):
