@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -58,9 +59,15 @@ KEPT: dict = {}
 
 
 def release(*but) -> None:
-    """Called where a worker begins another kind of task: kept tables give their memory back."""
+    """Called where a worker begins another kind of task: kept tables give their memory back, and what
+    the allocators hold free goes to the system, as executor and workers share one memory limit."""
     for key in [k for k in KEPT if k not in but]:
         del KEPT[key]
+    if not but:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
