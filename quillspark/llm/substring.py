@@ -226,7 +226,7 @@ def _firsts(targets: int):
     return run
 
 
-def _cut(width: int, outputs: tuple[str, ...], id_col: str, carry: tuple[str, ...] = ()):
+def _cut(width: int, outputs: tuple[str, ...], id_col: str, text_col: str = "text", carry: tuple[str, ...] = ()):
     kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string(), "intervals": pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))}
 
     def run(docs: pa.Table, removed: pa.Table) -> pa.Table:
@@ -259,7 +259,7 @@ def _cut(width: int, outputs: tuple[str, ...], id_col: str, carry: tuple[str, ..
             for o, c in cols.items():
                 c.append(made[o] if o in made else joined.decode() if o == "kept" else hashlib.sha256(joined).hexdigest())
         out_ids = pa.array([None if d == NO_ID else d for d in ids], pa.int64())
-        return pa.table([out_ids, *(pa.array(cols[o], kinds[o]) for o in outputs), *(docs.column(f"carry_{c}") for c in carry)], names=[id_col, *outputs, *carry])
+        return pa.table([out_ids, *(pa.array(cols[o], kinds[o]) for o in outputs), *(pa.array([None if v else x for x, v in zip(docs.column("text").to_pylist(), docs.column("void").to_pylist(), strict=True)], pa.string()) if c == text_col else docs.column(f"carry_{c}") for c in carry)], names=[id_col, *outputs, *carry])
 
     return run
 
@@ -275,7 +275,7 @@ def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_remove
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     carry = tuple(carry)
     given = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    wide = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    wide = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(text_col).isNull().alias("void"), *[F.col(c).alias(f"carry_{c}") for c in carry if c != text_col])
     sent = rows.mapInArrow(_windows(width, n, block_windows), _SENT)
     gone = sent.groupBy("bucket").applyInArrow(_firsts(m), "target int, ids binary, ths binary, sizes binary, pos binary")
 
@@ -286,4 +286,4 @@ def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_remove
 
     dealt = wide.withColumn("target", target("id"))
     schema = ", ".join([f"{id_col} long", *(f"{o} {kinds[o]}" for o in outputs), *(f"`{c}` {given[c]}" for c in carry)])
-    return dealt.groupBy("target").cogroup(gone.groupBy("target")).applyInArrow(_cut(width, outputs, id_col, carry), schema)
+    return dealt.groupBy("target").cogroup(gone.groupBy("target")).applyInArrow(_cut(width, outputs, id_col, text_col, carry), schema)
