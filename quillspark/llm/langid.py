@@ -1,17 +1,19 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter: slot i holds one byte-wide mask, bit l set if language l put an n-gram
-there. The masks of an n-gram's slots ANDed give all languages containing it. A text's n-grams are
+A bit-sliced Bloom filter: slot i holds a mask of one bit a language, in planes of eight languages; bit l
+is set if language l put an n-gram there. The masks of an n-gram's slots ANDed give all languages containing it. A text's n-grams are
 looked up at once; each language's popcount is corrected for its filter's false positives,
 (hits - N f) / (1 - f), and the largest corrected share decides.
 
-fit() reads a bounded sample: about max_docs documents of each language of at most max_chars
-characters, drawn by a hash of the id at a rate set from counts over all rows. An n-gram enters a
-language's filter if its rate there is at least keep_share of the sum of its rates over all languages.
+fit() learns every language that labels a text with a letter. It reads a bounded sample: about max_docs
+documents of each, drawn by a hash of id and text at a rate set from counts over all rows, and always the
+one of the least hash. Texts of at most max_chars characters come first; where a language has fewer than
+max_docs of them, longer ones fill up with their first max_chars characters. An n-gram enters a language's
+filter if its rate there is at least keep_share of the sum of its rates over all languages.
 
 Null texts and texts without a letter get "und" and score 0. An empty training set predicts "und".
-Ties go to the language first in alphabetical order. At most 8 languages (bits of a mask): the 8 most
-frequent, ties by name.
+Ties go to the language first in alphabetical order. The number of languages has no bound: the model takes
+1 MB for each eight, the sample max_docs texts for each.
 """
 
 from __future__ import annotations
@@ -51,17 +53,14 @@ def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class LanguageFilter:
     def __init__(self, langs: list[str], mask: np.ndarray):
-        self.langs, self.mask = langs, mask
-        self.false = np.array([((mask >> l & 1).mean()) ** 2 for l in range(len(langs))])
+        self.langs, self.mask = langs, mask  # mask: one row of slots for each eight languages
+        self.false = np.array([((mask[l >> 3] >> (l & 7) & 1).mean()) ** 2 for l in range(len(langs))])
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], keep_share: float = 0.4) -> LanguageFilter:
-        seen: dict[str, int] = {}
-        for lang in langs:
-            seen[lang] = seen.get(lang, 0) + 1
-        names = sorted(sorted(seen, key=lambda x: (-seen[x], x))[:8])
-        mask = np.zeros(1 << SLOT_BITS, np.uint8)
-        rates, parts = {}, []
+        names = sorted(set(langs))
+        mask = np.zeros((-(-len(names) // 8), 1 << SLOT_BITS), np.uint8)
+        parts = []
         for lang in names:
             own = [t for t, l in zip(texts, langs, strict=True) if l == lang and t]
             a, b, _ = _slots(own) if own else (np.zeros(0, np.int64),) * 3
@@ -74,9 +73,8 @@ class LanguageFilter:
                 total[np.searchsorted(grams, g)] += r
             for l, (g, r) in enumerate(parts):
                 good = g[r >= keep_share * total[np.searchsorted(grams, g)]]
-                rates[l] = good
                 for slot in (good >> SLOT_BITS, good & ((1 << SLOT_BITS) - 1)):
-                    mask[slot] |= np.uint8(1 << l)
+                    mask[l >> 3, slot] |= np.uint8(1 << (l & 7))
         return cls(names, mask)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -92,10 +90,9 @@ class LanguageFilter:
                 last += 1
             part, first = at[first:last], last
             a, b, ends = _slots([texts[i] for i in part])
-            both = self.mask[a] & self.mask[b]
             begins = np.concatenate([[0], ends[:-1]])
             n = ends - begins - N + 1
-            for i, hits in zip(part, self._popcounts(both, begins, ends - N + 1, n), strict=True):
+            for i, hits in zip(part, self._popcounts(a, b, begins, ends - N + 1, n), strict=True):
                 k = int(np.argmax(hits))
                 if hits[k] > 0:
                     lang[i], score[i] = self.langs[k], float(min(1.0, hits[k] / max(hits.sum(), 1e-9)))
@@ -103,10 +100,12 @@ class LanguageFilter:
                     lang[i] = self.langs[k]
         return lang, score
 
-    def _popcounts(self, both, begins, ends, n) -> np.ndarray:
+    def _popcounts(self, a, b, begins, ends, n) -> np.ndarray:
         out = np.zeros((len(n), len(self.langs)))
         for l in range(len(self.langs)):
-            run = np.concatenate([[0], np.cumsum(both >> l & 1, dtype=np.int64)])
+            if l & 7 == 0:
+                both = self.mask[l >> 3][a] & self.mask[l >> 3][b]
+            run = np.concatenate([[0], np.cumsum(both >> (l & 7) & 1, dtype=np.int64)])
             out[:, l] = run[ends] - run[begins]
         return np.maximum(0, (out - n[:, None] * self.false) / (1 - self.false))
 
@@ -114,13 +113,20 @@ class LanguageFilter:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 400, max_chars: int = 20_000) -> LanguageFilter:
     """Learn a filter from the non-null texts and labels of train; see the module for the bound."""
     rows = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = rows.filter(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= max_chars))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(8).collect()}
+    rows = rows.filter(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull())
+    rows = rows.withColumn("long", F.length("t") > max_chars).withColumn("h", F.xxhash64("i", "t"))
+    few, many = F.count(F.when(~F.col("long"), 1)).alias("few"), F.count(F.when(F.col("long"), 1)).alias("many")
+    counts = rows.groupBy("l").agg(few, many, F.min(F.struct("long", "h")).alias("least")).collect()
     if not counts:
-        return LanguageFilter([], np.zeros(1 << SLOT_BITS, np.uint8))
-    unit = F.pmod(F.xxhash64("i"), F.lit(1_000_000)) / 1_000_000
-    rate = F.coalesce(*[F.when(F.col("l") == l, F.lit(min(1.0, max_docs / n))) for l, n in counts.items()])
-    found = rows.filter(unit < rate).limit(2 * max_docs * len(counts)).collect()
+        return LanguageFilter([], np.zeros((0, 1 << SLOT_BITS), np.uint8))
+    rates = [(r["l"], min(1.0, max_docs / max(1, r["few"])), min(1.0, max(0, max_docs - r["few"]) / max(1, r["many"])), *r["least"]) for r in counts]
+    kinds = "l string, rate_short double, rate_long double, least_long boolean, least_h long"
+    drawn = F.broadcast(train.sparkSession.createDataFrame(rates, kinds))
+    unit = F.pmod("h", F.lit(1_000_000)) / 1_000_000
+    least = (F.col("long") == F.col("least_long")) & (F.col("h") == F.col("least_h"))
+    some = rows.join(drawn, "l").filter(least | (unit < F.when(F.col("long"), F.col("rate_long")).otherwise(F.col("rate_short"))))
+    # equal rows count once, so copies of one document cannot fill the driver
+    found = some.select("i", F.substring("t", 1, max_chars).alias("t"), "l", "h").dropDuplicates(["l", "h"]).collect()
     found.sort(key=lambda r: (r["i"], r["l"], r["t"]))
     return LanguageFilter.fit([r["t"] for r in found], [r["l"] for r in found])
 

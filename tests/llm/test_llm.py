@@ -167,6 +167,29 @@ def test_language(spark):
     assert rows(langid.identify(df, langid.fit(df.limit(0))))[1000]["lang_pred"] == "und"
 
 
+def test_language_learns_every_label(spark):
+    rng = np.random.default_rng(2)
+    names = [f"l{k:02d}" for k in range(19)]
+    vocab = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for n in names}
+
+    def text(n, size):
+        return " ".join(rng.choice(vocab[n], size))
+
+    data = [(k, text(n, 60), n) for k, n in enumerate(names * 6)]
+    data += [(1000 + k, text("l18", 60), "l18") for k in range(30)]
+    # a language of long texts only, and one of one text in many copies
+    long_words = ["qqzzq", "wxxwq", "zzxqw"]
+    data += [(2000 + k, " ".join(rng.choice(long_words, 5000)), "long") for k in range(3)]
+    data += [(3000, "ÿþÿ ðøð ÿøÿ", "copies")] * 40
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_docs=10)
+    assert model.langs == sorted({*names, "long", "copies"})
+    got = langid.identify(df, model).toPandas()
+    assert (got.lang_pred == got.lang).all()
+    only_long = langid.fit(df.filter("lang = 'long'"))
+    assert only_long.predict([" ".join(long_words)])[0] == ["long"]
+
+
 def test_toxicity_neighbours_are_exact(spark):
     rng = np.random.default_rng(5)
     bad, good = ["loser", "idiot", "scum"], [f"word{chr(97 + i)}" for i in range(20)]
