@@ -31,13 +31,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of smallest id. Equal rows count as one document."""
+    """One document of each group stays: the one of smallest id. Equal rows count as one document.
+
+    Rows without an id link with nothing and all stay.
+    """
     docs = docs.select(*COLUMNS)
     found = stored(minhash.near_duplicates(docs, width=5, percent=80), "near")
+    found = found.filter("doc_id is not null")
     out = docs.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
     if found.groupBy("doc_id").count().filter("count > 1").head(1):
         out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    return out.unionByName(docs.filter("doc_id is null"))  # null equals nothing in the join
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

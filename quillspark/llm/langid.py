@@ -127,7 +127,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     some = rows.join(drawn, "l").filter(least | (unit < F.when(F.col("long"), F.col("rate_long")).otherwise(F.col("rate_short"))))
     # equal rows count once, so copies of one document cannot fill the driver
     found = some.select("i", F.substring("t", 1, max_chars).alias("t"), "l", "h").dropDuplicates(["l", "h"]).collect()
-    found.sort(key=lambda r: (r["i"], r["l"], r["t"]))
+    found.sort(key=lambda r: (r["i"] is not None, r["i"], r["l"], r["t"]))
     return LanguageFilter.fit([r["t"] for r in found], [r["l"] for r in found])
 
 

@@ -341,6 +341,31 @@ def test_crossover_keeps_every_item():
         a, b = b, child
 
 
+def test_language_fit_takes_null_ids(spark):
+    df = spark.createDataFrame([(None, "alpha beta", "en"), (1, "gamma delta", "en"), (None, "eins zwei", "de"), (2, "drei vier", "de")], "doc_id long, text string, lang string")
+    assert langid.fit(df).predict(["alpha gamma", "eins drei"])[0] == ["en", "de"]
+    named = df.withColumn("doc_id", df.doc_id.cast("string"))
+    assert langid.fit(named).langs == ["de", "en"]
+
+
+def test_pipeline_keeps_null_ids(spark):
+    import corpus_pipeline as cp
+    from quillspark.llm.common import stored
+
+    c = corpus()
+    data = [(i, t, lang, "s", len(t)) for i, t, lang in zip(c.doc_id.tolist(), c.text, c.lang) if re.search(r"[^\W\d_]", t)][:60]
+    words = data[0][1].split()[:30]
+    nameless = [" ".join(words), " ".join(reversed(words)), "a note of no name", "a note of no name"]
+    rows = data + [(None, t, data[0][2], "s", len(t)) for t in nameless]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in cp.STAGES[:4]:
+        frame = stored(stage(spark, frame, SF), name)
+        assert sorted(r["text"] for r in frame.filter("doc_id is null").collect()) == sorted(nameless), name
+    packed = cp.STAGES[4][1](spark, frame, SF)
+    lib = tokens.ByteChunks(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert sorted(r["length"] for r in packed.filter("doc_id is null").collect()) == sorted(len(x) + 1 for x in lib.encode_all(nameless))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from quillspark.llm.common import stored, table
