@@ -14,7 +14,7 @@ from quillspark.llm.common import stored, table
 from quillspark.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose best language has less of its n-grams than this is in no known language.
+#: A text whose best language has less of its n-grams of letters than this is in no known language.
 LEAST_SHARE = 0.35
 
 
@@ -25,8 +25,8 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts, texts without letters and texts in no known language go; lang becomes the prediction."""
     docs = docs.select(*COLUMNS)
-    found = langid.identify(docs, langid.fit(docs))
-    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    found = langid.identify(docs, langid.fit(docs), cover=True)
+    found = found.filter((F.col("lang_pred") != "und") & (F.col("covered") >= LEAST_SHARE))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

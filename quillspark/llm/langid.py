@@ -3,7 +3,9 @@
 A bit-sliced Bloom filter: slot i holds a mask of one bit a language, in planes of eight languages; bit l
 is set if language l put an n-gram there. The masks of an n-gram's slots ANDed give all languages containing it. A text's n-grams are
 looked up at once; each language's popcount is corrected for its filter's false positives,
-(hits - N f) / (1 - f), and the largest corrected share decides.
+(hits - N f) / (1 - f), and the largest decides. The score is its share of the hits of all languages;
+covered, where asked for, is its share of the text's n-grams that hold a letter and no digit (keys and
+numbers say nothing of a language), so a text of a language not learned has little of it.
 
 fit() learns every language that labels a text with a letter. It reads a bounded sample: about max_docs
 documents of each, drawn by a hash of id and text at a rate set from counts over all rows, and always the
@@ -18,6 +20,7 @@ Ties go to the language first in alphabetical order. The number of languages has
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -34,11 +37,16 @@ _LETTER = re.compile(r"[^\W\d_]")
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two slots for each n-gram of the lower-cased texts (a space around each), and where texts begin."""
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts (a space around each), and where texts end."""
     lowered = [f" {t.lower()} " for t in texts]
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
     points = np.where(points < 33, np.uint32(32), points).astype(np.uint64)
+    return points, np.cumsum([len(t) for t in lowered])
+
+
+def _slots(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two slots for each n-gram of the code points."""
     n = len(points) - N + 1
     with np.errstate(over="ignore"):
         h = points[:n] * _K[0]
@@ -47,8 +55,13 @@ def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         h *= _K[1]
     mask = np.uint64((1 << SLOT_BITS) - 1)
-    ends = np.cumsum([len(t) for t in lowered])
-    return (h >> np.uint64(44)).astype(np.int64), ((h >> np.uint64(20)) & mask).astype(np.int64), ends
+    return (h >> np.uint64(44)).astype(np.int64), ((h >> np.uint64(20)) & mask).astype(np.int64)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point 1 if it is a letter, 2 if a digit, else 0."""
+    return np.array([1 if c.isalpha() else 2 * c.isdigit() for c in map(chr, range(0x110000))], np.uint8)
 
 
 class LanguageFilter:
@@ -63,7 +76,7 @@ class LanguageFilter:
         parts = []
         for lang in names:
             own = [t for t, l in zip(texts, langs, strict=True) if l == lang and t]
-            a, b, _ = _slots(own) if own else (np.zeros(0, np.int64),) * 3
+            a, b = _slots(_points(own)[0]) if own else (np.zeros(0, np.int64),) * 2
             grams, count = np.unique(a << SLOT_BITS | b, return_counts=True)
             parts.append((grams, count / max(1, count.sum())))
         if parts:
@@ -78,10 +91,14 @@ class LanguageFilter:
         return cls(names, mask)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lang, score = ["und"] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None], cover: bool = False) -> tuple[list[str], list[float], list[float]]:
+        """Language, its share of the hits and, with cover, its share of the n-grams that hold a letter and no digit."""
+        lang, score, covered = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         if not at or not self.langs:
-            return lang, score
+            return lang, score, covered
         first = 0
         while first < len(at):
             last, size = first, 0
@@ -89,7 +106,8 @@ class LanguageFilter:
                 size += len(texts[at[last]])
                 last += 1
             part, first = at[first:last], last
-            a, b, ends = _slots([texts[i] for i in part])
+            points, ends = _points([texts[i] for i in part])
+            a, b = _slots(points)
             begins = np.concatenate([[0], ends[:-1]])
             n = ends - begins - N + 1
             for i, hits in zip(part, self._popcounts(a, b, begins, ends - N + 1, n), strict=True):
@@ -98,7 +116,15 @@ class LanguageFilter:
                     lang[i], score[i] = self.langs[k], float(min(1.0, hits[k] / max(hits.sum(), 1e-9)))
                 else:
                     lang[i] = self.langs[k]
-        return lang, score
+            if cover:
+                kind = _kinds()[points.astype(np.int64)]
+                worded = (kind[:-2] | kind[1:-1] | kind[2:]) == 1
+                for i, x, y in zip(part, begins.tolist(), (ends - N + 1).tolist(), strict=True):
+                    k = self.langs.index(lang[i])
+                    at_k = np.flatnonzero(worded[x:y]) + x
+                    hit = int(((self.mask[k >> 3][a[at_k]] & self.mask[k >> 3][b[at_k]]) >> (k & 7) & 1).sum())
+                    covered[i] = max(0.0, float((hit - len(at_k) * self.false[k]) / (1 - self.false[k]))) / max(1, len(at_k))
+        return lang, score, covered
 
     def _popcounts(self, a, b, begins, ends, n) -> np.ndarray:
         out = np.zeros((len(n), len(self.langs)))
@@ -131,18 +157,21 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     return LanguageFilter.fit([r["t"] for r in found], [r["l"] for r in found])
 
 
-def identify(df: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """df with lang_pred string and score double; existing columns of these names are replaced."""
-    rest = [c for c in df.columns if c not in ("lang_pred", "score")]
+def identify(df: DataFrame, model: LanguageFilter, text_col: str = "text", cover: bool = False) -> DataFrame:
+    """df with lang_pred string and score double, with cover also covered double; existing columns of
+    these names are replaced."""
+    added = ["lang_pred", "score", *(["covered"] if cover else [])]
+    rest = [c for c in df.columns if c not in added]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     held = df.sparkSession.sparkContext.broadcast(model)  # SLOT_BITS fixes its size: 1 MB
-    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string", "score double"])
+    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string", "score double", *(["covered double"] if cover else [])])
 
     def run(batches):
         release()
         m = held.value
         for batch in batches:
-            lang, score = m.predict(batch.column(batch.schema.names.index(text_col)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*rest, "lang_pred", "score"])
+            lang, *shares = m.judge(batch.column(batch.schema.names.index(text_col)).to_pylist(), cover)
+            found = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in shares[: len(added) - 1])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in rest), *found], names=[*rest, *added])
 
     return df.select(*rest).mapInArrow(run, out)

@@ -366,6 +366,21 @@ def test_pipeline_keeps_null_ids(spark):
     assert sorted(r["length"] for r in packed.filter("doc_id is null").collect()) == sorted(len(x) + 1 for x in lib.encode_all(nameless))
 
 
+def test_pipeline_rejects_texts_of_no_known_language(spark):
+    import corpus_pipeline as cp
+
+    c = corpus()
+    c = c[[bool(re.search(r"[^\W\d_]", t)) for t in c.text]]
+    good = [(i, t, lang, "s", len(t)) for i, t, lang in zip(c.doc_id.tolist(), c.text, c.lang)]
+    good += [(10_000 + i, t[:40], lang, "s", 40) for i, t, lang, _, _ in good if len({*t[:40].split()}) > 3]  # short and clean
+    key = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    good.append((20_000, f'token = "{key}" {good[0][1][:40]}', good[0][2], "s", 90))
+    foreign = ["xqzt vvkj wprq zzxk qjwv the", "Ez egy magyar szöveg az időjárásról", "To jest zwykły polski tekst o pogodzie i zdrowiu", "Привет мир, это русский текст"]
+    rows = good + [(30_000 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in cp.language(spark, df, SF).collect()} == {r[0] for r in good}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from quillspark.llm.common import stored, table
