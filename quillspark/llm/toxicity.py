@@ -8,10 +8,11 @@ cosine-weighted votes, smoothed towards the base rate, are mapped to probabiliti
 regression over leave-one-out votes, each class weighted by its count over all labelled rows. Scores
 come with their evidence: the neighbours' ids, cosines and labels.
 
-fit() reads a bounded sample: up to per_class labelled documents of either label and at most
-max_chars characters, drawn by a hash of the id; terms are kept if the sample ties them to a label
-(|z| above what chance would give so many terms, shares e^2 times apart or more, in at least
-df_least examples, at most max_terms).
+fit() reads a bounded sample of labelled examples: up to per_class documents of either label and at most
+max_chars characters, drawn by a hash of the id. All terms the sample ties to a label are indexed (|z|
+above what chance would give so many terms, shares e^2 times apart or more, in at least df_least
+examples); other words do not enter the vectors. Their document frequencies are counted over all
+documents that have a text, labelled or not.
 
 Null and empty texts and texts with no kept term get the calibrated score of such examples. Without
 any labelled row every score is 0. Of repeated labels of one document the larger counts.
@@ -59,7 +60,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class NearestExamples:
     """The index and its calibration; picklable, its size bounded by the sample."""
 
-    def __init__(self, ids, texts, labels, class_rows=None, df_least=4, max_terms=2000):
+    def __init__(self, ids, texts, labels, class_rows=None, df_least=4, counted=None):
+        """counted: from a dict of terms to the number of documents and each term's frequency among them
+        (None: those of the examples)."""
         labels = np.array(labels, dtype=np.int64)
         bags = [Counter(t for tok in text.lower().split() for t in terms_of(tok)) for text in texts]
         self.seen: dict[str, tuple] = {}
@@ -76,9 +79,10 @@ class NearestExamples:
             odds = abs(math.log((df1[t] + 0.5) / (n1 + 1)) - math.log((df0[t] + 0.5) / (n0 + 1)))
             if z >= z_least and odds >= 2:
                 chosen.append((-z, t, df))
-        chosen = sorted(chosen)[:max_terms]
+        chosen.sort()
         self.terms = {t: i for i, (_, t, _) in enumerate(chosen)}
-        self.idf = np.array([math.log((1 + len(bags)) / df) + 1 for _, _, df in chosen])
+        n_docs, dfs = counted(self.terms) if counted and chosen else (len(bags), [df for _, _, df in chosen])
+        self.idf = np.array([math.log((1 + n_docs) / df) + 1 for df in dfs])
         vectors = [self._weigh({self.terms[t]: c for t, c in bag.items() if t in self.terms}) for bag in bags]
         # like examples side by side, so that block bounds are tight
         order = sorted(range(len(bags)), key=lambda i: (-labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, ids[i]))
@@ -164,6 +168,39 @@ class NearestExamples:
         return self.__dict__ | {"seen": {}}
 
 
+def document_frequencies(docs: DataFrame, terms: dict[str, int], text_col: str = "text") -> tuple[int, list[int]]:
+    """The number of non-null texts of docs and, for each term, the number of those that hold it."""
+    held = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        index, seen, n = held.value, {}, 0
+        counts = np.zeros(len(index), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text is None:
+                    continue
+                n += 1
+                own: set[int] = set()
+                for token in set(text.lower().split()):
+                    try:
+                        hit = seen[token]
+                    except KeyError:
+                        if len(seen) > MAX_SEEN:
+                            seen.clear()
+                        hit = tuple(index[t] for t in terms_of(token) if t in index)
+                        if len(token) <= 64:
+                            seen[token] = hit
+                    if hit:
+                        own.update(hit)
+                counts[list(own)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *counts[at].tolist()], pa.int64())], names=["term", "n"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "term long, n long")
+    found = dict(rows.groupBy("term").agg(F.sum("n")).collect())
+    return found.get(-1, 0), [found.get(i, 0) for i in range(len(terms))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, max_chars: int = 50_000) -> NearestExamples:
     """Learn from labelled documents; labels has the rows that may be learned from, once or more."""
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
@@ -178,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in sorted(found, key=lambda r: (r["i"], r["t"])):
         first.setdefault(r["i"], r)
     sample = list(first.values())
-    return NearestExamples([r["i"] for r in sample], [r["t"] for r in sample], [r["y"] for r in sample], (rows.get(1, 0), rows.get(0, 0)))
+    return NearestExamples([r["i"] for r in sample], [r["t"] for r in sample], [r["y"] for r in sample], (rows.get(1, 0), rows.get(0, 0)), counted=lambda terms: document_frequencies(docs, terms, text_col))
 
 
 def score_toxicity(df: DataFrame, model: NearestExamples, text_col: str = "text", evidence: bool = True) -> DataFrame:

@@ -214,6 +214,23 @@ def test_toxicity_neighbours_are_exact(spark):
     assert rows(toxicity.score_toxicity(df, toxicity.fit(df, known.limit(0))))[0]["score"] == 0
 
 
+def test_toxicity_counts_all_documents_and_terms(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(w) for w in itertools.product("bcdfghjklmnpqrst", "aeiou", "vwxz", "aeiouy")]  # 1920 words of four letters
+    texts = [" ".join([*(w for w in words if rng.random() < 0.5), *(f"{w}q" for w in words if rng.random() < 0.5)]) if i % 2 else "plain words of no label" for i in range(120)]
+    m = toxicity.NearestExamples(list(range(120)), texts, [i % 2 for i in range(120)])
+    assert {*words, *(f"{w}q" for w in words)} <= {*m.terms}
+    texts = [f"{'loser scum' if i % 2 else 'fine day'} {i}" for i in range(240)]
+    more = ["a loser again", "Loser loser", "scum", None, "", "nothing"] * 200
+    df = docs(spark, [*texts, *more]).repartition(5)
+    known = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+    m = toxicity.fit(df, known)
+    whole = [{x for tok in t.lower().split() for x in toxicity.terms_of(tok)} for t in [*texts, *more] if t is not None]
+    assert {"loser", "scum"} <= {*m.terms}
+    for t, i in m.terms.items():
+        assert abs(m.idf[i] - np.log((1 + len(whole)) / sum(t in w for w in whole)) - 1) < 1e-12
+
+
 def plain_substring(texts, width):
     words = {i: (t or "").encode().split() for i, t in enumerate(texts)}
     first, out = {}, {}
