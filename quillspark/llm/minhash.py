@@ -5,8 +5,8 @@ sequence is its one shingle). One hash orders all shingles and the K smallest ar
 Equal sets are one class. A class enters the inverted lists of its HEADS smallest values, one list
 for each value and size step (sets whose sizes differ by more than the threshold cannot link). A pair
 belongs to the list of the first value it shares; at the threshold a pair has more than APART unshared
-values before it with probability 0.2^8. In a list, pairs are compared by the union of their sketches
-(first the PROBE smallest values, then K), kept if the estimate is within 4.5 standard deviations of
+values before it with probability 0.2^10. In a list, pairs are compared by the union of their sketches
+(first the PROBE smallest values, then K), kept if the estimate is within 6 standard deviations of
 the threshold, and confirmed on full sets: 100 * intersection >= percent * union, exactly.
 
 Pairs within a list are not all emitted. The first round proposes a spanning forest of each list's
@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import components, release, stored
 from .substring import window_hashes, word_spans
 
-K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 8, 1024, 2_000_000
-APART = 7  # values only one of two sets has before the first they share
-PROBE, PROBE_LEAST = 12, 3  # a first look at so many values must find so many shared
+K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 10, 1024, 2_000_000
+APART = 9  # values only one of two sets has before the first they share
+PROBE, PROBE_LEAST = 12, 2  # a first look at so many values must find so many shared
+DEVIATIONS = 6  # a pair is kept if its estimate is at most so many below the threshold
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PAD = 0xFFFFFFFF
@@ -128,7 +129,7 @@ def _compare(percent: int, exact: bool):
                 x, y = x[good], y[good]
                 hits, k, _ = estimates(sketch[x], sketch[y])
                 est = hits / np.maximum(k, 1)
-                good = est >= t - 4.5 * np.sqrt(t * (1 - t) / np.maximum(k, 1)) - 1e-9
+                good = est >= t - DEVIATIONS * np.sqrt(t * (1 - t) / np.maximum(k, 1)) - 1e-9
                 found.append((x[good], y[good], est[good]))
 
         while len(i):

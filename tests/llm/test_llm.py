@@ -309,6 +309,19 @@ def test_near_duplicates(spark, width, monkeypatch):
     assert minhash.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_near_duplicates_with_unlucky_sketches(spark):
+    words = [f"w{i}" for i in range(400)]
+    words.sort(key=lambda w: int(minhash.shingle_sets([w], 1)[0][0]))
+    texts = []
+    # S: both sets hold the value, U: one of them; in rising order of the values
+    for pool, marks in ((words[:200], "U" * 8 + "S" * 60), (words[200:], "SS" + "U" * 10 + "S" * 11 + "U" * 9 + "S" * 118)):
+        own = list(zip(pool, marks, strict=False))
+        texts += [" ".join(w for k, (w, m) in enumerate(own) if m == "S" or k % 2 == side) for side in (0, 1)]
+        assert marks.count("S") >= 0.8 * len(marks)
+    got = rows(minhash.near_duplicates(docs(spark, texts), width=1))
+    assert [got[i]["component_id"] for i in range(4)] == [0, 0, 2, 2]
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(13)
     m = rng.normal(size=(60, 16))
