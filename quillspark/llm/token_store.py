@@ -9,8 +9,9 @@ Layout under one folder (every file is Parquet, so any Spark reader opens it):
 A rolling hash over a window of ids cuts each document's id stream, so equal passages give equal
 chunks. Ids are stored little-endian in 2 bytes where the vocabulary fits, else 4. A document's
 recipe lists its chunks' digests in order; its root hashes them pairwise upwards (Merkle), a shard's
-root does so over its documents' roots. read_back() opens the files anew, recomputes each stored
-chunk's digest and crc, joins them to the recipes and checks every root; bytes do not move again, as
+root does so over its documents' roots in ascending order of id. read_back() opens the files anew, holds
+the recipes against the manifest (root, documents, ids and start of each shard), recomputes each stored
+chunk's digest and crc, joins them to the recipes and checks every document's root; bytes do not move again, as
 the crc of a document is composed from its chunks' crcs and lengths.
 
 Null and empty texts hold the end id only. Repeated doc_ids are each kept (recipes are rows).
@@ -30,7 +31,7 @@ from .common import shuffle_partitions, texts_of
 from .crc import Joiner
 from .tokens import WordChunks, shared
 
-WINDOW, MASK_BITS, LEAST, MOST = 8, 9, 128, 2048
+WINDOW, MASK_BITS, LEAST, MOST = 8, 8, 64, 1024
 DIGEST = 16
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,15 +127,26 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
 
 
 def _shard_roots(docs: DataFrame) -> DataFrame:
-    """Root of each shard: sha256 over its documents' roots in ascending doc_id order."""
+    """Merkle root of each shard over its documents' roots in ascending doc_id order."""
+
+    @F.pandas_udf("binary")
+    def root(lists):
+        return lists.map(merkle)
+
     own = F.sort_array(F.collect_list(F.struct("doc_id", "root")))
-    return docs.groupBy("shard").agg(F.sha2(F.array_join(F.transform(own, lambda x: F.hex(x["root"])), ""), 256).alias("root"))
+    return docs.groupBy("shard").agg(own.alias("own")).select("shard", root(F.transform("own", lambda x: x["root"])).alias("root"))
 
 
 def broken_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Shards whose recipes no longer give the root in the manifest (none in a sound store)."""
-    now = _shard_roots(spark.read.parquet(f"{path}/recipes")).withColumnRenamed("root", "found")
-    return spark.read.parquet(f"{path}/manifest").join(now, "shard", "left").filter(~F.col("root").eqNullSafe(F.col("found")))
+    """Shards whose recipes no longer give the manifest's root, counts and start (none in a sound store)."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    sums = recipes.groupBy("shard").agg(F.count("*").alias("docs_found"), F.sum("n_tokens").alias("tokens_found"), F.min("start").alias("start_found"))
+    now = sums.join(_shard_roots(recipes).withColumnRenamed("root", "found"), "shard")
+    pairs = [("root", "found"), ("n_docs", "docs_found"), ("n_tokens", "tokens_found"), ("shard_start", "start_found")]
+    broken = F.lit(False)
+    for a, b in pairs:
+        broken = broken | ~F.col(a).eqNullSafe(F.col(b))
+    return spark.read.parquet(f"{path}/manifest").join(now, "shard", "full").filter(broken)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -180,6 +192,9 @@ def _composed(batches):
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32; raises on any mismatch."""
+    bad = broken_shards(spark, path).select("shard").head(1)
+    if bad:
+        raise ValueError(f"shard {bad[0]['shard']}: the recipes do not match the manifest")
     chunks = spark.read.parquet(f"{path}/objects/kind=1").select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), F.col("data").alias("ids"))
     seen = chunks.mapInArrow(_checked, "digest binary, crc long, n_ids long")
     recipes = spark.read.parquet(f"{path}/recipes")  # start names a row: every document has an id at least
@@ -187,7 +202,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     entries = recipes.select("start", F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"), "digests")
     entries = entries.select("start", "pos", F.expr(f"substring(digests, pos * {DIGEST} + 1, {DIGEST})").alias("digest"))
     found = entries.join(seen, "digest", "left").groupBy("start").agg(F.collect_list(F.struct("pos", "digest", "crc", "n_ids")).alias("parts"))
-    rows = recipes.join(found, "start").select("doc_id", "n_tokens", "digests", "root", "parts", "start")
+    rows = recipes.join(found, "start", "left").select("doc_id", "n_tokens", "digests", "root", "parts", "start")
     return rows.mapInArrow(_composed, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -87,6 +87,41 @@ def test_token_store(spark):
     assert order == sorted(order)
 
 
+def test_token_store_holds_recipes_against_the_manifest(spark):
+    path, tok = shared_dir(spark), queries.tokenizer_path("word_bpe_49k.json")
+    token_store.write_store(docs(spark, ODD).repartition(3), path, tok, end_id=1)
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    for r in manifest.collect():
+        own = recipes.filter(f"shard = {r['shard']}").orderBy("doc_id").collect()
+        assert bytes(r["root"]) == token_store.merkle([bytes(x["root"]) for x in own])
+    some = recipes.first()["doc_id"]
+    first = recipes.first()["shard"]
+    for name, cut_recipes, cut_manifest in (
+        ("a recipe is gone", recipes.filter(f"doc_id <> {some}"), manifest),
+        ("a shard is gone", recipes.filter(f"shard <> {first}"), manifest),
+        ("a manifest row is gone", recipes, manifest.filter(f"shard <> {first}")),
+    ):
+        bad = shared_dir(spark)
+        spark.read.parquet(f"{path}/objects").write.partitionBy("kind").parquet(f"{bad}/objects")
+        cut_recipes.write.parquet(f"{bad}/recipes")
+        cut_manifest.write.parquet(f"{bad}/manifest")
+        with pytest.raises(ValueError, match="shard"):
+            token_store.read_back(spark, bad).collect()
+            pytest.fail(name)
+
+
+def test_shared_passages_become_chunks():
+    rng = np.random.default_rng(4)
+    stored, total = {}, 0
+    for k in range(400):
+        passage = np.random.default_rng(k // 8).integers(0, 49_000, 600)  # each passage in eight documents
+        ids = np.concatenate([rng.integers(0, 49_000, rng.integers(50, 400)), passage, rng.integers(0, 49_000, rng.integers(50, 400))])
+        ends = token_store.cut_points(ids)
+        stored |= {ids[i:j].tobytes(): j - i for i, j in zip([0, *ends], ends, strict=False)}
+        total += len(ids)
+    assert sum(stored.values()) < 0.88 * total
+
+
 def test_media(spark):
     got = rows(media.analysed(media.media_column(docs(spark, ODD))))
     for i, t in enumerate(ODD):
