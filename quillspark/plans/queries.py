@@ -798,8 +798,8 @@ def metric_grid(spark, d):
 # ------------------------------------------------------------------ models and streams
 @query()
 def encode_documents(spark, d):
-    v = LexicalEncoder(16).dense(F.col("text"))
-    return t(spark, d, "conversations").select("conv_id", "turn", V.normalised(v).alias("vec"))
+    v = X.let(LexicalEncoder().dense(F.col("text")), V.normalised)  # counted once, not again in each element
+    return t(spark, d, "documents").select("doc_id", v.alias("vec"))
 
 
 @query()
