@@ -6,7 +6,8 @@ in numpy from labelled spans; it adds spans the patterns miss (numbers without "
 takes one away. Every span needs a digit or "@", so only the text around those is tagged: segments
 are cut into overlapping windows, each window is scored, scores of a character are averaged over its
 windows with weights that fall towards the window's ends, and one Viterbi pass over the whole segment
-decides. A tagged span is kept if its kind's form holds and it meets no base span.
+decides. A tagged e-mail is widened to the ends of its address, which may lie outside the segment.
+A tagged span is kept if its kind's form holds and it meets no base span.
 
 fit() reads a bounded sample: windows around digits and "@" of up to max_docs documents (drawn by a
 hash of the text), labelled by the base patterns; phone and e-mail spans are also rewritten in other
@@ -312,6 +313,17 @@ def _well_formed(kind: int, span: str) -> bool:
     return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", span)) and bool(re.search(r"[ ().-]", span))
 
 
+def _widened(text: str, a: int, b: int, base: list) -> tuple[int, int]:
+    """A tagged e-mail with the rest of its address, which a segment may have cut; base spans bound it."""
+    low = max((s[1] for s in base if s[1] <= a), default=0)
+    high = min((s[0] for s in base if s[0] >= b), default=len(text))
+    while a > low and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+        a -= 1
+    while b < high and (text[b].isalnum() or text[b] == "-" or text[b] == "." and b + 1 < high and text[b + 1].isalnum()):
+        b += 1
+    return a, b
+
+
 def all_spans(texts: list[str], tagger: SpanTagger) -> list[tuple[list, list]]:
     """For each text its base spans and all spans, both (start, end, kind) in order."""
     base = [base_spans(t) for t in texts]
@@ -330,8 +342,9 @@ def all_spans(texts: list[str], tagger: SpanTagger) -> list[tuple[list, list]]:
                 while e < len(tags) and tags[e] == tags[s] + 1:
                     e += 1
                 kind = int(tags[s]) // 2
-                if _well_formed(kind, texts[i][a + s : a + e]):
-                    added.setdefault(i, []).append((a + s, a + e, kind))
+                first, last = _widened(texts[i], a + s, a + e, base[i]) if kind == 0 and "@" in texts[i][a + s : a + e] else (a + s, a + e)
+                if _well_formed(kind, texts[i][first:last]):
+                    added.setdefault(i, []).append((first, last, kind))
     out = []
     for i, own in enumerate(base):
         new = [s for s in added.get(i, []) if all(s[1] <= b[0] or b[1] <= s[0] for b in own)]

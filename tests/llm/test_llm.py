@@ -191,6 +191,18 @@ def test_tagger_gradients_and_use(spark):
     assert [len(x) for x in fitted.decode([np.ones(1000, np.int64), np.ones(3, np.int64)])] == [1000, 3]
 
 
+def test_added_emails_are_whole():
+    class Tagger:
+        def decode(self, segments):
+            return [np.array([1] + [2] * (len(s) - 1)) for s in segments]
+
+    local, host = "a-rather-long-name.of-somebody", "mail.department-of-long-names.example.org"
+    address = f"{local} @ {host}"
+    for text in (address, f"({address})", f"<{address}>.", f"write:{address}."):
+        a = text.index(local)
+        assert pii.all_spans([text], Tagger()) == [([], [(a, a + len(address), 0)])]
+
+
 def test_language(spark):
     c = corpus()
     df = docs(spark, ODD).unionByName(spark.createDataFrame([(1000 + i, t, lang, "s", None, "x", 0.0, "x") for i, t, lang in zip(c.doc_id.tolist(), c.text, c.lang)], SCHEMA))
