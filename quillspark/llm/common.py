@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -59,17 +60,32 @@ KEPT: dict = {}
 
 
 def release(*but) -> None:
-    """Called where a worker begins another kind of task: kept tables give their memory back, and what
-    the allocators hold free goes to the system, as executor and workers share one memory limit."""
-    for key in [k for k in KEPT if k not in but]:
+    """Called where a worker begins or ends a kind of task: kept tables but those named give their memory
+    back, and what the allocators hold free goes to the system, as an executor and all its workers share
+    one memory limit."""
+    gone = [k for k in KEPT if k not in but]
+    for key in gone:
         del KEPT[key]
-    if not but:
+    if gone or not but:
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
             trim(0)
 
 
+def tidy(run):
+    """A function over Arrow batches that begins without tables of other kinds of tasks and leaves no
+    free memory with its worker, which may stand idle beside others."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        release()
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(batch.schema.get_field_index(col)).to_pylist()]
 
@@ -128,7 +144,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    e = stored(e.mapInArrow(_contract, "a long, b long"), "edges")
+    e = stored(e.mapInArrow(tidy(_contract), "a long, b long"), "edges")
     seen = None
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import tidy
 
 N = 3
 SLOT_BITS = 20
@@ -167,11 +167,10 @@ def identify(df: DataFrame, model: LanguageFilter, text_col: str = "text", cover
     out = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string", "score double", *(["covered double"] if cover else [])])
 
     def run(batches):
-        release()
         m = held.value
         for batch in batches:
             lang, *shares = m.judge(batch.column(batch.schema.names.index(text_col)).to_pylist(), cover)
             found = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in shares[: len(added) - 1])]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in rest), *found], names=[*rest, *added])
 
-    return df.select(*rest).mapInArrow(run, out)
+    return df.select(*rest).mapInArrow(tidy(run), out)

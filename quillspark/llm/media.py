@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 RATE, FRAME, HOP = 8000, 64, 64
 PEAKS, FAN, REACH = 2, 3, 16  # peaks a frame, pairs a peak, frames a pair may span
 BLOCK = 4096  # frames transformed at once
@@ -92,7 +94,7 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([pack(padded(x)) for x in raw], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{id_col} long, n_bytes long, media binary")
+    return rows.mapInArrow(tidy(run), f"{id_col} long, n_bytes long, media binary")
 
 
 def analysed(media: DataFrame, id_col: str = "doc_id", arrays: bool = True) -> DataFrame:
@@ -118,4 +120,4 @@ def analysed(media: DataFrame, id_col: str = "doc_id", arrays: bool = True) -> D
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fp_times", "fp_codes"][: 8 if arrays else 6]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k, _ in zip(cols, kinds, names, strict=False))], names=[id_col, "n_bytes", *names])
 
-    return media.mapInArrow(run, schema)
+    return media.mapInArrow(tidy(run), schema)

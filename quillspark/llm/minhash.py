@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, stored
+from .common import components, stored, tidy
 from .substring import window_hashes, word_spans
 
 K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 10, 1024, 2_000_000
@@ -81,7 +81,6 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _sketches(width: int):
     def run(batches):
-        release()
         for batch in batches:
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
             heads = [s[:HEADS].view(np.int64) for s in sets]
@@ -178,7 +177,6 @@ def _compare(percent: int, exact: bool):
         return pa.RecordBatch.from_arrays([pa.array(key[x][keep]), pa.array(a), pa.array(b), pa.array(more[inv][keep])], names=["key", "a", "b", "more"])
 
     def run(batches):
-        release()
         carry, held = [], 0
         for batch in batches:
             if not batch.num_rows:
@@ -245,13 +243,13 @@ def _proposals(lists: DataFrame, sketches: DataFrame, percent: int, comp: DataFr
     rows = rows.withColumn("side", F.when(F.col("lo") == F.col("hi"), F.lit(-1)).otherwise(F.col("blk")))
     rows = rows.select("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value").join(sketches.hint("merge"), "id")
     rows = rows.repartition("g").sortWithinPartitions("g")
-    return rows.mapInArrow(_compare(percent, only is not None), "key long, a long, b long, more boolean")
+    return rows.mapInArrow(tidy(_compare(percent, only is not None)), "key long, a long, b long, more boolean")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest linked id, itself included), kept."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    all_rows = stored(rows.mapInArrow(_sketches(width), "id long, n long, mark binary, sketch binary, heads array<long>"), "sketches")
+    all_rows = stored(rows.mapInArrow(tidy(_sketches(width)), "id long, n long, mark binary, sketch binary, heads array<long>"), "sketches")
     full = all_rows.filter("n > 0 and id is not null")
     classes = full.groupBy("mark").agg(F.min("id").alias("rep"))
     reps = full.join(classes.hint("merge"), "mark").filter("id = rep").dropDuplicates(["id", "mark"])
@@ -272,11 +270,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
     wide = first.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
-    tested = stored(wide.mapInArrow(_confirm(percent, width), "a long, b long, linked boolean"), "tested")
+    tested = stored(wide.mapInArrow(tidy(_confirm(percent, width)), "a long, b long, linked boolean"), "tested")
     links = tested.filter("linked").select("a", "b")
     comp = stored(components(links), "components1")
     failed = first.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
-    sets = texts.mapInArrow(_full_sets(width), "id long, sketch binary")
+    sets = texts.mapInArrow(tidy(_full_sets(width)), "id long, sketch binary")
     rest = stored(_proposals(lists, sets, percent, comp, failed), "round2")
     if rest.head(1):
         comp = stored(components(links.unionByName(rest.select("a", "b"))), "components2")

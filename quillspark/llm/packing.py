@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
-from .tokens import ByteChunks, shared
+from .common import release, stored, texts_of
+from .tokens import MAX_CHUNKS, ByteChunks, shared
 
 REGION, ISLANDS, EPOCHS = 8192, 2, 2
 POPULATION, GENERATIONS = 3, 2
 
 
-def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
+def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool, table_chunks: int):
     def run(batches):
-        table = shared(ByteChunks, tokenizer)
+        table = shared(ByteChunks, tokenizer, table_chunks)
         tail = np.uint32(end_id).tobytes()
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
@@ -158,6 +158,7 @@ _STATE = "region int, island int, elite binary, bins int, fill double"
 
 def _epoch(capacity: int, epoch: int):
     def run(items: pa.Table, state: pa.Table) -> pa.Table:
+        release(None)  # without tokenizer tables
         if not items.num_rows:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.float64())], names=["region", "island", "elite", "bins", "fill"])
         region, island = items.column("region")[0].as_py(), items.column("island")[0].as_py()
@@ -172,6 +173,7 @@ def _epoch(capacity: int, epoch: int):
 
 
 def _placed(items: pa.Table, state: pa.Table) -> pa.Table:
+    release(None)
     size, row = items.column("length").to_numpy(), items.column("row").to_numpy()
     order = np.lexsort((row, -size))
     best = np.frombuffer(state.column("elite")[0].as_py(), "<i4") if len(order) else np.zeros(0, np.int64)
@@ -204,11 +206,14 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
     return placed.unionByName(full.select("row", (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids as bytes)."""
+def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", table_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids as bytes).
+
+    table_chunks bounds the tokenizer table of each Python worker (about 200 bytes a chunk): it changes
+    how often a word is segmented again, never the result."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    pieces = stored(rows.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), schema).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = stored(rows.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids, table_chunks), schema).withColumn("row", F.monotonically_increasing_id()), "pieces")
     out = pieces.join(assign(pieces.select("row", "length"), capacity), "row").drop("row")
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _GATE = re.compile("[0-9@]")
@@ -398,7 +398,7 @@ def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 1200, steps: in
                     out.append(t[max(0, a - 20) : min(len(t), a - 20 + 2 * WINDOW)])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["w"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(windows, "w string").distinct()
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(windows), "w string").distinct()
     texts = [r["w"] for r in rows.orderBy(F.xxhash64("w"), "w").limit(max_docs).collect()]
     return train_tagger(texts, steps)
 
@@ -443,7 +443,7 @@ def find(df: DataFrame, tagger: SpanTagger, id_col: str = "doc_id", text_col: st
 
     one = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{id_col} long, base {one}, spans {one}")
+    return rows.mapInArrow(tidy(run), f"{id_col} long, base {one}, spans {one}")
 
 
 def mask(df: DataFrame, tagger: SpanTagger, text_col: str = "text") -> DataFrame:
@@ -451,7 +451,6 @@ def mask(df: DataFrame, tagger: SpanTagger, text_col: str = "text") -> DataFrame
     held = df.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches):
-        release()
         for batch in batches:
             k = batch.schema.names.index(text_col)
             texts = batch.column(k).to_pylist()
@@ -469,4 +468,4 @@ def mask(df: DataFrame, tagger: SpanTagger, text_col: str = "text") -> DataFrame
             cols[k] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shuffle_partitions
+from .common import shuffle_partitions, tidy
 
 NO_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -154,7 +154,6 @@ def _windows(width: int, buckets: int, block_windows: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches):
-        release()
         docs, parts, held = [], [], 0
         for batch in batches:
             ids, raws = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
@@ -276,7 +275,7 @@ def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_remove
     carry = tuple(carry)
     given = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     wide = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(text_col).isNull().alias("void"), *[F.col(c).alias(f"carry_{c}") for c in carry if c != text_col])
-    sent = rows.mapInArrow(_windows(width, n, block_windows), _SENT)
+    sent = rows.mapInArrow(tidy(_windows(width, n, block_windows)), _SENT)
     gone = sent.groupBy("bucket").applyInArrow(_firsts(m), "target int, ids binary, ths binary, sizes binary, pos binary")
 
     @F.pandas_udf("int")

@@ -21,12 +21,13 @@ MAX_CHUNKS = 1_000_000
 MAX_CHUNK_CHARS = 200
 BATCH_CHARS = 2_000_000
 
-def shared(kind, path: str):
-    """One table for each worker process and model file."""
+def shared(kind, path: str, most: int = MAX_CHUNKS):
+    """One table of at most so many chunks for each worker process and model file."""
     key = (kind.__name__, path)
     release(key)
     if key not in KEPT:
         KEPT[key] = kind(path)
+    KEPT[key].most = most
     return KEPT[key]
 
 
@@ -34,7 +35,7 @@ class _Chunks:
     """chunk text -> its ids as little-endian unsigned 32-bit bytes; None: not safe as a chunk."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.most = path, MAX_CHUNKS
         self.table: dict[str, bytes | None] = {}
 
     def cut(self, text: str) -> list[str]:
@@ -60,8 +61,8 @@ class _Chunks:
     def learn(self, chunks: set[str]) -> None:
         table = self.table
         new = list(chunks)
-        if len(table) + len(new) > MAX_CHUNKS:  # what came first is the most frequent: two thirds stay
-            self.table = table = dict(islice(table.items(), MAX_CHUNKS * 2 // 3))
+        if len(table) + len(new) > self.most:  # what came first is the most frequent: two thirds stay
+            self.table = table = dict(islice(table.items(), self.most * 2 // 3))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             good = [c for c in part if not self.unsafe(c)]

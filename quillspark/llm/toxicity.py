@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 K, BLOCK, SMOOTH = 15, 64, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_SEEN = 300_000
@@ -196,7 +198,7 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int], text_col: str =
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *counts[at].tolist()], pa.int64())], names=["term", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "term long, n long")
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(run), "term long, n long")
     found = dict(rows.groupBy("term").agg(F.sum("n")).collect())
     return found.get(-1, 0), [found.get(i, 0) for i in range(len(terms))]
 
@@ -239,4 +241,4 @@ def score_toxicity(df: DataFrame, model: NearestExamples, text_col: str = "text"
                 cols.append(pa.array([[{"doc_id": d, "cosine": c, "label": l} for d, c, l in e] for _, e in got], kind))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in rest), *cols], names=[*rest, *added])
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).mapInArrow(tidy(run), schema)
