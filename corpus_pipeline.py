@@ -16,6 +16,8 @@ from quillspark.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose best language has less of its n-grams of letters than this is in no known language.
 LEAST_SHARE = 0.35
+#: Words a worker's tokenizer table holds: the stages before have filled the executors' heaps.
+TABLE_CHUNKS = 250_000
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2, table_chunks=TABLE_CHUNKS)
 
 
 STAGES = [
