@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import uuid
 
 import numpy as np
@@ -28,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; set only where the session has none (tests)."""
+    """A fresh folder under spark.checkpoint.dir; a folder of its own only where driver and executors are
+    one process and the setting is absent (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
@@ -43,7 +47,20 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored() tables that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.stored_at.rpartition("/")[0])
 
 
 def crc_mod(col, n: int):
@@ -140,7 +157,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Returns (node, component_id = smallest reachable node) for nodes that have an edge. Every task
     first contracts its own edges with union-find; then large-star and small-star rounds run on
     tables in the shared folder until nothing changes. No component is ever held by one task: the
-    star steps are a partial-aggregated minimum and a join on the node.
+    star steps are a partial-aggregated minimum and a join on the node. Raises if max_rounds do not do (each
+    round at least halves the paths that are left).
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
@@ -156,11 +174,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: smaller neighbours (and the node) point at the smallest of them
         small = large.join(low2, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("x"), "m")
         small = small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
-        e = stored(small, "star")
+        e, old = stored(small, "star"), e
+        discard(old)
         sign = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (sign["n"], sign["s"]) == seen:
             break
         seen = (sign["n"], sign["s"])
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     star = e.groupBy("a").agg(F.min("b").alias("component_id"))
     tops = star.select(F.col("component_id").alias("node")).distinct().withColumn("component_id", F.col("node"))
     return star.select(F.col("a").alias("node"), "component_id").unionByName(tops)
