@@ -10,18 +10,23 @@ values before it with probability 0.2^10. In a list, pairs are compared by the u
 the threshold, and confirmed on full sets: 100 * intersection >= percent * union, exactly.
 
 Pairs within a list are not all emitted. The first round proposes a spanning forest of each list's
-estimated links; confirmed ones join components. Lists with failed proposals are opened again with
-full sets: pairs of different components are compared exactly, best estimates first, unless joined
-meanwhile, and only a forest of true links leaves the task. So components are those of all links.
-Lists longer than BLOCK members (or BLOCK_SHINGLES values) are split and their blocks meet two by two.
-
-Texts that are null or hold no word link with nothing (component: their own id). Rows of one id with
-different texts are judged each by its text; a null id has component null, links with nothing and is
-kept. Extra columns are ignored.
+estimated links; those confirmed on their words join components. Lists with failed proposals are opened
+again with full sets: pairs of different components are compared, best estimates first, unless joined
+meanwhile, and only a forest of links leaves the task, again confirmed on words. So components are those
+of all links. Hashes find and count shingles (64 bits; classes are told apart by 128); what links two
+texts is that their words are equal, compared as such. Lists longer than BLOCK members (or BLOCK_SHINGLES
+values) are split and their blocks meet two by two.
+
+Texts that are null or hold no word link with nothing (component: their own id). Repeated rows are one
+class. Rows of one id with different texts are judged each by its text and share the id's component; a
+null id has component null, links with nothing and is kept. Ties: the smallest id stands for a group.
+Extra columns are ignored. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,41 +34,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored, tidy
-from .substring import window_hashes, word_spans
+from .words import Words, mix, run_hashes
 
 K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 10, 1024, 2_000_000
 APART = 9  # values only one of two sets has before the first they share
 PROBE, PROBE_LEAST = 12, 2  # a first look at so many values must find so many shared
 DEVIATIONS = 6  # a pair is kept if its estimate is at most so many below the threshold
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _PAD = 0xFFFFFFFF
+MAX_WORDS = 300_000  # words a task keeps numbered between batches
+
+
+def shingles(text: str | None, words: Words, width: int) -> tuple[np.ndarray, int]:
+    """The ids of a text's words, A-Z lower-cased, and the width of its shingles: all words if they are fewer."""
+    ids = words.numbers((text or "").encode().lower())
+    return ids, min(width, len(ids))
+
 
+def hashes(ids: np.ndarray, words: Words, width: int, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every shingle, another one for each seed."""
+    if not width:
+        return np.zeros(0, np.uint64)
+    return mix(run_hashes(words.values(ids, seed), width, seed) + np.uint64(width))
 
-def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+
+def shingle_sets(texts: list[str], width: int, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    raws = [t.encode() for t in texts]
-    out: list[np.ndarray] = []
-    at = 0
-    while at < len(raws):
-        begin, size = at, 0
-        while at < len(raws) and (at == begin or size + len(raws[at]) < 1 << 20):
-            size += len(raws[at]) + 1
-            at += 1
-        buf = _LOWER[np.frombuffer(b"\n".join(raws[begin:at]), np.uint8)]
-        offsets = np.cumsum([0, *(len(r) + 1 for r in raws[begin:at])])
-        starts, ends = word_spans(buf)
-        lead = np.searchsorted(starts, offsets)
-        all_windows = window_hashes(buf, starts, ends, width, 0)
-        for i in range(at - begin):
-            a, b = int(lead[i]), int(lead[i + 1])
-            if b - a >= width:
-                out.append(np.unique(all_windows[a : b - width + 1]))
-            elif b > a:
-                out.append(window_hashes(buf, starts[a:b], ends[a:b], b - a, 0))
-            else:
-                out.append(np.zeros(0, np.uint64))
-    return out
+    words = Words()
+    return [np.unique(hashes(ids, words, w, seed)) for ids, w in (shingles(t, words, width) for t in texts)]
+
+
+class ShingleSet:
+    """The distinct shingles of a text: their hashes in order, and a place of each for comparing words."""
+
+    def __init__(self, ids: np.ndarray, words: Words, width: int):
+        every = hashes(ids, words, width)
+        by = np.argsort(every)
+        h = every[by]
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        self.ids, self.width, self.hash, self.at = ids, width, h[new], by[new]
+        head = by[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else by
+        self.sure = all(np.array_equal(ids[by + k], ids[head + k]) for k in range(width))  # equal hashes, equal words
+
+    def shared(self, other: ShingleSet) -> int | None:
+        """How many shingles both hold; None if hashes of different words are equal."""
+        if not (self.sure and other.sure):
+            return None
+        if self.width != other.width:
+            return 0
+        at = np.searchsorted(other.hash, self.hash)
+        hit = np.flatnonzero(other.hash[np.minimum(at, len(other.hash) - 1)] == self.hash) if len(other.hash) else at[:0]
+        a, b = self.at[hit], other.at[at[hit]]
+        same = all(np.array_equal(self.ids[a + k], other.ids[b + k]) for k in range(self.width))
+        return len(hit) if same else None
+
+    def plain(self) -> set[tuple]:
+        return {tuple(self.ids[i : i + self.width].tolist()) for i in range(len(self.ids) - self.width + 1)} if self.width else set()
+
+
+def linked(a: ShingleSet, b: ShingleSet, percent: int) -> bool:
+    """Whether two texts link, decided on their words."""
+    shared, union = a.shared(b), len(a.hash) + len(b.hash)
+    if shared is None:
+        left, right = a.plain(), b.plain()
+        shared, union = len(left & right), len(left) + len(right)
+    return shared > 0 and 100 * shared >= percent * (union - shared)
 
 
 def _sketch(s: np.ndarray) -> np.ndarray:
@@ -81,13 +115,21 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _sketches(width: int):
     def run(batches):
+        words = Words()
         for batch in batches:
-            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
-            heads = [s[:HEADS].view(np.int64) for s in sets]
-            sketch = [_sketch(s).tobytes() for s in sets]
-            mark = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            n, heads, sketch, mark = [], [], [], []
+            for t in batch.column(1).to_pylist():
+                ids, w = shingles(t, words, width)
+                own, at = np.unique(hashes(ids, words, w), return_index=True)
+                other = hashes(ids, words, w, 1)[at]
+                n.append(len(own))
+                heads.append(own[:HEADS].view(np.int64))
+                sketch.append(_sketch(own).tobytes())
+                mark.append(xxhash.xxh3_128_digest(own.tobytes() + other.tobytes()))
+            if len(words) > MAX_WORDS:
+                words.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(mark, pa.binary()), pa.array(sketch, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(sketch, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
                 names=["id", "n", "mark", "sketch", "heads"],
             )
 
@@ -202,29 +244,36 @@ def _compare(percent: int, exact: bool):
     def one(rows: pa.Table):
         cols = [rows.column(c).to_numpy() for c in ("g", "key", "id", "n", "rank", "side", "comp", "step", "at_step", "value")]
         raws = rows.column("sketch").to_pylist()
-        if not exact:
-            return batch_pairs(*cols, np.frombuffer(b"".join(raws), "<u4").reshape(-1, K), None)
-        sets = [np.frombuffer(r, "<u8") for r in raws]
-        return batch_pairs(*cols, np.array([_sketch(s) for s in sets]), sets)
+        sketch = np.frombuffer(b"".join(r[: 4 * K] for r in raws), "<u4").reshape(-1, K)
+        return batch_pairs(*cols, sketch, [np.frombuffer(r, "<u8", offset=4 * K) for r in raws] if exact else None)
 
     return run
 
 
 def _confirm(percent: int, width: int):
     def run(batches):
+        words = Words()
         for batch in batches:
-            left, right = ([t or "" for t in batch.column(c).to_pylist()] for c in (2, 3))
-            good = [_linked(a, b, percent) for a, b in zip(shingle_sets(left, width), shingle_sets(right, width), strict=True)]
+            good = []
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                (a, w), (b, v) = shingles(left, words, width), shingles(right, words, width)
+                good.append(linked(ShingleSet(a, words, w), ShingleSet(b, words, v), percent))
+            if len(words) > MAX_WORDS:
+                words.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, seed: int):
+    """The sketch, then the whole set by hashes of the seed."""
+
     def run(batches):
         for batch in batches:
-            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sketch"])
+            texts = batch.column(1).to_pylist()
+            tops = [_sketch(s).tobytes() for s in shingle_sets(texts, width)]
+            sets = [s.tobytes() for s in shingle_sets(texts, width, seed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a + b for a, b in zip(tops, sets, strict=True)], pa.binary())], names=["id", "sketch"])
 
     return run
 
@@ -266,18 +315,32 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     first = stored(_proposals(lists, sketches, percent), "round1")
     ends = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # neither side of these joins has a bound, so they are sort-merge joins at every size
-    texts = stored(rows.join(ends.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    wide = first.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
-    tested = stored(wide.mapInArrow(tidy(_confirm(percent, width)), "a long, b long, linked boolean"), "tested")
+    texts = stored(rows.join(ends.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs a, b with linked: whether their words say so (of rows of one id, whether any does)."""
+        left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
+        right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
+        wide = pairs.select("a", "b").distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
+        each = wide.mapInArrow(tidy(_confirm(percent, width)), "a long, b long, linked boolean")
+        return stored(each.groupBy("a", "b").agg(F.max("linked").alias("linked")), name)
+
+    tested = confirmed(first, "tested")
     links = tested.filter("linked").select("a", "b")
     comp = stored(components(links), "components1")
-    failed = first.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
-    sets = texts.mapInArrow(tidy(_full_sets(width)), "id long, sketch binary")
-    rest = stored(_proposals(lists, sets, percent, comp, failed), "round2")
-    if rest.head(1):
-        comp = stored(components(links.unionByName(rest.select("a", "b"))), "components2")
+    again = first.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
+    for seed in itertools.count(1):  # once, but where hashes of different words have met
+        sets = texts.mapInArrow(tidy(_full_sets(width, seed)), "id long, sketch binary")
+        rest = stored(_proposals(lists, sets, percent, comp, again), f"round{1 + seed}")
+        if not rest.head(1):
+            break
+        true = confirmed(rest, f"tested{1 + seed}")
+        links = links.unionByName(true.filter("linked").select("a", "b"))
+        comp = stored(components(links), f"components{1 + seed}")
+        false = true.filter("not linked").select("a", "b")
+        if not false.head(1):
+            break
+        again = rest.join(false, ["a", "b"], "left_semi").select("key").distinct()
     member = full.join(classes, "mark").select("id", "mark", "rep").distinct()
     found = member.join(comp, F.col("rep") == F.col("node"), "left").select("id", "mark", F.coalesce("component_id", "rep").alias("component_id"))
     out = all_rows.select("id", "n", "mark").join(found, ["id", "mark"], "left")
