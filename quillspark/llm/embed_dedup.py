@@ -13,7 +13,8 @@ matrices, so a hot list is many tasks; they return counts and a spanning forest,
 
 Vectors that are null, zero or hold a null or non-finite component, and vectors without a label, link
 with nothing; so do vectors of different lengths. Rows of one id with different vectors are joined as
-one node. A null id keeps component null and is kept. Extra columns are ignored.
+one node. Repeated rows count as other vectors of one id. A null id keeps component null and is kept.
+Extra columns are ignored. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, stored
+from .common import components, local_roots, stored, tidy
 
 NEAREST, SHARED, BLOCK, MAX_PIVOTS = 12, 3, 512, 2048
 
@@ -39,9 +40,9 @@ def _clean(batches):
             raw = None
             if v and label is not None and not any(x is None for x in v):
                 a = np.array(v, dtype="<f8") + 0.0
-                size = float(np.sqrt(a @ a)) if np.isfinite(a).all() else 0.0
-                if size > 0 and np.isfinite(size):
-                    raw = a.tobytes()
+                most = float(np.abs(a).max())
+                if 0 < most < np.inf:  # scaled by a power of two, so that no square is infinite or vanishes
+                    raw = np.ldexp(a, -np.frexp(most)[1]).tobytes()
             raws.append(raw)
             marks.append(xxhash.xxh3_128_digest(raw) if raw is not None else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raws, pa.binary()), pa.array(marks, pa.binary())], names=["id", "label", "vec", "mark"])
@@ -89,21 +90,22 @@ def _verify(least: float):
             at = np.flatnonzero(sizes == size)
             unit = _unit([vecs[i] for i in at])
             most = max(len(near_lists[i]) for i in at)
-            near = np.array([near_lists[i] + [-1 - k for k in range(most - len(near_lists[i]))] for i in at])
+            own, rank = np.unique(np.concatenate([near_lists[i] for i in at]), return_inverse=True)
+            has = np.zeros((len(at), len(own)), np.float32)
+            has[np.repeat(np.arange(len(at)), [len(near_lists[i]) for i in at]), rank] = 1
+            low = int(np.searchsorted(own, pivot))
             need = min(SHARED, most)
             for lo in range(0, len(at), BLOCK):
-                cos = unit[lo : lo + BLOCK] @ unit.T
-                x, y = np.nonzero(cos >= least)
+                part = has[lo : lo + BLOCK]
+                # shared pivots make candidates; a pair belongs to the list of its smallest shared pivot
+                x, y = np.nonzero((part @ has.T >= need) & (part[:, :low] @ has[:, :low].T == 0))
                 x += lo
                 keep = x < y
                 keep &= (side[at[x]] < 0) | (side[at[x]] != side[at[y]])
                 x, y = x[keep], y[keep]
-                for s in range(0, len(x), 100_000):
-                    i, j = x[s : s + 100_000], y[s : s + 100_000]
-                    both = (near[i][:, :, None] == near[j][:, None, :]) & (near[i] >= 0)[:, :, None]
-                    hit = both.any(axis=2)
-                    first = np.where(hit.any(axis=1), np.take_along_axis(near[i], hit.argmax(axis=1)[:, None], 1)[:, 0], -1)
-                    good = (hit.sum(axis=1) >= need) & (first == pivot)
+                for s in range(0, len(x), 20_000):
+                    i, j = x[s : s + 20_000], y[s : s + 20_000]
+                    good = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
                     i, j = at[i[good]], at[j[good]]
                     np.add.at(links, i, weight[j])
                     np.add.at(links, j, weight[i])
@@ -121,7 +123,7 @@ def link_embeddings(df: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     """id, n_links (other vectors linked directly), component_id, kept."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = stored(rows.mapInArrow(_clean, "id long, label string, vec binary, mark binary"), "vectors")
+    rows = stored(rows.mapInArrow(tidy(_clean), "id long, label string, vec binary, mark binary"), "vectors")
     good = rows.filter("vec is not null and id is not null")
     classes = good.groupBy("label", "mark").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = good.join(classes, ["label", "mark"]).filter("id = rep").dropDuplicates(["id", "label", "mark"]).select("id", "label", "vec", "copies")
@@ -132,7 +134,7 @@ def link_embeddings(df: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     for size in {len(r["vec"]) for r in sample}:
         pivots[size // 8] = _unit([r["vec"] for r in sample if len(r["vec"]) == size])
     held = spark.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
-    described = reps.mapInArrow(_describe(held), "id long, label string, vec binary, copies long, near array<int>")
+    described = reps.mapInArrow(tidy(_describe(held)), "id long, label string, vec binary, copies long, near array<int>")
     first = F.expr(f"slice(near, 1, greatest(1, size(near) - {SHARED - 1}))")
     lists = described.withColumn("pivot", F.explode(first))
     sizes = described.select("label", F.explode(first).alias("pivot")).groupBy("label", "pivot").agg(F.count("*").alias("c")).filter("c > 1")
