@@ -14,7 +14,9 @@ the recipes against the manifest (root, documents, ids and start of each shard),
 chunk's digest and crc, joins them to the recipes and checks every document's root; bytes do not move again, as
 the crc of a document is composed from its chunks' crcs and lengths.
 
-Null and empty texts hold the end id only. Repeated doc_ids are each kept (recipes are rows).
+Null and empty texts hold the end id only. Repeated doc_ids are each kept (recipes are rows), and so are
+null ids, before all others; repeated rows share their chunks. Extra columns are ignored. An empty table
+gives a store without rows that reads back as an empty table.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, texts_of
+from .common import delete, shuffle_partitions, texts_of, tidy
 from .crc import Joiner
 from .tokens import WordChunks, shared
 
 WINDOW, MASK_BITS, LEAST, MOST = 8, 8, 64, 1024
 DIGEST = 16
+SHARD_DOCS = 100_000  # documents of a shard, about: its roots are hashed in one task
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,16 +111,18 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     cut = _split(rows, tokenizer, end_id).groupBy("kind", "key", "doc_id").agg(F.first("n").alias("n"), F.first("data").alias("data"), F.count("*").alias("copies"))
     cut.write.partitionBy("kind").parquet(f"{path}/objects")
     n = shuffle_partitions(spark)
-    docs = spark.read.parquet(f"{path}/objects/kind=0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    docs = _objects(spark, path, 0)
+    n = max(n, -(-(docs.agg(F.sum("copies")).first()[0] or 0) // SHARD_DOCS))
+    docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     docs = docs.select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("digests"))
-    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id()).write.parquet(f"{path}/sorted")
+    docs.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("shard", F.spark_partition_id()).write.parquet(f"{path}/sorted")
     docs = spark.read.parquet(f"{path}/sorted")
     shards = docs.groupBy("shard").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     # one row per shard: its window runs over as many rows as there are shuffle partitions
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("shard_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     shards.join(_shard_roots(docs), "shard").write.parquet(f"{path}/manifest")
-    inside = Window.partitionBy("shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
     starts = F.broadcast(spark.read.parquet(f"{path}/manifest").select("shard", "shard_start"))
     recipes = docs.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, "shard")
     recipes = recipes.select("shard", "doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "digests", "root")
@@ -126,8 +131,13 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     delete(spark, f"{path}/objects/kind=0")
 
 
+def _objects(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    """Rows of one kind (1 chunks, 0 documents on their way to recipes); none where no file is."""
+    return spark.read.schema("key binary, doc_id long, n long, data binary, copies long, kind int").parquet(f"{path}/objects").filter(F.col("kind") == kind)
+
+
 def _shard_roots(docs: DataFrame) -> DataFrame:
-    """Merkle root of each shard over its documents' roots in ascending doc_id order."""
+    """Merkle root of each shard over its documents' roots (about SHARD_DOCS at most) in ascending doc_id order."""
 
     @F.pandas_udf("binary")
     def root(lists):
@@ -149,12 +159,6 @@ def broken_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest").join(now, "shard", "full").filter(broken)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _checked(batches):
     for batch in batches:
         good, crc, size = [], [], []
@@ -195,20 +199,20 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     bad = broken_shards(spark, path).select("shard").head(1)
     if bad:
         raise ValueError(f"shard {bad[0]['shard']}: the recipes do not match the manifest")
-    chunks = spark.read.parquet(f"{path}/objects/kind=1").select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), F.col("data").alias("ids"))
-    seen = chunks.mapInArrow(_checked, "digest binary, crc long, n_ids long")
+    chunks = _objects(spark, path, 1).select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), F.col("data").alias("ids"))
+    seen = chunks.mapInArrow(tidy(_checked), "digest binary, crc long, n_ids long")
     recipes = spark.read.parquet(f"{path}/recipes")  # start names a row: every document has an id at least
     count = (F.length("digests") / DIGEST).cast("int")
     entries = recipes.select("start", F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"), "digests")
     entries = entries.select("start", "pos", F.expr(f"substring(digests, pos * {DIGEST} + 1, {DIGEST})").alias("digest"))
     found = entries.join(seen, "digest", "left").groupBy("start").agg(F.collect_list(F.struct("pos", "digest", "crc", "n_ids")).alias("parts"))
     rows = recipes.join(found, "start", "left").select("doc_id", "n_tokens", "digests", "root", "parts", "start")
-    return rows.mapInArrow(_composed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(tidy(_composed), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and its whole ids again, for training jobs."""
-    chunks = spark.read.parquet(f"{path}/objects/kind=1").select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), F.col("data").alias("ids"))
+    chunks = _objects(spark, path, 1).select(F.col("key").alias("digest"), F.col("n").alias("n_ids"), F.col("data").alias("ids"))
     recipes = spark.read.parquet(f"{path}/recipes")  # start names a row: every document has an id at least
     count = (F.length("digests") / DIGEST).cast("int")
     entries = recipes.select("start", "doc_id", F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"), "digests")
