@@ -10,8 +10,8 @@ decides. A tagged e-mail is widened to the ends of its address, which may lie ou
 A tagged span is kept if its kind's form holds and it meets no base span.
 
 fit() reads a bounded sample: windows around digits and "@" of up to max_docs documents (drawn by a
-hash of the text), labelled by the base patterns; phone and e-mail spans are also rewritten in other
-usual forms. Without such documents the tagger is trained on rewritten examples alone.
+hash of the text), labelled by the base patterns; spans are also rewritten in other
+usual forms and moved between words of other texts. Without such documents the tagger is trained on rewritten examples alone.
 
 Null and empty texts hold nothing. Offsets are code points, ends exclusive. Equal starts are ordered
 by kind: email, ip, card, phone. Rows repeat as they come.
@@ -86,6 +86,7 @@ _SINGLE = "@.-+()_%/:=\"',;#&$*!?|<>[]{}"
 CLASSES = 8 + len(_SINGLE)
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 WINDOW, STRIDE, MARGIN = 96, 48, 20
+CELLS = 20_000  # characters decoded at once, padding counted, but for a longer segment
 
 
 def _class_table() -> np.ndarray:
@@ -264,8 +265,9 @@ class SpanTagger:
         score = [a / b for a, b in zip(total, mass, strict=True)]
         out: list = [None] * len(segments)
         order = sorted(range(len(segments)), key=lambda s: len(segments[s]))
-        for lo in range(0, len(order), 128):
-            part = order[lo : lo + 128]
+        while order:  # the longest with as many others as CELLS allow, so that padding stays small
+            part = order[-max(1, CELLS // max(1, len(segments[order[-1]]))) :]
+            del order[-len(part) :]
             for s, path in zip(part, self._viterbi([score[s] for s in part]), strict=True):
                 out[s] = path
         return out
@@ -384,7 +386,7 @@ _EXAMPLES = (  # fixed values: one filled-in form of each kind, and look-alikes
 )
 
 
-def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 1200, steps: int = 300) -> SpanTagger:
+def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 1200, steps: int = 400) -> SpanTagger:
     """Train on windows of a bounded sample of documents; see the module."""
 
     def windows(batches):
@@ -403,12 +405,30 @@ def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 1200, steps: in
     return train_tagger(texts, steps)
 
 
-def train_tagger(texts: list[str], steps: int = 300) -> SpanTagger:
+def moved(text: str, spans: list[tuple[int, int, int]], around: list[str], rng: np.random.Generator) -> tuple[str, list]:
+    """One of the text's spans between words of other texts, so that its form tells more than its neighbours."""
+    a, b, k = spans[rng.integers(len(spans))]
+    before, after = (around[rng.integers(len(around))] for _ in range(2))
+    left = before[-int(rng.integers(1, 40)) :].rstrip() + (" ", ": ", " (", ", ", "\n")[rng.integers(5)]
+    right = (" ", ", ", ".", ") ", "; ", "\n")[rng.integers(6)] + after[: int(rng.integers(1, 40))].lstrip()
+    return left + text[a:b] + right, [(len(left), len(left) + b - a, k)]
+
+
+def train_tagger(texts: list[str], steps: int = 400) -> SpanTagger:
     rng = np.random.default_rng(11)
-    ids, tags = [], []
-    for t in [*texts, *_EXAMPLES * max(1, (200 - len(texts)) // 4)]:
-        for form in ((t, base_spans(t)), rewritten(t, base_spans(t), rng)):
-            text, spans = form
+    ids, tags, around = [], [], [""]
+    texts = [*texts, *_EXAMPLES * max(1, (200 - len(texts)) // 4)]
+    for t in texts:  # words that stand between spans, without digits
+        done = 0
+        for a, b, _ in [*base_spans(t), (len(t), len(t), 0)]:
+            around += [x for x in re.split("[0-9@]+", t[done:a]) if len(x) > 3]
+            done = max(done, b)
+    for t in texts:
+        spans = base_spans(t)
+        forms = [(t, spans), rewritten(t, spans, rng)]
+        if spans:
+            forms += [moved(*forms[i], around, rng) for i in (0, 1, 1)]
+        for text, spans in forms:
             for at in range(0, max(1, len(text) - WINDOW // 2), WINDOW):
                 c = classes_of(text)[at : at + WINDOW]
                 row, tag = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
