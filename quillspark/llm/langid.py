@@ -33,10 +33,14 @@ from .common import tidy
 N = 3
 SLOT_BITS = 20
 BLOCK_CHARS = 300_000  # characters looked up at once
-_LETTER = re.compile(r"[^\W\d_]")
+_LIKELY = re.compile(r"[^\W\d_]+")  # letters, and numbers that are no digits
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for m in _LIKELY.finditer(text) for c in m.group())
+
+
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts (a space around each), and where texts end."""
     lowered = [f" {t.lower()} " for t in texts]
@@ -96,7 +100,7 @@ class LanguageFilter:
     def judge(self, texts: list[str | None], cover: bool = False) -> tuple[list[str], list[float], list[float]]:
         """Language, its share of the hits and, with cover, its share of the n-grams that hold a letter and no digit."""
         lang, score, covered = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not at or not self.langs:
             return lang, score, covered
         first = 0
@@ -159,9 +163,9 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
 
 def identify(df: DataFrame, model: LanguageFilter, text_col: str = "text", cover: bool = False) -> DataFrame:
     """df with lang_pred string and score double, with cover also covered double; existing columns of
-    these names are replaced."""
+    these names, in any case, are replaced."""
     added = ["lang_pred", "score", *(["covered"] if cover else [])]
-    rest = [c for c in df.columns if c not in added]
+    rest = [c for c in df.columns if c.lower() not in added]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     held = df.sparkSession.sparkContext.broadcast(model)  # SLOT_BITS fixes its size: 1 MB
     out = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "lang_pred string", "score double", *(["covered double"] if cover else [])])
