@@ -159,12 +159,13 @@ class NearestExamples:
                 counts.update(hit)
         return self._weigh(counts)
 
-    def score(self, text: str | None) -> tuple[float, list]:
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score and its evidence: positions and cosines of the neighbours, best first."""
         at, w = self.vector(text or "")
         who, cos = self.neighbours(at, w)
         vote = float((cos @ self.labels[who] + SMOOTH * self.base) / (cos.sum() + SMOOTH))
         p = float(np.interp(vote, *self.cal))
-        return min(1.0, max(0.0, p)), [(int(self.ids[i]), float(s), int(self.labels[i])) for i, s in zip(who, cos, strict=True)]
+        return min(1.0, max(0.0, p)), who, cos
 
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
@@ -223,22 +224,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_toxicity(df: DataFrame, model: NearestExamples, text_col: str = "text", evidence: bool = True) -> DataFrame:
     """df with score double, predicted int and evidence array<struct<doc_id, cosine, label>>.
 
-    Existing columns of these names are replaced.
+    Existing columns of these names, in any case, are replaced.
     """
     added = ["score", "predicted", *(["evidence"] if evidence else [])]
-    rest = [c for c in df.columns if c not in added]
+    rest = [c for c in df.columns if c.lower() not in added]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "score double, predicted int", *(["evidence array<struct<doc_id:bigint,cosine:double,label:int>>"] if evidence else [])])
     held = df.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
         m = held.value
         for batch in batches:
             got = [m.score(t) for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
-            cols = [pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _ in got], pa.int32())]
+            cols = [pa.array([s for s, _, _ in got], pa.float64()), pa.array([int(s >= 0.5) for s, _, _ in got], pa.int32())]
             if evidence:
-                cols.append(pa.array([[{"doc_id": d, "cosine": c, "label": l} for d, c, l in e] for _, e in got], kind))
+                who, cos = np.concatenate([w for _, w, _ in got]), np.concatenate([c for _, _, c in got])
+                ends = pa.array(np.cumsum([0, *(len(w) for _, w, _ in got)]), pa.int32())
+                parts = [pa.array(m.ids[who]), pa.array(cos), pa.array(m.labels[who], pa.int32())]
+                cols.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["doc_id", "cosine", "label"])))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in rest), *cols], names=[*rest, *added])
 
     return df.select(*rest).mapInArrow(tidy(run), schema)
