@@ -116,8 +116,12 @@ def analysed(media: DataFrame, id_col: str = "doc_id", arrays: bool = True) -> D
                 row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{frames}:{peaks}:{len(codes)}:{mark}", times, codes)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fp_times", "fp_codes"][: 8 if arrays else 6]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k, _ in zip(cols, kinds, names, strict=False))], names=[id_col, "n_bytes", *names])
+            made = [pa.array(c, k) for c, k, _ in zip(cols[:6], kinds, names, strict=False)]
+            if arrays:
+                ends = pa.array(np.cumsum([0, *map(len, cols[6])]), pa.int32())
+                made += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *c]))) for c in cols[6:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=[id_col, "n_bytes", *names])
 
     return media.mapInArrow(tidy(run), schema)
