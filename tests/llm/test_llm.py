@@ -410,7 +410,7 @@ def test_packing(spark):
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 100, 300).tolist()
-    a, b = (packing.best_fit(rng.permutation(300).tolist(), sizes, 100) for _ in range(2))
+    a, b = (packing.best_fit(rng.permutation(300).tolist(), sizes, packing.Bins(100)) for _ in range(2))
     for _ in range(20):
         child = packing.cross(a, b, sizes, rng)
         assert sorted(i for items in child.items for i in items) == list(range(300))
