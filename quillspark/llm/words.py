@@ -9,7 +9,7 @@ has to be certain, ids of the words themselves (or digests of them) are compared
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import xxhash
@@ -68,10 +68,9 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, int] = defaultdict()
-        self.ids.default_factory = self.ids.__len__
+        self.ids: dict[bytes, int] = defaultdict(count().__next__)  # no cycle: it goes as soon as it is dropped
         self.known = np.zeros((1 << 12, 2), np.uint64)
-        self.count = 0
+        self.seen = 0
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -83,14 +82,14 @@ class Words:
 
     def values(self, ids: np.ndarray, which: int = 0) -> np.ndarray:
         """The words' values below PRIME; even and odd kinds come from either half of a 128-bit hash."""
-        more = len(self.ids) - self.count
+        more = len(self.ids) - self.seen
         if more:
             new = list(islice(reversed(self.ids), more))[::-1]
             both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), "<u8").reshape(-1, 2)
             if len(self.ids) > len(self.known):
-                self.known = np.concatenate([self.known[: self.count], np.zeros((max(more, len(self.known)) + len(self.known) - self.count, 2), np.uint64)])
-            self.known[self.count : len(self.ids)] = both % _P
-            self.count = len(self.ids)
+                self.known = np.concatenate([self.known[: self.seen], np.zeros((max(more, len(self.known)) + len(self.known) - self.seen, 2), np.uint64)])
+            self.known[self.seen : len(self.ids)] = both % _P
+            self.seen = len(self.ids)
         return self.known[:, which & 1][ids]
 
 
