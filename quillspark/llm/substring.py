@@ -38,7 +38,7 @@ from .common import release, tidy
 from .words import Words, mix, run_hashes, slices
 
 NO_ID = -(1 << 63)
-KEY_BYTES, DIGEST = 5, 16
+KEY_BYTES, DIGEST = 4, 16
 BUCKET_BYTES = 8 << 20
 MAX_WORDS = 300_000  # words a task keeps numbered between blocks
 
