@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 from dataclasses import dataclass, fields
 
 # --- fixed values: enumerations
@@ -81,7 +83,25 @@ PAGE_NOISE = r"(?i)nav|menu|footer|breadcrumb|sidebar|copyright|links?"
 # --- fixed values: care texts
 CARE_MILD = {"中文": "听起来你最近可能有些压力，注意休息、照顾好自己。", "English": "Sounds like things may feel a bit heavy lately. Take care of yourself."}
 CARE_MODERATE = {"中文": "如果你愿意，可以找人聊聊：{care_info}", "English": "If you would like to talk to someone: {care_info}"}
-CRISIS_TEXT = "我很担心你现在的状态。请立刻联系身边可以信任的人，或拨打心理援助热线：{care_info}"
+CRISIS_TEXT = """我注意到这里提到了很让人担心的状况。这样的感受很沉重，谁都不该独自扛着。
+
+{care_info}
+
+紧急求助：120 / 110
+
+如果你、或者你身边正有人处于紧急危险中，请立即拨打120，并联系身边信任的人陪着。
+
+愿意多说说吗？我会一直在这里。"""
+
+# --- fixed values: replies where no service answers
+CHITCHAT_TEXT = {
+    "中文": "抱歉，我暂时无法回应。你可以问我{school}的选课、培养、宿舍、后勤等校园事务问题。",
+    "English": "Sorry, I can't respond right now. You can ask me about {school} campus matters such as courses, programs, housing, and logistics.",
+}
+NO_ANSWER_TEXT = {
+    "中文": "抱歉，我暂时无法生成回答（服务繁忙）。请稍后重试，或直接联系学校相关职能部门获取准确信息。",
+    "English": "Sorry, I'm unable to generate an answer right now (service busy). Please try again later, or contact the relevant {school} office directly.",
+}
 
 
 @dataclass(frozen=True)
@@ -116,6 +136,10 @@ class Settings:
     near_dup: float = 0.8
     recall_gate: float = 0.95
     care_info: str = "021-00000000"
+    school: str = "学校"
+    request_chars: tuple = (1, 4000)
+    oversample: float = 1.8
+    quality_gate: float = 0.5
 
     @classmethod
     def from_conf(cls, spark) -> Settings:
@@ -124,8 +148,47 @@ class Settings:
             raw = spark.conf.get(f"spark.quillspark.{f.name}", None)
             if raw is not None:
                 kind = type(f.default)
-                got[f.name] = tuple(int(x) for x in raw.split(",")) if kind is tuple else kind(raw)
+                got[f.name] = tuple(int(x) for x in raw.split(",")) if kind is tuple else kind(raw)  # 6,120
         return cls(**got)
 
 
 DEFAULT = Settings()
+
+
+def active() -> Settings:
+    """The settings of the active session; the defaults where there is none."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    return Settings.from_conf(spark) if spark is not None else DEFAULT
+
+
+class setting:  # noqa: N801
+    """Stands as a parameter's default: configured() puts the session's value of that name in its place."""
+
+    def __init__(self, name: str, times: int = 1, part: int | None = None):
+        self.name, self.times, self.part = name, times, part
+
+    def of(self, settings: Settings):
+        value = getattr(settings, self.name)
+        value = value if self.part is None else value[self.part]
+        return value * self.times if self.times != 1 else value
+
+    def __repr__(self):
+        return f"setting({self.name})"
+
+
+def configured(function):
+    """Read defaults that are settings from the session when the function is called."""
+    places = {k: p.default for k, p in inspect.signature(function).parameters.items() if isinstance(p.default, setting)}
+    names = list(inspect.signature(function).parameters)
+
+    @functools.wraps(function)
+    def call(*args, **given):
+        missing = [k for k in places if k not in given and names.index(k) >= len(args)]
+        if missing:
+            now = active()
+            given |= {k: places[k].of(now) for k in missing}
+        return function(*args, **given)
+
+    return call

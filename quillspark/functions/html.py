@@ -174,7 +174,8 @@ def total_pages(html: Column) -> Column:
 
 
 def list_page_url(base: Column, n: Column) -> Column:
-    return F.when(n == 1, base).otherwise(F.regexp_replace(base, r"list\.htm$", "list") + n.cast("string") + F.lit(".htm"))
+    """Address of the n-th list page: list.htm, list2.htm and so on."""
+    return F.when(n == 1, base).otherwise(F.concat(F.regexp_replace(base, r"list\.htm$", "list"), n.cast("string"), F.lit(".htm")))
 
 
 def links(pages: DataFrame, pattern: str = r"href=\"([^\"]+)\"", only: str | None = None) -> DataFrame:
@@ -185,7 +186,8 @@ def links(pages: DataFrame, pattern: str = r"href=\"([^\"]+)\"", only: str | Non
     return found.groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
 
 
-def list_items(pages: DataFrame, least: int = C.DEFAULT.list_min) -> DataFrame:
+@C.configured
+def list_items(pages: DataFrame, least: int = C.setting("list_min")) -> DataFrame:
     """page_id, pos, title, href of the largest link group of each page (first on ties), if large enough."""
     a = pages.select("page_id", F.explode(anchors_udf("html", "url")).alias("a")).select("page_id", "a.*")
     size = a.groupBy("page_id", "grp").agg(F.count("*").alias("n"))
@@ -195,5 +197,6 @@ def list_items(pages: DataFrame, least: int = C.DEFAULT.list_min) -> DataFrame:
     return first.select("page_id", "pos", "title", "href")
 
 
-def page_route(body_chars: Column, attachments: Column, least: int = C.DEFAULT.article_min) -> Column:
+@C.configured
+def page_route(body_chars: Column, attachments: Column, least: int = C.setting("article_min")) -> Column:
     return F.when(body_chars >= least, "document").when(attachments > 0, "attachments").otherwise("skip")

@@ -78,7 +78,9 @@ def url_hash(c: Column) -> Column:
 
 
 def relative_path(c: Column, base: str) -> Column:
-    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "^" + base.replace(".", r"\.").rstrip("/") + "/", "")
+    """The path below base; the whole path, with forward slashes, where it lies elsewhere."""
+    path, base = F.replace(c, F.lit("\\"), F.lit("/")), base.replace("\\", "/").rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, F.length(path))).otherwise(path)
 
 
 def mask_pii(c: Column) -> Column:
@@ -91,8 +93,9 @@ def sanitize(c: Column, limit: int | None = None) -> Column:
     return mask_pii(c) if limit is None else F.left(mask_pii(c), F.lit(limit))
 
 
-def sanitize_all(c: Column) -> Column:
-    return F.transform(c, mask_pii)
+def sanitize_all(c: Column, depth: int = 1) -> Column:
+    """Mask every text of an array, or of arrays in arrays down to depth; null stays null."""
+    return F.transform(c, mask_pii if depth == 1 else lambda x: sanitize_all(x, depth - 1))
 
 
 def tail(c: Column, n: int) -> Column:
@@ -100,7 +103,8 @@ def tail(c: Column, n: int) -> Column:
     return F.slice(c, F.greatest(F.size(c) - n + 1, F.lit(1)), n)
 
 
-def minimised_context(messages: Column, keep: int = C.DEFAULT.context_messages) -> Column:
+@C.configured
+def minimised_context(messages: Column, keep: int = C.setting("context_messages")) -> Column:
     """Last messages with masked content."""
     return F.transform(tail(messages, keep), lambda m: F.struct(m["role"].alias("role"), mask_pii(m["content"]).alias("content")))
 
@@ -120,7 +124,8 @@ def qa_clean(c: Column) -> Column:
     return strip(F.regexp_replace(t, "(?U)" + C.NUMBER_AT_END, ""))
 
 
-def strip_residue(c: Column, least: int = C.DEFAULT.answer_chars[0]) -> Column:
+@C.configured
+def strip_residue(c: Column, least: int = C.setting("answer_chars", part=0)) -> Column:
     """Drop a section title or page controls at the end, twice at most, never below the least length."""
     out = c
     going = F.lit(True)
@@ -131,7 +136,8 @@ def strip_residue(c: Column, least: int = C.DEFAULT.answer_chars[0]) -> Column:
     return out
 
 
-def strip_leading_question(c: Column, least: int = C.DEFAULT.answer_chars[0]) -> Column:
+@C.configured
+def strip_leading_question(c: Column, least: int = C.setting("answer_chars", part=0)) -> Column:
     shorter = strip(F.regexp_replace(c, "(?U)" + C.QUESTION_AT_START, ""))
     return F.when(F.length(shorter) >= least, shorter).otherwise(c)
 
@@ -140,7 +146,8 @@ def fix_broken_tokens(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, C.BROKEN_LETTER, "$1"), C.BROKEN_DIGIT, "")
 
 
-def valid_pair(q: Column, a: Column, s: C.Settings = C.DEFAULT) -> Column:
+def valid_pair(q: Column, a: Column, s: C.Settings | None = None) -> Column:
+    s = s or C.active()
     urls_out = strip(F.regexp_replace(a, r"https?://\S+", ""))
     ends = strip(q).endswith("？") | strip(q).endswith("?")
     return F.length(q).between(*s.question_chars) & F.length(a).between(*s.answer_chars) & ends & (F.length(urls_out) >= s.answer_chars[0])
@@ -188,10 +195,17 @@ def letter_share(c: Column, letters: str = "[\u4e00-\u9fff]") -> Column:
     return F.when(F.length(c) > 0, (F.length(c) - F.length(F.regexp_replace(c, letters, ""))) / F.length(c)).otherwise(F.lit(0.0))
 
 
-def usable_chunk(c: Column, letters: str = "[\u4e00-\u9fff]", s: C.Settings = C.DEFAULT) -> Column:
+def usable_chunk(c: Column, letters: str = "[\u4e00-\u9fff]", s: C.Settings | None = None) -> Column:
+    s = s or C.active()
     return (F.length(c) >= s.usable_chars) & (letter_share(c, letters) >= s.usable_share)
 
 
+@C.configured
+def sample_length(c: Column, chars: tuple = C.setting("sample_chars")) -> Column:
+    """Whether a sample's length is allowed."""
+    return F.length(c).between(*chars)
+
+
 def is_detail_page(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#].*$", "").rlike(r"page\.htm$")
 
