@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import located
+from ..functions.text import located, normalise
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -31,6 +32,24 @@ def classification_report(df: DataFrame, labels, true: str = "y_true", pred: str
     return r.select("label", F.round(p, 6).alias("precision"), F.round(q, 6).alias("recall"), F.round(ratio(2 * p * q, p + q), 6).alias("f1"), "support")
 
 
+def validation(df: DataFrame, labels, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
+    """The classification report with accuracy and macro F1 of all rows beside each label."""
+    right = df.agg(F.round(ratio(F.count_if(F.col(true) == F.col(pred)), F.count("*")), 6).alias("accuracy"))  # one row
+    report = classification_report(df, labels, true, pred)
+    macro = report.agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+    return report.join(F.broadcast(right), F.lit(True)).join(F.broadcast(macro), F.lit(True))
+
+
+def slowest(df: DataFrame, by: str, ties: str, n: int = 3) -> DataFrame:
+    """The n rows of the greatest values (a report: the limit is the feature)."""
+    return df.orderBy(F.desc(by), ties).limit(n)
+
+
+def chunk_statistics(chunks: DataFrame, by: str = "strategy", text_col: str = "text") -> DataFrame:
+    n = F.length(text_col)
+    return chunks.groupBy(by).agg(F.count("*").alias("chunks"), F.round(F.avg(n), 6).alias("mean_chars"), F.max(n).alias("max_chars"))
+
+
 def confusion(df: DataFrame, labels, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """One row per true label, one column n_<label> per predicted label, zero-filled."""
     sums = [F.sum(F.when(F.col(pred) == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in labels]
@@ -42,7 +61,7 @@ def missed(df: DataFrame, label, true: str = "y_true", pred: str = "y_pred") ->
     """support, hits, missed, recall and whether the gate is met (0 where the class is absent)."""
     r = df.filter(F.col(true) == label).agg(F.count("*").alias("support"), F.count_if(F.col(pred) == label).alias("hits"))
     recall = ratio(F.col("hits"), F.col("support"))
-    return r.select("support", "hits", (F.col("support") - F.col("hits")).alias("missed"), F.round(recall, 6).alias("recall"), (recall >= C.DEFAULT.recall_gate).alias("gate"))
+    return r.select("support", "hits", (F.col("support") - F.col("hits")).alias("missed"), F.round(recall, 6).alias("recall"), (recall >= C.active().recall_gate).alias("gate"))
 
 
 def source_breakdown(df: DataFrame, label, true: str = "y_true", pred: str = "y_pred", source: str = "source") -> DataFrame:
@@ -60,15 +79,49 @@ def level_report(df: DataFrame, high, default, by: str = "mode", true: str = "y_
     )
 
 
-def gold_pairs(evidence: DataFrame, chunks: DataFrame, on: list[str] | None = None) -> DataFrame:
+def gold_pairs(evidence: DataFrame, chunks: DataFrame, on: list[str] | None = None, block: int = 5000) -> DataFrame:
     """Pairs of evidence (item_id, evidence) and chunks whose text holds it; on: columns both share.
 
-    Without such columns the evidence set is a stated query set and meets every chunk once.
-    """
-    cond = located(F.col("text"), F.col("evidence"))
+    Without such columns the evidence is a stated query set: blocks of about `block` of its texts, without
+    white space, become one automaton each, and every chunk's text runs through it once. Blank evidence is
+    in no chunk."""
     if on:
-        return chunks.join(evidence, on).filter(cond)
-    return chunks.join(evidence, cond)
+        return chunks.join(evidence, on).filter(located(F.col("text"), F.col("evidence")))
+    import ahocorasick
+
+    spark = chunks.sparkSession
+    asked = evidence.select(F.col("item_id").cast("long").alias("item_id"), normalise(F.col("evidence")).alias("bare")).filter("bare <> ''")
+    blocks = max(1, -(-asked.count() // block))
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+    rest = [c for c in chunks.columns if c != "item_id"]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "item_id long"])
+    read = chunks.select(*rest, normalise(F.col("text")).alias("_bare"))
+    out = None
+    for b in range(blocks):
+        machine, ids = ahocorasick.Automaton(), {}
+        for r in asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect():
+            ids.setdefault(r["bare"], []).append(r["item_id"])
+        for bare in ids:
+            machine.add_word(bare, bare)
+        if not ids:
+            continue
+        machine.make_automaton()
+        held = spark.sparkContext.broadcast((machine, ids))
+
+        def found(batches, held=held):
+            machine, ids = held.value
+            for batch in batches:
+                rows, items = [], []
+                for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    for bare in {bare for _, bare in machine.iter(text)} if text else ():
+                        rows += [i] * len(ids[bare])
+                        items += ids[bare]
+                part = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(items, pa.int64())], names=[*rest, "item_id"])
+
+        leg = read.mapInArrow(found, schema)
+        out = leg if out is None else out.unionByName(leg)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def recall_at(hits: DataFrame, questions: DataFrame, ks: tuple[int, ...]) -> DataFrame:
