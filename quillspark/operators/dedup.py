@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -29,7 +30,8 @@ def numbered(rows: DataFrame, order: list[str], limit: int, form: str = "r%03d")
     return top.withColumn("item", F.format_string(form, F.row_number().over(Window.orderBy(*order))))
 
 
-def near_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float = C.DEFAULT.near_dup, other: DataFrame | None = None, other_text: Column | None = None) -> DataFrame:
+@C.configured
+def near_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float = C.setting("near_dup"), other: DataFrame | None = None, other_text: Column | None = None) -> DataFrame:
     """Pairs with 3-gram Jaccard at least the threshold, exactly, by prefix filtering on rare grams.
 
     Sets meet only through one of their rarest grams: n - ceil(t n) + 1 of each, in the order of
@@ -57,28 +59,64 @@ def near_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float = C.
     return both.select("a", "b", F.round(j, 6).alias("jaccard"), j.alias("_j")).filter(F.col("_j") >= threshold).drop("_j")
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Cut lineage at a table in the folder of spark.checkpoint.dir (all executors reach it)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where driver and executors are one process (tests) and the
+    setting is absent, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Cut lineage at a table in the folder of spark.checkpoint.dir (all executors reach it)."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def greedy_kept(rows: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
-    """Ids a sequential pass would keep: no earlier kept neighbour; pairs (a < b).
+def comparable(text: Column) -> Column:
+    """Whether a text's near-duplicate form has a 3-gram; shorter ones count as duplicates."""
+    return F.coalesce(F.length(near_dup_form(text)) >= 3, F.lit(False))
+
+
+def isolated(rows: DataFrame, id_col: str, text: Column, excluded: DataFrame, excluded_text: Column) -> DataFrame:
+    """Rows that are near no text of the excluded corpora (id, text) by 3-gram Jaccard; shorter texts than
+    a 3-gram go."""
+    near = near_pairs(rows, id_col, text, other=excluded, other_text=excluded_text).select(F.col("a").alias(id_col)).distinct()
+    return rows.filter(comparable(text)).join(near, id_col, "left_anti")
+
+
+def eligible(records: DataFrame, audience: str = "target_audience", valid: str = "valid_semester") -> DataFrame:
+    """Documents that every reader sees at any time; missing values count as that."""
+    return records.filter((F.coalesce(F.col(audience), F.lit(C.EVERYONE)) == C.EVERYONE) & (F.coalesce(F.col(valid), F.lit(C.ALWAYS)) == C.ALWAYS))
+
+
+@C.configured
+def candidates(chunks: DataFrame, count: int, per_doc: int, seed: str, doc: str = "doc_id", chunk: str = "chunk_index", times: float = C.setting("oversample")) -> DataFrame:
+    """At most per_doc chunks of each document, then int(count * times) of all in a seeded order: place
+    (from 1) tells it. Both orders are md5 hashes of the seed and the chunk's key."""
+    key = F.concat_ws("#", F.lit(seed), F.col(doc).cast("string"), F.col(chunk).cast("string"))
+    some = chunks.withColumn("_h", F.md5(key)).withColumn("_r", F.row_number().over(Window.partitionBy(doc).orderBy("_h", chunk))).filter(F.col("_r") <= per_doc)
+    order = [F.md5(F.concat(F.lit("all"), F.col("_h"))), F.col(doc), F.col(chunk)]
+    top = some.drop("_r").orderBy(*order).limit(int(count * times))
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("_h")
+
+
+def greedy_kept(rows: DataFrame, pairs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """Ids a sequential pass would keep: long enough to compare and no earlier kept neighbour; pairs (a < b).
 
     Every round keeps undecided rows with no undecided or kept earlier neighbour and drops those with
     a kept one; the rounds end when none is undecided.
     """
     edges = scratch(pairs.select("a", "b"))
-    kept = scratch(rows.select(F.col(id_col).cast("long").alias("id")).join(edges.select(F.col("b").alias("id")), "id", "left_anti"))
+    kept = scratch(rows.filter(comparable(text)).select(F.col(id_col).cast("long").alias("id")).join(edges.select(F.col("b").alias("id")), "id", "left_anti"))
     left = scratch(edges.select(F.col("b").alias("id")).distinct())
     while left.head(1):
         now_dropped = edges.join(kept.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()

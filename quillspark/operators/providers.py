@@ -6,6 +6,8 @@ reranker and judge, a lexicon classifier. A provider returns Columns, so it stay
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,11 @@ def words(c: Column) -> Column:
 
 
 class LexicalEncoder:
-    """Sparse word weights and, from them, a dense vector of hashed buckets."""
+    """Sparse word weights and, from them, a dense vector of word counts by bucket (a hash of the word, or
+    what bucket makes of it)."""
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    def __init__(self, dim: int = 64, bucket=F.crc32):
+        self.dim, self.bucket = dim, bucket
 
     def sparse(self, c: Column) -> Column:
         """array<struct<token, weight>> with weight 1 + ln(count)."""
@@ -29,9 +32,14 @@ class LexicalEncoder:
         return let(words(c), lambda w: F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("token"), (1 + F.log(count(w, t))).alias("weight"))))
 
     def dense(self, c: Column) -> Column:
-        at = F.transform(words(c), lambda w: F.pmod(F.crc32(w), F.lit(self.dim)))
-        every = F.sequence(F.lit(0), F.lit(self.dim - 1))
-        return F.when(c.isNotNull(), let(at, lambda a: F.transform(every, lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double"))))
+        """Counts by bucket; words and buckets are found in the plan, the counting goes by Arrow batches."""
+        dim = self.dim
+
+        @F.pandas_udf("array<double>")
+        def counts(buckets: pd.Series) -> pd.Series:
+            return buckets.map(lambda b: None if b is None else np.bincount(np.asarray(b, np.int64), minlength=dim).astype(float))
+
+        return counts(F.transform(words(c), lambda w: F.pmod(self.bucket(w), F.lit(dim))))
 
 
 class OverlapReranker:
@@ -70,11 +78,6 @@ class LexiconClassifier:
         return F.when(c.isNotNull(), F.array(*[r / total for r in raw]))
 
 
-def first_hop(*answers: Column) -> Column:
-    """Answer of the first service that gave one."""
-    return F.coalesce(*answers)
-
-
 def hop_name(names: list[str], answers: list[Column]) -> Column:
     return F.coalesce(*[F.when(a.isNotNull(), F.lit(n)) for n, a in zip(names, answers, strict=True)])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import mask_pii, minimised_context
+from ..functions.text import json_object, mask_pii, minimised_context
 
 NORMAL, MILD, MID, HIGH = C.LEVELS
 
@@ -35,7 +35,8 @@ def rule_level(c: Column, high=C.HIGH_RISK, mid=C.MID_RISK, negated=C.NEGATED) -
     )
 
 
-def escalated(turns: DataFrame, weak=C.WEAK_SIGNALS, rounds: int = C.DEFAULT.escalation_rounds) -> DataFrame:
+@C.configured
+def escalated(turns: DataFrame, weak=C.WEAK_SIGNALS, rounds: int = C.setting("escalation_rounds")) -> DataFrame:
     """User turns with escalated: the user's last `rounds` turns before all hold a weak signal."""
     users = turns.filter("role = 'user'")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-rounds, -1)
@@ -50,7 +51,8 @@ def rule_levels(turns: DataFrame, high=C.HIGH_RISK, mid=C.MID_RISK, negated=C.NE
     return r.select("conv_id", "turn", F.when(up, F.lit(MID)).otherwise(F.col("r.level")).alias("level"), F.when(up, F.lit("escalation")).otherwise(F.col("r.rule")).alias("rule"))
 
 
-def fused(rule: Column, probs: Column, threshold: float = C.DEFAULT.model_threshold) -> Column:
+@C.configured
+def fused(rule: Column, probs: Column, threshold: float = C.setting("model_threshold")) -> Column:
     """struct<level, source, confidence> from the rule level and the model's probabilities (or null)."""
     best = F.array_max(probs)
     argmax = F.element_at(F.array(*map(F.lit, C.LEVELS)), F.array_position(probs, best).cast("int"))
@@ -77,11 +79,24 @@ def upgraded(base: Column, level: Column, referent: Column) -> Column:
     ).otherwise(F.struct(base["level"].alias("level"), base["source"].alias("source"), base["confidence"].alias("confidence"), F.when(ok, referent).alias("referent")))
 
 
+def judged(base: Column, answer: Column) -> Column:
+    """The base result lifted by a semantic judge's answer, a JSON object with level and referent. An
+    unreadable answer, or none, leaves the base as it is: the judge only ever adds."""
+    v = json_object(answer)
+    return upgraded(base, *[F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ("level", "referent")])
+
+
+def referent_of(answer: Column) -> Column:
+    """The referent of a referent-only judge's answer, known values only; unreadable: none."""
+    return known_or(F.try_variant_get(json_object(answer), "$.referent", "string"), C.REFERENTS)
+
+
 def ordinal(level: Column) -> Column:
     return (F.array_position(F.array(*map(F.lit, C.LEVELS)), level) - 1).cast("int")
 
 
-def resampled(samples: Column, extra: int = C.DEFAULT.resamples) -> Column:
+@C.configured
+def resampled(samples: Column, extra: int = C.setting("resamples")) -> Column:
     """Level of the first sample unless it is the middle one; then the highest of it and the next ones."""
     first = F.get(samples, 0)
     more = F.filter(F.slice(samples, 1, extra + 1), lambda s: s.isin(*C.LEVELS))
@@ -95,12 +110,13 @@ def known_or(c: Column, allowed, default: Column | None = None) -> Column:
     return ok if default is None else F.coalesce(ok, default)
 
 
-def alert_records(turns: DataFrame, level: str = "level", limit: int = C.DEFAULT.summary_chars) -> DataFrame:
+@C.configured
+def alert_records(turns: DataFrame, level: str = "level", limit: int = C.setting("summary_chars")) -> DataFrame:
     """Alerts of high turns: masked summary and the last messages before, masked.
 
     turns: conv_id, turn, role, text, level (null but on user turns).
     """
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-C.DEFAULT.context_messages, -1)
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-C.active().context_messages, -1)
     before = F.collect_list(F.struct("role", F.col("text").alias("content"))).over(w)
     high = turns.withColumn("before", before).filter(F.col(level) == HIGH)
     return high.select(

@@ -22,10 +22,6 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def top_k(df: DataFrame, group: str | list[str], score: str, k: int | Column, ties: list[str], rank: str = "rank") -> DataFrame:
     keys = [group] if isinstance(group, str) else group
     w = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)
@@ -72,7 +68,8 @@ def sparse_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return top_k(scored, "query_id", "score", k, ["id"])
 
 
-def rrf(legs: list[DataFrame], k: int, constant: int = C.DEFAULT.rrf_k) -> DataFrame:
+@C.configured
+def rrf(legs: list[DataFrame], k: int, constant: int = C.setting("rrf_k")) -> DataFrame:
     """Reciprocal rank fusion of legs with (query_id, id, rank)."""
     both = legs[0].select("query_id", "id", "rank")
     for leg in legs[1:]:
@@ -81,7 +78,8 @@ def rrf(legs: list[DataFrame], k: int, constant: int = C.DEFAULT.rrf_k) -> DataF
     return top_k(fused, "query_id", "score", k, ["id"])
 
 
-def rerank(candidates: DataFrame, score: Column, k: int | Column = C.DEFAULT.rerank_k) -> DataFrame:
+@C.configured
+def rerank(candidates: DataFrame, score: Column, k: int | Column = C.setting("rerank_k")) -> DataFrame:
     """New scores in place of the old, stable in the order before: candidates (query_id, id, rank, …)."""
     return top_k(candidates.withColumnRenamed("rank", "prior_rank").withColumn("score", F.round(score, 6)), "query_id", "score", k, ["prior_rank"])
 
@@ -92,13 +90,15 @@ def faq_index(entries: DataFrame) -> DataFrame:
     return entries.select("entry_id", F.posexplode(every).alias("variant", "indexed"), "question", "answer", "tags")
 
 
-def faq_match(hits: DataFrame, threshold: float = C.DEFAULT.faq_threshold) -> DataFrame:
+@C.configured
+def faq_match(hits: DataFrame, threshold: float = C.setting("faq_threshold")) -> DataFrame:
     """Best hit of each query if strictly above the threshold: hits (query_id, id, score)."""
     best = hits.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
     return best.select("query_id", F.when(F.col("score") > threshold, F.col("id")).alias("match_id"), "score")
 
 
-def faq_dual(original: DataFrame, rewritten: DataFrame, threshold: float = C.DEFAULT.faq_threshold) -> DataFrame:
+@C.configured
+def faq_dual(original: DataFrame, rewritten: DataFrame, threshold: float = C.setting("faq_threshold")) -> DataFrame:
     """Better of the two variants' matches; on a tie the original's."""
     both = original.withColumn("variant", F.lit(0)).unionByName(rewritten.withColumn("variant", F.lit(1)))
     best = both.filter(F.col("score") > threshold).groupBy("query_id")
@@ -112,7 +112,8 @@ def accepted(same: Column, answered: Column) -> Column:
     return F.coalesce(same & answered, F.lit(True))
 
 
-def widened(ranked: DataFrame, retries: DataFrame, visible: Column, visible_all: Column, k: int = C.DEFAULT.top_k, rerank_k: int = C.DEFAULT.rerank_k) -> DataFrame:
+@C.configured
+def widened(ranked: DataFrame, retries: DataFrame, visible: Column, visible_all: Column, k: int = C.setting("top_k"), rerank_k: int = C.setting("rerank_k")) -> DataFrame:
     """Candidates of each retry: k grows by k, the rerank limit by 2, the audience filter goes after the first.
 
     ranked: (query_id, id, score, …) with enough candidates; retries: (query_id, retry), a few a query.
@@ -122,7 +123,19 @@ def widened(ranked: DataFrame, retries: DataFrame, visible: Column, visible_all:
     return out.withColumn("rerank_k", F.lit(rerank_k) + 2 * F.col("retry"))
 
 
-def merged_sub_queries(hits: DataFrame, k: int = C.DEFAULT.sub_query_k) -> DataFrame:
+def sparse_map(weights: Column) -> Column:
+    """array<struct<token, weight>> as a map of tokens to floats, the stored form of sparse vectors."""
+    return F.map_from_entries(F.transform(weights, lambda w: F.struct(w["token"], w["weight"].cast("float"))))
+
+
+def flattened(hits: DataFrame, rows: DataFrame, fields: tuple[str, ...], key: str = "id") -> DataFrame:
+    """Hits with the stored fields of their rows in the order of rank: query_id, rank, text and so on, score."""
+    wide = hits.join(rows.select(key, *fields), key)
+    return wide.select("query_id", "rank", key, *fields, F.col("score").cast("double").alias("score"))
+
+
+@C.configured
+def merged_sub_queries(hits: DataFrame, k: int = C.setting("sub_query_k")) -> DataFrame:
     """First appearance of each text over a query's sub-queries: hits (query_id, sub, rank, id, text)."""
     first = hits.filter(F.col("rank") <= k).groupBy("query_id", "text").agg(F.min(F.struct("sub", "rank", "id")).alias("m"))
     return first.select("query_id", "text", "m.sub", F.col("m.rank").alias("rank"), "m.id")
