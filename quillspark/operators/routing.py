@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import json_object, tail
-from .providers import LexiconClassifier, OverlapReranker
+from ..functions import text as X
+from ..functions.text import json_object, strip, tail
+from . import vector as V
+from .dedup import scratch
+from .providers import LexiconClassifier, OverlapReranker, words
 from .safety import HIGH, MILD, MID, any_of, fused, known_or, rule_levels
 
 
@@ -51,7 +54,8 @@ def session_language(turns: DataFrame) -> DataFrame:
     return turns.withColumn("language", F.coalesce(asked, came, F.lit(C.LANGUAGES[0])))
 
 
-def quality(verdicts: Column, most: int = C.DEFAULT.max_retry) -> Column:
+@C.configured
+def quality(verdicts: Column, most: int = C.setting("max_retry")) -> Column:
     """struct<retry_count, score, forced> of verdicts array<struct<passed, score>>, one an attempt.
 
     A missing verdict passes; the attempt after the last retry is forced with score 0.5.
@@ -70,12 +74,13 @@ def sources_block(chunks: Column) -> Column:
 
 
 def prompt(question: Column, chunks: Column, history: Column, memories: Column, language: Column) -> Column:
-    said = F.transform(tail(history, C.DEFAULT.history_rounds), lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    said = F.transform(tail(history, C.active().history_rounds), lambda m: F.concat_ws(": ", m["role"], m["content"]))
     parts = F.array(sources_block(chunks), F.array_join(said, "\n"), F.array_join(F.slice(memories, 1, 3), "\n"), language, question)
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
-def care_suffix(level: Column, language: Column, written: Column | None = None, info: str = C.DEFAULT.care_info) -> Column:
+@C.configured
+def care_suffix(level: Column, language: Column, written: Column | None = None, info: str = C.setting("care_info")) -> Column:
     """Suffix for mild and middle levels: the service's words, else the template; "" otherwise."""
     english = language == C.LANGUAGES[1]
     pick = lambda t: F.when(english, t["English"].format(care_info=info)).otherwise(t["中文"].format(care_info=info))
@@ -87,11 +92,13 @@ def final_response(response: Column, suffix: Column) -> Column:
     return F.when(suffix != "", F.concat_ws("\n\n", response, suffix)).otherwise(response)
 
 
-def crisis_reply(written: Column, info: str = C.DEFAULT.care_info) -> Column:
+@C.configured
+def crisis_reply(written: Column, info: str = C.setting("care_info")) -> Column:
     return F.coalesce(F.nullif(F.trim(written), F.lit("")), F.lit(C.CRISIS_TEXT.format(care_info=info)))
 
 
-def history_after(history: Column, user: Column, answer: Column, rounds: int = C.DEFAULT.history_rounds) -> Column:
+@C.configured
+def history_after(history: Column, user: Column, answer: Column, rounds: int = C.setting("history_rounds")) -> Column:
     said = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
     return tail(F.concat(history, F.array(said("user", user), said("assistant", answer))), 2 * rounds)
 
@@ -101,25 +108,168 @@ def memory_summary(written: Column, user: Column, answer: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(written), F.lit("")), plain)
 
 
+@C.configured
+def valid_request(role: Column, text: Column, chars: tuple = C.setting("request_chars")) -> Column:
+    """Whether a row is a user's request of an allowed length."""
+    return F.coalesce((role == "user") & F.length(text).between(*chars), F.lit(False))
+
+
+@C.configured
+def kept_history(turns: DataFrame, rounds: int = C.setting("history_rounds")) -> DataFrame:
+    """The messages of each conversation that its history still holds after the last one."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return turns.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= 2 * rounds).drop("back")
+
+
+def response_source(level: Column, category: Column, match_id: Column, contexts: Column) -> Column:
+    """Where a reply comes from: crisis, chitchat, faq, generated or fallback."""
+    out = F.when(level == HIGH, "crisis").when(category == C.INTENTS[3], "chitchat").when(match_id.isNotNull(), "faq")
+    return out.when(F.size(contexts) > 0, "generated").otherwise("fallback")
+
+
+def reply_in(texts: dict[str, str], language: Column) -> Column:
+    """A fixed reply in the session's language."""
+    s = C.active()
+    filled = {k: v.format(school=s.school, care_info=s.care_info) for k, v in texts.items()}
+    return F.when(language == C.LANGUAGES[1], filled["English"]).otherwise(filled["中文"])
+
+
 def recent_memories(memories: DataFrame, n: int = 5, user: str = "user_id", at: str = "created_at", tie: str = "id") -> DataFrame:
     w = Window.partitionBy(user).orderBy(F.desc(at), F.desc(tie))
     return memories.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def answer(turns: DataFrame, lexicon: dict | None = None) -> DataFrame:
-    """Route every user turn with the offline providers: conv_id, turn, level, source, category, route, reply.
+def word_weights(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Distinct words of a text with the weight 1 + ln(count): keys, token, weight."""
+    rows = df.select(*keys, F.explode(words(text)).alias("token"))
+    return rows.groupBy(*keys, "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
+
+
+@C.configured
+def faq_hits(asked: DataFrame, faq: DataFrame, threshold: float = C.setting("faq_threshold")) -> DataFrame:
+    """conv_id, turn, match_id, faq_answer: the entry one of whose questions has the largest share of its
+    words in the request, above the threshold."""
+    index = V.faq_index(faq).withColumn("w", F.array_distinct(words(F.col("indexed"))))
+    index = index.select("entry_id", "variant", "answer", F.size("w").alias("n"), F.explode("w").alias("token"))
+    own = asked.select("conv_id", "turn", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    hits = own.join(index, "token").groupBy("conv_id", "turn", "entry_id", "variant", "n").agg(F.count("*").alias("c"), F.first("answer").alias("answer"))
+    hits = hits.withColumn("score", F.col("c") / F.col("n")).filter(V.accepted(F.col("score") > threshold, F.lit(True)))
+    best = F.max_by(F.struct("entry_id", "answer"), F.struct("score", -F.col("entry_id"), -F.col("variant")))
+    return hits.groupBy("conv_id", "turn").agg(best.alias("m")).select("conv_id", "turn", F.col("m.entry_id").alias("match_id"), F.col("m.answer").alias("faq_answer"))
 
-    High turns take the crisis reply; chit-chat (no word of three letters) a fixed one; the rest echo
-    their input as a draft that a real generator would replace.
+
+def contexts_by_attempt(asked: DataFrame, chunks: DataFrame, role: str, semester: str) -> DataFrame:
+    """conv_id, turn, retry, contexts array<struct<rank, id, text>>: what each attempt reads.
+
+    asked: conv_id, turn, text, category. Attempts widen (V.widened); the first attempt of a complex query
+    reads the merged hits of its parts instead, the eight best of them.
+    """
+    s, key = C.active(), ["conv_id", "turn"]
+    rows = word_weights(chunks, ["id"], F.col("text"))
+    seen = chunks.select("id", "text", X.visible(F.col("audience"), F.col("valid"), F.lit(role), F.lit(semester)).alias("open"), X.visible(F.col("audience"), F.col("valid"), F.lit(role), F.lit(semester), with_audience=False).alias("open_later"))
+    plain = word_weights(asked.withColumn("query_id", F.struct(*key)), ["query_id"], F.col("text"))
+    # the filter comes before the limits, so every attempt can fill its own
+    def leg(flag: str, k: int) -> DataFrame:
+        return V.sparse_search(plain, rows.join(seen.filter(flag).select("id"), "id", "left_semi"), k).withColumn("narrow", F.lit(flag == "open"))
+
+    ranked = leg("open", s.top_k).unionByName(leg("open_later", s.top_k * (s.max_retry + 1))).drop("rank")
+    tries = asked.select(F.struct(*key).alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(s.max_retry))).alias("retry"), "category")
+    tries = tries.filter((F.col("retry") > 0) | (F.col("category") != C.INTENTS[1])).drop("category")
+    wide = V.widened(ranked, tries, F.col("narrow"), ~F.col("narrow")).select("query_id", "retry", "id", "rank", "rerank_k")
+
+    parts = F.filter(F.split("text", "[?？]", -1), lambda p: strip(p) != "")
+    subs = asked.filter(F.col("category") == C.INTENTS[1]).select(F.struct(*key).alias("query_id"), F.posexplode(parts).alias("sub", "part"))
+    narrow_rows = rows.join(seen.filter("open").select("id"), "id", "left_semi")
+    part_hits = V.sparse_search(word_weights(subs.select(F.struct("query_id", "sub").alias("query_id"), "part"), ["query_id"], F.col("part")), narrow_rows, s.sub_query_k)
+    merged = V.merged_sub_queries(part_hits.join(seen.select("id", "text"), "id").select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.sub").alias("sub"), "rank", "id", "text"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("sub", "rank", "id"))
+    planned = merged.select("query_id", F.lit(0).alias("retry"), "id", place.alias("rank"), F.lit(8).alias("rerank_k"))
+
+    both = wide.unionByName(planned).join(seen.select("id", "text"), "id").join(asked.select(F.struct(*key).alias("query_id"), F.col("text").alias("question")), "query_id")
+    both = both.withColumn("prior", F.col("rank")).withColumn("score", F.round(OverlapReranker().score(F.col("question"), F.col("text")), 6))
+    best = V.top_k(both.drop("rank"), ["query_id", "retry"], "score", F.col("rerank_k"), ["prior"])
+    own = best.groupBy("query_id", "retry").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "text"))).alias("contexts"))
+    return own.select("query_id.conv_id", "query_id.turn", "retry", "contexts")
+
+
+def answer(turns: DataFrame, chunks: DataFrame | None = None, faq: DataFrame | None = None, memories: DataFrame | None = None, lexicon: dict | None = None, role: str = C.ROLES[0], semester: str = C.ALWAYS) -> DataFrame:
+    """The whole turn program over a batch of conversations: one row for each user turn.
+
+    Every turn is classified first; a high one takes the crisis reply and nothing else. The others are routed
+    by intent: chit-chat to a fixed reply; the rest to the FAQ (not complex queries), then to retrieval,
+    draft and quality gate, with up to max_retry wider attempts, the last one forced. Replies get the care
+    suffix of their level; all but crisis and chit-chat leave a memory.
+
+    turns: conv_id, turn, role, text. chunks: id, text, audience, valid. faq: entry_id, question, answer,
+    similar_questions, tags. memories: conv_id, summary, at (its last three are read). Offline providers
+    stand in for services: word overlap reranks and judges, the best context is the draft.
+
+    Returns conv_id, turn, level, source, category, language, route, match_id, contexts (ids), retry_count,
+    score, forced, response_source, response, summary, prompt.
     """
+    s, key = C.active(), ["conv_id", "turn"]
+    spark = turns.sparkSession
+    if chunks is None:
+        chunks = spark.createDataFrame([], "id long, text string, audience string, valid string")
+    if faq is None:
+        faq = spark.createDataFrame([], "entry_id long, question string, answer string, similar_questions array<string>, tags array<string>")
     lex = {"high": C.HIGH_RISK, "mid": C.MID_RISK, "negated": C.NEGATED, "weak": C.WEAK_SIGNALS} | (lexicon or {})
-    levels = rule_levels(turns, lex["high"], lex["mid"], lex["negated"], lex["weak"])
-    users = turns.filter("role = 'user'").join(levels, ["conv_id", "turn"])
+    said = F.struct("role", F.col("text").alias("content"))
+    before = F.collect_list(said).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2 * s.history_rounds, -1))
+    users = turns.withColumn("history", before).filter("role = 'user'").join(rule_levels(turns, lex["high"], lex["mid"], lex["negated"], lex["weak"]), key)
     model = LexiconClassifier(lex["high"], lex["mid"], lex["weak"])
     r = users.withColumn("e", fused(F.col("level"), model.probabilities(F.col("text"))))
-    category = F.when(~F.col("text").rlike(r"\p{L}{3}"), C.INTENTS[3]).when(F.col("text").rlike(any_of((r"\?.*\?", "？.*？"))), C.INTENTS[1]).otherwise(C.INTENTS[0])
-    r = r.withColumn("category", F.when(F.col("e.level") != HIGH, category))
-    route = F.when(F.col("e.level") == HIGH, after_emotion(F.col("e.level"))).otherwise(after_intent(F.col("category")))
-    draft = F.when(F.col("e.level") == HIGH, crisis_reply(F.lit(None).cast("string"))).otherwise(final_response(F.col("text"), care_suffix(F.col("e.level"), F.lit("English"))))
-    score = OverlapReranker().score(F.col("text"), draft)
-    return r.select("conv_id", "turn", F.col("e.level").alias("level"), F.col("e.source").alias("source"), "category", route.alias("route"), draft.alias("reply"), F.round(score, 6).alias("overlap"))
+    category = F.when(~F.col("text").rlike(r"\p{L}{2}"), C.INTENTS[3]).when(F.col("text").rlike(any_of((r"\?.*\?", "？.*？"))), C.INTENTS[1]).otherwise(C.INTENTS[0])
+    r = r.select(*key, "text", "history", F.col("e.level").alias("level"), F.col("e.source").alias("source"), F.when(F.col("e.level") != HIGH, category).alias("category"))
+    came = F.when(F.col("text").rlike("[\u4e00-\u9fff]"), C.LANGUAGES[0]).otherwise(C.LANGUAGES[1])
+    r = session_language(r.withColumn("session", F.col("conv_id")).withColumn("requested", F.lit(None).cast("string")).withColumn("input_language", came)).drop("session", "requested", "input_language")
+    r = scratch(r)  # read four times below
+
+    asked = r.filter(F.coalesce(F.col("category"), F.lit(C.INTENTS[3])) != C.INTENTS[3]).select(*key, "text", "category")
+    found = faq_hits(asked.filter(F.col("category") != C.INTENTS[1]), faq)
+    reads = contexts_by_attempt(asked.join(found, key, "left_anti"), chunks, role, semester)
+    draft = F.get("contexts", 0)["text"]
+    judged = reads.join(asked.select(*key, F.col("text").alias("question")), key).withColumn("score", F.round(OverlapReranker().score(F.col("question"), draft), 6))
+    tries = judged.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("retry", F.struct("contexts", "score")))).alias("tries"))
+    r = r.join(found, key, "left").join(tries, key, "left")
+
+    attempt = lambda i: F.try_element_at(F.col("tries"), F.lit(i))
+    verdicts = F.array(*[F.struct((F.coalesce(attempt(i)["score"], F.lit(0.0)) >= s.quality_gate).alias("passed"), F.coalesce(attempt(i)["score"], F.lit(0.0)).alias("score")) for i in range(s.max_retry)])
+    generates = F.coalesce(F.col("category") != C.INTENTS[3], F.lit(False)) & F.col("match_id").isNull()
+    r = r.withColumn("q", F.when(generates, quality(verdicts)))
+    last = F.when(F.col("q.forced"), s.max_retry).otherwise(F.col("q.retry_count") - 1)
+    none = F.array().cast("array<struct<rank:int,id:bigint,text:string>>")
+    read = F.coalesce(F.when(generates, F.try_element_at(F.col("tries"), last)["contexts"]), none)
+    r = r.withColumn("last", last).withColumn("read", read).drop("tries")
+    r = scratch(r.withColumn("response_source", response_source(F.col("level"), F.col("category"), F.col("match_id"), F.col("read"))))
+
+    where = F.col("response_source")
+    plain = F.when(where == "crisis", crisis_reply(F.lit(None).cast("string"))).when(where == "chitchat", reply_in(C.CHITCHAT_TEXT, F.col("language")))
+    plain = plain.when(where == "faq", F.col("faq_answer")).when(where == "generated", F.get("read", 0)["text"]).otherwise(reply_in(C.NO_ANSWER_TEXT, F.col("language")))
+    reply = F.when(where == "crisis", plain).otherwise(final_response(plain, care_suffix(F.col("level"), F.col("language"))))
+    r = r.withColumn("response", reply)
+    nodes = F.when(where == "crisis", F.array(after_emotion(F.col("level")), F.lit("care_response"))).when(where == "chitchat", F.array(after_intent(F.col("category")), F.lit("care_suffix"), after_suffix(F.col("category"))))
+    nodes = nodes.when(where == "faq", F.array(after_intent(F.col("category")), after_retrieve(F.col("match_id")), after_suffix(F.col("category"))))
+    again = F.flatten(F.array_repeat(F.array(F.lit("generate"), F.lit("quality_check"), F.lit("retrieve")), F.col("last")))
+    nodes = nodes.otherwise(F.concat(F.array(after_intent(F.col("category"))), again, F.array(F.lit("generate"), F.lit("quality_check"), after_quality(F.lit(True)), after_suffix(F.col("category")))))
+    keeps = ~where.isin("crisis", "chitchat")
+    recalled = F.array().cast("array<string>")
+    if memories is not None:
+        recent = recent_memories(memories, 3, "conv_id", "at", "summary").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("rank", "summary"))).alias("m"))
+        r, recalled = r.join(recent.select("conv_id", F.col("m.summary").alias("recalled")), "conv_id", "left"), F.coalesce("recalled", recalled)
+    asks = prompt(F.col("text"), F.transform("read", lambda c: c["text"]), F.col("history"), recalled, F.col("language"))
+    return r.select(
+        *key, "level", "source", "category", "language", F.array_join(nodes, ">").alias("route"), "match_id", F.transform("read", lambda c: c["id"]).alias("contexts"),
+        "q.retry_count", F.round("q.score", 6).alias("score"), "q.forced", "response_source", "response",
+        F.when(keeps, memory_summary(F.lit(None).cast("string"), F.col("text"), F.col("response"))).alias("summary"), F.when(generates, asks).alias("prompt"),
+    )
+
+
+def evaluation_rows(answers: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """End-to-end rows for judged metrics: row_id, question, answer, contexts (texts), reference; questions:
+    conv_id, turn, question, reference."""
+    ids = answers.select("conv_id", "turn", "response", F.posexplode_outer("contexts").alias("pos", "id"))
+    texts = ids.join(chunks.select("id", "text"), "id", "left").groupBy("conv_id", "turn").agg(F.first("response").alias("answer"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("c"))
+    read = F.filter(F.transform("c", lambda x: x["text"]), lambda x: x.isNotNull())
+    rows = questions.join(texts, ["conv_id", "turn"])
+    return rows.select(F.concat_ws("#", "conv_id", "turn").alias("row_id"), "question", "answer", read.alias("contexts"), "reference")
