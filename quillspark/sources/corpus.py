@@ -11,6 +11,9 @@ from ..functions.html import decode_udf, page_text_udf
 from ..functions.text import clean_text, let, strip, title_from_name, url_hash
 
 DEFAULTS = {"适用对象": C.EVERYONE, "生效学期": C.ALWAYS, "发布日期": "", "原文链接": "manual_upload"}
+EVALUATION_SCHEMA = """id string, question string, reference_answer string, user_profile struct<role:string>,
+source struct<doc:string,title:string,doc_type:string,chunk_index:int,chunk_id:string>, evidence string"""
+LABELLED_SCHEMA = "id string, text string, label string"
 FAQ_SCHEMA = "question string, answer string, similar_questions array<string>, tags array<string>"
 
 
@@ -32,7 +35,9 @@ def doc_type(folder: Column) -> Column:
 
 
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records and failures: text and Markdown are decoded, HTML is stripped; other formats need a reader."""
+    """Records and failures: text and Markdown are decoded, HTML is stripped; other formats need a reader.
+
+    A file that cannot be read is a row of failures with its error, never an exception."""
     text = decode_udf("content")
     body = F.when(F.col("extension").isin("html", "htm"), page_text_udf(text)).when(F.col("extension").isin("txt", "md"), text)
     rows = files.withColumn("text", body).withColumn("error", F.when(F.col("text").isNull(), F.concat(F.lit("no reader for ."), F.col("extension"))))
@@ -99,12 +104,26 @@ def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     return raw.select("path", F.coalesce(m, F.create_map().cast("map<string,string>")).alias("meta"))
 
 
-def read_faq(spark: SparkSession, path: str) -> DataFrame:
-    """FAQ array file; an absent file gives no row."""
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file that holds one JSON array of objects; an absent file gives no row, missing fields are null."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return spark.createDataFrame([], FAQ_SCHEMA)
-    return spark.read.schema(FAQ_SCHEMA).option("multiLine", True).json(path)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_faq(spark: SparkSession, path: str) -> DataFrame:
+    return read_array(spark, path, FAQ_SCHEMA)
+
+
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """Questions with reference answers, the chunk they were made of and its evidence."""
+    return read_array(spark, path, EVALUATION_SCHEMA)
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled utterances; rows whose label is none of the four levels go."""
+    return read_array(spark, path, LABELLED_SCHEMA).filter(F.col("label").isin(*C.LEVELS))
 
 
 def uncached(files: DataFrame, cache: DataFrame) -> DataFrame:

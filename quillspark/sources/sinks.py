@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,14 +58,57 @@ def submit_alerts(alerts: DataFrame, path: str, notify=None) -> dict:
     return done
 
 
+def ensure_table(spark: SparkSession, path: str, schema: str) -> str:
+    """Make an empty table where there is none; give an old one the columns it lacks (null in its rows).
+
+    Returns created, repaired or kept."""
+    wanted = spark.createDataFrame([], schema)
+    if not _exists(spark, path):
+        wanted.write.parquet(path)
+        return "created"
+    have = spark.read.option("mergeSchema", "true").parquet(path)
+    if {c.lower() for c in wanted.columns} <= {c.lower() for c in have.columns}:
+        return "kept"
+    overwrite(have.unionByName(wanted, allowMissingColumns=True), path)
+    return "repaired"
+
+
+def swap_in(df: DataFrame, path: str) -> None:
+    """Write df beside path and rename it into place, so that a reader sees the old table or the new one."""
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (new, path))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(there):
+        fs.delete(there, True)
+    if not fs.rename(here, there):
+        raise OSError(f"{new} could not be renamed to {path}")
+
+
+def write_parse_cache(records: DataFrame, path: str) -> None:
+    """Parsed records by path, size and whole second, for corpus.uncached()."""
+    swap_in(records.withColumn("second", F.unix_timestamp("mtime")).select("path", "length", "second", "text"), path)
+
+
+def _one_file_each(rows: DataFrame, path: str) -> None:
+    """rows: file_name, value. A folder for each name with one text file in it."""
+    rows.repartition("file_name").write.mode("overwrite").partitionBy("file_name").option("lineSep", "\x00").text(path)
+
+
+def sidecar_files(docs: DataFrame, path: str) -> None:
+    """One JSON file per document with its metadata, named after the document."""
+    _one_file_each(docs.select(F.concat("file_name", F.lit(".meta.json")).alias("file_name"), F.to_json("metadata").alias("value")), path)
+
+
 def document_files(docs: DataFrame, path: str) -> None:
-    """One text row per document: header lines, a blank line, the body."""
+    """One text file per document (file_name, metadata, text): header lines, a blank line, the body."""
     m = F.col("metadata")
     head = F.concat(
         F.lit("【标题】"), m["title"], F.lit("\n【发布日期】"), m["publish_date"], F.lit("\n【原文链接】"), m["source_url"],
         F.lit("\n【适用对象】"), m["target_audience"], F.lit("\n【生效学期】"), m["valid_semester"], F.lit("\n\n"), F.col("text"),
     )
-    docs.select(head.alias("value")).write.mode("overwrite").option("lineSep", "\x00").text(path)
+    _one_file_each(docs.select("file_name", head.alias("value")), path)
 
 
 def attachments(files: DataFrame, least: int, most: int) -> DataFrame:
@@ -72,8 +118,18 @@ def attachments(files: DataFrame, least: int, most: int) -> DataFrame:
 
 
 def report(df: DataFrame, path: str, kind: str = "json") -> None:
-    out = df.coalesce(1).write.mode("overwrite")
-    out.option("header", True).csv(path) if kind == "csv" else out.json(path)
+    """A report of bounded size as one file; CSV begins with a byte order mark, as spreadsheets want it."""
+    if kind == "csv":
+        df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    else:
+        df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def provenance(spark: SparkSession, path: str, **facts) -> None:
+    """How a data set was made: one JSON object of its counts, seeds and limits."""
+    row = {k: json.dumps(v, ensure_ascii=False) for k, v in sorted(facts.items())}
+    text = "{" + ", ".join(f"{json.dumps(k)}: {v}" for k, v in row.items()) + "}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def build_index(chunks: DataFrame, faq: DataFrame, failures: DataFrame, path: str, rebuild: bool = False) -> dict:

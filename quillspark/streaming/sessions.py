@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,26 +15,27 @@ OUT = "conv_id long, turn long, history_size int, escalated boolean"
 STATE = "roles array<string>, weak array<int>"
 
 
-def session_states(turns: DataFrame, weak=C.WEAK_SIGNALS, rounds: int = C.DEFAULT.escalation_rounds, messages: int = 2 * C.DEFAULT.history_rounds) -> DataFrame:
+@C.configured
+def session_states(turns: DataFrame, weak=C.WEAK_SIGNALS, rounds: int = C.setting("escalation_rounds"), messages: int = C.setting("history_rounds", 2)) -> DataFrame:
     """Per turn: size of the kept history after it, and whether the user's turns before escalate it.
 
     The weak-signal test runs in the plan; the state holds the last `messages` roles and the last
-    `rounds` user signals. Turns of a session are taken in turn order within each micro-batch.
+    `rounds` user signals. A session's turns of one micro-batch are taken together, in turn order, however
+    many Arrow batches bring them.
     """
     marked = turns.select("conv_id", "turn", "role", F.coalesce(F.col("text").rlike(any_of(weak)), F.lit(False)).cast("int").alias("weak"))
 
     def step(key, batches, state: GroupState):
         roles, signals = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = []
-        for df in batches:
-            for r in df.sort_values("turn").itertuples():
-                up = r.role == "user" and len(signals) >= rounds and all(signals[-rounds:])
-                roles = [*roles, r.role][-messages:]
-                if r.role == "user":
-                    signals = [*signals, int(r.weak)][-rounds:]
-                rows.append((key[0], int(r.turn), len(roles), bool(up)))
-        state.update((roles, signals))
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "history_size", "escalated"])
+        new = pd.concat(list(batches)).sort_values("turn", kind="stable")
+        user = (new["role"] == "user").to_numpy()
+        weak = np.concatenate([np.array(signals, np.int64), new["weak"].to_numpy()[user]])
+        before = len(signals) + np.cumsum(user) - user  # user signals known before each turn
+        run = np.concatenate([[0], np.cumsum(weak)])
+        up = user & (before >= rounds) & (run[before] - run[np.maximum(before - rounds, 0)] == rounds)
+        size = np.minimum(len(roles) + 1 + np.arange(len(new)), messages)
+        state.update(([*roles, *new["role"]][-messages:], weak[len(weak) - min(rounds, len(weak)) :].tolist()))
+        yield pd.DataFrame({"conv_id": key[0], "turn": new["turn"].to_numpy(), "history_size": size.astype(np.int32), "escalated": up})
 
     return marked.groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
