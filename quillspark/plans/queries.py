@@ -20,7 +20,7 @@ from ..operators import metrics as M
 from ..operators import routing as R
 from ..operators import safety as S
 from ..operators import vector as V
-from ..operators.providers import LexicalEncoder, OverlapReranker, train_classifier
+from ..operators.providers import LexicalEncoder, LexiconClassifier, OverlapReranker, train_classifier
 from ..streaming.sessions import session_states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,22 +57,29 @@ def evidence_located(spark, d):
     return M.gold_pairs(items, chunks).select("doc_id", F.col("chunk_index").cast("int"), "item_id")
 
 
-@query(f"""with c as {_FIXED}, w as (select 'whole' strategy, b.item_id, count(*) n from documents x, benchmark b where contains({_BARE.format("x.text")}, {_BARE.format("b.text")}) group by b.item_id),
-f as (select 'fixed' strategy, b.item_id, count(*) n from c, benchmark b where contains({_BARE.format("c.text")}, {_BARE.format("b.text")}) group by b.item_id)
+_MARKED = r"""ml as (select doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) i from documents),
+mg as (select *, sum(case when regexp_matches(x, '^[AT]') then 1 else 0 end) over (partition by doc_id order by i) g from ml),
+mc as (select doc_id, regexp_replace(string_agg(x, chr(10) order by i), '^\s+|\s+$', '', 'g') text from mg where g > 0 group by doc_id, g
+union all select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') from documents where doc_id not in (select doc_id from mg where g > 0))"""
+
+
+@query(f"""with c as {_FIXED}, {_MARKED}, pool as (select 'whole' strategy, text from documents union all select 'fixed', text from c union all select 'marked', text from mc),
+g as (select p.strategy, b.item_id, count(*) n from pool p, benchmark b where contains({_BARE.format("p.text")}, {_BARE.format("b.text")}) group by 1, 2)
 select s.strategy, count(*) items, round(avg(case when n > 0 then 1.0 else 0.0 end), 6) recall, round(avg(coalesce(n, 0)), 6) mean_gold
-from (select unnest(['whole', 'fixed']) strategy) s, benchmark b left join (select * from w union all select * from f) g on g.item_id = b.item_id and g.strategy = s.strategy group by s.strategy""")
+from (select unnest(['whole', 'fixed', 'marked']) strategy) s, benchmark b left join g on g.item_id = b.item_id and g.strategy = s.strategy group by s.strategy""")
 def evidence_recall_by_strategy(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
     items = t(spark, d, "benchmark").select("item_id", F.col("text").alias("evidence"))
-    legs = {"whole": docs, "fixed": K.fixed(docs)}
-    out = None
+    legs = {"whole": docs, "fixed": K.fixed(docs).select("doc_id", "text"), "marked": K.by_marker(docs, marker="[AT]").select("doc_id", "text")}
+    pool = None
     for name, chunks in legs.items():
-        n = M.gold_pairs(items, chunks).groupBy("item_id").agg(F.count("*").alias("n"))
-        leg = items.select("item_id").join(n, "item_id", "left").na.fill(0).agg(
-            F.count("*").alias("items"), F.round(F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg("n"), 6).alias("mean_gold")
-        ).withColumn("strategy", F.lit(name))
-        out = leg if out is None else out.unionByName(leg)
-    return out.select("strategy", "items", "recall", "mean_gold")
+        leg = chunks.withColumn("strategy", F.lit(name))
+        pool = leg if pool is None else pool.unionByName(leg)
+    n = M.gold_pairs(items, pool).groupBy("strategy", "item_id").agg(F.count("*").alias("n"))
+    every = items.select("item_id", F.explode(F.array(*map(F.lit, legs))).alias("strategy")).join(n, ["strategy", "item_id"], "left").na.fill(0)
+    return every.groupBy("strategy").agg(
+        F.count("*").alias("items"), F.round(F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)), 6).alias("recall"), F.round(F.avg("n"), 6).alias("mean_gold")
+    )
 
 
 # ------------------------------------------------------------------ text
@@ -191,12 +198,12 @@ def detail_page_urls(spark, d):
 
 @query("select conv_id, turn from conversations where role = 'user' and length(text) between 1 and 4000")
 def request_validation(spark, d):
-    return t(spark, d, "conversations").filter((F.col("role") == "user") & F.length("text").between(1, 4000)).select("conv_id", "turn")
+    return t(spark, d, "conversations").filter(R.valid_request(F.col("role"), F.col("text"))).select("conv_id", "turn")
 
 
 @query("select conv_id, turn from conversations where length(text) between 8 and 120")
 def sample_length_window(spark, d):
-    return t(spark, d, "conversations").filter(F.length("text").between(*C.DEFAULT.sample_chars)).select("conv_id", "turn")
+    return t(spark, d, "conversations").filter(X.sample_length(F.col("text"))).select("conv_id", "turn")
 
 
 @query("select doc_id, case when lang in ('en','de') then lang end closed, coalesce(case when lang in ('en','de') then lang end, 'en') opened from documents")
@@ -244,7 +251,7 @@ def chunk_recursive(spark, d):
 @query()
 def chunk_strategies(spark, d):
     c = K.three_strategies(t(spark, d, "documents").select("doc_id", "text"))
-    return c.groupBy("strategy").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.max(F.length("text")).alias("max_chars"))
+    return M.chunk_statistics(c)
 
 
 @query(r"select doc_id, len(list_filter(list_transform(string_split(text, '. '), lambda p, i: case when i < len(string_split(text, '. ')) then p || '. ' else p end), lambda p: p <> '')) pieces from documents")
@@ -252,9 +259,13 @@ def split_keeping(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(K.split_keeping(F.col("text"), ". ")).cast("long").alias("pieces"))
 
 
-@query()
+@query("""select p_partkey, i::int pos, case when i = 1 then 'Where is ' || p_name || '?' else 'Who makes ' || p_brand || ' now?' end question, case when i = 1 then 'It is ' || p_type || ' on the shelf' else 'The maker of ' || p_name || ' does' end answer from part, (select unnest([1, 2]) i)""")
 def qa_pairs(spark, d):
-    return K.qa_pairs(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "pos", "question", "answer")
+    """A page of two numbered blocks made of each part, and a third one without an answer."""
+    page = F.concat(
+        F.lit("FAQ\n1、问：Where is "), "p_name", F.lit("? 答：It is "), "p_type", F.lit(" on the shelf\n2. Who makes "), "p_brand", F.lit(" now?\nThe maker of "), "p_name", F.lit(" does\n3. 是否开放？答：短\n"),
+    )
+    return K.qa_pairs(t(spark, d, "part").select("p_partkey", page.alias("text"))).select("p_partkey", F.col("pos").cast("int"), "question", "answer")
 
 
 # ------------------------------------------------------------------ pages
@@ -264,10 +275,17 @@ def page_links(spark, d):
     return H.links(t(spark, d, "pages"))
 
 
-@query(r"""with h as (select page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) a from pages)
-select page_id, href, min(i) pos from (select page_id, unnest(a) href, unnest(range(len(a)))::int i from h) where regexp_matches(href, '(?i)\.(pdf|doc|docx)$') group by page_id, href""")
+def _pages(spark, d):
+    """The pages with a list of three items and an attachment each, as crawled sites have them."""
+    items = F.concat(*[F.concat(F.lit('<li><a href="/n/'), F.col("page_id").cast("string"), F.lit(f'_{k}/page.htm">培养 | item {k}</a></li>')) for k in range(3)])
+    more = F.concat(F.lit('<ul class="news">'), items, F.lit('</ul><a href="/f/'), F.col("page_id").cast("string"), F.lit('.PDF">f</a>'))
+    return t(spark, d, "pages").withColumn("html", F.concat("html", more))
+
+
+@query(r"""with h as (select page_id, regexp_extract_all(html || '<a href="/f/' || page_id || '.PDF">f</a>', 'href="([^"]+)"', 1) a from pages)
+select page_id, href from (select distinct page_id, unnest(a) href from h) where regexp_matches(href, '(?i)\.(pdf|doc|docx)$')""")
 def page_attachments(spark, d):
-    return H.links(t(spark, d, "pages"), only=C.SUFFIX_RE)
+    return H.links(_pages(spark, d), only=C.SUFFIX_RE).select("page_id", "href")
 
 
 @query()
@@ -281,9 +299,9 @@ def page_text(spark, d):
     return t(spark, d, "pages").select("page_id", H.page_text_udf("html").alias("body"))
 
 
-@query()
+@query("""select page_id, 'item ' || k title, regexp_extract(url, '^https?://[^/]+') || '/n/' || page_id || '_' || k || '/page.htm' href from pages, (select unnest([0, 1, 2]) k)""")
 def page_items(spark, d):
-    return H.list_items(t(spark, d, "pages"))
+    return H.list_items(_pages(spark, d)).filter(F.col("title").rlike("^item [0-2]$")).select("page_id", "title", "href")
 
 
 @query()
@@ -355,22 +373,29 @@ def sparse_topk(spark, d):
     return _sparse(spark, d, C.DEFAULT.top_k)
 
 
+_BUCKETS = r"select {0} id, (unicode(w) * 31 + unicode(right(w, 1)) * 7 + length(w)) % 64 b, count(*)::double c from (select {0}, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')) w from {1}) group by all"
 _FUSE = f"""{_TOK}, {_SPARSE}, r1 as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from sp) where rank <= 20),
-l as (select item_id query_id, doc_id id, length(d.text) n, row_number() over (partition by item_id order by abs(length(d.text) - length(b.text)), doc_id) rank from benchmark b, documents d),
+db as ({_BUCKETS.format("doc_id", "documents")}), qb as ({_BUCKETS.format("item_id", "benchmark")}),
+dn as (select id, sqrt(sum(c * c)) n from db group by id), qn as (select id, sqrt(sum(c * c)) n from qb group by id),
+ds as (select qb.id query_id, db.id, round(sum((qb.c / qn.n) * (db.c / dn.n)), 6) score from qb join qn using (id) join db using (b) join dn on dn.id = db.id group by all),
+l as (select *, row_number() over (partition by query_id order by score desc, id) rank from ds),
 u as (select query_id, id, rank from r1 union all select query_id, id, rank from l where rank <= 20),
 f as (select query_id, id, round(sum(1.0 / (60 + rank)), 6) score from u group by 1, 2)"""
 
 
-def _by_length(spark, d, k):
-    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark")
-    q = items.select(F.col("item_id").alias("query_id"), F.length("text").alias("qn"))
-    near = docs.select(F.col("doc_id").alias("id"), F.length("text").alias("n")).join(F.broadcast(q), F.lit(True))
-    return V.top_k(near.withColumn("score", -F.abs(F.col("n") - F.col("qn"))), "query_id", "score", k, ["id"])
+def _dense(spark, d, k):
+    """The dense leg: whole texts as vectors of word counts by first letter, last letter and length."""
+    encoder = LexicalEncoder(64, lambda w: F.ascii(w) * 31 + F.ascii(F.right(w, F.lit(1))) * 7 + F.length(w))
+
+    def vectors(name, key, out):
+        return t(spark, d, name).select(F.col(key).alias(out), X.let(encoder.dense(F.col("text")), V.normalised).alias("vec"))
+
+    return V.dense_search(vectors("benchmark", "item_id", "query_id"), vectors("documents", "doc_id", "id"), k)
 
 
 @query(f"with {_FUSE} select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from f) where rank <= 20")
 def rrf_fusion(spark, d):
-    return V.rrf([_sparse(spark, d, 20), _by_length(spark, d, 20)], 20)
+    return V.rrf([_sparse(spark, d, 20), _dense(spark, d, 20)], 20)
 
 
 @query(rf"""with {_FUSE}, c as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from f) where rank <= 20),
@@ -378,10 +403,10 @@ w as (select c.query_id, c.id, c.rank prior_rank, list_distinct(list_filter(rege
 s as (select query_id, id, prior_rank::int prior_rank, round(len(list_intersect(q, t)) / len(q)::double, 6) score from w)
 select * from (select *, row_number() over (partition by query_id order by score desc, prior_rank)::int rank from s) where rank <= 5""")
 def rerank_topk(spark, d):
-    c = V.rrf([_sparse(spark, d, 20), _by_length(spark, d, 20)], 20).drop("score")
+    c = V.rrf([_sparse(spark, d, 20), _dense(spark, d, 20)], 20).drop("score")
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    wide = c.join(docs, "id").join(F.broadcast(items), "query_id")
+    wide = c.join(docs, "id").join(items, "query_id")
     return V.rerank(wide, OverlapReranker().score(F.col("q"), F.col("text"))).select("query_id", "id", "prior_rank", "score", "rank")
 
 
@@ -504,8 +529,7 @@ def session_language(spark, d):
 
 @query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) r from conversations) where r <= 4")
 def history_tail(spark, d):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return t(spark, d, "conversations").withColumn("r", F.row_number().over(w)).filter("r <= 4").select("conv_id", "turn", "role")
+    return R.kept_history(t(spark, d, "conversations"), rounds=2).select("conv_id", "turn", "role")
 
 
 @query(r"""with m as (select conv_id, turn, role, regexp_replace(regexp_replace(text, '1[3-9]\d{9}', '[手机号]', 'g'), '\b\d{8,11}\b', '[学号]', 'g') x, text from conversations),
@@ -568,9 +592,65 @@ def memory_summaries(spark, d):
     return t(spark, d, "events").select("event_id", R.memory_summary(F.lit(None).cast("string"), said, F.col("props")).alias("summary"))
 
 
-@query()
+#: The conversations with turns of every kind: chit-chat, known questions, two questions in one, a crisis.
+_SAID = """(select c.conv_id, c.turn, c.role, case when c.turn % 7 = 2 then '??' when c.conv_id % 5 = 1 then coalesce(left(b.text, 45), c.text) when c.conv_id % 11 = 3 then left(c.text, 50) || '? ' || right(c.text, 50) || '?'
+when c.conv_id % 13 = 5 then 'scum ' || c.text else c.text end as text from conversations c left join benchmark b on b.item_id = (c.conv_id % 10) * 4)"""
+
+
+def _said(spark, d):
+    c, b = t(spark, d, "conversations"), t(spark, d, "benchmark").select(F.col("item_id").alias("known"), F.left("text", F.lit(45)).alias("asked"))
+    c = c.join(b, F.col("known") == (F.col("conv_id") % 10) * 4, "left")
+    text = F.when(F.col("turn") % 7 == 2, "??").when(F.col("conv_id") % 5 == 1, F.coalesce("asked", "text"))
+    text = text.when(F.col("conv_id") % 11 == 3, F.concat(F.left("text", F.lit(50)), F.lit("? "), F.right("text", F.lit(50)), F.lit("?")))
+    return c.withColumn("text", text.when(F.col("conv_id") % 13 == 5, F.concat(F.lit("scum "), "text")).otherwise(F.col("text"))).drop("known", "asked")
+
+
+def _answered(spark, d):
+    """The turn program over those turns, with benchmark items as chunks and as FAQ entries; the chunks too."""
+    items = t(spark, d, "benchmark")
+    audience = F.when(F.col("item_id") % 3 == 0, C.ROLES[1]).otherwise(C.EVERYONE)
+    chunks = items.filter("item_id % 4 <> 0").select(F.col("item_id").alias("id"), "text", audience.alias("audience"), F.lit(C.ALWAYS).alias("valid"))
+    none = F.lit(None).cast("array<string>")
+    faq = items.filter("item_id % 4 = 0").select(F.col("item_id").alias("entry_id"), F.left("text", F.lit(40)).alias("question"), F.col("text").alias("answer"), none.alias("similar_questions"), none.alias("tags"))
+    return R.answer(_said(spark, d), chunks, faq, lexicon={"high": L["high"], "mid": L["mid"], "negated": L["negated"], "weak": ("ent", "ion")}), chunks
+
+
+_LEVELLED = f"""(select conv_id, turn, text, case when r = '高危' then r when greatest(1, w, 2 * m, 4 * h) / t <= 0.5 then r when r = '中度困扰' and 4 * h / t > 0.5 then '高危'
+  else ['正常','轻度困扰','中度困扰','高危'][list_position([1.0, w, 2.0 * m, 4.0 * h], greatest(1.0, w, 2.0 * m, 4.0 * h))] end as level from
+  (select *, 1.0 + w + 2 * m + 4 * h t, case when {_RULE.replace("(m,", "(masked,")} = '正常' and escalated then '中度困扰' else {_RULE.replace("(m,", "(masked,")} end r from
+  (select *, len(regexp_extract_all(text, 'scum|worthless')) h, len(regexp_extract_all(text, 'moron|pathetic')) m, len(regexp_extract_all(text, 'ent|ion')) w, {_MASK} masked from {_TURNS.replace("from conversations", f"from {_SAID}")})))"""
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
+_ANSWERED = rf"""t as (select *, case when level = '高危' then null when not regexp_matches(text, '\p{{L}}{{2}}') then '闲聊越界' when regexp_matches(text, '(?s)\?[^\n]*\?') then '复杂查询' else '简单问答' end category from {_LEVELLED}),
+kb as (select item_id id, text, case when item_id % 3 = 0 then '研究生' else '全部' end audience, {_WORDS.format("text")} w from benchmark where item_id % 4 <> 0),
+faq as (select item_id id, text, list_distinct({_WORDS.format("left(text, 40)")}) w from benchmark where item_id % 4 = 0),
+fm as (select conv_id, turn, arg_max(id, (score, -id)) match_id from (select t.conv_id, t.turn, faq.id, len(list_intersect(faq.w, list_distinct({_WORDS.format("t.text")}))) / len(faq.w)::double score from t, faq where category = '简单问答') where score > 0.85 group by 1, 2),
+a as (select t.* from t left join fm using (conv_id, turn) where category in ('简单问答', '复杂查询') and match_id is null),
+kw as (select id, audience, x token, 1 + ln(count(*)) weight from (select id, audience, unnest(w) x from kb) group by 1, 2, 3),
+parts as (select conv_id, turn, -1 sub, text part from a union all select conv_id, turn, i, p from (select conv_id, turn, unnest(range(len(ps))) i, unnest(ps) p from (select conv_id, turn, regexp_split_to_array(text, '[?？]') ps from a where category = '复杂查询')) where regexp_matches(p, '\S')),
+qw as (select conv_id, turn, sub, x token, 1 + ln(count(*)) weight from (select conv_id, turn, sub, unnest({_WORDS.format("part")}) x from parts) group by 1, 2, 3, 4),
+sp as (select conv_id, turn, sub, id, audience, round(sum(qw.weight * kw.weight), 6) score from qw join kw using (token) group by 1, 2, 3, 4, 5),
+w0 as (select conv_id, turn, retry, id, row_number() over (partition by conv_id, turn, retry order by score desc, id) prior from sp join a using (conv_id, turn), (select unnest([0, 1, 2]) retry) where sub = -1 and (retry > 0 or (audience = '全部' and category = '简单问答'))),
+p0 as (select conv_id, turn, id, sub, row_number() over (partition by conv_id, turn, sub order by score desc, id) rank from sp where sub >= 0 and audience = '全部'),
+p1 as (select conv_id, turn, text, min((sub, rank, id)) m from p0 join kb using (id) where rank <= 10 group by 1, 2, 3),
+c as (select conv_id, turn, retry, id, prior, 5 + 2 * retry most from w0 where prior <= 20 * (retry + 1) union all select conv_id, turn, 0, m[3], row_number() over (partition by conv_id, turn order by m), 8 from p1),
+s as (select c.*, case when len(q) = 0 then 0.0 else round(len(list_intersect(q, kb.w)) / len(q)::double, 6) end score from c join (select conv_id, turn, list_distinct({_WORDS.format("text")}) q from a) using (conv_id, turn) join kb using (id)),
+k as (select * from (select *, row_number() over (partition by conv_id, turn, retry order by score desc, prior) rank from s) where rank <= most),
+tries as (select conv_id, turn, retry, list(id order by rank) ids, max(score) filter (where rank = 1) score from k group by 1, 2, 3),
+q as (select a.conv_id, a.turn, case when coalesce(t0.score, 0) >= 0.5 then 0 when coalesce(t1.score, 0) >= 0.5 then 1 else 2 end last from a left join tries t0 on (t0.conv_id, t0.turn, t0.retry) = (a.conv_id, a.turn, 0) left join tries t1 on (t1.conv_id, t1.turn, t1.retry) = (a.conv_id, a.turn, 1)),
+z as (select t.*, fm.match_id, q.last, coalesce(tries.ids, []) ids, tries.score from t left join fm using (conv_id, turn) left join q using (conv_id, turn) left join tries on (tries.conv_id, tries.turn, tries.retry) = (t.conv_id, t.turn, q.last))"""
+
+
+@query(f"""with {_ANSWERED}, y as (select *, case when level = '高危' then 'crisis' when category = '闲聊越界' then 'chitchat' when match_id is not null then 'faq' when len(ids) > 0 then 'generated' else 'fallback' end response_source from z)
+select conv_id, turn, level, category, match_id, array_to_string(ids, ',') contexts, case when last = 2 then 2 else last + 1 end::int retry_count, case when last = 2 then 0.5 else score end::double score, last = 2 as forced, response_source,
+case response_source when 'crisis' then 'report>care_response' when 'chitchat' then 'chitchat_response>care_suffix>end' when 'faq' then 'retrieve>care_suffix>memory_write'
+else case when category = '复杂查询' then 'plan_and_retrieve' else 'retrieve' end || repeat('>generate>quality_check>retrieve', last) || '>generate>quality_check>care_suffix>memory_write' end route,
+md5(case response_source when 'faq' then (select b.text from benchmark b where b.item_id = match_id) when 'generated' then (select b.text from benchmark b where b.item_id = ids[1]) when 'fallback' then 'none' else response_source end) reply_md5 from y""")
 def answer_turns(spark, d):
-    return R.answer(t(spark, d, "conversations"), {"high": L["high"], "mid": L["mid"], "negated": L["negated"], "weak": ("ent", "ion")})
+    got, _ = _answered(spark, d)
+    where = F.col("response_source")
+    suffix = r"(?s)\n\n(?:Sounds like things may feel|If you would like to talk to).*$"
+    reply = F.when(where.isin("faq", "generated"), F.regexp_replace("response", suffix, "")).when(where == "fallback", "none").otherwise(where)
+    return got.select("conv_id", "turn", "level", "category", "match_id", F.array_join(F.transform("contexts", lambda c: c.cast("string")), ",").alias("contexts"), "retry_count", "score", "forced", "response_source", "route", F.md5(reply).alias("reply_md5"))
 
 
 # ------------------------------------------------------------------ dedup, sampling, tables
@@ -587,13 +667,8 @@ def keep_first_dedup(spark, d):
 
 
 _GRAMS = r"""g0 as (select {0} id, {1} side, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) grams from (select *, lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]+', '', 'g')) n from {2}) where length(n) >= 3)"""
-_PREFIX = """e as (select id, side, len(grams) n, unnest(grams) gram from g0), f as (select gram, count(*) df from e group by gram),
-p as (select * from (select e.*, row_number() over (partition by side, id order by df, e.gram) r from e join f using (gram)) where r <= n - ceil(0.8 * n - 1e-9) + 1)"""
-
-
-@query(f"""with {_GRAMS.format("doc_id", "0", "documents")}, {_PREFIX}, c as (select distinct a.id a, b.id b from p a join p b on a.gram = b.gram and a.id < b.id and least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
-j as (select a, b, len(list_intersect(x.grams, y.grams))::double / (len(x.grams) + len(y.grams) - len(list_intersect(x.grams, y.grams))) j from c join g0 x on x.id = a join g0 y on y.id = b)
-select a, b, round(j, 6) jaccard from j where j >= 0.8""")
+@query(f"""with {_GRAMS.format("doc_id", "0", "documents")}, j as (select x.id a, y.id b, len(list_intersect(x.grams, y.grams)) i, len(x.grams) + len(y.grams) n from g0 x join g0 y on x.id < y.id and least(len(x.grams), len(y.grams)) >= 0.8 * greatest(len(x.grams), len(y.grams)))
+select a, b, round(i::double / (n - i), 6) jaccard from j where i::double / (n - i) >= 0.8""")
 def near_dup_pairs(spark, d):
     return D.near_pairs(t(spark, d, "documents"), "doc_id", F.col("text"))
 
@@ -601,14 +676,39 @@ def near_dup_pairs(spark, d):
 @query()
 def near_dup_greedy(spark, d):
     docs = t(spark, d, "documents")
-    return D.greedy_kept(docs, D.near_pairs(docs, "doc_id", F.col("text")), "doc_id").select(F.col("id").alias("doc_id"))
+    return D.greedy_kept(docs, D.near_pairs(docs, "doc_id", F.col("text")), "doc_id", F.col("text")).select(F.col("id").alias("doc_id"))
+
 
+_OWN = r"(select {0} id, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) grams from (select *, lower(regexp_replace({1}, '[^\p{{L}}\p{{N}}_]+', '', 'g')) n from {2}) where length(n) >= 3)"
 
-@query("select d.doc_id from documents d where not exists (select 1 from benchmark b where contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')))")
+
+@query(f"""with s as {_OWN.format("item_id", "text", "benchmark")}, x as (select * from {_OWN.format("doc_id", "text", "documents where doc_id % 2 = 0")} union all select * from {_OWN.format("item_id + 1000000", "left(text, length(text) - 3)", "benchmark where item_id % 3 = 0")})
+select id item_id from s where not exists (select 1 from x where len(list_intersect(s.grams, x.grams))::double / (len(s.grams) + len(x.grams) - len(list_intersect(s.grams, x.grams))) >= 0.8)""")
 def contamination(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    items = t(spark, d, "benchmark").select(F.col("text").alias("evidence"))
-    return docs.join(F.broadcast(items), X.located(F.col("text"), F.col("evidence")), "left_anti").select("doc_id")
+    """Evaluation items that are near none of two other corpora: half of the documents, and cut copies."""
+    items, docs = t(spark, d, "benchmark"), t(spark, d, "documents")
+    others = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "text")
+    copies = items.filter("item_id % 3 = 0").select((F.col("item_id") + 1000000).alias("id"), F.expr("left(text, length(text) - 3)").alias("text"))
+    return D.isolated(items.select("item_id", "text"), "item_id", F.col("text"), others.unionByName(copies), F.col("text")).select("item_id")
+
+
+@query(f"""with c as {_FIXED}, r as (select doc_id, chunk_index, md5('42#' || doc_id || '#' || chunk_index) h from c join documents using (doc_id) where doc_id % 3 <> 0 and doc_id % 4 <> 0),
+f as (select *, row_number() over (partition by doc_id order by h, chunk_index) k from r)
+select doc_id, chunk_index, place::int place from (select doc_id, chunk_index, row_number() over (order by md5('all' || h), doc_id, chunk_index) place from f where k <= 2) where place <= 180""")
+def eval_candidates(spark, d):
+    """Chunks of documents that everyone sees at any time: two a document, 1.8 times as many as asked for."""
+    i = F.col("doc_id")
+    docs = t(spark, d, "documents").select("doc_id", "text", F.when(i % 3 == 0, C.ROLES[0]).alias("target_audience"), F.when(i % 4 == 0, "1996-1997秋季").alias("valid_semester"))
+    chunks = K.fixed(D.eligible(docs).select("doc_id", "text")).select("doc_id", F.col("chunk_index").cast("int"), "text")
+    return D.candidates(chunks, 100, 2, "42").select("doc_id", "chunk_index", "place")
+
+
+@query(r"""with k as (select doc_id, row_number() over (partition by regexp_replace(left(text, 30), '\s+', '', 'g') order by doc_id) r from documents)
+select doc_id, 'r' || lpad(row_number() over (order by doc_id)::varchar, 3, '0') item from (select doc_id from k where r = 1 order by doc_id limit 50)""")
+def numbered_items(spark, d):
+    """Items whose question is asked for the first time, numbered, at most 50 (the limit is the feature)."""
+    rows = t(spark, d, "documents").select("doc_id", X.normalise(F.left("text", F.lit(30))).alias("question"))
+    return D.numbered(D.keep_first(rows, F.col("question"), ["doc_id"]), ["doc_id"], 50).select("doc_id", "item")
 
 
 @query("select source, doc_id, pick::int pick from (select *, row_number() over (partition by source order by md5('42' || doc_id::varchar), doc_id) pick from documents) where pick <= 3")
@@ -642,25 +742,54 @@ def replace_by_source(spark, d):
 
 @query("select c.conv_id, n.referent from (select distinct conv_id from conversations) c left join (select conv_id, arg_max(role, turn) referent from conversations where turn > 0 group by conv_id) n using (conv_id)")
 def late_annotation(spark, d):
-    c = t(spark, d, "conversations")
-    notes = c.filter("turn > 0").select("conv_id", F.col("role").alias("referent"), "turn")
-    return D.latest(c.select("conv_id").distinct(), notes, "conv_id", "referent", "turn")
+    c = t(spark, d, "conversations").withColumnRenamed("conv_id", "alert_id")
+    notes = c.filter("turn > 0").select("alert_id", F.col("role").alias("referent"), F.col("turn").alias("seq"))
+    return S.annotated(c.select("alert_id").distinct(), notes).select(F.col("alert_id").alias("conv_id"), "referent")
 
 
-@query("select p.page_id from pages p where not exists (select 1 from pages c where c.page_id = p.page_id and c.page_id % 4 = 0 and length(c.html) % 2 = 0)")
+@query("select page_id from pages p where not (page_id % 4 = 0 and length(html) % 2 = 0)")
 def parse_cache(spark, d):
-    p = t(spark, d, "pages").select("page_id", F.length("html").alias("size"))
-    return p.join(p.filter("page_id % 4 = 0 and size % 2 = 0"), ["page_id", "size"], "left_anti").select("page_id")
+    """Files whose size or second the cache does not have; for some pages the cached size is another one."""
+    from ..sources.corpus import uncached
+
+    p = t(spark, d, "pages").select("page_id", F.concat(F.lit("/raw/"), "page_id").alias("path"), F.length("html").alias("length"), F.timestamp_seconds(F.col("page_id") * 60 + 0.25).alias("mtime"))
+    known = p.filter("page_id % 4 = 0").select("path", (F.col("length") + F.col("length") % 2).alias("length"), F.unix_timestamp("mtime").alias("second"))
+    return uncached(p, known).select("page_id")
 
 
-@query("select doc_id, doc_type, audience from (select doc_id, coalesce(case when doc_id % 2 = 0 then 'h' end, case when doc_id % 3 = 0 then 's' end, '全部') audience, case source when 'src1' then '通知' else '手册' end doc_type from documents)")
+@query(r"""select doc_id, case source when 'src1' then '通知' else '手册' end doc_type, case when doc_id % 2 = 0 then 'h' when doc_id % 3 = 0 then 's' else '全部' end audience,
+case when doc_id % 5 = 0 then 'side ' || doc_id else 'doc' || doc_id end title, md5(regexp_replace(text, '\s+', '', 'g')) bare from documents""")
 def metadata_coalesce(spark, d):
+    """Header over sidecar over default on documents given a header and, for some, a sidecar."""
+    from ..sources.corpus import with_metadata
+
     i = F.col("doc_id")
-    kind = F.when(F.col("source") == "src1", "通知").otherwise("手册")
-    return t(spark, d, "documents").select("doc_id", kind.alias("doc_type"), F.coalesce(F.when(i % 2 == 0, "h"), F.when(i % 3 == 0, "s"), F.lit(C.EVERYONE)).alias("audience"))
+    head = F.concat(F.lit("【标题】\n"), F.when(i % 2 == 0, "【适用对象】h\n").otherwise(""), F.lit("\n"))
+    head = F.when(i % 5 == 0, F.regexp_replace(head, "【标题】\n", "【发布日期】2026-01-01\n")).otherwise(head)
+    docs = t(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("/raw/"), i.cast("string")).alias("path"), F.when(F.col("source") == "src1", "通知").otherwise("手册").alias("folder"),
+        F.concat(F.lit("doc"), i.cast("string"), F.lit(".txt")).alias("name"), F.lit("txt").alias("extension"), F.concat(head, "text").alias("text"), F.col("text").alias("raw"),
+    )
+    side = docs.filter("doc_id % 15 = 0 or doc_id % 3 = 0 or doc_id % 5 = 0").select("path", F.map_concat(
+        F.when(i % 3 == 0, F.create_map(F.lit("适用对象"), F.lit("s"))).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(i % 5 == 0, F.create_map(F.lit("标题"), F.concat(F.lit("side "), i.cast("string")))).otherwise(F.create_map().cast("map<string,string>")),
+    ).alias("meta"))
+    got = with_metadata(docs.drop("doc_id", "raw"), side).withColumn("doc_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
+    bare = docs.select("doc_id", F.md5(F.regexp_replace("raw", r"\s+", "")).alias("bare"))
+    return got.join(bare, "doc_id").select("doc_id", "doc_type", F.col("metadata.target_audience").alias("audience"), F.col("metadata.title").alias("title"), "bare")
 
 
 # ------------------------------------------------------------------ metrics
+@query("""select event_id, case when event_id % 4 = 0 then '高危' else '中度困扰' end as level, case when event_id % 4 = 0 then '语义判别' else '规则引擎' end source,
+case event_id % 4 when 0 then '本人' when 1 then '他人' end referent, case event_id % 4 when 0 then '本人' when 1 then '他人' end alone from events""")
+def semantic_judge(spark, d):
+    """Judges' raw answers: a crisis of the speaker lifts, one of another does not, unknown values and prose are ignored."""
+    i = F.col("event_id")
+    raw = F.when(i % 4 == 0, 'Sure: {"level": "高危", "referent": "本人"}').when(i % 4 == 1, '{"level": "高危", "referent": "他人"}').when(i % 4 == 2, '{"level": "?", "referent": "谁"}').otherwise("no json")
+    base = F.struct(F.lit("中度困扰").alias("level"), F.lit(C.SOURCES[0]).alias("source"), F.lit(0.6).alias("confidence"))
+    return t(spark, d, "events").select("event_id", S.judged(base, raw).alias("e"), S.referent_of(raw).alias("alone")).select("event_id", "e.level", "e.source", "e.referent", "alone")
+
+
 _PRED = "(select l.doc_id, toxic y_true, case when regexp_matches(text, 'loser|idiot|scum') then 1 else 0 end y_pred, source from labels l join documents d using (doc_id))"
 
 
@@ -676,6 +805,30 @@ def classification_report(spark, d):
     return M.classification_report(_predictions(spark, d), (0, 1, 2))
 
 
+@query(f"""with b as (select doc_id, toxic, text, {_MASK} m from labels join documents using (doc_id)), r as (select *, {_RULE} rule, len(regexp_extract_all(text, 'scum|worthless')) h, len(regexp_extract_all(text, 'moron|pathetic')) k from b),
+f as (select doc_id, toxic, rule, case when rule = '高危' then rule when greatest(1, 2 * k, 4 * h) / (1.0 + 2 * k + 4 * h) <= 0.5 then rule when rule = '中度困扰' and 4 * h / (1.0 + 2 * k + 4 * h) > 0.5 then '高危'
+else ['正常','轻度困扰','中度困扰','高危'][list_position([1.0, 0.0, 2.0 * k, 4.0 * h], greatest(1.0, 2.0 * k, 4.0 * h))] end fused from r),
+p as (select 'rules' mode, toxic = 1 as bad, rule as level from f union all select 'fused', toxic = 1, fused from f)
+select mode, round(count(*) filter (where bad and level = '高危') / count(*) filter (where bad)::double, 6) recall, count(*) filter (where not bad and level = '高危') false_positives,
+round(avg(((level = '高危') = bad)::int), 6) accuracy from p group by mode""")
+def detection_modes(spark, d):
+    """The evaluation driver: labelled texts through the rules alone and through rules and model."""
+    rows = t(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, S.HIGH).otherwise(S.NORMAL).alias("y_true")).join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rule = S.rule_level(F.col("text"), L["high"], L["mid"], L["negated"])["level"]
+    rows = rows.withColumn("rules", rule)
+    rows = rows.withColumn("fused", S.fused(F.col("rules"), LexiconClassifier(L["high"], L["mid"], (r"(?!x)x",)).probabilities(F.col("text")))["level"])
+    modes = rows.select("y_true", F.explode(F.create_map(F.lit("rules"), F.col("rules"), F.lit("fused"), F.col("fused"))).alias("mode", "level"))
+    high = modes.select("mode", "y_true", F.when(F.col("level") == S.HIGH, S.HIGH).otherwise(S.NORMAL).alias("y_pred"), F.lit(0.0).alias("latency"))
+    return M.level_report(high, S.HIGH, S.NORMAL).select("mode", "recall", "false_positives", "accuracy")
+
+
+@query(f"""with p as {_PRED}, c as (select l as label, count(*) filter (where y_true = l and y_pred = l) tp, count(*) filter (where y_true = l) support, count(*) filter (where y_pred = l) predicted from p, (select unnest([0, 1]) l) group by l),
+r as (select label, round(coalesce(2 * tp / nullif(support + predicted, 0)::double, 0), 6) f1 from c)
+select label::bigint as label, f1, (select round(avg((y_true = y_pred)::int), 6) from p) accuracy, (select round(avg(f1), 6) from r) macro_f1 from r""")
+def validation_metrics(spark, d):
+    return M.validation(_predictions(spark, d), (0, 1)).select("label", "f1", "accuracy", "macro_f1")
+
+
 @query(f"with p as {_PRED} select l::bigint as label, count(*) filter (where y_true = l and y_pred = 0) n_0, count(*) filter (where y_true = l and y_pred = 1) n_1 from p, (select unnest([0, 1]) l) group by l")
 def confusion_matrix(spark, d):
     return M.confusion(_predictions(spark, d), (0, 1))
@@ -737,7 +890,7 @@ def label_distribution(spark, d):
 
 @query("select doc_id, n_chars from documents order by n_chars desc, doc_id limit 3")
 def slowest_three(spark, d):
-    return t(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(3)
+    return M.slowest(t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
 
 
 @query(f"""with c as {_FIXED}, i as (select d.doc_id, 0 chunk_index, left(d.text, 40) evidence from documents d union all select doc_id, 1, 'no such words at all' from documents)
@@ -783,16 +936,32 @@ def red_team_counts(spark, d):
     return M.verdicts(rows)
 
 
-@query(r"""with w as (select conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') a, list_filter(regexp_split_to_array(lower(left(text, 60)), '[^\p{L}\p{N}_]+'), lambda x: x <> '') q from conversations)
-select conv_id * 1000 + turn row_id, m.metric, case when len(case m.metric when 'faithfulness' then a else q end) = 0 then 0.0 else round(len(list_intersect(list_distinct(case m.metric when 'faithfulness' then a else q end), case m.metric when 'faithfulness' then q else a end)) / len(list_distinct(case m.metric when 'faithfulness' then a else q end))::double, 6) end as value
-from w, (select unnest(['faithfulness', 'answer_relevancy']) metric) m""")
+_SHARE = "case when len({0}) = 0 then 0.0 else round(len(list_intersect(list_distinct({0}), {1})) / len(list_distinct({0}))::double, 6) end"
+
+
+@query(rf"""with w as (select conv_id * 1000 + turn row_id, {_WORDS.format("text")} a, {_WORDS.format("left(text, 60)")} q, {_WORDS.format("left(text, 90)")} c, {_WORDS.format("right(text, 50)")} r from conversations)
+select row_id, m.metric, case m.metric when 'faithfulness' then {_SHARE.format("a", "c")} when 'answer_relevancy' then {_SHARE.format("q", "a")} when 'context_precision' then {_SHARE.format("c", "r")} when 'context_recall' then {_SHARE.format("r", "c")} else {_SHARE.format("r", "a")} end as value
+from w, (select unnest(['faithfulness', 'answer_relevancy', 'context_precision', 'context_recall', 'answer_correctness']) metric) m""")
 def metric_grid(spark, d):
+    """All five judged metrics, each row's text standing for the answer and parts of it for the others."""
     from ..operators.providers import OverlapJudge
 
     c = t(spark, d, "conversations")
-    head = F.left("text", F.lit(60))
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), head.alias("question"), F.col("text").alias("answer"), F.array(head).alias("contexts"), F.lit(None).cast("string").alias("reference"))
-    return M.metric_grid(rows, OverlapJudge(), ("faithfulness", "answer_relevancy"))
+    part = lambda n: F.left("text", F.lit(n))
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), part(60).alias("question"), F.col("text").alias("answer"), F.array(part(90)).alias("contexts"), F.right("text", F.lit(50)).alias("reference"))
+    return M.metric_grid(rows, OverlapJudge(), OverlapJudge.METRICS)
+
+
+@query(rf"""with {_ANSWERED}, r as (select conv_id, turn, ids from z where category = '简单问答' and match_id is null)
+select count(*) questions, count(*) filter (where len(ids) > 0) answered from r""")
+def collected_answers(spark, d):
+    """End-to-end collection: every simple question that the FAQ does not settle, with what was read and said."""
+    got, chunks = _answered(spark, d)
+    turns = _said(spark, d)
+    asked = got.filter((F.col("category") == C.INTENTS[0]) & F.col("match_id").isNull()).select("conv_id", "turn")
+    questions = turns.join(asked, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("question"), F.left("text", F.lit(60)).alias("reference"))
+    rows = R.evaluation_rows(got, questions, chunks)
+    return rows.agg(F.count("*").alias("questions"), F.count_if(F.size("contexts") > 0).alias("answered"))
 
 
 # ------------------------------------------------------------------ models and streams
@@ -809,18 +978,14 @@ def train_classifier_scores(spark, d):
     return model.transform(rows.select("doc_id", "text", "label")).select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"))
 
 
-@query()
+@query("""with s as (select *, case when role = 'user' then regexp_matches(text, 'ent|ion')::int end weak from conversations),
+u as (select conv_id, turn, sum(weak) over w before, count(*) over w n from s where role = 'user' window w as (partition by conv_id order by turn rows between 3 preceding and 1 preceding))
+select s.conv_id, s.turn, least(row_number() over (partition by s.conv_id order by s.turn), 20)::int history_size, coalesce(n = 3 and before = 3, false) escalated from s left join u using (conv_id, turn)""")
 def stream_sessions(spark, d):
     """The batch table replayed as a stream with a real checkpoint; the result is read from its sink."""
     from ..streaming.sessions import run_once
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        D.scratch(spark.range(1))
-        base = spark.conf.get("spark.checkpoint.dir")
-    import uuid
-
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = D.shared_folder(spark)
     t(spark, d, "conversations").select("conv_id", "turn", "role", "text").write.parquet(f"{path}/in")
     source = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{path}/in")
     run_once(session_states(source, ("ent", "ion")), f"{path}/out", f"{path}/state")

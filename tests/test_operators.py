@@ -47,7 +47,23 @@ def test_fixed_chunks_cover_the_text(spark):
 def test_recursive_chunks(spark):
     t = "\n\n".join("段落" + "字" * 100 for _ in range(20))
     got = pieces(K.recursive(texts(spark, t, "", "x" * 1000)))
-    assert len(got) > 3 and all(len(p) <= 1224 for p in got) and got[-2:] == ["x" * 768, "x" * 308]
+    assert len(got) > 3 and all(len(p) <= 844 for p in got) and got[-2:] == ["x" * 768, "x" * 308]
+
+
+def test_recursive_chunks_step_by_step(spark):
+    cases = {
+        "aaaa bbbb cccc": ["aaaa bbbb ", "bb cccc"],  # words strung together; the last three characters begin the next chunk
+        "one two three.\n\nfour": ["one two ", "wo wo wo three.\n", "e.\nfour"],  # every level of splitting overlaps anew
+        "abcdefghijklmnopq": ["abcdefghij", "hijklmnopq", "opq"],  # nothing to split at: windows
+        " \n \n": [], "ab": ["ab"], "一二。三四五六七八九十甲。乙": ["一二。", "一二。三四五六七八九十甲。", "十甲。乙"],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "id long, text string")
+    got: dict = {}
+    for r in K.recursive(df, size=10, overlap=3).orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append(r["text"])
+    assert {t: got.get(i, []) for i, t in enumerate(cases)} == cases
+    plain = K.recursive(df, size=10, overlap=0).groupBy("id").agg(F.concat_ws("", F.sort_array(F.collect_list(F.struct("chunk_index", "text")))["text"]).alias("t")).collect()
+    assert all("".join(r["t"].split()) == "".join(list(cases)[r["id"]].split()) for r in plain)  # without overlaps nothing is lost or doubled
 
 
 def test_types_and_tables(spark):
@@ -125,9 +141,143 @@ def test_language_history_quality(spark):
 
 
 def test_answer_routes(spark):
-    rows = [(1, 0, "user", "我不想活了"), (1, 1, "user", "??"), (2, 0, "user", "图书馆在哪里")]
-    got = {(r["conv_id"], r["turn"]): (r["route"], r["level"]) for r in R.answer(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got == {(1, 0): ("report", "高危"), (1, 1): ("chitchat_response", "正常"), (2, 0): ("retrieve", "正常")}
+    rows = [(1, 0, "user", "我不想活了"), (1, 1, "user", "??"), (2, 0, "user", "图书馆在哪里"), (3, 0, "user", "where is the library"), (3, 1, "assistant", "on campus"), (3, 2, "user", "opening hours of the library today")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chunks = spark.createDataFrame([(1, "the library opens at eight and its opening hours of today end at ten", "全部", "长期有效"), (2, "opening hours of the library today: closed", "研究生", "长期有效")], "id long, text string, audience string, valid string")
+    faq = spark.createDataFrame([(7, "Where is the library?", "At the gate.", ["library where"], None)], "entry_id long, question string, answer string, similar_questions array<string>, tags array<string>")
+    memories = spark.createDataFrame([(3, "asked about books", 1), (3, "asked about rooms", 2)], "conv_id long, summary string, at long")
+    got = {(r["conv_id"], r["turn"]): r for r in R.answer(turns, chunks, faq, memories).collect()}
+    assert {k: (r["level"], r["response_source"]) for k, r in got.items()} == {(1, 0): ("高危", "crisis"), (1, 1): ("正常", "chitchat"), (2, 0): ("正常", "fallback"), (3, 0): ("正常", "faq"), (3, 2): ("正常", "generated")}
+    assert got[1, 0]["route"] == "report>care_response" and got[1, 1]["route"] == "chitchat_response>care_suffix>end"
+    crisis = got[1, 0]["response"]
+    assert "120" in crisis and "110" in crisis and C.DEFAULT.care_info in crisis and "身边正有人" in crisis and got[1, 0]["summary"] is None
+    assert got[3, 0]["response"] == "At the gate." and got[3, 0]["match_id"] == 7 and got[3, 0]["route"] == "retrieve>care_suffix>memory_write"
+    assert got[2, 0]["language"] == "中文" and got[2, 0]["forced"] and got[2, 0]["route"].count("generate>quality_check") == 3 and "无法生成" in got[2, 0]["response"]
+    assert got[3, 2]["contexts"] == [1] and got[3, 2]["retry_count"] == 1 and "on campus" in got[3, 2]["prompt"] and "rooms" in got[3, 2]["prompt"]
+    assert R.answer(turns).filter("response_source = 'generated'").count() == 0
+
+
+def test_settings_of_the_session(spark):
+    spark.conf.set("spark.quillspark.chunk_size", "10")
+    spark.conf.set("spark.quillspark.chunk_overlap", "0")
+    try:
+        assert pieces(K.fixed(texts(spark, "x" * 25))) == ["x" * 10, "x" * 10, "x" * 5]
+        assert pieces(K.fixed(texts(spark, "x" * 25), size=20)) == ["x" * 20, "x" * 5]
+    finally:
+        spark.conf.unset("spark.quillspark.chunk_size")
+        spark.conf.unset("spark.quillspark.chunk_overlap")
+    assert pieces(K.fixed(texts(spark, "x" * 25))) == ["x" * 25]
+
+
+def test_sessions_longer_than_a_batch(spark, tmp_path):
+    from quillspark.streaming.sessions import run_once, session_states
+
+    rng = np.random.default_rng(4)
+    data = [(c, k, "user" if rng.random() < 0.7 else "assistant", str(rng.choice(["好难", "ok"], p=[0.7, 0.3]))) for c in range(3) for k in range(400)]
+    order = rng.permutation(len(data)).tolist()
+    spark.createDataFrame([data[i] for i in order], "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"file://{tmp_path}/in")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        source = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"file://{tmp_path}/in")
+        run_once(session_states(source), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {(r["conv_id"], r["turn"]): (r["history_size"], r["escalated"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    want = {}
+    for c in range(3):
+        signals = []
+        for n, (_, k, role, text) in enumerate(sorted(x for x in data if x[0] == c)):
+            want[c, k] = (min(n + 1, 20), role == "user" and len(signals) >= 3 and all(signals[-3:]))
+            signals += [text == "好难"] if role == "user" else []
+    assert got == want and any(e for _, e in want.values())
+
+
+def test_judges(spark):
+    raw = ['{"level": "高危", "referent": "本人"}', 'so {"level": "高危", "referent": "他人"} ok', '{"level": "高危"}', "prose", None, '{"referent": "引用", "level": "正常"}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
+    base = F.struct(F.lit("正常").alias("level"), F.lit("规则引擎").alias("source"), F.lit(0.6).alias("confidence"))
+    got = df.orderBy("i").select(S.judged(base, F.col("raw")).alias("e"), S.referent_of(F.col("raw")).alias("r")).collect()
+    assert [r["e"]["level"] for r in got] == ["高危", "正常", "正常", "正常", "正常", "正常"]
+    assert [r["r"] for r in got] == ["本人", "他人", None, None, None, "引用"]
+
+
+def test_containment_by_automaton(spark):
+    rng = np.random.default_rng(6)
+    chunk_texts = ["".join(rng.choice(list("ab \n"), 40)) for _ in range(60)] + ["", None]
+    items = ["".join(rng.choice(list("ab "), 5)) for _ in range(30)] + ["", " ", "ab", "a b"]
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(chunk_texts)], "doc_id long, text string")
+    evidence = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, evidence string")
+    bare = lambda t: "".join(t.split())
+    want = {(i, j) for i, t in enumerate(chunk_texts) for j, e in enumerate(items) if t and bare(e) and bare(e) in bare(t)}
+    for block in (5000, 7):
+        got = [(r["doc_id"], r["item_id"]) for r in M.gold_pairs(evidence, chunks, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_isolated_and_eligible(spark):
+    rows = texts(spark, "the quick brown fox jumps", "another text altogether", "ab", None)
+    other = spark.createDataFrame([(1, "The quick, brown fox jumps!")], "id long, text string")
+    assert [r["id"] for r in D.isolated(rows, "id", F.col("text"), other, F.col("text")).collect()] == [1]
+    docs = spark.createDataFrame([(1, "全部", "长期有效"), (2, "本科生", "长期有效"), (3, None, None), (4, "全部", "2026-2027秋季")], "id int, target_audience string, valid_semester string")
+    assert sorted(r["id"] for r in D.eligible(docs).collect()) == [1, 3]
+    chunks = spark.createDataFrame([(d, k) for d in range(20) for k in range(5)], "doc_id long, chunk_index int")
+    one, two = ([(r["doc_id"], r["chunk_index"]) for r in D.candidates(chunks, 10, 2, seed).orderBy("place").collect()] for seed in ("1", "2"))
+    assert len(one) == 18 and one != two and max(np.bincount([d for d, _ in one])) <= 2 and [d for d, _ in one] != sorted(d for d, _ in one)
+
+
+def test_files_tables_and_reports(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    assert sinks.ensure_table(spark, f"{base}/m", "a long") == "created" and sinks.ensure_table(spark, f"{base}/m", "a long") == "kept"
+    sinks.append(spark.createDataFrame([(1,)], "a long"), f"{base}/m")
+    assert sinks.ensure_table(spark, f"{base}/m", "a long, b string") == "repaired"
+    assert [tuple(r) for r in spark.read.parquet(f"{base}/m").select("a", "b").collect()] == [(1, None)]
+    meta = F.struct(*[F.lit(k).alias(k) for k in ("title", "publish_date", "source_url", "target_audience", "valid_semester")])
+    docs = texts(spark, "body\none", "body two").select(F.concat(F.lit("d"), "id", F.lit(".txt")).alias("file_name"), meta.alias("metadata"), "text")
+    sinks.document_files(docs, f"{base}/docs")
+    sinks.sidecar_files(docs, f"{base}/side")
+    (part,) = (tmp_path / "docs" / "file_name=d0.txt").glob("part-*")
+    assert part.read_text().rstrip("\0").startswith("【标题】title\n") and part.read_text().rstrip("\0").endswith("\n\nbody\none")
+    (part,) = (tmp_path / "side" / "file_name=d1.txt.meta.json").glob("part-*")
+    assert json.loads(part.read_text().rstrip("\0"))["source_url"] == "source_url"
+    sinks.report(docs.select("file_name"), f"{base}/report", "csv")
+    (part,) = (tmp_path / "report").glob("part-*")
+    assert part.read_text().startswith("\ufefffile_name\n")
+    sinks.provenance(spark, f"{base}/how", seed=42, corpora=["a", "b"])
+    (part,) = (tmp_path / "how").glob("part-*")
+    assert json.loads(part.read_text()) == {"seed": 42, "corpora": ["a", "b"]}
+    (tmp_path / "eval.json").write_text(json.dumps([{"id": "r1", "question": "q", "source": {"doc": "d", "chunk_index": 3}, "evidence": "e"}]))
+    (tmp_path / "faq.json").write_text(json.dumps([{"question": "q", "answer": "a", "tags": ["t"]}]))
+    (tmp_path / "lab.json").write_text(json.dumps([{"text": "x", "label": "高危"}, {"text": "y", "label": "?"}]))
+    assert corpus.read_evaluation(spark, f"{base}/eval.json").first()["source"]["chunk_index"] == 3
+    assert corpus.read_faq(spark, f"{base}/faq.json").first()["similar_questions"] is None and corpus.read_evaluation(spark, f"{base}/no.json").count() == 0
+    assert [r["text"] for r in corpus.read_labelled(spark, f"{base}/lab.json").collect()] == ["x"]
+    files = spark.createDataFrame([("/a", 3, "2026-01-01 00:00:00", "t"), ("/b", 4, "2026-01-01 00:00:01", "u")], "path string, length long, at string, text string").withColumn("mtime", F.to_timestamp("at"))
+    for _ in range(2):
+        sinks.write_parse_cache(files.filter("path = '/a'"), f"{base}/cache")
+    assert [r["path"] for r in corpus.uncached(files, spark.read.parquet(f"{base}/cache")).collect()] == ["/b"]
+
+
+def test_list_page_addresses(spark):
+    df = spark.createDataFrame([("http://h/a/list.htm", 1), ("http://h/a/list.htm", 3)], "u string, n int")
+    assert [r["x"] for r in df.orderBy("n").select(H.list_page_url(F.col("u"), F.col("n")).alias("x")).collect()] == ["http://h/a/list.htm", "http://h/a/list3.htm"]
+
+
+def test_small_operators(spark):
+    df = spark.createDataFrame([("C:\\raw\\x.txt",), ("/data/a.b/x.txt",), ("/data/aXb/x.txt",)], "p string")
+    from quillspark.functions import text as X
+
+    assert [r["x"] for r in df.select(X.relative_path(F.col("p"), "/data/a.b").alias("x")).collect()] == ["C:/raw/x.txt", "x.txt", "/data/aXb/x.txt"]
+    nested = spark.createDataFrame([([["13812345678", None], None],)], "a array<array<string>>")
+    assert nested.select(X.sanitize_all(F.col("a"), 2).alias("x")).first()["x"] == [["[手机号]", None], None]
+    hits = spark.createDataFrame([(1, 5, 0.5, 2), (1, 6, 0.9, 1)], "query_id long, id long, score double, rank int")
+    rows = spark.createDataFrame([(5, "five"), (6, "six")], "id long, text string")
+    assert [(r["rank"], r["text"]) for r in V.flattened(hits, rows, ("text",)).orderBy("rank").collect()] == [(1, "six"), (2, "five")]
+    w = texts(spark, "good good day").select(V.sparse_map(P.LexicalEncoder().sparse(F.col("text"))).alias("m")).first()["m"]
+    assert set(w) == {"good", "day"} and abs(w["good"] - 1.693147) < 1e-6
+    df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "y_true int, y_pred int")
+    r = M.validation(df, (0, 1)).filter("label = 0").first()
+    assert r["accuracy"] == 0.75 and abs(r["macro_f1"] - (0.8 + 0.666667) / 2) < 1e-6
 
 
 def test_search_and_fusion(spark):
@@ -170,9 +320,9 @@ def test_near_pairs_and_greedy_are_exact(spark):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
     kept = []
     for i in range(len(rows)):
-        if not any((k, i) in want for k in kept):
+        if len(rows[i]) >= 3 and not any((k, i) in want for k in kept):  # shorter ones count as duplicates
             kept.append(i)
-    assert sorted(r["id"] for r in D.greedy_kept(df, pairs, "id").collect()) == kept
+    assert sorted(r["id"] for r in D.greedy_kept(df, pairs, "id", F.col("text")).collect()) == kept
 
 
 def test_keep_first_and_replace(spark):
