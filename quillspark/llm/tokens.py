@@ -1,25 +1,31 @@
 """Distinct-chunk tables over public tokenizers.
 
-A text is cut where no token can cross, every distinct chunk is encoded once and kept with its ids,
-and the ids of the text are the chunks' ids put together by position. The table lives as long as the
-Python worker and is bounded by MAX_CHUNKS; a full table starts anew. Texts whose cuts would not be
-safe (runs of spaces, control characters) take the exact slower path.
+Texts are cut where no token can cross; the distinct chunks of a batch are looked up in a table that encodes
+each new one once, and the ids of the texts are put together from the chunks' ids by position. The table
+lives as long as the Python worker and is bounded (MAX_CHUNKS); a full one keeps its first two thirds, which
+hold the frequent chunks. Texts whose cuts would not be safe (runs of spaces, control characters) take the
+exact slower path, and so does every text of a tokenizer file that does not agree with its table on PROBES.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-import string
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import KEPT, release
 
 MAX_CHUNKS = 1_000_000
 MAX_CHUNK_CHARS = 200
-BATCH_CHARS = 2_000_000
+UNSAFE, ABSENT = -1, -2
+#: Texts on which a table has to agree with its library before it is used.
+PROBES = ["A Plain wörd, (and) its \"marks\"... don't e.g. well-known x2 3.14 CamelCase\n\nnew  line\ttab ", " ÀÉÎ straße naïve; co-op/and_or #tag @name 50% a+b=c", "", " ", "I'll we've IT'S 'quoted' end.) 日本語 ½ é"]
+BATCH_CHARS = 4_000_000
 
 def shared(kind, path: str, most: int = MAX_CHUNKS):
     """One table of at most so many chunks for each worker process and model file."""
@@ -32,13 +38,19 @@ def shared(kind, path: str, most: int = MAX_CHUNKS):
 
 
 class _Chunks:
-    """chunk text -> its ids as little-endian unsigned 32-bit bytes; None: not safe as a chunk."""
+    """chunk text -> the number of its entry, UNSAFE where it is not safe as a chunk. Entries hold ids side by
+    side in one array; entry 0 is empty."""
 
     def __init__(self, path: str):
         self.path, self.most = path, MAX_CHUNKS
-        self.table: dict[str, bytes | None] = {}
+        self.forget()
 
-    def cut(self, text: str) -> list[str]:
+    def forget(self) -> None:
+        self.table: dict[str, int] = {}
+        self.begin, self.width, self.entries = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def cut(self, texts: pa.LargeStringArray) -> pa.LargeListArray:
         raise NotImplementedError
 
     def cut_slowly(self, text: str) -> list[str] | None:
@@ -51,68 +63,109 @@ class _Chunks:
     def encode_all(self, chunks: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def encode_joined(self, chunks: list[str]) -> list[bytes]:
-        """Encode many safe chunks in one call of the library."""
+    def encode_joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for many safe chunks, by one call of the library."""
         raise NotImplementedError
 
     def encode_whole(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
+    def enter(self, chunks: list[str], ids: np.ndarray, width: np.ndarray) -> None:
+        n, m = self.entries + len(chunks), self.used + len(ids)
+        if n > len(self.begin):
+            self.begin, self.width = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.begin, self.width))
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(m, np.uint32)])
+        self.width[self.entries : n] = width
+        self.begin[self.entries : n] = self.used + np.cumsum(width) - width
+        self.flat[self.used : m] = ids
+        self.table.update(zip(chunks, range(self.entries, n), strict=True))
+        self.entries, self.used = n, m
+
+    def shrink(self) -> None:
+        """What came first is the most frequent: two thirds stay."""
+        self.table = dict(islice(self.table.items(), self.most * 2 // 3))
+        self.entries = max(0, max(self.table.values(), default=0)) + 1
+        self.used = int(self.begin[self.entries - 1] + self.width[self.entries - 1])
+
+    def gathered(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries one after another, and where each ends."""
+        width = self.width[entries]
+        ends = np.cumsum(width)
+        return self.flat[np.repeat(self.begin[entries] - ends + width, width) + np.arange(ends[-1] if len(ends) else 0)], ends
+
     def learn(self, chunks: set[str]) -> None:
-        table = self.table
         new = list(chunks)
-        if len(table) + len(new) > self.most:  # what came first is the most frequent: two thirds stay
-            self.table = table = dict(islice(table.items(), self.most * 2 // 3))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            good = [c for c in part if not self.unsafe(c)]
-            if len(good) < len(part):
-                table.update(dict.fromkeys(set(part).difference(good)))
-            table.update(zip(good, self.encode_joined(good), strict=True))
+            self.take(new[at : at + 20_000])
+
+    def take(self, chunks: list[str]) -> None:
+        good = self.safe_ones(chunks)
+        if good:
+            self.enter(good, *self.encode_joined(good))
+
+    def safe_ones(self, chunks: list[str]) -> list[str]:
+        good = [c for c in chunks if not self.unsafe(c)]
+        if len(good) < len(chunks):
+            self.table.update(dict.fromkeys(set(chunks).difference(good), UNSAFE))
+        return good
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
+        """The ids of each text, as little-endian unsigned 32-bit bytes."""
+        on = gc.isenabled()
+        gc.disable()  # millions of entries, none of them in a cycle, need no tracing again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Chunks are cut, numbered and put together again by arrays; only the distinct ones of a batch are
+        looked up in the table."""
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            cuts, got, gaps, size, start = [], [], [], 0, at
-            get, need = self.table.get, set()
+            start, size = at, 0
             while at < len(texts) and size < BATCH_CHARS:
-                cut = self.cut(texts[at])
-                found = list(map(get, cut))
-                gap = [i for i, raw in enumerate(found) if raw is None] if None in found else []
-                need.update([cut[i] for i in gap])
-                cuts.append(cut)
-                gaps.append(gap)
-                got.append(found)
                 size += len(texts[at])
                 at += 1
-            self.learn({c for c in need if len(c) <= MAX_CHUNK_CHARS and c not in self.table})
-            get = self.table.get
-            for text, cut, found, gap in zip(texts[start:at], cuts, got, gaps, strict=True):
-                for i in gap:
-                    found[i] = get(cut[i])
-                try:
-                    out.append(b"".join(found))
-                except TypeError:  # a chunk that is not safe
-                    out.append(self._slow(text))
+            part = texts[start:at]
+            if len(self.table) > self.most:
+                self.shrink()
+            lists = self.cut(pa.array(part, pa.large_string()))
+            coded = lists.flatten().dictionary_encode()
+            place, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = np.fromiter(map(self.table.get, names, repeat(ABSENT)), np.int64, len(names))
+            gaps = np.flatnonzero(found == ABSENT).tolist()
+            self.learn({c for c in (names[i] for i in gaps) if len(c) <= MAX_CHUNK_CHARS})
+            found[gaps] = np.fromiter((self.table.get(names[i], UNSAFE) for i in gaps), np.int64, len(gaps))
+            bad = found < 0
+            ids, ends = self.gathered(np.where(bad, 0, found)[place])
+            bounds = lists.offsets.to_numpy()
+            slow = np.diff(np.concatenate([[0], np.cumsum(bad[place])])[bounds]) > 0
+            raw, ends = ids.tobytes(), (np.concatenate([[0], ends])[bounds] * 4).tolist()
+            out += [self._slow(t) if s and t else raw[x:y] if t else b"" for t, s, x, y in zip(part, slow.tolist(), ends, ends[1:], strict=False)]
         return out
 
     def _slow(self, text: str) -> bytes:
         cut = self.cut_slowly(text)
         if cut is None:
             return np.array(self.encode_whole(text), dtype="<u4").tobytes()
-        known, table = [], self.table
-        miss = [c for c in set(cut) if table.get(c) is None]
-        own = dict(zip(miss, (np.array(i, dtype="<u4").tobytes() for i in self.encode_slow(miss)), strict=True))
-        for c in cut:
-            known.append(own[c] if c in own else table[c])
-        return b"".join(known)
+        miss = [c for c in set(cut) if self.table.get(c, UNSAFE) < 0]
+        known = dict(zip(miss, (np.array(i, dtype="<u4").tobytes() for i in self.encode_slow(miss)), strict=True))
+        for c in set(cut).difference(miss):
+            known[c] = self.gathered(np.array([self.table[c]]))[0].tobytes()
+        return b"".join(known[c] for c in cut)
 
     def encode_slow(self, chunks: list[str]) -> list[list[int]]:
         return self.encode_all(chunks)
 
 
+def _side_by_side(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+
+
 class _Library(_Chunks):
     """A tokenizers file; special strings in a text count as ordinary text."""
 
@@ -128,11 +181,21 @@ class _Library(_Chunks):
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.visible = {ord(c): shown.pre_tokenize_str(c)[0][0] for c in [" ", *map(chr, range(0xC0, 0x100))]}
         names = sorted(self.lib.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-        self.width, self.closes = np.zeros(names[-1][1] + 1, np.int64), np.zeros(names[-1][1] + 1, bool)
+        self.length, self.closes = np.zeros(names[-1][1] + 1, np.int64), np.zeros(names[-1][1] + 1, bool)
         for name, i in names:
-            self.width[i], self.closes[i] = len(name), name.endswith("</w>")
+            self.length[i], self.closes[i] = len(name), name.endswith("</w>")
         self.lib.encode_special_tokens = True
-        self.tails: dict[str, bytes] = {}
+        # another file may split words in other places: then texts are encoded whole
+        want = [np.array(i, dtype="<u4").tobytes() for i in self.encode_all(PROBES)]
+        self.whole = False
+        try:
+            self.whole = self.encode(PROBES) != want
+        except ValueError:
+            self.whole = True
+        self.forget()
+
+    def encode(self, texts):
+        return [np.array(i, dtype="<u4").tobytes() for i in self.encode_all(texts)] if self.whole else super().encode(texts)
 
     #: Stands between joined chunks; encodes to one id that no safe chunk has.
     between = ""
@@ -140,63 +203,65 @@ class _Library(_Chunks):
     def encode_all(self, chunks):
         return [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
 
-    #: Punctuation that the word pattern splits from a word of Latin letters before it.
-    tail_marks = string.punctuation
-
-    def stem(self, chunk: str) -> str:
-        """A spelling of chunk without its tail marks that has the same ids."""
-        return chunk.rstrip(self.tail_marks)
-
-    def encode_joined(self, chunks):
-        """Chunks that are a plain word and marks are put together from the ids of both."""
-        table, tails = self.table, self.tails
-        stems, plain, other = [], {}, {}
-        for c in chunks:
-            w = self.stem(c)
-            bare = w[1:] if w[:1] == " " else w
-            if bare.isalpha() and (bare.isascii() or max(bare) <= "ÿ" and not self._rare(bare)):
-                if w not in table:
-                    plain[w] = b""
-                if len(w) < len(c) and c[len(w) :] not in tails:
-                    if len(tails) > 10_000:
-                        tails.clear()
-                    tails[c[len(w) :]] = np.array(self.encode_all([c[len(w) :]])[0], dtype="<u4").tobytes()
-            else:
-                w = c
-                other[w] = b""
-            stems.append(w)
-        own = plain | other
-        for kind, words in ((self._words, [w for w in plain if w.isascii()]), (self._words, [w for w in plain if not w.isascii()]), (self._library, list(other))):
-            own.update(zip(words, kind(words), strict=True))
-        table.update((w, own[w]) for w in plain)
-        return [(own[w] if w in own else table[w]) + (tails[c[len(w) :]] if len(w) < len(c) else b"") for c, w in zip(chunks, stems, strict=True)]
-
-    #: Latin letters that are not plain letters of every library's classes.
-    _rare = re.compile("[ªµº]").search
+    #: A word of plain Latin letters (not those that are letters in some libraries only), perhaps behind a
+    #: space, and marks that the word pattern splits from it.
+    _plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z").match
+
+    #: A spelling of a plain word that has the same ids.
+    form = staticmethod(str)
+
+    def simple(self, chunks: list[str]) -> list[str]:
+        """Most of those that are a plain word in that spelling and nothing else, found quickly."""
+        return [c for c in chunks if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha())]
+
+    def take(self, chunks):
+        """Plain words and their marks are put together from the ids of both, others go to the library."""
+        table, match, form = self.table, self._plain, self.form
+        simple = self.simple(chunks)
+        made, new, marks, rest = [], dict.fromkeys(simple), {}, []
+        for c in set(chunks).difference(simple) if len(simple) < len(chunks) else ():
+            m = match(c)
+            if m is None:
+                rest.append(c)
+                continue
+            word, tail = m.groups()
+            word = form(word)
+            if word not in table:
+                new[word] = None
+            if word != c:
+                made.append((c, word, tail))
+                if tail and tail not in table:
+                    marks[tail] = None
+        rest = [c for c in rest if c not in marks]
+        for words in ([w for w in new if w.isascii()], [w for w in new if not w.isascii()]):
+            if words:
+                self.enter(words, *self._words(words))
+        self.enter([*marks], *_side_by_side(self.encode_all([*marks])))
+        if good := self.safe_ones(rest):
+            self.enter(good, *self._library(good))
+        if made:
+            table = self.table
+            both = np.fromiter((i for _, word, tail in made for i in (table[word], table[tail] if tail else 0)), np.int64, 2 * len(made))
+            ids, ends = self.gathered(both)
+            self.enter([c for c, _, _ in made], ids, np.diff(ends[1::2], prepend=0))
 
     def _words(self, words):
         """Words of Latin letters, perhaps behind a space: the file's model over split parts."""
-        if not words:
-            return []
         text = "\x01".join(words)
         text = text.replace(" ", self.visible[32]) if text.isascii() else text.translate(self.visible)
-        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = self.borders(ids, words)
         if len(ends) != len(words) or ends[-1] != len(ids):
             raise ValueError("word borders were lost")
-        raw, ends = ids.tobytes(), (4 * ends).tolist()
-        return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return ids, np.diff(ends, prepend=0)
 
     def _library(self, chunks):
-        if not chunks:
-            return []
         mark = self.encode_all([self.between])[0]
-        ids = np.array(self.encode_all([self.between.join(chunks)])[0], dtype="<u4")
+        ids = np.array(self.encode_all([self.between.join(chunks)])[0], np.uint32)
         at = np.flatnonzero(ids == mark[0])
         if len(mark) != 1 or len(at) != len(chunks) - 1:
-            return [np.array(i, dtype="<u4").tobytes() for i in self.encode_all(chunks)]
-        raw, ends = ids.tobytes(), (at * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
+            return _side_by_side(self.encode_all(chunks))
+        return np.delete(ids, at), np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
 
 
 class ByteChunks(_Library):
@@ -212,12 +277,11 @@ class ByteChunks(_Library):
 
     def borders(self, ids, words):
         size = [len(w.encode()) for w in words]
-        return np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1  # a byte is a character of a name
+        return np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(size)) + 1  # a byte is a character of a name
 
-    def cut(self, text):
-        if "\0" in text:
-            return [""]
-        return text.replace(" ", "\0 ").split("\0") if text else []
+    def cut(self, texts):  # a null character of the text itself leaves an empty chunk or one that cannot be told
+        texts = pc.if_else(pc.match_substring(texts, "\0"), pa.scalar("\0\0", texts.type), pc.replace_substring(texts, " ", "\0 "))
+        return pc.split_pattern(texts, "\0")
 
     def unsafe(self, chunk):
         odd = not chunk or chunk[-1].isspace() or (chunk[0].isspace() and chunk[0] != " ") or chunk[1:2].isspace()
@@ -235,17 +299,19 @@ class WordChunks(_Library):
     def borders(self, ids, words):
         return np.flatnonzero(self.closes[ids]) + 1
 
-    def stem(self, chunk):
-        return chunk.rstrip(self.tail_marks).lower()
+    form = staticmethod(str.lower)
 
-    def cut(self, text):
-        return text.replace("\n", " ").split(" ")
+    def simple(self, chunks):
+        return [c for c in chunks if c.isascii() and c.islower() and c.isalpha()]
+
+    def cut(self, texts):
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
     def unsafe(self, chunk):
         return "\x01" in chunk
 
     def cut_slowly(self, text):
-        return self.cut(text)
+        return text.replace("\n", " ").split(" ")
 
 
 class PieceChunks(_Chunks):
@@ -269,10 +335,8 @@ class PieceChunks(_Chunks):
         plain = lib.encode("x ▁ y  z", out_type=str)
         self.whole = crossing or self.marker == lib.unk_id() or not plain[0].startswith("▁")
 
-    def cut(self, text):
-        if self.whole:
-            return [""] if text else []
-        return text.split(" ") if text else []
+    def cut(self, texts):
+        return pc.split_pattern(pc.if_else(self.whole, pa.scalar("", texts.type), texts), " ")
 
     def unsafe(self, chunk):
         return not chunk or "▁" in chunk
@@ -284,14 +348,11 @@ class PieceChunks(_Chunks):
         return self.lib.encode(chunks, num_threads=1) if chunks else []
 
     def encode_joined(self, chunks):
-        if not chunks:
-            return []
-        ids = np.array(self.lib.encode(" ".join(chunks)), dtype="<u4")
+        ids = np.array(self.lib.encode(" ".join(chunks)), np.uint32)
         at = np.flatnonzero(self.starts[ids])
         if len(at) != len(chunks):
-            return [np.array(i, dtype="<u4").tobytes() for i in self.encode_all(chunks)]
-        raw, begin = ids.tobytes(), (at * 4).tolist()
-        return [raw[a:b] for a, b in zip(begin, [*begin[1:], len(raw)], strict=True)]
+            return _side_by_side(self.encode_all(chunks))
+        return ids, np.diff(np.append(at, len(ids)))
 
     def encode_slow(self, chunks):
         return [ids if c else [self.marker] for c, ids in zip(chunks, self.encode_all(chunks), strict=True)]
