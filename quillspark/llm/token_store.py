@@ -39,21 +39,29 @@ SHARD_DOCS = 100_000  # documents of a shard, about: its roots are hashed in one
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the content-defined chunks of one id stream."""
+def rolling_marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind ids at which the hash of the last WINDOW ids asks for a cut; of many streams at once, as
+    no stream is cut within WINDOW ids of its beginning."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
     h = (ids.astype(np.uint64) + np.uint64(1)) * _MUL
     h ^= h >> np.uint64(29)
     roll = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(WINDOW, n)):  # hash of the last WINDOW ids, oldest multiplied most
-            roll[k:] += h[: n - k] * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
+    for k in range(min(WINDOW, n)):  # oldest multiplied most
+        roll[k:] += h[: n - k] * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
     roll ^= roll >> np.uint64(32)
-    marks = np.flatnonzero((roll & np.uint64((1 << MASK_BITS) - 1)) == 0) + 1
+    return np.flatnonzero((roll & np.uint64((1 << MASK_BITS) - 1)) == 0) + 1
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the content-defined chunks of one id stream."""
+    return _ends(rolling_marks(ids).tolist(), len(ids))
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    if n <= LEAST:
+        return [n] if n else []
     out, last = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*marks, n]:
         while m - last > MOST:
             last += MOST
             out.append(last)
@@ -79,20 +87,27 @@ def _split(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         table = shared(WordChunks, tokenizer)
         wide = "<u2" if table.lib.get_vocab_size() <= 1 << 16 else "<u4"
         sent: set[bytes] = set()
+        tail, unit = np.uint32(end_id).tobytes(), np.dtype(wide).itemsize
         for batch in batches:
             kind, doc, n, key, data = [], [], [], [], []
-            for d, raw in zip(batch.column(0).to_pylist(), table.encode(texts_of(batch)), strict=True):
-                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+            raws = [raw + tail for raw in table.encode(texts_of(batch))]
+            every = np.frombuffer(b"".join(raws), "<u4")
+            bounds = np.cumsum([0, *(len(raw) // 4 for raw in raws)])
+            marks, packed = rolling_marks(every), every.astype(wide).tobytes()
+            own = np.searchsorted(marks, bounds, "right").tolist()
+            bounds, marks = bounds.tolist(), marks.tolist()
+            for i, d in enumerate(batch.column(0).to_pylist()):
+                at = bounds[i]
+                size = bounds[i + 1] - at
                 digests, last = [], 0
-                packed = ids.astype(wide)
-                for end in cut_points(ids):
-                    part = packed[last:end].tobytes()
+                for end in _ends([m - at for m in marks[own[i] : own[i + 1]]] if size > LEAST else [], size):
+                    part = packed[(at + last) * unit : (at + end) * unit]
                     digests.append(g := hashlib.blake2b(part, digest_size=DIGEST).digest())
                     if g not in sent:
                         sent.add(g)
                         kind.append(1), doc.append(None), n.append(end - last), key.append(g), data.append(part)
                     last = end
-                kind.append(0), doc.append(d), n.append(len(ids)), key.append(merkle(digests)), data.append(b"".join(digests))
+                kind.append(0), doc.append(d), n.append(size), key.append(merkle(digests)), data.append(b"".join(digests))
             if len(sent) > 500_000:
                 sent.clear()
             yield pa.RecordBatch.from_arrays(
@@ -159,19 +174,24 @@ def broken_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest").join(now, "shard", "full").filter(broken)
 
 
+_JOINER = Joiner()  # a worker keeps the tables of the lengths it has met
+
+
 def _checked(batches):
     for batch in batches:
-        good, crc, size = [], [], []
-        for g, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        digests, sizes, parts = (batch.column(i).to_pylist() for i in range(3))
+        for g, data in zip(digests, parts, strict=True):
             if hashlib.blake2b(data, digest_size=DIGEST).digest() != g:
                 raise ValueError(f"chunk {g.hex()} does not match its digest")
-            ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4")
-            good.append(g), crc.append(zlib.crc32(ids.tobytes())), size.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(good, pa.binary()), pa.array(crc, pa.int64()), pa.array(size, pa.int64())], names=["digest", "crc", "n_ids"])
+        short = sum(map(len, parts)) == 2 * sum(sizes)  # one width for all chunks of a store
+        ids = memoryview(np.frombuffer(b"".join(parts), "<u2" if short else "<u4").astype("<u4").tobytes())
+        ends = np.cumsum([0, *sizes]).tolist()
+        crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), batch.column(1)], names=["digest", "crc", "n_ids"])
 
 
 def _composed(batches):
-    joiner = Joiner()
+    joiner = _JOINER
     for batch in batches:
         crcs = []
         lists = batch.column(4)
