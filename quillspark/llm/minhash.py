@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, tidy
+from .common import components, discard, stored, tidy
 from .words import Words, mix, run_hashes
 
 K, HEADS, BLOCK, BLOCK_SHINGLES = 32, 10, 1024, 2_000_000
@@ -57,9 +57,9 @@ def hashes(ids: np.ndarray, words: Words, width: int, seed: int = 0) -> np.ndarr
     return mix(run_hashes(words.values(ids, seed), width, seed) + np.uint64(width))
 
 
-def shingle_sets(texts: list[str], width: int, seed: int = 0) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], width: int, seed: int = 0, words: Words | None = None) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    words = Words()
+    words = Words() if words is None else words
     return [np.unique(hashes(ids, words, w, seed)) for ids, w in (shingles(t, words, width) for t in texts)]
 
 
@@ -269,10 +269,13 @@ def _full_sets(width: int, seed: int):
     """The sketch, then the whole set by hashes of the seed."""
 
     def run(batches):
+        words = Words()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            tops = [_sketch(s).tobytes() for s in shingle_sets(texts, width)]
-            sets = [s.tobytes() for s in shingle_sets(texts, width, seed)]
+            tops = [_sketch(s).tobytes() for s in shingle_sets(texts, width, 0, words)]
+            sets = [s.tobytes() for s in shingle_sets(texts, width, seed, words)]
+            if len(words) > MAX_WORDS:
+                words.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a + b for a, b in zip(tops, sets, strict=True)], pa.binary())], names=["id", "sketch"])
 
     return run
@@ -326,21 +329,25 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         return stored(each.groupBy("a", "b").agg(F.max("linked").alias("linked")), name)
 
     tested = confirmed(first, "tested")
+    spent = [lists, first, texts, tested]
     links = tested.filter("linked").select("a", "b")
     comp = stored(components(links), "components1")
     again = first.filter("more").join(tested.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("key").distinct()
     for seed in itertools.count(1):  # once, but where hashes of different words have met
         sets = texts.mapInArrow(tidy(_full_sets(width, seed)), "id long, sketch binary")
         rest = stored(_proposals(lists, sets, percent, comp, again), f"round{1 + seed}")
+        spent.append(rest)
         if not rest.head(1):
             break
         true = confirmed(rest, f"tested{1 + seed}")
         links = links.unionByName(true.filter("linked").select("a", "b"))
+        spent += [true, comp]
         comp = stored(components(links), f"components{1 + seed}")
         false = true.filter("not linked").select("a", "b")
         if not false.head(1):
             break
         again = rest.join(false, ["a", "b"], "left_semi").select("key").distinct()
+    discard(*spent)
     member = full.join(classes, "mark").select("id", "mark", "rep").distinct()
     found = member.join(comp, F.col("rep") == F.col("node"), "left").select("id", "mark", F.coalesce("component_id", "rep").alias("component_id"))
     out = all_rows.select("id", "n", "mark").join(found, ["id", "mark"], "left")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, texts_of
+from .common import discard, release, stored, texts_of
 from .tokens import MAX_CHUNKS, ByteChunks, shared
 
 REGION, ISLANDS, EPOCHS = 32768, 2, 2
@@ -252,7 +252,9 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
         if state is not None:  # the elite of each island goes to the next one and stays at home
             moved = state.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int"))
             coming = state.unionByName(moved)
-        state = stored(spread.groupBy("region", "island").cogroup(coming.groupBy("region", "island")).applyInArrow(_epoch(capacity, epoch), _STATE), f"epoch{epoch}")
+        old, state = state, stored(spread.groupBy("region", "island").cogroup(coming.groupBy("region", "island")).applyInArrow(_epoch(capacity, epoch), _STATE), f"epoch{epoch}")
+        if old is not None:
+            discard(old)
     rank = F.struct(-F.col("bins"), "fill", -F.col("island"))
     best = state.groupBy("region").agg(F.max_by("elite", rank).alias("elite"), F.min("bins").alias("bins"), F.first("plain").alias("plain"), F.first("bound").alias("bound"))
     if LOG.isEnabledFor(logging.INFO):
