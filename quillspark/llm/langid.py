@@ -13,7 +13,8 @@ one of the least hash. Texts of at most max_chars characters come first; where a
 max_docs of them, longer ones fill up with their first max_chars characters. An n-gram enters a language's
 filter if its rate there is at least keep_share of the sum of its rates over all languages.
 
-Null texts and texts without a letter get "und" and score 0. An empty training set predicts "und".
+Null texts and texts without a letter (numbers, marks, fractions and Roman numerals are none) get "und" and
+score 0. Repeated rows count once in training and come as often as they are there. An empty training set predicts "und".
 Ties go to the language first in alphabetical order. The number of languages has no bound: the model takes
 1 MB for each eight, the sample max_docs texts for each.
 """

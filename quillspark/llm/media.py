@@ -6,7 +6,9 @@ few ones and codes a pair as (f1, f2, dt) with the time of its first peak: two a
 times (frame numbers) and codes. Magnitudes are rounded to integers first, so ties are ties; of equal
 peaks the lower frequency comes first.
 
-Null and empty payloads are padded like any other; silence has no peak and empty arrays.
+Null and empty payloads are padded like any other; silence has no peak and empty arrays. Repeated rows come
+as often as they are there, equal texts with equal values. Extra columns are ignored. A very long text is one
+medium, transformed BLOCK frames at a time. An empty table gives no row.
 """
 
 from __future__ import annotations

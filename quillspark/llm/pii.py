@@ -14,7 +14,9 @@ hash of the text), labelled by the base patterns; spans are also rewritten in ot
 usual forms and moved between words of other texts. Without such documents the tagger is trained on rewritten examples alone.
 
 Null and empty texts hold nothing. Offsets are code points, ends exclusive. Equal starts are ordered
-by kind: email, ip, card, phone. Rows repeat as they come.
+by kind: email, ip, card, phone. Rows repeat as they come. find() ignores extra columns, mask() keeps them.
+An empty table gives no row; training on one uses the built-in examples. Long stretches of digits are decoded
+alone, short ones together up to CELLS characters.
 """
 
 from __future__ import annotations

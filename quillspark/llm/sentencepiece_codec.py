@@ -6,7 +6,8 @@ are joined back by position. The table is kept by each Python worker and bounded
 (tokens.MAX_CHUNKS); one table for the whole corpus would need a join of every word position.
 
 Nulls and empty texts give no ids and decode to "". Models whose pieces cross markers are encoded
-whole. Extra columns, clashing names among them, are ignored: only the id and text columns are read.
+whole. Extra columns, clashing names among them, are ignored: only the id and text columns are read. Repeated
+rows come as often as they are there. An empty table gives no row.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ above what chance would give so many terms, shares e^2 times apart or more, in a
 examples); other words do not enter the vectors. Their document frequencies are counted over all
 documents that have a text, labelled or not.
 
-Null and empty texts and texts with no kept term get the calibrated score of such examples. Without
+Null and empty texts and texts with no kept term get the calibrated score of such examples. Repeated rows
+come as often as they are there; of rows of one id the first text in order is the example. Without
 any labelled row every score is 0. Of repeated labels of one document the larger counts.
 """
 
