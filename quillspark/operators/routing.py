@@ -170,7 +170,7 @@ def contexts_by_attempt(asked: DataFrame, chunks: DataFrame, role: str, semester
     plain = word_weights(asked.withColumn("query_id", F.struct(*key)), ["query_id"], F.col("text"))
     # the filter comes before the limits, so every attempt can fill its own
     def leg(flag: str, k: int) -> DataFrame:
-        return V.sparse_search(plain, rows.join(seen.filter(flag).select("id"), "id", "left_semi"), k).withColumn("narrow", F.lit(flag == "open"))
+        return V.sparse_join(plain, rows.join(seen.filter(flag).select("id"), "id", "left_semi"), k).withColumn("narrow", F.lit(flag == "open"))
 
     ranked = leg("open", s.top_k).unionByName(leg("open_later", s.top_k * (s.max_retry + 1))).drop("rank")
     tries = asked.select(F.struct(*key).alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(s.max_retry))).alias("retry"), "category")
@@ -180,7 +180,7 @@ def contexts_by_attempt(asked: DataFrame, chunks: DataFrame, role: str, semester
     parts = F.filter(F.split("text", "[?？]", -1), lambda p: strip(p) != "")
     subs = asked.filter(F.col("category") == C.INTENTS[1]).select(F.struct(*key).alias("query_id"), F.posexplode(parts).alias("sub", "part"))
     narrow_rows = rows.join(seen.filter("open").select("id"), "id", "left_semi")
-    part_hits = V.sparse_search(word_weights(subs.select(F.struct("query_id", "sub").alias("query_id"), "part"), ["query_id"], F.col("part")), narrow_rows, s.sub_query_k)
+    part_hits = V.sparse_join(word_weights(subs.select(F.struct("query_id", "sub").alias("query_id"), "part"), ["query_id"], F.col("part")), narrow_rows, s.sub_query_k)
     merged = V.merged_sub_queries(part_hits.join(seen.select("id", "text"), "id").select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.sub").alias("sub"), "rank", "id", "text"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("sub", "rank", "id"))
     planned = merged.select("query_id", F.lit(0).alias("retry"), "id", place.alias("rank"), F.lit(8).alias("rerank_k"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +62,60 @@ def dense_search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id"
     return top_k(found, "query_id", "score", k, ["id"])
 
 
-def sparse_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Inner product over tokens: queries (query_id, token, weight), rows (id, token, weight)."""
+def sparse_search(queries: DataFrame, rows: DataFrame, k: int, block: int = 500) -> DataFrame:
+    """Inner product over tokens of a stated query set with all rows: queries (query_id long, token, weight),
+    rows (id, token, weight).
+
+    Blocks of about `block` queries go out as a matrix of their tokens; each row's tokens pick their lines of
+    it, so a common token is no hot key, and a partial top-k leaves each batch. Rows without a common token
+    are no hits."""
+    spark = rows.sparkSession
+    own = rows.groupBy("id").agg(F.collect_list("token").alias("t"), F.collect_list("weight").alias("w"))  # the words of one text
+    blocks = max(1, -(-queries.select("query_id").distinct().count() // block))
+    found = None
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "token", "weight").collect()
+        if not part:
+            continue
+        ids, at = np.unique([r["query_id"] for r in part], return_inverse=True)
+        tokens: dict[str, int] = {}
+        line = np.array([tokens.setdefault(r["token"], len(tokens)) for r in part])
+        matrix = np.zeros((len(tokens), len(ids)))
+        np.add.at(matrix, (line, at), [r["weight"] for r in part])
+        held = spark.sparkContext.broadcast((ids, tokens, matrix))  # block times the words of a query
+
+        def score(batches, held=held):
+            ids, tokens, matrix = held.value
+            for batch in batches:
+                words, weights, rows = batch.column(1), batch.column(2).flatten().to_numpy(), batch.column(0).to_numpy()
+                owner = np.repeat(np.arange(len(rows)), np.diff(words.offsets.to_numpy()))
+                line = np.fromiter((tokens.get(x, -1) for x in words.flatten().to_pylist()), np.int64, len(owner))
+                owner, weights, line = (x[line >= 0] for x in (owner, weights, line))
+                if not len(line):
+                    continue
+                cut = np.flatnonzero(np.diff(owner, prepend=-1))
+                some, out = rows[owner[cut]], []
+                for lo in range(0, len(cut), 200):  # so many rows at once
+                    first, last = cut[lo], cut[lo + 200] if lo + 200 < len(cut) else len(line)
+                    out.append(np.add.reduceat(matrix[line[first:last]] * weights[first:last, None], cut[lo : lo + 200] - first, axis=0))
+                s = np.round(np.concatenate(out), 6).T
+                best = [np.lexsort((some, -row))[:k] for row in s]
+                best = [x[row[x] > 0] for x, row in zip(best, s, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, [len(x) for x in best])), pa.array(some[np.concatenate(best)]), pa.array(np.concatenate([row[x] for x, row in zip(best, s, strict=True)]))],
+                    names=["query_id", "id", "score"],
+                )
+
+        leg = own.mapInArrow(score, "query_id long, id long, score double")
+        found = leg if found is None else found.unionByName(leg)
+    if found is None:
+        found = spark.createDataFrame([], "query_id long, id long, score double")
+    return top_k(found, "query_id", "score", k, ["id"])
+
+
+def sparse_join(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The same for queries as many as the data (any type of query_id) against a small corpus, by a join on
+    the token."""
     hits = queries.select("query_id", "token", F.col("weight").alias("qw")).join(rows.select("id", "token", F.col("weight").alias("dw")), "token")
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("score"))
     return top_k(scored, "query_id", "score", k, ["id"])
