@@ -42,6 +42,11 @@ def near_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float = C.
     if other is not None:
         one = one.unionByName(other.select(F.lit(1).alias("side"), F.col("id").cast("long"), char_ngrams(near_dup_form(other_text)).alias("grams")))
     one = one.filter(F.size("grams") > 0).withColumn("n", F.size("grams"))
+    if other is not None:  # sets too small or too large for every row go before their grams travel
+        span = one.filter("side = 0").agg(F.min("n").alias("least"), F.max("n").alias("most"))  # one row
+        fits = F.col("n").between(threshold * F.col("least") - 1e-9, F.col("most") / threshold + 1e-9)
+        one = one.join(F.broadcast(span), F.lit(True)).filter((F.col("side") == 0) | fits).drop("least", "most")
+        one = scratch(one)  # few are left, and they are read four times
     grams = one.select("side", "id", "n", F.explode("grams").alias("gram"))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("side", "id").orderBy("df", "gram")
