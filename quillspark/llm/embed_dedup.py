@@ -32,8 +32,19 @@ from .common import components, local_roots, stored, tidy
 NEAREST, SHARED, BLOCK, MAX_PIVOTS = 12, 3, 512, 2048
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """The bytes of a component, then the components: 4 where single precision holds all of them exactly."""
+    with np.errstate(over="ignore"):
+        short = a.astype("<f4")
+    return b"\x04" + short.tobytes() if np.array_equal(short, a) else b"\x08" + a.tobytes()
+
+
+def _length(raw: bytes) -> int:
+    return (len(raw) - 1) // raw[0]
+
+
 def _clean(batches):
-    """id, label and the vector's bytes as doubles; null where it cannot link."""
+    """id, label and the packed vector with a digest; null where it cannot link."""
     for batch in batches:
         raws, marks = [], []
         for v, label in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -42,14 +53,20 @@ def _clean(batches):
                 a = np.array(v, dtype="<f8") + 0.0
                 most = float(np.abs(a).max())
                 if 0 < most < np.inf:  # scaled by a power of two, so that no square is infinite or vanishes
-                    raw = np.ldexp(a, -np.frexp(most)[1]).tobytes()
-            raws.append(raw)
-            marks.append(xxhash.xxh3_128_digest(raw) if raw is not None else None)
+                    raw = (np.ldexp(a, -np.frexp(most)[1]),)
+            raws.append(raw and _packed(raw[0]))
+            marks.append(raw and xxhash.xxh3_128_digest(raw[0].tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raws, pa.binary()), pa.array(marks, pa.binary())], names=["id", "label", "vec", "mark"])
 
 
 def _unit(raws: list[bytes]) -> np.ndarray:
-    m = np.frombuffer(b"".join(raws), "<f8").reshape(len(raws), -1)
+    """Unit vectors in double precision of packed vectors of one length."""
+    kinds = {r[0] for r in raws}
+    if len(kinds) == 1:
+        every = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)[:, 1:]
+        m = np.ascontiguousarray(every).view(f"<f{kinds.pop()}").astype(np.float64)
+    else:
+        m = np.array([np.frombuffer(r, f"<f{r[0]}", offset=1) for r in raws], np.float64)
     return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
@@ -62,7 +79,7 @@ def _describe(held):
             raws = batch.column(batch.schema.names.index("vec")).to_pylist()
             near: list = [None] * len(raws)
             for dim, p in pivots.items():
-                own = [i for i, r in enumerate(raws) if len(r) == 8 * dim]
+                own = [i for i, r in enumerate(raws) if _length(r) == dim]
                 for at in range(0, len(own), 2000):
                     part = own[at : at + 2000]
                     cos = _unit([raws[i] for i in part]) @ p.T
@@ -70,7 +87,7 @@ def _describe(held):
                     for i, row in zip(part, np.sort(np.argpartition(-cos, k - 1, axis=1)[:, :k], axis=1).tolist(), strict=True):
                         near[i] = row
             for i, r in enumerate(raws):  # a length no pivot has: one list for all of it
-                near[i] = near[i] if near[i] is not None else [len(r) // 8]
+                near[i] = near[i] if near[i] is not None else [_length(r)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(batch.num_columns)), pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
 
     return run
@@ -84,7 +101,7 @@ def _verify(least: float):
         pivot = int(table.column("pivot")[0].as_py())
         vecs = table.column("vec").to_pylist()
         links, a_all, b_all = np.zeros(len(ids), np.int64), [], []
-        sizes = np.array([len(v) for v in vecs])
+        sizes = np.array([_length(v) for v in vecs])
         near_lists = table.column("near").to_pylist()
         for size in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == size)
@@ -131,8 +148,8 @@ def link_embeddings(df: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     most = min(MAX_PIVOTS, max(64, 2 * math.isqrt(count)))
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").collect()
     pivots = {}
-    for size in {len(r["vec"]) for r in sample}:
-        pivots[size // 8] = _unit([r["vec"] for r in sample if len(r["vec"]) == size])
+    for size in {_length(r["vec"]) for r in sample}:
+        pivots[size] = _unit([r["vec"] for r in sample if _length(r["vec"]) == size])
     held = spark.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
     described = reps.mapInArrow(tidy(_describe(held)), "id long, label string, vec binary, copies long, near array<int>")
     first = F.expr(f"slice(near, 1, greatest(1, size(near) - {SHARED - 1}))")

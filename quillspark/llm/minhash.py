@@ -310,7 +310,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     heads = reps.select("id", "n", step.alias("step"), F.posexplode("heads").alias("rank", "value"))
     heads = heads.withColumn("at_step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     heads = heads.select(F.xxhash64("value", "at_step").alias("key"), "id", "n", "rank", "step", "at_step", F.shiftrightunsigned("value", 32).alias("value"))
-    counts = heads.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("most")).filter("c > 1")
+    seen = [F.count("*").alias("c"), F.max("n").alias("most"), F.min("n").alias("fewest"), F.min("rank").alias("r1"), F.max("rank").alias("r2"), F.max("step").alias("top")]
+    # a pair is met in the list of its larger step, so a list without a set of its own step has none; most lists
+    # hold two sets that share a common shingle by chance, and of those the sizes and ranks tell already
+    near = (100 * F.col("fewest") >= percent * F.col("most")) & (F.col("r1") + F.col("r2") <= APART)
+    counts = heads.groupBy("key", "at_step").agg(*seen).filter((F.col("c") > 1) & (F.col("top") == F.col("at_step")) & ((F.col("c") > 2) | near)).drop("at_step")
     lists = heads.join(counts.hint("merge"), "key").withColumn("nb", F.ceil(F.col("c") * F.greatest(F.lit(1 / BLOCK), F.col("most") / BLOCK_SHINGLES)).cast("int"))
     lists = stored(lists.select("key", "id", "n", "rank", "step", "at_step", "value", "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("blk")), "lists")
     sketches = reps.select("id", "sketch")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, tidy
+from .common import release, shuffle_partitions, tidy
 from .words import Words, mix, run_hashes, slices
 
 NO_ID = -(1 << 63)
@@ -361,7 +361,7 @@ def remove_repeats(df: DataFrame, width: int = 20, outputs=("n_words", "n_remove
     names columns of df to pass on. bucket_bytes and block_windows bound what a task holds at once."""
     outputs, carry = tuple(outputs), tuple(carry)
     size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    n = m = max(4, -(-size // bucket_bytes))  # buckets and targets
+    n = m = max(shuffle_partitions(df.sparkSession), -(-size // bucket_bytes))  # buckets and targets
     kinds = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string", "intervals": "array<struct<first:bigint,end:bigint>>"}
     given = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")
