@@ -4,15 +4,15 @@ Terms are lower-cased words and their 4- and 5-letter beginnings. The labelled e
 inverted index cut into blocks of BLOCK examples; each term keeps the greatest weight it has in each
 block, so a query's bound for a block is one product, and blocks are opened by falling bound until
 the K-th best cosine cannot be beaten: the neighbours are exact (ties: the smaller example). Their
-cosine-weighted votes, smoothed towards the base rate, are mapped to probabilities by isotonic
-regression over leave-one-out votes, each class weighted by its count over all labelled rows. Scores
-come with their evidence: the neighbours' ids, cosines and labels.
+votes, weighted by cosine over distance (1 - cosine + NEAR) and smoothed towards the base rate, are
+mapped to probabilities by isotonic regression over leave-one-out votes, each class weighted by its
+count over all labelled rows. Scores come with their evidence: the neighbours' ids, cosines and labels.
 
 fit() reads a bounded sample of labelled examples: up to per_class documents of either label and at most
-max_chars characters, drawn by a hash of the id. All terms the sample ties to a label are indexed (|z|
-above what chance would give so many terms, shares e^2 times apart or more, in at least df_least
-examples); other words do not enter the vectors. Their document frequencies are counted over all
-documents that have a text, labelled or not.
+max_chars characters, drawn by a hash of the id. All terms the sample ties to a label are indexed (shares
+e^2 times apart or more, in at least df_least examples, and so unevenly that chance would give less than
+one such term among all: exact binomial tails); other words do not enter the vectors. Their document
+frequencies are counted over all documents that have a text, labelled or not.
 
 Null and empty texts and texts with no kept term get the calibrated score of such examples. Repeated rows
 come as often as they are there; of rows of one id the first text in order is the example. Without
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import tidy
 
-K, BLOCK, SMOOTH = 15, 64, 0.3
+K, BLOCK, SMOOTH, NEAR = 15, 64, 0.3, 0.1
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_SEEN = 300_000
 
@@ -60,6 +60,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return at, np.concatenate([np.full(int(n), a / b) for a, b, n in stack]) if stack else np.zeros(0)
 
 
+def chance(hits: int, n: int, q: float) -> float:
+    """The probability of a count as far from n * q as hits, on its side, if each of n hits with probability q."""
+    if hits < n * q:
+        hits, q = n - hits, 1 - q
+    most = math.lgamma(n + 1)
+    return math.fsum(math.exp(most - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log1p(-q)) for k in range(hits, n + 1))
+
+
 class NearestExamples:
     """The index and its calibration; picklable, its size bounded by the sample."""
 
@@ -74,14 +82,13 @@ class NearestExamples:
         for bag, label in zip(bags, labels, strict=True):
             (df1 if label else df0).update(bag.keys())
         chosen, known = [], [t for t in df1.keys() | df0.keys() if df1[t] + df0[t] >= df_least] if n1 and n0 else []
-        z_least = math.sqrt(2 * math.log(max(2, len(known))))  # above the greatest |z| chance gives so many terms
         for t in known:
             df = df1[t] + df0[t]
-            p = df / (n1 + n0)
-            z = abs(df1[t] / n1 - df0[t] / n0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
             odds = abs(math.log((df1[t] + 0.5) / (n1 + 1)) - math.log((df0[t] + 0.5) / (n0 + 1)))
-            if z >= z_least and odds >= 2:
-                chosen.append((-z, t, df))
+            if odds >= 2:
+                by_chance = chance(df1[t], df, n1 / (n1 + n0))
+                if by_chance * len(known) < 1:
+                    chosen.append((by_chance, t, df))
         chosen.sort()
         self.terms = {t: i for i, (_, t, _) in enumerate(chosen)}
         n_docs, dfs = counted(self.terms) if counted and chosen else (len(bags), [df for _, _, df in chosen])
@@ -95,7 +102,7 @@ class NearestExamples:
         rows1, rows0 = class_rows or (n1, n0)
         self.base = (rows1 + 0.5) / (rows1 + rows0 + 1) if n1 else 0.0
         weight = np.where(self.labels == 1, rows1 / max(1, n1), rows0 / max(1, n0))
-        votes = np.array([self._vote(*vectors[i], skip=k) for k, i in enumerate(order)]) if len(order) else np.zeros(0)
+        votes = np.array([self._share(*self.neighbours(*vectors[i], skip=k)) for k, i in enumerate(order)]) if len(order) else np.zeros(0)
         # a row of either label at either end keeps scores inside 0 and 1
         x, y, w = np.append(votes, [1.0, 0.0]), np.append(self.labels, [1, 0]), np.append(weight, [1.0, 1.0])
         self.cal = isotonic(x, y, w) if n1 else (np.zeros(1), np.zeros(1))
@@ -141,9 +148,10 @@ class NearestExamples:
             found_at, found = all_at[best], all_s[best]
         return found_at, found
 
-    def _vote(self, at, w, skip: int = -1) -> float:
-        who, cos = self.neighbours(at, w, skip)
-        return float((cos @ self.labels[who] + SMOOTH * self.base) / (cos.sum() + SMOOTH))
+    def _share(self, who: np.ndarray, cos: np.ndarray) -> float:
+        """The toxic share of the neighbours' votes; near ones weigh more."""
+        vote = cos / (1 - cos + NEAR)
+        return float((vote @ self.labels[who] + SMOOTH * self.base) / (vote.sum() + SMOOTH))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         seen, counts = self.seen, Counter()
@@ -164,8 +172,7 @@ class NearestExamples:
         """The score and its evidence: positions and cosines of the neighbours, best first."""
         at, w = self.vector(text or "")
         who, cos = self.neighbours(at, w)
-        vote = float((cos @ self.labels[who] + SMOOTH * self.base) / (cos.sum() + SMOOTH))
-        p = float(np.interp(vote, *self.cal))
+        p = float(np.interp(self._share(who, cos), *self.cal))
         return min(1.0, max(0.0, p)), who, cos
 
     def __getstate__(self):
