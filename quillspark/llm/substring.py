@@ -116,15 +116,18 @@ def _windows(width: int, buckets: int, block_windows: int):
         size = np.array([len(d[2]) for d in docs])
         runs = size - width + 1
         ids, key = np.concatenate([d[2] for d in docs]), np.concatenate([d[3] for d in docs])
-        owner = np.repeat(np.arange(len(docs)), runs)
-        pos = np.arange(len(key)) - np.repeat(np.cumsum(runs) - runs, runs)
-        at = pos + np.repeat(np.cumsum(size) - size, runs)
         doc, th = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.uint64)
+        docs.clear()  # its arrays are joined now
+        kind = np.int32 if len(ids) < 1 << 31 else np.int64
+        owner = np.repeat(np.arange(len(doc), dtype=kind), runs)
+        pos = np.arange(len(key), dtype=kind) - np.repeat((np.cumsum(runs) - runs).astype(kind), runs)
+        at = pos + np.repeat((np.cumsum(size) - size).astype(kind), runs)
         late, head = _later(key)
         same = np.ones(len(late), bool)
         for k in range(width):  # the words themselves
             same &= ids[at[late] + k] == ids[at[head] + k]
         late, head = late[same], head[same]
+        del ids, at, same
         go = np.ones(len(key), bool)
         go[late] = False
         # the same start again (rows equal in id and text) is not a later one
@@ -132,6 +135,7 @@ def _windows(width: int, buckets: int, block_windows: int):
         gone = np.sort(late[(doc[a] != doc[b]) | (th[a] != th[b]) | (pos[late] != pos[head])])
         go = np.flatnonzero(go)
         mixed = mix(key[go])
+        del key
         bucket = ((mixed >> np.uint64(8 * KEY_BYTES)) % np.uint64(buckets)).astype(np.int64)
         by, edges = _dealt(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, buckets)
         go, short = go[by], mixed[by].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
@@ -156,9 +160,10 @@ def _windows(width: int, buckets: int, block_windows: int):
                 held += len(ids) - width + 1
                 if held >= block_windows:
                     yield flush(docs)
-                    docs, held = [], 0
+                    held = 0
                     if len(words) > MAX_WORDS:
                         words.clear()
+                    release()  # what a block took goes back before the next one grows
         if held:
             yield flush(docs)
 
