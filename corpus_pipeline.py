@@ -18,6 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SHARE = 0.35
 #: Words a worker's tokenizer table holds: the stages before have filled the executors' heaps.
 TABLE_CHUNKS = 250_000
+#: Windows a task of repeated_passages holds at once, for the same reason; results are the same at any number.
+BLOCK_WINDOWS = 300_000
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that start earlier go; a document none of whose words is left goes."""
     docs = docs.select(*COLUMNS)
-    cut = substring.remove_repeats(docs, width=20, outputs=("n_words", "n_removed", "kept"), carry=("text", "lang", "source"))
+    cut = substring.remove_repeats(docs, width=20, outputs=("n_words", "n_removed", "kept"), carry=("text", "lang", "source"), block_windows=BLOCK_WINDOWS)
     cut = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return _with_length(cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))))
 
