@@ -94,7 +94,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_embed_dedup, op2_packing, op3_media, op4_pii, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_embed_dedup, op2_packing, op3_media, op4_pii, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash, op12_alignment)
+}
 #: Shared by the oracles: the smallest node that each node of links (a, b) reaches.
 _REACH = """
   both_ways as (select a, b from links union select b, a from links),
