@@ -94,16 +94,30 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import align
 
     return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_embed_dedup, op2_packing, op3_media, op4_pii, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash, op12_alignment)
-}
+    for f in (
+        op1_embed_dedup, op2_packing, op3_media, op4_pii, op5_sentencepiece, op6_token_store, op7_language, op8_toxicity, op9_substring_dedup, op10_minhash, op11_prefix_trie, op12_alignment, op13_licenses,
+    )
+}
 #: Shared by the oracles: the smallest node that each node of links (a, b) reaches.
 _REACH = """
   both_ways as (select a, b from links union select b, a from links),
@@ -126,6 +140,30 @@ with recursive
 select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id,
        coalesce(component_id, vec_id) = vec_id as kept
 from embeddings left join n on n.a = vec_id left join lowest on lowest.a = vec_id""",
+    "op11_prefix_trie": r"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn,
+             sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as x
+           from conversations where conv_id is not null),
+  numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, x) as p from t),
+  c as (select conv_id, conv_id - conv_id % 20 as source,
+          xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end), 4294967295::bigint) % 4 as h
+        from (select distinct conv_id from t)),
+  both_parts as (select c.conv_id, 0 as part, n.p, n.x, n.text from c join numbered n on n.conv_id = c.source and n.p <= c.h
+                 union all select c.conv_id, 1, n.p, n.x, n.text from c join numbered n on n.conv_id = c.conv_id and n.p > c.h),
+  rebuilt as (select conv_id, text, row_number() over w as d, string_agg(x, '/') over (partition by conv_id order by part, p rows unbounded preceding) as path
+              from both_parts window w as (partition by conv_id order by part, p)),
+  member as (select conv_id, d, path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from rebuilt union all select conv_id, 0, '', 0 from c),
+  node as (select path, d, min(conv_id) as conv_id, count(*) as n, any_value(words) as words, case when d < 2 then '' else left(path, 65 * (d - 1) - 1) end as up from member group by path, d),
+  kids as (select up, count(*) as n_children from node where d > 0 group by up),
+  ends as (select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as sha from (select conv_id, arg_max(path, d) as path from member group by conv_id) group by path),
+  below as (select a.d, case when a.e = 0 then '' else left(a.path, 65 * a.e - 1) end as path, a.e, leaf, saved
+            from (select path, d, unnest(range(0, d + 1)) as e, case when n_children is null then 1 else 0 end as leaf, (n - 1) * words as saved from node left join kids on kids.up = path) a),
+  total as (select path, sum(leaf) as n_leaves, sum(saved) as saved from below group by path)
+select node.conv_id, node.d as depth, parent.conv_id as parent_conv_id, node.n as n_convs, coalesce(n_children, 0) as n_children, n_leaves::bigint as n_leaves,
+       saved::bigint as saved_tokens, coalesce(ends.sha, sha256('')) as ends_sha256
+from node left join node parent on node.d > 0 and parent.path = node.up and parent.d = node.d - 1 left join kids on kids.up = node.path
+     join total on total.path = node.path left join ends on ends.path = node.path""",
     "op9_substring_dedup": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
   win as (select doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') as g
