@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,11 +92,33 @@ def _piece_names(lib) -> list[bytes]:
     return [bytes([int(lib.id_to_piece(i)[3:-1], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace("▁", " ").encode() for i in range(lib.get_piece_size())]
 
 
+class SpacedChunks(ByteChunks):
+    """Texts behind one space that is no part of them: so every word has its leading space."""
+
+    spaced = False
+
+    def cut(self, texts):
+        if not self.spaced:
+            return super().cut(texts)
+        kind = texts.type
+        texts = pc.if_else(pc.match_substring(texts, "\0"), pa.scalar("\0\0", kind), pc.replace_substring(texts, " ", "\0 "))
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(" ", kind), texts, pa.scalar("", kind)), "\0")
+
+    def _slow(self, text):
+        return super()._slow(" " + text if self.spaced else text)
+
+    def encode(self, texts):
+        if self.spaced and self.whole:
+            return [np.array(i, dtype="<u4").tobytes() if t else b"" for t, i in zip(texts, self.encode_all([" " + t for t in texts]), strict=True)]
+        return super().encode(texts)
+
+
 class _Pair:
     """Both tokenizers in one worker."""
 
     def __init__(self, a: str, b: str):
-        self.table_a, self.table_b = ByteChunks(a), PieceChunks(b)
+        self.table_a, self.table_b = SpacedChunks(a), PieceChunks(b)
+        self.table_a.spaced = True
         self.table_a.most = self.table_b.most = TABLE_CHUNKS
         self.a, self.b = _Side(_byte_names(a)), _Side(_piece_names(self.table_b.lib))
 
@@ -206,7 +229,7 @@ def link_blocks(df: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch)
-            all_a = pair.table_a.encode([" " + t if t else "" for t in texts])
+            all_a = pair.table_a.encode(texts)
             all_b = pair.table_b.encode(texts)
             raw = [(" " + t).encode() if t else b"" for t in texts]
             at = 0
