@@ -7,7 +7,7 @@ reranker and judge, a lexicon classifier. A provider returns Columns, so it stay
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +35,11 @@ class LexicalEncoder:
         """Counts by bucket; words and buckets are found in the plan, the counting goes by Arrow batches."""
         dim = self.dim
 
-        @F.pandas_udf("array<double>")
-        def counts(buckets: pd.Series) -> pd.Series:
-            return buckets.map(lambda b: None if b is None else np.bincount(np.asarray(b, np.int64), minlength=dim).astype(float))
+        @F.arrow_udf("array<double>")
+        def counts(buckets: pa.Array) -> pa.Array:
+            owner = np.repeat(np.arange(len(buckets)), np.diff(buckets.offsets.to_numpy()))
+            cells = np.bincount(owner * dim + buckets.flatten().to_numpy(), minlength=len(buckets) * dim).astype(np.float64)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim), pa.array(cells), mask=buckets.is_null())
 
         return counts(F.transform(words(c), lambda w: F.pmod(self.bucket(w), F.lit(dim))))
 

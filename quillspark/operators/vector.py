@@ -14,13 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.text import let
 
 
 def normalised(v: Column) -> Column:
     """Unit vector; a zero vector is left as it is."""
-    v = v.cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda n: F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+
+    return let(v.cast("array<double>"), scaled)
 
 
 def top_k(df: DataFrame, group: str | list[str], score: str, k: int | Column, ties: list[str], rank: str = "rank") -> DataFrame:
@@ -36,7 +39,7 @@ def dense_search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id"
     """
     spark = rows.sparkSession
     asked = queries.select("query_id", F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
-    right = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("v is not null")
+    right = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))  # a filter here would have computed vectors computed again
     blocks = max(1, -(-asked.count() // block))
     found = None
     for b in range(blocks):
@@ -48,6 +51,7 @@ def dense_search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id"
         def score(batches, held=held):
             qid, q = held.value
             for df in batches:
+                df = df[df["v"].notna()]
                 if not len(df):
                     continue
                 s = np.round(q @ np.stack(df["v"].to_numpy()).T, 6)

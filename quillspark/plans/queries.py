@@ -16,11 +16,12 @@ from ..functions import html as H
 from ..functions import text as X
 from ..operators import chunking as K
 from ..operators import dedup as D
+from ..operators import index as I
 from ..operators import metrics as M
 from ..operators import routing as R
 from ..operators import safety as S
 from ..operators import vector as V
-from ..operators.providers import LexicalEncoder, LexiconClassifier, OverlapReranker, train_classifier
+from ..operators.providers import LexicalEncoder, LexiconClassifier, OverlapReranker, train_classifier, words
 from ..streaming.sessions import session_states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,6 +369,38 @@ def _sparse(spark, d, k):
     return V.sparse_search(_tokens(t(spark, d, "benchmark"), "item_id", "query_id"), _tokens(t(spark, d, "documents"), "doc_id", "id"), k)
 
 
+def _indexed(spark, d, facet=None):
+    """The documents' postings: the table an index build would leave behind."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", *([] if facet is None else [facet.alias("facet")]))
+    return I.text_index(docs, words(F.col("text")))
+
+
+@query(f"with {_TOK}, {_SPARSE} select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from sp) where rank <= 20")
+def sparse_index_topk(spark, d):
+    """The hits of sparse_topk from stored postings, whose ranges are skipped where no hit can stand."""
+    return I.sparse_index_search(_indexed(spark, d), _tokens(t(spark, d, "benchmark"), "item_id", "query_id"), C.DEFAULT.top_k)
+
+
+@query(f"""with {_TOK}, {_SPARSE}, o as (select sp.* from sp join documents d on d.doc_id = sp.id where query_id % 2 = 0 or d.lang in ('en', 'fr'))
+select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from o) where rank <= 20""")
+def sparse_index_filtered(spark, d):
+    """Half of the queries see two languages only: the filter is inside the search, so all k places are filled."""
+    code = lambda c: F.ascii(F.right(c, F.lit(1)))
+    asked = _tokens(t(spark, d, "benchmark"), "item_id", "query_id")
+    seen = F.when(F.col("query_id") % 2 == 1, F.array(code(F.lit("en")), code(F.lit("fr"))))
+    return I.sparse_index_search(_indexed(spark, d, code(F.col("lang"))), asked.withColumn("facets", seen), C.DEFAULT.top_k)
+
+
+@query("select count(*) query_hits, count(distinct query_id) queries, true enough from (select query_id, id, row_number() over (partition by query_id order by score desc, id) r from " + _DENSE + ") where r <= 20")
+def graph_recall(spark, d):
+    """The neighbour graph's hits held against the exact ones: whether it finds 0.95 of them."""
+    q, rows = _queries(spark, d)
+    exact = V.dense_search(q, rows, C.DEFAULT.top_k).select("query_id", "id")
+    found = I.graph_search(I.graph_index(rows.select("id", "vec")), q, C.DEFAULT.top_k).select("query_id", "id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("query_hits"), F.count_distinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.95).alias("enough"))
+
+
 @query(f"with {_TOK}, {_SPARSE} select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from sp) where rank <= 20")
 def sparse_topk(spark, d):
     return _sparse(spark, d, C.DEFAULT.top_k)
@@ -393,9 +426,14 @@ def _dense(spark, d, k):
     return V.dense_search(vectors("benchmark", "item_id", "query_id"), vectors("documents", "doc_id", "id"), k)
 
 
+def _legs(spark, d, k):
+    asked = _tokens(t(spark, d, "benchmark"), "item_id", "query_id")
+    return [I.sparse_index_search(_indexed(spark, d), asked, k), _dense(spark, d, k)]
+
+
 @query(f"with {_FUSE} select * from (select *, row_number() over (partition by query_id order by score desc, id)::int rank from f) where rank <= 20")
 def rrf_fusion(spark, d):
-    return V.rrf([_sparse(spark, d, 20), _dense(spark, d, 20)], 20)
+    return V.rrf(_legs(spark, d, 20), 20)
 
 
 @query(rf"""with {_FUSE}, c as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from f) where rank <= 20),
@@ -403,7 +441,7 @@ w as (select c.query_id, c.id, c.rank prior_rank, list_distinct(list_filter(rege
 s as (select query_id, id, prior_rank::int prior_rank, round(len(list_intersect(q, t)) / len(q)::double, 6) score from w)
 select * from (select *, row_number() over (partition by query_id order by score desc, prior_rank)::int rank from s) where rank <= 5""")
 def rerank_topk(spark, d):
-    c = V.rrf([_sparse(spark, d, 20), _dense(spark, d, 20)], 20).drop("score")
+    c = V.rrf(_legs(spark, d, 20), 20).drop("score")
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     items = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     wide = c.join(docs, "id").join(items, "query_id")
