@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import located, normalise
+from ..functions.text import located
+from .anchors import evidence_places
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -79,49 +79,14 @@ def level_report(df: DataFrame, high, default, by: str = "mode", true: str = "y_
     )
 
 
-def gold_pairs(evidence: DataFrame, chunks: DataFrame, on: list[str] | None = None, block: int = 5000) -> DataFrame:
+def gold_pairs(evidence: DataFrame, chunks: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Pairs of evidence (item_id, evidence) and chunks whose text holds it; on: columns both share.
 
-    Without such columns the evidence is a stated query set: blocks of about `block` of its texts, without
-    white space, become one automaton each, and every chunk's text runs through it once. Blank evidence is
-    in no chunk."""
+    Without such columns evidence finds its chunks by anchors (anchors.evidence_places), which also gives start
+    and slice of each place. Blank evidence is in no chunk."""
     if on:
         return chunks.join(evidence, on).filter(located(F.col("text"), F.col("evidence")))
-    import ahocorasick
-
-    spark = chunks.sparkSession
-    asked = evidence.select(F.col("item_id").cast("long").alias("item_id"), normalise(F.col("evidence")).alias("bare")).filter("bare <> ''")
-    blocks = max(1, -(-asked.count() // block))
-    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-    rest = [c for c in chunks.columns if c != "item_id"]
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "item_id long"])
-    read = chunks.select(*rest, normalise(F.col("text")).alias("_bare"))
-    out = None
-    for b in range(blocks):
-        machine, ids = ahocorasick.Automaton(), {}
-        for r in asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect():
-            ids.setdefault(r["bare"], []).append(r["item_id"])
-        for bare in ids:
-            machine.add_word(bare, bare)
-        if not ids:
-            continue
-        machine.make_automaton()
-        held = spark.sparkContext.broadcast((machine, ids))
-
-        def found(batches, held=held):
-            machine, ids = held.value
-            for batch in batches:
-                rows, items = [], []
-                for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                    for bare in {bare for _, bare in machine.iter(text)} if text else ():
-                        rows += [i] * len(ids[bare])
-                        items += ids[bare]
-                part = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(items, pa.int64())], names=[*rest, "item_id"])
-
-        leg = read.mapInArrow(found, schema)
-        out = leg if out is None else out.unionByName(leg)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return evidence_places(evidence, chunks)
 
 
 def recall_at(hits: DataFrame, questions: DataFrame, ks: tuple[int, ...]) -> DataFrame:

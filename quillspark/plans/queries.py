@@ -58,6 +58,19 @@ def evidence_located(spark, d):
     return M.gold_pairs(items, chunks).select("doc_id", F.col("chunk_index").cast("int"), "item_id")
 
 
+@query(f"""with e as (select item_id * 2 + k item_id, {_BARE.format("substr(text, 1 + 30 * k, 60 - 20 * k)")} b from benchmark, (select unnest([0, 1]) k)),
+d as (select doc_id, text, {_BARE.format("text")} b, list_filter(list_zip(string_split(text, ''), range(length(text))), lambda c: not regexp_matches(c[1], '\\s')) seen from documents),
+h as (select doc_id, item_id, text, seen[instr(d.b, e.b)][2]::int x, seen[instr(d.b, e.b) + length(e.b) - 1][2]::int y from d, e where e.b <> '' and contains(d.b, e.b))
+select doc_id, item_id, x as start, md5(substr(text, x + 1, y - x + 1)) slice_md5 from h""")
+def evidence_slices(spark, d):
+    """Two passages of every item, looked for in whole documents: the first place of each and its verbatim slice."""
+    k = F.col("k")
+    items = t(spark, d, "benchmark").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    items = items.select((F.col("item_id") * 2 + k).alias("item_id"), F.substring("text", 1 + 30 * k, 60 - 20 * k).alias("evidence"))
+    found = M.gold_pairs(items, t(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "item_id", "start", F.md5("slice").alias("slice_md5"))
+
+
 _MARKED = r"""ml as (select doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) i from documents),
 mg as (select *, sum(case when regexp_matches(x, '^[AT]') then 1 else 0 end) over (partition by doc_id order by i) g from ml),
 mc as (select doc_id, regexp_replace(string_agg(x, chr(10) order by i), '^\s+|\s+$', '', 'g') text from mg where g > 0 group by doc_id, g

@@ -202,17 +202,27 @@ def test_judges(spark):
     assert [r["r"] for r in got] == ["本人", "他人", None, None, None, "引用"]
 
 
-def test_containment_by_automaton(spark):
+def test_containment_by_anchors(spark):
+    """Evidence of every class of lengths in texts of few letters: pairs, first places and slices."""
     rng = np.random.default_rng(6)
-    chunk_texts = ["".join(rng.choice(list("ab \n"), 40)) for _ in range(60)] + ["", None]
-    items = ["".join(rng.choice(list("ab "), 5)) for _ in range(30)] + ["", " ", "ab", "a b"]
-    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(chunk_texts)], "doc_id long, text string")
+    chunk_texts = ["".join(rng.choice(list("ab \n\u3000"), n)) for n in (40,) * 50 + (400,) * 12] + ["", None, "a" * 300, "ab" * 200, " \t"]
+    long = [chunk_texts[i][j : j + n] for i, j, n in ((51, 10, 120), (52, 0, 400), (53, 300, 60), (54, 7, 33), (55, 100, 44), (1, 0, 40), (2, 5, 14))]
+    items = ["".join(rng.choice(list("ab "), 5)) for _ in range(30)] + ["", " ", "ab", "a b", None, "a" * 40, "ba" * 30, "\U0001f600"] + long + ["".join(x.split()) for x in long] + [long[0]]
+    chunks = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(chunk_texts)], "doc_id long, text string, slice string, owner int")
     evidence = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, evidence string")
     bare = lambda t: "".join(t.split())
-    want = {(i, j) for i, t in enumerate(chunk_texts) for j, e in enumerate(items) if t and bare(e) and bare(e) in bare(t)}
-    for block in (5000, 7):
-        got = [(r["doc_id"], r["item_id"]) for r in M.gold_pairs(evidence, chunks, block=block).collect()]
-        assert len(got) == len(want) and set(got) == want
+    want = {}
+    for i, t in enumerate(chunk_texts):
+        for j, e in enumerate(items):
+            if t and e and bare(e) and bare(e) in bare(t):
+                at = [k for k, c in enumerate(t) if not c.isspace()]
+                x = bare(t).index(bare(e))
+                want[i, j] = (at[x], t[at[x] : at[x + len(bare(e)) - 1] + 1])
+    rows = M.gold_pairs(evidence, chunks.drop("slice")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["slice"]) for r in rows}
+    assert len(rows) == len(got) and got == want
+    assert M.gold_pairs(evidence.limit(0), chunks).count() == 0
+    assert M.gold_pairs(evidence.filter("item_id in (30, 31)"), chunks.limit(0)).count() == 0
 
 
 def test_isolated_and_eligible(spark):
