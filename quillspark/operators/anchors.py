@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dedup import scratch
+from .tables import scratch
 
 #: (characters of a run, runs in a row) of evidence with at least k + w - 1 characters; shorter evidence is a run itself.
 CLASSES = ((16, 17), (4, 5))

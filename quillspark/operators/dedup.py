@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import char_ngrams, near_dup_form
+from ..functions.text import near_dup_form
+from .setjoin import coded_ngrams, ordered, similar_pairs
+from .tables import scratch
 
 
 def unseen(rows: DataFrame, ledger: DataFrame, key: str = "url_hash") -> DataFrame:
@@ -32,58 +31,18 @@ def numbered(rows: DataFrame, order: list[str], limit: int, form: str = "r%03d")
 
 @C.configured
 def near_pairs(rows: DataFrame, id_col: str, text: Column, threshold: float = C.setting("near_dup"), other: DataFrame | None = None, other_text: Column | None = None) -> DataFrame:
-    """Pairs with 3-gram Jaccard at least the threshold, exactly, by prefix filtering on rare grams.
+    """a, b, jaccard: pairs with 3-gram Jaccard at least the threshold, exactly (setjoin.similar_pairs).
 
-    Sets meet only through one of their rarest grams: n - ceil(t n) + 1 of each, in the order of
-    (documents holding it, gram). Then sizes are compared and the sets' intersection is counted.
-    Within one table a < b; with other, pairs of rows and other.
+    Within one table a < b; with other (id, ...), pairs of rows and other. Texts shorter than a 3-gram are in none.
     """
-    one = rows.select(F.lit(0).alias("side"), F.col(id_col).cast("long").alias("id"), char_ngrams(near_dup_form(text)).alias("grams"))
-    if other is not None:
-        one = one.unionByName(other.select(F.lit(1).alias("side"), F.col("id").cast("long"), char_ngrams(near_dup_form(other_text)).alias("grams")))
-    one = one.filter(F.size("grams") > 0).withColumn("n", F.size("grams"))
-    if other is not None:  # sets too small or too large for every row go before their grams travel
-        span = one.filter("side = 0").agg(F.min("n").alias("least"), F.max("n").alias("most"))  # one row
-        fits = F.col("n").between(threshold * F.col("least") - 1e-9, F.col("most") / threshold + 1e-9)
-        one = one.join(F.broadcast(span), F.lit(True)).filter((F.col("side") == 0) | fits).drop("least", "most")
-        one = scratch(one)  # few are left, and they are read four times
-    grams = one.select("side", "id", "n", F.explode("grams").alias("gram"))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("side", "id").orderBy("df", "gram")
-    ranked = grams.join(df, "gram").withColumn("r", F.row_number().over(w))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("side", "id", "n", "gram")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    apart = (F.col("a.id") < F.col("b.id")) if other is None else ((F.col("a.side") == 0) & (F.col("b.side") == 1))
-    sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    cand = a.join(b, (F.col("a.gram") == F.col("b.gram")) & apart & sizes).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left = one.filter("side = 0").select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = one.filter(f"side = {0 if other is None else 1}").select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    both = cand.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("ga", "gb"))
-    j = inter / (F.size("ga") + F.size("gb") - inter)
-    return both.select("a", "b", F.round(j, 6).alias("jaccard"), j.alias("_j")).filter(F.col("_j") >= threshold).drop("_j")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where driver and executors are one process (tests) and the
-    setting is absent, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
-
-
-def scratch(df: DataFrame) -> DataFrame:
-    """Cut lineage at a table in the folder of spark.checkpoint.dir (all executors reach it)."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    sets = coded_ngrams(rows, id_col, near_dup_form(text))
+    if other is None:
+        return similar_pairs(ordered(sets), threshold)
+    sets = scratch(sets)
+    n = F.size("codes")
+    span = sets.agg(F.min(n).alias("least"), F.max(n).alias("most"))  # one row: sets too small or too large for every row go first
+    rest = coded_ngrams(other, "id", near_dup_form(other_text), side=1).join(F.broadcast(span), n.between(threshold * F.col("least") - 1e-9, F.col("most") / threshold + 1e-9), "left_semi")
+    return similar_pairs(ordered(sets.unionByName(rest)), threshold, two_sided=True)
 
 
 def comparable(text: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dedup import scratch
+from .tables import scratch
 from .vector import top_k
 
 SHARD_POSTINGS, SHARD_CHARS, RANGE = 1_000_000, 6_000_000, 16

@@ -9,7 +9,7 @@ from .. import config as C
 from ..functions import text as X
 from ..functions.text import json_object, strip, tail
 from . import vector as V
-from .dedup import scratch
+from .tables import scratch
 from .providers import LexiconClassifier, OverlapReranker, words
 from .safety import HIGH, MILD, MID, any_of, fused, known_or, rule_levels
 

@@ -22,6 +22,8 @@ from ..operators import routing as R
 from ..operators import safety as S
 from ..operators import vector as V
 from ..operators.providers import LexicalEncoder, LexiconClassifier, OverlapReranker, train_classifier, words
+from ..operators.tables import shared_folder
+from ..sources.frontier import crawl_sources, from_pages
 from ..streaming.sessions import session_states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,6 +340,39 @@ def crawl_list_pages(spark, d):
     return list_pages(t(spark, d, "nation").select(F.col("n_nationkey").alias("source"), F.col("n_nationkey").alias("total"), F.lit(5).alias("max_pages")))
 
 
+_SITE, _DETAIL = "https://s{}.example.org/list.htm", "https://d.example.org/n/{}/page.htm"
+
+
+def _between(text, c):
+    return F.concat(F.lit(text.partition("{}")[0]), c.cast("string"), F.lit(text.partition("{}")[2]))
+
+
+@query("""with recursive site as (select page_id % 40 s, page_id // 40 + 1 n, page_id, page_id % 11 = 7 as blank from pages where page_id % 13 <> 5),
+asked as (select s, n, case when page_id is null then 'failed' when blank then 'empty' when n >= least(3 + s % 4, 5) then 'done' else 'more' end outcome from (select distinct page_id % 40 s, 1::bigint n from pages) left join site using (s, n)
+  union all select a.s, a.n + 1, case when page_id is null then 'failed' when blank then 'empty' when a.n + 1 >= least(3 + a.s % 4, 5) then 'done' else 'more' end from asked a left join site on site.s = a.s and site.n = a.n + 1 where a.outcome = 'more'),
+items as (select s, n, page_id // 2 * 3 + k id, k from asked join site using (s, n), (select unnest(range(6)) k) where outcome in ('more', 'done')),
+firsts as (select id, min((s, n, k)) m from items where id not in (select page_id from pages where page_id % 10 = 0) group by id)
+select 'list' kind, s source, n::int page, null::bigint item, outcome from asked union all
+select 'detail', m[1], m[2]::int, id, case when id in (select page_id from pages where page_id % 9 <> 4) then 'fetched' else 'failed' end from firsts""")
+def crawl_frontier(spark, d):
+    """A site of 40 sources made of the pages: list pages with six items each, some without a list, some absent;
+    items of several lists, known ones and ones that cannot be fetched."""
+    p = t(spark, d, "pages").select("page_id", "html")
+    i = F.col("page_id")
+    source, number = i % 40, F.floor(i / 40).cast("int") + 1
+    items = F.concat(*[F.concat(F.lit('<li><a href="'), _between(_DETAIL, F.floor(i / 2) * 3 + k), F.lit(f'">item {k}</a></li>')) for k in range(6)])
+    last = F.concat(F.lit('<a href="list'), (3 + source % 4).cast("string"), F.lit('.htm">尾页</a>'))
+    listed = F.concat(F.when(i % 11 == 7, "").otherwise(F.concat(F.lit('<ul class="news">'), items, F.lit("</ul>"))), last)
+    lists = p.filter(i % 13 != 5).select(H.list_page_url(_between(_SITE, source), number).alias("url"), listed.alias("html"))
+    details = p.filter(i % 9 != 4).select(_between(_DETAIL, i).alias("url"), "html")
+    sources = p.select(source.alias("source"), _between(_SITE, source).alias("list_url"), F.lit(5).alias("max_pages")).distinct()
+    ledger = p.filter(i % 10 == 0).select(_between(_DETAIL, i).alias("url")).withColumn("url_hash", X.url_hash(F.col("url")))
+    found, log, _ = crawl_sources(sources, from_pages(lists.unionByName(details)), ledger)
+    item = F.regexp_extract("url", r"/n/(\d+)/", 1).cast("long")
+    rows = found.select(F.lit("detail").alias("kind"), "source", "page", item.alias("item"), F.when(F.col("route") == "failed", "failed").otherwise("fetched").alias("outcome"))
+    return log.select(F.lit("list").alias("kind"), "source", "page", F.lit(None).cast("long").alias("item"), "outcome").unionByName(rows)
+
+
 # ------------------------------------------------------------------ retrieval
 _VEC = "list_transform(embedding, lambda x: x::double)"
 _DENSE = """(select q.vec_id query_id, v.vec_id id, round(list_dot_product(q.e, v.e), 6) score from (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings where vec_id % 100 = 0) q,
@@ -724,7 +759,13 @@ def near_dup_pairs(spark, d):
     return D.near_pairs(t(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-@query()
+@query(rf"""with recursive {_GRAMS.format("doc_id", "0", "documents").replace("g0 as (", "g0 as materialized (")},
+j as materialized (select x.id a, y.id b, len(list_intersect(x.grams, y.grams)) i, len(x.grams) + len(y.grams) n from g0 x join g0 y on x.id < y.id and least(len(x.grams), len(y.grams)) >= 0.8 * greatest(len(x.grams), len(y.grams))),
+q as materialized (select b x, list(a) ys, row_number() over (order by b) i from j where i::double / (n - i) >= 0.8 group by b),
+step as (select 0::bigint i, []::bigint[] gone union all
+  select step.i + 1, case when len(list_filter(ys, lambda y: not list_contains(gone, y))) > 0 then list_append(gone, x) else gone end from step join q on q.i = step.i + 1),
+last as materialized (select unnest(gone) id from (select gone from step order by i desc limit 1))
+select id doc_id from g0 where id not in (select id from last)""")
 def near_dup_greedy(spark, d):
     docs = t(spark, d, "documents")
     return D.greedy_kept(docs, D.near_pairs(docs, "doc_id", F.col("text")), "doc_id", F.col("text")).select(F.col("id").alias("doc_id"))
@@ -733,13 +774,13 @@ def near_dup_greedy(spark, d):
 _OWN = r"(select {0} id, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) grams from (select *, lower(regexp_replace({1}, '[^\p{{L}}\p{{N}}_]+', '', 'g')) n from {2}) where length(n) >= 3)"
 
 
-@query(f"""with s as {_OWN.format("item_id", "text", "benchmark")}, x as (select * from {_OWN.format("doc_id", "text", "documents where doc_id % 2 = 0")} union all select * from {_OWN.format("item_id + 1000000", "left(text, length(text) - 3)", "benchmark where item_id % 3 = 0")})
+@query(f"""with s as {_OWN.format("item_id", "text", "benchmark")}, x as (select * from {_OWN.format("doc_id", "text", "documents")} union all select * from {_OWN.format("-1 - item_id", "left(text, length(text) - 3)", "benchmark where item_id % 3 = 0")})
 select id item_id from s where not exists (select 1 from x where len(list_intersect(s.grams, x.grams))::double / (len(s.grams) + len(x.grams) - len(list_intersect(s.grams, x.grams))) >= 0.8)""")
 def contamination(spark, d):
-    """Evaluation items that are near none of two other corpora: half of the documents, and cut copies."""
+    """Evaluation items that are near none of two other corpora: the documents, and cut copies of items."""
     items, docs = t(spark, d, "benchmark"), t(spark, d, "documents")
-    others = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "text")
-    copies = items.filter("item_id % 3 = 0").select((F.col("item_id") + 1000000).alias("id"), F.expr("left(text, length(text) - 3)").alias("text"))
+    others = docs.select(F.col("doc_id").alias("id"), "text")
+    copies = items.filter("item_id % 3 = 0").select((-1 - F.col("item_id")).alias("id"), F.expr("left(text, length(text) - 3)").alias("text"))
     return D.isolated(items.select("item_id", "text"), "item_id", F.col("text"), others.unionByName(copies), F.col("text")).select("item_id")
 
 
@@ -1036,7 +1077,7 @@ def stream_sessions(spark, d):
     """The batch table replayed as a stream with a real checkpoint; the result is read from its sink."""
     from ..streaming.sessions import run_once
 
-    path = D.shared_folder(spark)
+    path = shared_folder(spark)
     t(spark, d, "conversations").select("conv_id", "turn", "role", "text").write.parquet(f"{path}/in")
     source = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{path}/in")
     run_once(session_states(source, ("ent", "ion")), f"{path}/out", f"{path}/state")

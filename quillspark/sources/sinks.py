@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import replaced, scratch
+from ..operators.dedup import replaced
+from ..operators.tables import scratch
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
