@@ -188,11 +188,17 @@ class _Shard:
         return ids, best
 
 
-def _packs(queries: DataFrame, fields: list[str], shards: DataFrame) -> DataFrame:
-    """Query rows in packs of about PACK queries, a copy of each for every shard."""
+def _packs(queries: DataFrame, fields: list[str], shards: DataFrame) -> tuple[DataFrame, int]:
+    """Query rows in packs of about PACK queries, a copy of each for every shard; in how many groups the packs pass
+    a shard: one where there are as many shards as tasks, more where few shards meet many packs."""
     n = max(1, -(-queries.select("query_id").distinct().count() // PACK))
+    groups = max(1, min(n, -(-_parts(shards) // max(1, shards.count()))))
     pack = queries.groupBy(_of("query_id", n).alias("pack")).agg(F.collect_list(F.struct("query_id", *fields)).alias("asked"))  # PACK queries on average
-    return pack.crossJoin(F.broadcast(shards))  # a row for each pack and shard: the work itself
+    return pack.withColumn("team", F.col("pack") % groups).crossJoin(F.broadcast(shards)), groups  # a row for each pack and shard: the work itself
+
+
+def _teams(groups: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("team")
 
 
 def _facets(queries: DataFrame):
@@ -202,10 +208,10 @@ def _facets(queries: DataFrame):
 def _search_postings(k: int, batches):
     shard, at = None, None
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(9)]
-        for number, kind, token, local, weights, ranges, starts, bounds, asked in zip(*cols, strict=True):
-            if number != at:
-                shard, at = None, number
+        cols = [batch.column(i).to_pylist() for i in range(10)]
+        for number, team, kind, token, local, weights, ranges, starts, bounds, asked in zip(*cols, strict=True):
+            if (number, team) != at:
+                shard, at = None, (number, team)
             if kind == 0:
                 shard = _Shard(local, weights)
             elif kind == 1:
@@ -228,12 +234,12 @@ def _asked_postings(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     need = index.join(F.broadcast(words) if few else words, "token", "left_semi").withColumn("kind", F.lit(1))
     heads = index.filter("token is null").withColumn("kind", F.lit(0))  # one row a shard
     none = F.lit(None)
-    parts = ["shard", "kind", "token", "local", "weights", "ranges", "starts", "bounds"]
-    packs = _packs(queries, ["token", "weight", "facets"], heads.select("shard"))
-    packs = packs.select("shard", F.lit(2).alias("kind"), none.cast("string").alias("token"), *[none.cast("binary").alias(c) for c in parts[3:]], "asked")
+    parts = ["kind", "token", "local", "weights", "ranges", "starts", "bounds"]
+    packs, groups = _packs(queries, ["token", "weight", "facets"], heads.select("shard"))
+    packs = packs.select("shard", "team", F.lit(2).alias("kind"), none.cast("string").alias("token"), *[none.cast("binary").alias(c) for c in parts[2:]], "asked")
     kind = packs.schema["asked"].dataType
-    rows = need.unionByName(heads).select(*parts, none.cast(kind).alias("asked")).unionByName(packs)
-    met = rows.repartition(_parts(index), "shard").sortWithinPartitions("shard", "kind")
+    rows = need.unionByName(heads).select("shard", _teams(groups), *parts, none.cast(kind).alias("asked")).unionByName(packs)
+    met = rows.repartition(_parts(index), "shard", "team").sortWithinPartitions("shard", "team", "kind")
     return met.mapInArrow(partial(_search_postings, k), HITS)
 
 
@@ -443,12 +449,13 @@ def graph_search(index: DataFrame, queries: DataFrame, k: int, beam: int = 128)
     all rows need a wider beam (vectors of one normal distribution in 64 dimensions, queries of another: 0.75 of
     the 20 best at 128, where queries near the rows find 0.99)."""
     asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"), _facets(queries).alias("facets")).filter("vec is not null")
-    packs = _packs(asked, ["vec", "facets"], index.select("shard").distinct())
+    packs, groups = _packs(asked, ["vec", "facets"], index.select("shard").distinct())
     none = F.lit(None)
     nodes = [f.name for f in index.schema.fields]
     kind = packs.schema["asked"].dataType
-    own = index.select(*nodes, F.lit(0).alias("kind"), none.cast(kind).alias("asked"))
-    packs = packs.select("shard", *[none.cast(index.schema[c].dataType).alias(c) for c in nodes[1:]], F.lit(1).alias("kind"), "asked")
-    met = own.unionByName(packs).repartition(_parts(index), "shard").sortWithinPartitions("shard", "kind", "id")
+    own = index.select(_teams(groups), *nodes, F.lit(0).alias("kind"), none.cast(kind).alias("asked"))
+    packs = packs.select("team", "shard", *[none.cast(index.schema[c].dataType).alias(c) for c in nodes[1:]], F.lit(1).alias("kind"), "asked")
+    both = own.unionByName(packs).withColumn("place", F.col("shard").cast("long") * groups + F.col("team"))  # what one task takes
+    met = both.select("place", *nodes, "kind", "asked").repartition(_parts(index), "place").sortWithinPartitions("place", "kind", "id")
     hits = met.mapInArrow(partial(_search_graph, max(k, 1), max(beam, k)), HITS)
     return top_k(hits.select("query_id", "id", "score"), "query_id", "score", k, ["id"])

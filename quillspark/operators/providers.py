@@ -6,6 +6,8 @@ reranker and judge, a lexicon classifier. A provider returns Columns, so it stay
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import let
+from .chain import CLOUD, Hop, Unreachable
 
 
 def words(c: Column) -> Column:
@@ -80,6 +83,21 @@ class LexiconClassifier:
         return F.when(c.isNotNull(), F.array(*[r / total for r in raw]))
 
 
+def failing_hop(name: str, unreachable: int, no_json: int, bad: int, source: str = CLOUD) -> Hop:
+    """A service that tells a text's length and fails by it: unreachable at multiples of the first number, without
+    JSON mode at those of the second, without an answer at all at those of the third (0: never)."""
+
+    def answer(prompt: str, json_mode: bool):
+        n = len(prompt)
+        if n % unreachable == 0:
+            return Unreachable("no route")
+        if json_mode:
+            return ValueError("no json mode") if n % no_json == 0 else json.dumps({"n": n})
+        return ValueError("bad answer") if bad and n % bad == 0 else f"n={n}"
+
+    return Hop(name, lambda prompts, json_mode: [answer(p, json_mode) for p in prompts], source, json_mode=True)
+
+
 def hop_name(names: list[str], answers: list[Column]) -> Column:
     return F.coalesce(*[F.when(a.isNotNull(), F.lit(n)) for n, a in zip(names, answers, strict=True)])
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as X
 from ..functions.text import json_object, strip, tail
+from . import index as I
 from . import vector as V
 from .tables import scratch
 from .providers import LexiconClassifier, OverlapReranker, words
@@ -145,54 +148,82 @@ def word_weights(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return rows.groupBy(*keys, "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
 
 
+FAQ_VARIANTS = 1 << 12  # forms of one entry's question at most
+
+
 @C.configured
-def faq_hits(asked: DataFrame, faq: DataFrame, threshold: float = C.setting("faq_threshold")) -> DataFrame:
-    """conv_id, turn, match_id, faq_answer: the entry one of whose questions has the largest share of its
-    words in the request, above the threshold."""
-    index = V.faq_index(faq).withColumn("w", F.array_distinct(words(F.col("indexed"))))
-    index = index.select("entry_id", "variant", "answer", F.size("w").alias("n"), F.explode("w").alias("token"))
-    own = asked.select("conv_id", "turn", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
-    hits = own.join(index, "token").groupBy("conv_id", "turn", "entry_id", "variant", "n").agg(F.count("*").alias("c"), F.first("answer").alias("answer"))
-    hits = hits.withColumn("score", F.col("c") / F.col("n")).filter(V.accepted(F.col("score") > threshold, F.lit(True)))
-    best = F.max_by(F.struct("entry_id", "answer"), F.struct("score", -F.col("entry_id"), -F.col("variant")))
-    return hits.groupBy("conv_id", "turn").agg(best.alias("m")).select("conv_id", "turn", F.col("m.entry_id").alias("match_id"), F.col("m.answer").alias("faq_answer"))
-
-
-def contexts_by_attempt(asked: DataFrame, chunks: DataFrame, role: str, semester: str) -> DataFrame:
-    """conv_id, turn, retry, contexts array<struct<rank, id, text>>: what each attempt reads.
-
-    asked: conv_id, turn, text, category. Attempts widen (V.widened); the first attempt of a complex query
-    reads the merged hits of its parts instead, the eight best of them.
+def faq_hits(asked: DataFrame, faq: DataFrame, threshold: float = C.setting("faq_threshold"), verify: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """query_id, match_id, faq_answer: the entry one of whose questions has the largest share of its words in the
+    request or in its rewritten form, above the threshold (of equals the request's, the smaller entry).
+
+    asked: query_id, text, rewritten. verify gives two conditions (same question, answered) from the request and
+    the entry's question; a match that fails one of them is none."""
+    entries = V.faq_index(faq)
+    index = entries.withColumn("w", F.array_distinct(words(F.col("indexed")))).filter(F.size("w") > 0)
+    place = F.col("entry_id") * FAQ_VARIANTS + F.when(F.col("variant") < FAQ_VARIANTS, F.col("variant")).otherwise(F.raise_error(F.lit("too many forms of one question")).cast("int"))
+    # every word of a question weighs its share, so that the score is the share itself
+    stored = I.sparse_index(index.select(place.alias("id"), F.explode("w").alias("token"), (1 / F.size("w")).alias("weight")))
+
+    def best(form: Column) -> DataFrame:
+        own = asked.filter(form.isNotNull()).select("query_id", F.explode(F.array_distinct(words(form))).alias("token"), F.lit(1.0).alias("weight"))
+        return I.sparse_index_search(stored, own, 1).select("query_id", F.floor(F.col("id") / FAQ_VARIANTS).cast("long").alias("id"), "score")
+
+    match = V.faq_dual(best(F.col("text")), best(F.when(F.col("rewritten") != F.col("text"), F.col("rewritten"))), threshold)
+    wide = match.join(faq.select(F.col("entry_id").alias("match_id"), "question", F.col("answer").alias("faq_answer")), "match_id").join(asked.select("query_id", "text"), "query_id")
+    if verify is not None:
+        wide = wide.filter(V.accepted(*verify(F.col("text"), F.col("question"))))
+    return wide.select("query_id", "match_id", "faq_answer")
+
+
+def open_facets(chunks: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks with facet, the number of their pair of audience and validity; and for each profile (user_role,
+    user_semester) the facets it may see (narrow) and those it may see whatever their audience (wide)."""
+    pairs = chunks.select(F.col("audience").alias("_a"), F.col("valid").alias("_v")).distinct()
+    pairs = scratch(pairs.withColumn("facet", F.row_number().over(Window.orderBy("_a", "_v"))))  # kinds of documents: few
+    numbered = chunks.join(F.broadcast(pairs), F.col("audience").eqNullSafe(F.col("_a")) & F.col("valid").eqNullSafe(F.col("_v"))).drop("_a", "_v")
+    sees = lambda **how: F.collect_list(F.when(X.visible(F.col("_a"), F.col("_v"), F.col("user_role"), F.col("user_semester"), **how), F.col("facet")))
+    both = profiles.select("user_role", "user_semester").distinct().crossJoin(F.broadcast(pairs))  # kinds of readers and of documents
+    return numbered, scratch(both.groupBy("user_role", "user_semester").agg(sees().alias("narrow"), sees(with_audience=False).alias("wide")))
+
+
+def contexts_by_attempt(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, retry, contexts array<struct<rank, id, text>>: what each attempt reads.
+
+    asked: query_id, text, category, user_role, user_semester. Attempts widen: the first sees what the profile may
+    see, later ones also what other audiences may, k and the rerank limit grow. The first attempt of a complex query
+    reads the merged hits of its parts instead, the eight best of them. All legs are one search of the chunks' postings,
+    with the profile's filter inside it, so every attempt can fill its own places.
     """
-    s, key = C.active(), ["conv_id", "turn"]
-    rows = word_weights(chunks, ["id"], F.col("text"))
-    seen = chunks.select("id", "text", X.visible(F.col("audience"), F.col("valid"), F.lit(role), F.lit(semester)).alias("open"), X.visible(F.col("audience"), F.col("valid"), F.lit(role), F.lit(semester), with_audience=False).alias("open_later"))
-    plain = word_weights(asked.withColumn("query_id", F.struct(*key)), ["query_id"], F.col("text"))
-    # the filter comes before the limits, so every attempt can fill its own
-    def leg(flag: str, k: int) -> DataFrame:
-        return V.sparse_join(plain, rows.join(seen.filter(flag).select("id"), "id", "left_semi"), k).withColumn("narrow", F.lit(flag == "open"))
-
-    ranked = leg("open", s.top_k).unionByName(leg("open_later", s.top_k * (s.max_retry + 1))).drop("rank")
-    tries = asked.select(F.struct(*key).alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(s.max_retry))).alias("retry"), "category")
-    tries = tries.filter((F.col("retry") > 0) | (F.col("category") != C.INTENTS[1])).drop("category")
-    wide = V.widened(ranked, tries, F.col("narrow"), ~F.col("narrow")).select("query_id", "retry", "id", "rank", "rerank_k")
-
+    s = C.active()
+    numbered, profiles = open_facets(chunks, asked)
+    numbered = scratch(numbered)
+    index = I.text_index(numbered.select("id", "text", "facet"), words(F.col("text")))
+    own = asked.join(F.broadcast(profiles), ["user_role", "user_semester"])
+    hard = F.col("category") == C.INTENTS[1]
     parts = F.filter(F.split("text", "[?？]", -1), lambda p: strip(p) != "")
-    subs = asked.filter(F.col("category") == C.INTENTS[1]).select(F.struct(*key).alias("query_id"), F.posexplode(parts).alias("sub", "part"))
-    narrow_rows = rows.join(seen.filter("open").select("id"), "id", "left_semi")
-    part_hits = V.sparse_join(word_weights(subs.select(F.struct("query_id", "sub").alias("query_id"), "part"), ["query_id"], F.col("part")), narrow_rows, s.sub_query_k)
-    merged = V.merged_sub_queries(part_hits.join(seen.select("id", "text"), "id").select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.sub").alias("sub"), "rank", "id", "text"))
+    of = F.col("query_id").alias("of")
+    legs = own.filter(~hard).select(of, F.lit("narrow").alias("leg"), F.lit(0).alias("sub"), "text", F.col("narrow").alias("facets"))
+    legs = legs.unionByName(own.select(of, F.lit("wide").alias("leg"), F.lit(0).alias("sub"), "text", F.col("wide").alias("facets")))
+    legs = legs.unionByName(own.filter(hard).select(of, F.lit("part").alias("leg"), F.posexplode(parts).alias("sub", "text"), F.col("narrow").alias("facets")))
+    legs = scratch(legs.withColumn("query_id", F.monotonically_increasing_id()))
+    most = s.top_k * (s.max_retry + 1)
+    hits = I.sparse_index_search(index, word_weights(legs, ["query_id", "facets"], F.col("text")), max(most, s.sub_query_k)).join(legs.select("query_id", "of", "leg", "sub"), "query_id")
+    hits = scratch(hits.select(F.col("of").alias("query_id"), "leg", "sub", "id", "rank"))
+    wide = hits.filter((F.col("leg") == "narrow") & (F.col("rank") <= s.top_k)).select("query_id", F.lit(0).alias("retry"), "id", "rank")
+    later = hits.filter("leg = 'wide'").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(s.max_retry))).alias("retry"), "id", "rank")
+    wide = wide.unionByName(later.filter(F.col("rank") <= (F.col("retry") + 1) * s.top_k)).withColumn("rerank_k", F.lit(s.rerank_k) + 2 * F.col("retry"))
+    seen = numbered.select("id", "text")
+    merged = V.merged_sub_queries(hits.filter((F.col("leg") == "part") & (F.col("rank") <= s.sub_query_k)).drop("leg").join(seen, "id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("sub", "rank", "id"))
     planned = merged.select("query_id", F.lit(0).alias("retry"), "id", place.alias("rank"), F.lit(8).alias("rerank_k"))
 
-    both = wide.unionByName(planned).join(seen.select("id", "text"), "id").join(asked.select(F.struct(*key).alias("query_id"), F.col("text").alias("question")), "query_id")
+    both = wide.unionByName(planned).join(seen, "id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
     both = both.withColumn("prior", F.col("rank")).withColumn("score", F.round(OverlapReranker().score(F.col("question"), F.col("text")), 6))
     best = V.top_k(both.drop("rank"), ["query_id", "retry"], "score", F.col("rerank_k"), ["prior"])
-    own = best.groupBy("query_id", "retry").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "text"))).alias("contexts"))
-    return own.select("query_id.conv_id", "query_id.turn", "retry", "contexts")
+    return best.groupBy("query_id", "retry").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "text"))).alias("contexts"))  # rerank_k of them
 
 
-def answer(turns: DataFrame, chunks: DataFrame | None = None, faq: DataFrame | None = None, memories: DataFrame | None = None, lexicon: dict | None = None, role: str = C.ROLES[0], semester: str = C.ALWAYS) -> DataFrame:
+def answer(turns: DataFrame, chunks: DataFrame | None = None, faq: DataFrame | None = None, memories: DataFrame | None = None, lexicon: dict | None = None, role: str = C.ROLES[0], semester: str = C.ALWAYS, verify=None) -> DataFrame:
     """The whole turn program over a batch of conversations: one row for each user turn.
 
     Every turn is classified first; a high one takes the crisis reply and nothing else. The others are routed
@@ -200,8 +231,9 @@ def answer(turns: DataFrame, chunks: DataFrame | None = None, faq: DataFrame | N
     draft and quality gate, with up to max_retry wider attempts, the last one forced. Replies get the care
     suffix of their level; all but crisis and chit-chat leave a memory.
 
-    turns: conv_id, turn, role, text. chunks: id, text, audience, valid. faq: entry_id, question, answer,
-    similar_questions, tags. memories: conv_id, summary, at (its last three are read). Offline providers
+    turns: conv_id, turn, role, text; with user_role and user_semester each turn is filtered by its own reader
+    (else by role and semester), with rewritten the FAQ is asked by that form too (faq_hits, also for verify). chunks: id, text, audience, valid. faq: entry_id, question, answer,
+    similar_questions, tags. memories: conv_id or, if both they and turns have it, user_id; summary, at (the last three are read). Offline providers
     stand in for services: word overlap reranks and judges, the best context is the draft.
 
     Returns conv_id, turn, level, source, category, language, route, match_id, contexts (ids), retry_count,
@@ -220,18 +252,20 @@ def answer(turns: DataFrame, chunks: DataFrame | None = None, faq: DataFrame | N
     model = LexiconClassifier(lex["high"], lex["mid"], lex["weak"])
     r = users.withColumn("e", fused(F.col("level"), model.probabilities(F.col("text"))))
     category = F.when(~F.col("text").rlike(r"\p{L}{2}"), C.INTENTS[3]).when(F.col("text").rlike(any_of((r"\?.*\?", "？.*？"))), C.INTENTS[1]).otherwise(C.INTENTS[0])
-    r = r.select(*key, "text", "history", F.col("e.level").alias("level"), F.col("e.source").alias("source"), F.when(F.col("e.level") != HIGH, category).alias("category"))
+    given = lambda name, other: (F.col(name) if name in turns.columns else other).alias(name)
+    extra = [given("user_role", F.lit(role)), given("user_semester", F.lit(semester)), given("rewritten", F.col("text")), *(["user_id"] if "user_id" in turns.columns else [])]
+    r = r.select(*key, "text", "history", *extra, F.col("e.level").alias("level"), F.col("e.source").alias("source"), F.when(F.col("e.level") != HIGH, category).alias("category"))
     came = F.when(F.col("text").rlike("[\u4e00-\u9fff]"), C.LANGUAGES[0]).otherwise(C.LANGUAGES[1])
     r = session_language(r.withColumn("session", F.col("conv_id")).withColumn("requested", F.lit(None).cast("string")).withColumn("input_language", came)).drop("session", "requested", "input_language")
-    r = scratch(r)  # read four times below
+    r = scratch(r.withColumn("query_id", F.monotonically_increasing_id()))  # read several times below
 
-    asked = r.filter(F.coalesce(F.col("category"), F.lit(C.INTENTS[3])) != C.INTENTS[3]).select(*key, "text", "category")
-    found = faq_hits(asked.filter(F.col("category") != C.INTENTS[1]), faq)
-    reads = contexts_by_attempt(asked.join(found, key, "left_anti"), chunks, role, semester)
+    asked = r.filter(F.coalesce(F.col("category"), F.lit(C.INTENTS[3])) != C.INTENTS[3]).select("query_id", "text", "rewritten", "category", "user_role", "user_semester")
+    found = scratch(faq_hits(asked.filter(F.col("category") != C.INTENTS[1]), faq, verify=verify))
+    reads = contexts_by_attempt(asked.join(found, "query_id", "left_anti"), chunks)
     draft = F.get("contexts", 0)["text"]
-    judged = reads.join(asked.select(*key, F.col("text").alias("question")), key).withColumn("score", F.round(OverlapReranker().score(F.col("question"), draft), 6))
-    tries = judged.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("retry", F.struct("contexts", "score")))).alias("tries"))
-    r = r.join(found, key, "left").join(tries, key, "left")
+    judged = reads.join(asked.select("query_id", F.col("text").alias("question")), "query_id").withColumn("score", F.round(OverlapReranker().score(F.col("question"), draft), 6))
+    tries = judged.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("retry", F.struct("contexts", "score")))).alias("tries"))
+    r = r.join(found, "query_id", "left").join(tries, "query_id", "left").drop("query_id")
 
     attempt = lambda i: F.try_element_at(F.col("tries"), F.lit(i))
     verdicts = F.array(*[F.struct((F.coalesce(attempt(i)["score"], F.lit(0.0)) >= s.quality_gate).alias("passed"), F.coalesce(attempt(i)["score"], F.lit(0.0)).alias("score")) for i in range(s.max_retry)])
@@ -255,8 +289,9 @@ def answer(turns: DataFrame, chunks: DataFrame | None = None, faq: DataFrame | N
     keeps = ~where.isin("crisis", "chitchat")
     recalled = F.array().cast("array<string>")
     if memories is not None:
-        recent = recent_memories(memories, 3, "conv_id", "at", "summary").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("rank", "summary"))).alias("m"))
-        r, recalled = r.join(recent.select("conv_id", F.col("m.summary").alias("recalled")), "conv_id", "left"), F.coalesce("recalled", recalled)
+        whose = "user_id" if "user_id" in memories.columns and "user_id" in turns.columns else "conv_id"
+        recent = recent_memories(memories, 3, whose, "at", "summary").groupBy(whose).agg(F.sort_array(F.collect_list(F.struct("rank", "summary"))).alias("m"))
+        r, recalled = r.join(recent.select(whose, F.col("m.summary").alias("recalled")), whose, "left"), F.coalesce("recalled", recalled)
     asks = prompt(F.col("text"), F.transform("read", lambda c: c["text"]), F.col("history"), recalled, F.col("language"))
     return r.select(
         *key, "level", "source", "category", "language", F.array_join(nodes, ">").alias("route"), "match_id", F.transform("read", lambda c: c["id"]).alias("contexts"),

@@ -117,14 +117,6 @@ def sparse_search(queries: DataFrame, rows: DataFrame, k: int, block: int = 500)
     return top_k(found, "query_id", "score", k, ["id"])
 
 
-def sparse_join(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The same for queries as many as the data (any type of query_id) against a small corpus, by a join on
-    the token."""
-    hits = queries.select("query_id", "token", F.col("weight").alias("qw")).join(rows.select("id", "token", F.col("weight").alias("dw")), "token")
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("score"))
-    return top_k(scored, "query_id", "score", k, ["id"])
-
-
 @C.configured
 def rrf(legs: list[DataFrame], k: int, constant: int = C.setting("rrf_k")) -> DataFrame:
     """Reciprocal rank fusion of legs with (query_id, id, rank)."""

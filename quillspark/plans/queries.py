@@ -21,7 +21,8 @@ from ..operators import metrics as M
 from ..operators import routing as R
 from ..operators import safety as S
 from ..operators import vector as V
-from ..operators.providers import LexicalEncoder, LexiconClassifier, OverlapReranker, train_classifier, words
+from ..operators.chain import LOCAL, answered
+from ..operators.providers import LexicalEncoder, LexiconClassifier, OverlapReranker, failing_hop, train_classifier, words
 from ..operators.tables import shared_folder
 from ..sources.frontier import crawl_sources, from_pages
 from ..streaming.sessions import session_states
@@ -662,6 +663,20 @@ def care_suffixes(spark, d):
     return t(spark, d, "events").select("event_id", R.final_response(F.lit("a"), R.care_suffix(level, F.lit("English"))).alias("final"))
 
 
+@query("""with c as (select conv_id, turn, length(text) n, text like '%e%' e from conversations where role = 'user'),
+a as (select *, case when n % 7 = 0 then null when n % 3 <> 0 then '{"n": ' || n || '}' when n % 5 <> 0 then 'n=' || n end x, case when n % 7 = 0 then 'light: no route' when n % 3 = 0 and n % 5 = 0 then 'light: bad answer' end xe,
+  case when n % 4 = 0 then null when n % 11 <> 0 then '{"n": ' || n || '}' when n % 2 <> 0 then 'n=' || n end y, case when n % 4 = 0 then 'core: no route' when n % 11 = 0 and n % 2 = 0 then 'core: bad answer' end ye,
+  case when n % 3 = 0 then null when n % 17 <> 0 then '{"n": ' || n || '}' else 'n=' || n end z, case when n % 3 = 0 then 'local: no route' end ze from c)
+select conv_id, turn, coalesce(x, y, z) answer, case when x is not null then 'light' when y is not null then 'core' when z is not null then 'local' end hop,
+case when coalesce(x, y) is not null then '云端' when z is not null then '本地' end source,
+nullif(concat_ws('；', xe, case when x is null then ye end, case when x is null and y is null then ze end), '') errors from a""")
+def provider_chain(spark, d):
+    """User turns through three services that fail by the text's length: unreachable, without JSON, or for good."""
+    users = t(spark, d, "conversations").filter("role = 'user'")
+    hops = [failing_hop("light", 7, 3, 5), failing_hop("core", 4, 11, 2), failing_hop("local", 3, 17, 0, source=LOCAL)]
+    return answered(users.select("conv_id", "turn", "text"), F.col("text"), hops).select("conv_id", "turn", "answer", "hop", "source", "errors")
+
+
 @query("select event_id, case when event_id % 3 = 0 then 'cloud' when event_id % 3 = 1 then 'backup' else 'local' end hop, case when event_id % 6 = 0 then true else coalesce(event_id % 2 = 0 and event_id % 5 <> 0, true) end accepted from events")
 def fallback_chain(spark, d):
     from ..operators.providers import hop_name
@@ -688,7 +703,8 @@ def _said(spark, d):
     c = c.join(b, F.col("known") == (F.col("conv_id") % 10) * 4, "left")
     text = F.when(F.col("turn") % 7 == 2, "??").when(F.col("conv_id") % 5 == 1, F.coalesce("asked", "text"))
     text = text.when(F.col("conv_id") % 11 == 3, F.concat(F.left("text", F.lit(50)), F.lit("? "), F.right("text", F.lit(50)), F.lit("?")))
-    return c.withColumn("text", text.when(F.col("conv_id") % 13 == 5, F.concat(F.lit("scum "), "text")).otherwise(F.col("text"))).drop("known", "asked")
+    text = text.when(F.col("conv_id") % 13 == 5, F.concat(F.lit("scum "), "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", "role", text.alias("text"), F.when(F.col("conv_id") % 17 == 4, F.col("asked")).alias("known"))
 
 
 def _answered(spark, d):
@@ -698,7 +714,10 @@ def _answered(spark, d):
     chunks = items.filter("item_id % 4 <> 0").select(F.col("item_id").alias("id"), "text", audience.alias("audience"), F.lit(C.ALWAYS).alias("valid"))
     none = F.lit(None).cast("array<string>")
     faq = items.filter("item_id % 4 = 0").select(F.col("item_id").alias("entry_id"), F.left("text", F.lit(40)).alias("question"), F.col("text").alias("answer"), none.alias("similar_questions"), none.alias("tags"))
-    return R.answer(_said(spark, d), chunks, faq, lexicon={"high": L["high"], "mid": L["mid"], "negated": L["negated"], "weak": ("ent", "ion")}), chunks
+    reader = F.when(F.col("conv_id") % 2 == 1, C.ROLES[1]).otherwise(C.ROLES[0])
+    said = _said(spark, d).select("conv_id", "turn", "role", "text", reader.alias("user_role"), F.lit(C.ALWAYS).alias("user_semester"), F.coalesce("known", "text").alias("rewritten"))
+    same = lambda text, question: (F.length(text) % 2 == 0, F.lit(True))
+    return R.answer(said, chunks, faq, verify=same, lexicon={"high": L["high"], "mid": L["mid"], "negated": L["negated"], "weak": ("ent", "ion")}), chunks
 
 
 _LEVELLED = f"""(select conv_id, turn, text, case when r = '高危' then r when greatest(1, w, 2 * m, 4 * h) / t <= 0.5 then r when r = '中度困扰' and 4 * h / t > 0.5 then '高危'
@@ -709,14 +728,16 @@ _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'),
 _ANSWERED = rf"""t as (select *, case when level = '高危' then null when not regexp_matches(text, '\p{{L}}{{2}}') then '闲聊越界' when regexp_matches(text, '(?s)\?[^\n]*\?') then '复杂查询' else '简单问答' end category from {_LEVELLED}),
 kb as (select item_id id, text, case when item_id % 3 = 0 then '研究生' else '全部' end audience, {_WORDS.format("text")} w from benchmark where item_id % 4 <> 0),
 faq as (select item_id id, text, list_distinct({_WORDS.format("left(text, 40)")}) w from benchmark where item_id % 4 = 0),
-fm as (select conv_id, turn, arg_max(id, (score, -id)) match_id from (select t.conv_id, t.turn, faq.id, len(list_intersect(faq.w, list_distinct({_WORDS.format("t.text")}))) / len(faq.w)::double score from t, faq where category = '简单问答') where score > 0.85 group by 1, 2),
+forms as (select conv_id, turn, 0 v, text q from t where category = '简单问答' union all select conv_id, turn, 1, left(b.text, 45) from t join benchmark b on b.item_id = (conv_id % 10) * 4 where category = '简单问答' and conv_id % 17 = 4),
+dual as (select conv_id, turn, arg_max(id, (score, -v, -id)) match_id from (select forms.conv_id, forms.turn, v, faq.id, round(len(list_intersect(faq.w, list_distinct({_WORDS.format("q")}))) / len(faq.w)::double, 6) score from forms, faq) where score > 0.85 group by 1, 2),
+fm as (select dual.* from dual join t using (conv_id, turn) where length(t.text) % 2 = 0),
 a as (select t.* from t left join fm using (conv_id, turn) where category in ('简单问答', '复杂查询') and match_id is null),
 kw as (select id, audience, x token, 1 + ln(count(*)) weight from (select id, audience, unnest(w) x from kb) group by 1, 2, 3),
 parts as (select conv_id, turn, -1 sub, text part from a union all select conv_id, turn, i, p from (select conv_id, turn, unnest(range(len(ps))) i, unnest(ps) p from (select conv_id, turn, regexp_split_to_array(text, '[?？]') ps from a where category = '复杂查询')) where regexp_matches(p, '\S')),
 qw as (select conv_id, turn, sub, x token, 1 + ln(count(*)) weight from (select conv_id, turn, sub, unnest({_WORDS.format("part")}) x from parts) group by 1, 2, 3, 4),
 sp as (select conv_id, turn, sub, id, audience, round(sum(qw.weight * kw.weight), 6) score from qw join kw using (token) group by 1, 2, 3, 4, 5),
-w0 as (select conv_id, turn, retry, id, row_number() over (partition by conv_id, turn, retry order by score desc, id) prior from sp join a using (conv_id, turn), (select unnest([0, 1, 2]) retry) where sub = -1 and (retry > 0 or (audience = '全部' and category = '简单问答'))),
-p0 as (select conv_id, turn, id, sub, row_number() over (partition by conv_id, turn, sub order by score desc, id) rank from sp where sub >= 0 and audience = '全部'),
+w0 as (select conv_id, turn, retry, id, row_number() over (partition by conv_id, turn, retry order by score desc, id) prior from sp join a using (conv_id, turn), (select unnest([0, 1, 2]) retry) where sub = -1 and (retry > 0 or ((audience = '全部' or conv_id % 2 = 1) and category = '简单问答'))),
+p0 as (select conv_id, turn, id, sub, row_number() over (partition by conv_id, turn, sub order by score desc, id) rank from sp where sub >= 0 and (audience = '全部' or conv_id % 2 = 1)),
 p1 as (select conv_id, turn, text, min((sub, rank, id)) m from p0 join kb using (id) where rank <= 10 group by 1, 2, 3),
 c as (select conv_id, turn, retry, id, prior, 5 + 2 * retry most from w0 where prior <= 20 * (retry + 1) union all select conv_id, turn, 0, m[3], row_number() over (partition by conv_id, turn order by m), 8 from p1),
 s as (select c.*, case when len(q) = 0 then 0.0 else round(len(list_intersect(q, kb.w)) / len(q)::double, 6) end score from c join (select conv_id, turn, list_distinct({_WORDS.format("text")}) q from a) using (conv_id, turn) join kb using (id)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import replaced
@@ -75,16 +75,25 @@ def ensure_table(spark: SparkSession, path: str, schema: str) -> str:
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Write df beside path and rename it into place, so that a reader sees the old table or the new one."""
+    """Write df beside path, then put it in path's place by two renames. The old table stays until the new one is
+    in place and comes back if that fails; between the renames a reader finds no table, never half of one."""
     spark = df.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    here, there = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (new, path))
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    here, there, aside = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (new, path, old))
     fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(there):
-        fs.delete(there, True)
-    if not fs.rename(here, there):
-        raise OSError(f"{new} could not be renamed to {path}")
+    try:
+        df.write.parquet(new)
+        had = fs.exists(there)
+        if had and not fs.rename(there, aside):
+            raise OSError(f"{path} could not be renamed to {old}")
+        if not fs.rename(here, there):
+            if had:
+                fs.rename(aside, there)
+            raise OSError(f"{new} could not be renamed to {path}")
+    except BaseException:
+        fs.delete(here, True)
+        raise
+    fs.delete(aside, True)
 
 
 def write_parse_cache(records: DataFrame, path: str) -> None:
@@ -134,10 +143,14 @@ def provenance(spark: SparkSession, path: str, **facts) -> None:
 
 
 def build_index(chunks: DataFrame, faq: DataFrame, failures: DataFrame, path: str, rebuild: bool = False) -> dict:
-    """Write both tables and return chunk_count, faq_rows and failed_files."""
+    """Write both tables and return chunk_count, faq_rows and failed_files. Rows are counted as they are written, so
+    nothing is made twice."""
     spark = chunks.sparkSession
     if rebuild:
         reset(spark, f"{path}/chunks", f"{path}/faq")
-    overwrite(faq, f"{path}/faq")
-    replace_by_source(chunks, f"{path}/chunks")
-    return {"chunk_count": chunks.count(), "faq_rows": spark.read.parquet(f"{path}/faq").count(), "failed_files": failures.count()}
+    seen = {name: Observation(name) for name in ("chunks", "faq", "failures")}
+    own, entries, failed = (scratch(df.observe(seen[name], F.count(F.lit(1)).alias("n"))) for name, df in (("chunks", chunks), ("faq", faq), ("failures", failures)))
+    entries.write.mode("overwrite").parquet(f"{path}/faq")
+    replace_by_source(own, f"{path}/chunks")
+    failed.write.mode("overwrite").parquet(f"{path}/failures")
+    return {"chunk_count": seen["chunks"].get["n"], "faq_rows": seen["faq"].get["n"], "failed_files": seen["failures"].get["n"]}
