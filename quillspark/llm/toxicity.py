@@ -4,16 +4,21 @@ Terms are lower-cased words and their 4- and 5-letter beginnings. The labelled e
 inverted index cut into blocks of BLOCK examples; each term keeps the greatest weight it has in each
 block, so a query's bound for a block is one product, and blocks are opened by falling bound until
 the K-th best cosine cannot be beaten: the neighbours are exact (ties: the smaller example). Their
-votes, weighted by cosine over distance (1 - cosine + NEAR) and smoothed towards the base rate, are
+votes, weighted by cosine over distance (1 - cosine + near) and smoothed towards the base rate, are
 mapped to probabilities by isotonic regression over leave-one-out votes, each class weighted by its
 count over all labelled rows. Scores come with their evidence: the neighbours' ids, cosines and labels.
 
 fit() reads a bounded sample of labelled examples: up to per_class documents of either label and at most
 max_chars characters, drawn by a hash of the id. All terms the sample ties to a label are indexed (shares
-e^2 times apart or more, in at least df_least examples, and so unevenly that chance would give less than
+e^odds times apart or more, in at least df_least examples, and so unevenly that chance would give less than
 one such term among all: exact binomial tails); other words do not enter the vectors. Their document
 frequencies are counted over all documents that have a text, labelled or not.
 
+The form (odds, near and the smoothing) is chosen by fit() itself: of FORMS the one with the least log loss in
+cross-validation over FOLDS parts of the examples, terms and calibration learned anew without each part. The
+parts are dealt by a hash of the id; no other row takes part. With under 2 * FOLDS examples of a label it is
+the first form.
+
 Null and empty texts and texts with no kept term get the calibrated score of such examples. Repeated rows
 come as often as they are there; of rows of one id the first text in order is the example. Without
 any labelled row every score is 0. Of repeated labels of one document the larger counts.
@@ -21,9 +26,13 @@ any labelled row every score is 0. Of repeated labels of one document the larger
 
 from __future__ import annotations
 
+import logging
 import math
 import re
+import zlib
 from collections import Counter
+from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +41,23 @@ from pyspark.sql import functions as F
 
 from .common import tidy
 
-K, BLOCK, SMOOTH, NEAR = 15, 64, 0.3, 0.1
+K, BLOCK, FOLDS = 15, 64, 5
+LOG = logging.getLogger(__name__)
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_SEEN = 300_000
 
 
+class Form(NamedTuple):
+    """How far apart a term's shares have to be, what is added to a distance, how much the base rate weighs."""
+
+    odds: float = 2.0
+    near: float = 0.1
+    smooth: float = 0.3
+
+
+FORMS = tuple(Form(*x) for x in product((2.0, 1.5, 2.5), (0.1, 0.05, 0.3), (0.3, 1.0)))
+
+
 def terms_of(token: str) -> list[str]:
     """Terms of one blank-separated token of a lower-cased text."""
     out = []
@@ -71,11 +92,12 @@ def chance(hits: int, n: int, q: float) -> float:
 class NearestExamples:
     """The index and its calibration; picklable, its size bounded by the sample."""
 
-    def __init__(self, ids, texts, labels, class_rows=None, df_least=4, counted=None):
+    def __init__(self, ids, texts, labels, class_rows=None, df_least=4, counted=None, form: Form = FORMS[0]):
         """counted: from a dict of terms to the number of documents and each term's frequency among them
         (None: those of the examples)."""
         labels = np.array(labels, dtype=np.int64)
         bags = [Counter(t for tok in text.lower().split() for t in terms_of(tok)) for text in texts]
+        self.form = form
         self.seen: dict[str, tuple] = {}
         n1, n0 = int(labels.sum()), int((1 - labels).sum())
         df1, df0 = Counter(), Counter()
@@ -85,7 +107,7 @@ class NearestExamples:
         for t in known:
             df = df1[t] + df0[t]
             odds = abs(math.log((df1[t] + 0.5) / (n1 + 1)) - math.log((df0[t] + 0.5) / (n0 + 1)))
-            if odds >= 2:
+            if odds >= form.odds:
                 by_chance = chance(df1[t], df, n1 / (n1 + n0))
                 if by_chance * len(known) < 1:
                     chosen.append((by_chance, t, df))
@@ -101,11 +123,18 @@ class NearestExamples:
         self._index([vectors[i] for i in order])
         rows1, rows0 = class_rows or (n1, n0)
         self.base = (rows1 + 0.5) / (rows1 + rows0 + 1) if n1 else 0.0
-        weight = np.where(self.labels == 1, rows1 / max(1, n1), rows0 / max(1, n0))
-        votes = np.array([self._share(*self.neighbours(*vectors[i], skip=k)) for k, i in enumerate(order)]) if len(order) else np.zeros(0)
+        self.weight = rows0 / max(1, n0), rows1 / max(1, n1)
+        self.others = [self.neighbours(*vectors[i], skip=k) for k, i in enumerate(order)]
+        self.calibrate(form)
+
+    def calibrate(self, form: Form) -> None:
+        """From the examples' votes without themselves to probabilities."""
+        self.form = form
+        votes = np.array([self._share(*x) for x in self.others]) if self.others else np.zeros(0)
+        weight = np.where(self.labels == 1, self.weight[1], self.weight[0])
         # a row of either label at either end keeps scores inside 0 and 1
         x, y, w = np.append(votes, [1.0, 0.0]), np.append(self.labels, [1, 0]), np.append(weight, [1.0, 1.0])
-        self.cal = isotonic(x, y, w) if n1 else (np.zeros(1), np.zeros(1))
+        self.cal = isotonic(x, y, w) if self.labels.any() else (np.zeros(1), np.zeros(1))
 
     def _weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), dtype=np.int64)
@@ -150,8 +179,8 @@ class NearestExamples:
 
     def _share(self, who: np.ndarray, cos: np.ndarray) -> float:
         """The toxic share of the neighbours' votes; near ones weigh more."""
-        vote = cos / (1 - cos + NEAR)
-        return float((vote @ self.labels[who] + SMOOTH * self.base) / (vote.sum() + SMOOTH))
+        vote = cos / (1 - cos + self.form.near)
+        return float((vote @ self.labels[who] + self.form.smooth * self.base) / (vote.sum() + self.form.smooth))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         seen, counts = self.seen, Counter()
@@ -176,7 +205,43 @@ class NearestExamples:
         return min(1.0, max(0.0, p)), who, cos
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "others": []}  # scoring needs neither
+
+
+def fold_losses(sample: list[tuple], class_rows: tuple[int, int], odds: float, fold: int) -> list[tuple[Form, float]]:
+    """The log loss of one part of the examples (id, text, label) under all forms of these odds, learned from the
+    other parts; each label weighs as its rows do."""
+    mine = [zlib.crc32(f"fold {i}".encode()) % FOLDS == fold for i, _, _ in sample]
+    rest, own = [x for x, m in zip(sample, mine, strict=True) if not m], [x for x, m in zip(sample, mine, strict=True) if m]
+    m = NearestExamples(*map(list, zip(*rest, strict=True)), class_rows=class_rows, form=next(f for f in FORMS if f.odds == odds))
+    near = [m.neighbours(*m.vector(text)) for _, text, _ in own]
+    out = []
+    for form in (f for f in FORMS if f.odds == odds):
+        m.calibrate(form)
+        p = np.clip([np.interp(m._share(*x), *m.cal) for x in near], 1e-4, 1 - 1e-4)
+        y = np.array([label for _, _, label in own])
+        out.append((form, float((np.where(y == 1, m.weight[1], m.weight[0]) * -np.log(np.where(y == 1, p, 1 - p))).sum())))
+    return out
+
+
+def chosen_form(spark, sample: list[tuple], class_rows: tuple[int, int]) -> Form:
+    """The form of the least cross-validated log loss (the first of equal ones); a task for each fold and odds."""
+    n1 = sum(label for _, _, label in sample)
+    if min(n1, len(sample) - n1) < 2 * FOLDS:
+        return FORMS[0]
+    held = spark.sparkContext.broadcast((sample, class_rows))
+    work = [(odds, fold) for odds in dict.fromkeys(f.odds for f in FORMS) for fold in range(FOLDS)]
+
+    def run(batches):
+        for batch in batches:
+            got = [x for odds, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in fold_losses(*held.value, odds, fold)]
+            yield pa.RecordBatch.from_arrays([pa.array([FORMS.index(f) for f, _ in got], pa.int32()), pa.array([x for _, x in got], pa.float64())], names=["form", "loss"])
+
+    rows = spark.createDataFrame(work, "odds double, fold int").repartition(len(work), "odds", "fold")
+    loss: Counter = Counter()
+    for r in sorted(rows.mapInArrow(tidy(run), "form int, loss double").collect()):  # a row for each form and fold
+        loss[r["form"]] += r["loss"]
+    return FORMS[min(loss, key=lambda k: (loss[k], k))]
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int], text_col: str = "text") -> tuple[int, list[int]]:
@@ -225,8 +290,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first: dict = {}
     for r in sorted(found, key=lambda r: (r["i"], r["t"])):
         first.setdefault(r["i"], r)
-    sample = list(first.values())
-    return NearestExamples([r["i"] for r in sample], [r["t"] for r in sample], [r["y"] for r in sample], (rows.get(1, 0), rows.get(0, 0)), counted=lambda terms: document_frequencies(docs, terms, text_col))
+    sample = [(r["i"], r["t"], r["y"]) for r in first.values()]
+    ids, own, y = (list(x) for x in zip(*sample, strict=True)) if sample else ([], [], [])
+    class_rows = rows.get(1, 0), rows.get(0, 0)
+    form = chosen_form(docs.sparkSession, sample, class_rows)
+    LOG.info("form of the least cross-validated loss: %s", form)
+    return NearestExamples(ids, own, y, class_rows, counted=lambda terms: document_frequencies(docs, terms, text_col), form=form)
 
 
 def score_toxicity(df: DataFrame, model: NearestExamples, text_col: str = "text", evidence: bool = True) -> DataFrame:
