@@ -61,21 +61,21 @@ def trie_of(rows, block=20, parts=4):
     )
 
 
-def random_conversations(seed, n=120):
+def random_conversations(seed, n=60):
     rng, rows = random.Random(seed), []
     for c in rng.sample(range(-40, 400), n):
         for turn in range(rng.choice([1, 1, 2, 3, 5, 9])):
             rows.append((c, rng.choice([turn, turn, None]), rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", "a b", "c\td e", " \x0b "])))
-    same = [(900 + i, t, "user", "w") for i in range(30) for t in range(12)]  # one sequence many times
-    deep = [(2000 + 20 * i, t, "user", "same here" if t < 20 else f"end {i}") for i in range(40) for t in range(22)]  # a long shared beginning
-    chain = [(4000 + 20 * i, t, "user", "x") for i in range(12) for t in range(i + 1)]  # each continues the one before
+    same = [(900 + i, t, "user", "w") for i in range(12) for t in range(5)]  # one sequence many times
+    deep = [(2000 + 20 * i, t, "user", "same here" if t < 20 else f"end {i}") for i in range(10) for t in range(22)]  # a long shared beginning
+    chain = [(4000 + 20 * i, t, "user", "x") for i in range(6) for t in range(i + 1)]  # each continues the one before
     return rows + same + deep + chain + rows[:25]
 
 
 CONV = "conv_id long, turn long, role string, text string, words int, n string, ends string"
 
 
-@pytest.mark.parametrize("local", [1, 30, 10**6])
+@pytest.mark.parametrize("local", [25, 10**6])
 def test_trie_of_random_conversations(spark, local):
     rows = random_conversations(local)
     rows.append((None, 0, "user", "nobody's"))
