@@ -12,43 +12,63 @@ a = ceil(t / (1 + t) * (|s| + |l|)) elements, and so
 
 Sets meet by the key (code, step); the last two decide there, by arrays over all pairs of some keys at once.
 What is left is counted on the sets themselves. Frequent codes are in no prefix of a set that holds rare ones;
-keys that many sets share are dealt over a grid of tasks.
+keys that many sets share are dealt over a grid of tasks. Tasks hold a bounded number of elements and pairs at once.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import scratch
+from .tables import scratch, tune
 
 WORDS = 8  # 64-bit words of a signature
 MOST_CODES = 1_000_000  # rows of few numbers that are sent to all tasks
-PART, AT_ONCE = 20_000, 2_000_000  # rows of either kind of one key, and pairs of them, that are looked at together
+PART, AT_ONCE = 20_000, 250_000  # rows of either kind of one key, and pairs of them, that are looked at together
+ELEMENTS = 500_000  # of some sets that a task holds as arrays
 EPS = 1e-9
 
 
+def runs(sizes: np.ndarray, most: int):
+    """Bounds of runs of rows of most elements in all, of one row at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def coded_ngrams(rows: DataFrame, id_col: str, form: Column, side: int = 0, n: int = 3) -> DataFrame:
-    """side, id, codes: the distinct runs of n characters of a text, as numbers (21 bits a character); n at most 3."""
+    """side, id, codes: the distinct runs of n characters of a text, as numbers (21 bits a character); n at most 3.
+    And mark, a 128-bit hash of them: equal for equal sets."""
+    tune(rows.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            parts = []
-            for text in batch.column(2).to_pylist():
-                c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-                m = max(0, len(c) - n + 1)
-                code = np.zeros(m, np.int64)
-                for k in range(n):
-                    code = (code << 21) | c[k : k + m]
-                parts.append(np.unique(code))
-            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["side", "id", "codes"])
+        for whole in batches:
+            for lo, hi in runs(pc.fill_null(pc.utf8_length(whole.column(2)), 0).to_numpy(), ELEMENTS):
+                yield of(whole.slice(lo, hi - lo))
+
+    def of(batch):
+        parts = []
+        for text in batch.column(2).to_pylist():
+            c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            m = max(0, len(c) - n + 1)
+            code = np.zeros(m, np.int64)
+            for k in range(n):
+                code = (code << 21) | c[k : k + m]
+            parts.append(np.unique(code))
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        codes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+        marks = pa.array([blake2b(p.tobytes(), digest_size=16).digest() for p in parts], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes, marks], names=["side", "id", "codes", "mark"])
 
     own = rows.select(F.lit(side).alias("side"), F.col(id_col).cast("long").alias("id"), form.alias("form"))
-    return own.mapInArrow(run, "side int, id long, codes array<long>").filter(F.size("codes") > 0)
+    return own.mapInArrow(run, "side int, id long, codes array<long>, mark binary").filter(F.size("codes") > 0)
 
 
 def _with_signature(side: pa.Array, ids: pa.Array, offsets: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
@@ -63,33 +83,43 @@ def _with_signature(side: pa.Array, ids: pa.Array, offsets: np.ndarray, flat: np
     return pa.RecordBatch.from_arrays([side, ids, codes, pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], names=["side", "id", "codes", "n", *(f"s{i}" for i in range(WORDS))])
 
 
-def ordered(sets: DataFrame) -> DataFrame:
-    """The written table side, id, codes (rarest first), n and the signature's words of (side, id, codes).
+def ordered(sets: DataFrame, written: bool = False) -> DataFrame:
+    """The written table side, id, codes (rarest first), n and the signature's words of (side, id, codes); written:
+    sets are read from a table, not computed, and need no copy.
 
-    Up to MOST_CODES different codes their numbers go to every task (16 bytes each); beyond, elements meet them
-    in a join."""
-    sets = scratch(sets.select("side", "id", "codes"))
+    Up to MOST_CODES different codes their numbers go to every task (16 bytes each) and codes become their places in
+    the order; beyond, elements meet the numbers in a join."""
+    sets = sets.select("side", "id", "codes")
+    sets = sets if written else scratch(sets)
     one = sets.select("side", "id", F.explode("codes").alias("code"))
     often = scratch(one.groupBy("code").agg(F.count("*").alias("df")))
     few = often.count() <= MOST_CODES
     held = None
     if few:
         table = often.orderBy("code").toArrow()
-        held = sets.sparkSession.sparkContext.broadcast((table.column("code").to_numpy(), table.column("df").to_numpy()))
+        known, df = table.column("code").to_numpy(), table.column("df").to_numpy()
+        place = np.empty(len(known), np.int64)
+        place[np.lexsort((known, df))] = np.arange(len(known))
+        held = sets.sparkSession.sparkContext.broadcast((known, place))
     else:
         rare_first = F.sort_array(F.collect_list(F.struct("df", "code")))  # the elements of one set
         sets = one.join(often, "code").groupBy("side", "id").agg(rare_first.alias("l")).select("side", "id", F.col("l.code").alias("codes"))
 
     def run(batches):
-        for batch in batches:
-            codes = batch.column(2)
-            offsets, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
-            flat = flat[offsets[0] : offsets[-1]]
-            if held is not None:
-                known, df = held.value
-                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-                flat = flat[np.lexsort((flat, df[np.searchsorted(known, flat)], owner))]
-            yield _with_signature(batch.column(0), batch.column(1), offsets, flat)
+        for whole in batches:
+            for lo, hi in runs(np.diff(whole.column(2).offsets.to_numpy()), ELEMENTS):
+                yield of(whole.slice(lo, hi - lo))
+
+    def of(batch):
+        codes = batch.column(2)
+        offsets, flat = codes.offsets.to_numpy(), codes.values.to_numpy()
+        flat = flat[offsets[0] : offsets[-1]]
+        if held is not None:
+            known, place = held.value
+            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            flat = place[np.searchsorted(known, flat)]
+            flat = flat[np.lexsort((flat, owner))]
+        return _with_signature(batch.column(0), batch.column(1), offsets, flat)
 
     return scratch(sets.mapInArrow(run, "side int, id long, codes array<long>, n int, " + ", ".join(f"s{i} long" for i in range(WORDS))))
 
@@ -118,23 +148,33 @@ def _met(threshold: float, two_sided: bool):
             begin, stop = np.searchsorted(group[large], group[small]), np.searchsorted(group[large], group[small], "right")
             count = stop - begin
             small, begin, count = small[count > 0], begin[count > 0], count[count > 0]
-            ends, lo, found = np.cumsum(count), 0, []
-            while lo < len(small):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+            found, held = [], 0
+            for lo, hi in runs(count, AT_ONCE):
                 c = count[lo:hi]
                 place = np.repeat(begin[lo:hi] - np.cumsum(c) + c, c) + np.arange(c.sum())
                 x, y = filtered(part, np.repeat(small[lo:hi], c), large[place])
                 a, b = part["id"][x], part["id"][y]
                 turned = (part["side"][x] == 1) if two_sided else (a > b)
-                found.append(np.stack([np.where(turned, b, a), np.where(turned, a, b)], axis=1))
-                lo = hi
+                found.append((np.where(turned, b, a), np.where(turned, a, b)))
+                held += len(a)
+                if held > AT_ONCE:  # the rest of one key may be as many again
+                    yield _once(found)
+                    found, held = [], 0
             if found:
-                pair = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i])) for i in range(2)], names=["a", "b"])
+                yield _once(found)
 
     return run
 
 
+def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (np.diff(a) != 0) | (np.diff(b) != 0)
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+
 def whole_keys(batches):
     """Columns of whole keys, some batches at once; a key has at most PART rows of either kind."""
     held: list = []

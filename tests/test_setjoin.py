@@ -1,6 +1,7 @@
 """Similarity joins against all pairs: sets of all sizes, ties, repeated rows, keys dealt over a grid."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,30 @@ def test_near_pairs_of_texts(spark):
     assert {(r["a"], r["b"]) for r in D.near_pairs(df, "id", F.col("text")).collect()} == want
     both = D.near_pairs(df.filter("id < 60"), "id", F.col("text"), other=df.filter("id >= 50"), other_text=F.col("text")).collect()
     assert {(r["a"], r["b"]) for r in both} == {(a, b) for a in range(60) for b in range(50, len(g)) if g[a] and g[b] and jaccard(g[a], g[b]) >= 0.8}
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    seen = []
+    pairs = D.similar_pairs
+    monkeypatch.setattr(D, "similar_pairs", lambda sets, *a, **k: (seen.append(sets.count()), pairs(sets, *a, **k))[1])
+    df = spark.createDataFrame([(i, "the same words again" if i % 2 else "the same words again!?" if i % 3 else f"{i} other {i * i} words {i**3}") for i in range(90)], "id long, text string")
+    got = D.near_pairs(df, "id", F.col("text"))
+    same = 90 - 15  # those of equal form
+    assert got.filter("jaccard = 1").count() == same * (same - 1) // 2
+    assert seen == [16]
+
+
+def test_few_elements_and_pairs_are_held_at_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "ELEMENTS", 50)
+    rows = spark.createDataFrame([(i, f"text {i} with some words of its own {i * i}") for i in range(40)], "id long, text string").coalesce(1)
+    assert list(J.runs(np.array([30, 30, 60, 0, 10]), 50)) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    sets = J.coded_ngrams(rows, "id", F.col("text"))
+    assert sets.count() == 40 and sets.select("mark").distinct().count() == 40
+    # one key of many equal sets: what is found leaves in parts
+    monkeypatch.setattr(J, "AT_ONCE", 100)
+    n = 60
+    one = np.zeros(2 * n, np.int64)
+    batch = {"code": one, "step": one, "px": one, "py": one, "kind": np.repeat([0, 1], n), "side": one, "id": np.tile(np.arange(n), 2), "n": one + 5, "at": one} | {f"s{i}": one for i in range(J.WORDS)}
+    out = list(J._met(0.8, False)([pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in batch.items()})]))
+    assert len(out) > 5 and max(b.num_rows for b in out) <= 250
+    assert {p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == {(a, b) for a in range(n) for b in range(a + 1, n)}
