@@ -84,10 +84,15 @@ def release(*but) -> None:
     for key in gone:
         del KEPT[key]
     if gone or not but:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """What the allocators hold free goes to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 def tidy(run):

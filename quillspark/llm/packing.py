@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, stored, texts_of
+from .common import discard, release, stored, texts_of, trim
 from .tokens import MAX_CHUNKS, ByteChunks, shared
 
 REGION, ISLANDS, EPOCHS = 32768, 2, 2
@@ -57,6 +57,8 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool, table_ch
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 6 if with_ids else 5]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
+            del cols
+        trim()  # the table stays for the next task
 
     return run
 

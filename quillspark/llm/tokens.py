@@ -25,7 +25,8 @@ MAX_CHUNK_CHARS = 200
 UNSAFE, ABSENT = -1, -2
 #: Texts on which a table has to agree with its library before it is used.
 PROBES = ["A Plain wörd, (and) its \"marks\"... don't e.g. well-known x2 3.14 CamelCase\n\nnew  line\ttab ", " ÀÉÎ straße naïve; co-op/and_or #tag @name 50% a+b=c", "", " ", "I'll we've IT'S 'quoted' end.) 日本語 ½ é"]
-BATCH_CHARS = 4_000_000
+#: Characters of texts that are cut and numbered at once.
+BATCH_CHARS = 500_000
 
 def shared(kind, path: str, most: int = MAX_CHUNKS):
     """One table of at most so many chunks for each worker process and model file."""
