@@ -42,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     found = stored(minhash.near_duplicates(docs, width=5, percent=80), "near")
     found = found.filter("doc_id is not null")
-    out = docs.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    # the ids have no bound, so this is a sort-merge join at every size and its shuffle grows as the texts do
+    out = docs.join(found.filter("kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     if found.groupBy("doc_id").count().filter("count > 1").head(1):
         out = out.dropDuplicates(["doc_id", "text"])
     return out.unionByName(docs.filter("doc_id is null"))  # null equals nothing in the join

@@ -487,3 +487,17 @@ def test_pipeline(spark):
         assert not plain_spans(r["text"]) and r["n_chars"] == len(r["text"])
     assert ids(packed) == ids(masked) == ids(passages)
     assert cp.run(spark, SF).count() == packed.count()
+
+
+def test_pipeline_near_duplicates_join_by_sorting(spark):
+    """Ids of the texts that stay have no bound: the join's form must not change with the size of the table."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    df = docs(spark, ["one text of some words", "another text of other words"])
+    df = df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 1]
