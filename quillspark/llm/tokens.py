@@ -95,10 +95,10 @@ class _Chunks:
         ends = np.cumsum(width)
         return self.flat[np.repeat(self.begin[entries] - ends + width, width) + np.arange(ends[-1] if len(ends) else 0)], ends
 
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks)
-        for at in range(0, len(new), 20_000):
-            self.take(new[at : at + 20_000])
+    def learn(self, chunks: list[str]) -> None:
+        """Distinct chunks that are new."""
+        for at in range(0, len(chunks), 20_000):
+            self.take(chunks[at : at + 20_000])
 
     def take(self, chunks: list[str]) -> None:
         good = self.safe_ones(chunks)
@@ -139,8 +139,9 @@ class _Chunks:
             place, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             found = np.fromiter(map(self.table.get, names, repeat(ABSENT)), np.int64, len(names))
             gaps = np.flatnonzero(found == ABSENT).tolist()
-            self.learn({c for c in (names[i] for i in gaps) if len(c) <= MAX_CHUNK_CHARS})
-            found[gaps] = np.fromiter((self.table.get(names[i], UNSAFE) for i in gaps), np.int64, len(gaps))
+            missed = [names[i] for i in gaps]
+            self.learn([c for c in missed if len(c) <= MAX_CHUNK_CHARS])
+            found[gaps] = np.fromiter(map(self.table.get, missed, repeat(UNSAFE)), np.int64, len(gaps))
             bad = found < 0
             ids, ends = self.gathered(np.where(bad, 0, found)[place])
             bounds = lists.offsets.to_numpy()
@@ -193,6 +194,8 @@ class _Library(_Chunks):
             self.whole = self.encode(PROBES) != want
         except ValueError:
             self.whole = True
+        if not self.whole:  # a word meets the model once, so that its own cache of words would be filled for nothing
+            getattr(self.bare.model, "_resize_cache", lambda size: None)(0)
         self.forget()
 
     def encode(self, texts):
@@ -241,10 +244,13 @@ class _Library(_Chunks):
         if good := self.safe_ones(rest):
             self.enter(good, *self._library(good))
         if made:
-            table = self.table
-            both = np.fromiter((i for _, word, tail in made for i in (table[word], table[tail] if tail else 0)), np.int64, 2 * len(made))
+            whole, stems, tails = zip(*made, strict=True)
+            known = {tail: self.table[tail] if tail else 0 for tail in set(tails)}
+            both = np.empty(2 * len(made), np.int64)
+            both[::2] = np.fromiter(map(self.table.__getitem__, stems), np.int64, len(made))
+            both[1::2] = np.fromiter(map(known.__getitem__, tails), np.int64, len(made))
             ids, ends = self.gathered(both)
-            self.enter([c for c, _, _ in made], ids, np.diff(ends[1::2], prepend=0))
+            self.enter(whole, ids, np.diff(ends[1::2], prepend=0))
 
     def _words(self, words):
         """Words of Latin letters, perhaps behind a space: the file's model over split parts."""

@@ -501,3 +501,20 @@ def test_pipeline_near_duplicates_join_by_sorting(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 1]
+
+
+def test_a_new_word_takes_few_steps():
+    """Python calls that a word takes when a table meets it for the first time."""
+    import cProfile
+    import pstats
+
+    import public_tokenizers
+
+    table = tokens.WordChunks(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["".join("abcdefghij"[int(x)] for x in f"{i:05}") + mark for i in range(10_000) for mark in (",", "")]
+    text, profile = " ".join(words), cProfile.Profile()
+    profile.enable()
+    got = table.encode([text])
+    profile.disable()
+    assert got == [np.array(table.encode_all([text])[0], "<u4").tobytes()]
+    assert pstats.Stats(profile).total_calls < 9 * len(words)  # 11 before words were looked up by arrays
