@@ -370,3 +370,15 @@ def test_providers(spark):
     w = {x["token"]: round(x["weight"], 6) for x in df.select(P.LexicalEncoder().sparse(F.col("text")).alias("s")).first()["s"]}
     assert w == {"good": 1.693147, "day": 1.0}
     assert df.select(P.hop_name(["a", "b"], [F.lit(None), F.lit("x")]).alias("h")).first()["h"] == "b"
+
+
+def test_patterns_stand_once_in_a_level(spark):
+    """A level's expression reads the text a fixed number of times, however many results are made from it."""
+    from quillspark.operators.providers import LexiconClassifier
+
+    rule = S.rule_level(F.col("text"), ("scum", "vermin"), ("moron",), ("the scum", "the vermin"))
+    level = S.fused(rule["level"], LexiconClassifier(("scum",), ("moron",), ("sad",)).probabilities(F.col("text")))
+    plan = texts(spark, "the scum", "vermin", None).select(level["level"].alias("l"), level["confidence"].alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("the scum") <= 4 and plan.count("(?:sad)") <= 2  # once for each of the two columns and twice in a step
+    got = texts(spark, "the scum", "vermin", "moron scum").select(rule["level"].alias("l"), rule["rule"].alias("r")).collect()
+    assert [tuple(r) for r in got] == [(S.NORMAL, None), (S.HIGH, "vermin"), (S.HIGH, "scum")]
