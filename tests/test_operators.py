@@ -382,3 +382,15 @@ def test_patterns_stand_once_in_a_level(spark):
     assert plan.count("the scum") <= 4 and plan.count("(?:sad)") <= 2  # once for each of the two columns and twice in a step
     got = texts(spark, "the scum", "vermin", "moron scum").select(rule["level"].alias("l"), rule["rule"].alias("r")).collect()
     assert [tuple(r) for r in got] == [(S.NORMAL, None), (S.HIGH, "vermin"), (S.HIGH, "scum")]
+
+
+def test_hits_are_scored_on_stored_words(spark):
+    """Chunks are split into words where they are stored: scoring a hit splits no text of a chunk again."""
+    from quillspark.operators import routing
+
+    asked = spark.createDataFrame([(1, "red apple", C.INTENTS[0], C.ROLES[0], C.ALWAYS)], "query_id long, text string, category string, user_role string, user_semester string")
+    chunks = spark.createDataFrame([(7, "a red apple", C.EVERYONE, C.ALWAYS), (8, "red paint", C.EVERYONE, C.ALWAYS)], "id long, text string, audience string, valid string")
+    out = routing.contexts_by_attempt(asked, chunks)
+    assert out._jdf.queryExecution().analyzed().toString().count("split(lower(") == 1  # the request's own words
+    got = {r["retry"]: [(c["rank"], c["id"]) for c in r["contexts"]] for r in out.collect()}
+    assert got == {retry: [(1, 7), (2, 8)] for retry in range(C.active().max_retry + 1)}
