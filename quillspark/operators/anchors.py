@@ -21,6 +21,8 @@ CLASSES = ((16, 17), (4, 5))
 BASE = 0x9E3779B97F4A7C15
 # The Unicode white space characters.
 BLANK = np.array([*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+INKED = ~np.isin(np.arange(0x3002), BLANK)  # by character; the last stands for all beyond
+CHARS = 250_000  # of texts that are hashed together
 
 
 def characters(text: str) -> np.ndarray:
@@ -30,7 +32,7 @@ def characters(text: str) -> np.ndarray:
 def bare(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The characters that are no white space, and their places."""
     chars = characters(text)
-    at = np.flatnonzero(~np.isin(chars, BLANK))
+    at = np.flatnonzero(INKED[np.minimum(chars, len(INKED) - 1)])
     return chars[at], at
 
 
@@ -61,15 +63,20 @@ def _slid(x: np.ndarray, w: int, best) -> np.ndarray:
     return best(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def kept_runs(chars: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs that are smallest among some w in a row."""
+def kept_runs(chars: np.ndarray, ends: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that are smallest among some w in a row of one text: its number, place and hash. The texts stand one
+    after another in chars, up to their ends."""
     h = _runs(chars, k)
     if len(h) < w:
-        return np.zeros(0, np.int64), h[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), h[:0]
+    size = np.diff(ends, prepend=0)
     low = _slid(h, w, np.minimum)
+    inside = np.repeat(ends, size)[: len(low)] - np.arange(len(low)) >= k + w - 1  # the others reach into the next text
+    low = np.where(inside, low, np.uint64(0))
     edge = np.zeros(w - 1, np.uint64)
     at = np.flatnonzero(_slid(np.concatenate([edge, low, edge]), w, np.maximum) == h)
-    return at, h[at]
+    text = np.searchsorted(ends, at, "right")
+    return text, at - (ends - size)[text], h[at]
 
 
 def class_of(length: int) -> tuple[int, int]:
@@ -79,29 +86,27 @@ def class_of(length: int) -> tuple[int, int]:
 RUNS = "owner long, k int, w int, hash long, at long"
 
 
-def _emitted(rows: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    n = [len(r[4]) for r in rows]
-    cols = [np.repeat(np.array([r[i] for r in rows], np.int64 if i == 0 else np.int32), n) for i in range(3)]
-    hashes, places = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in (3, 4))
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(hashes.astype(np.uint64).view(np.int64)), pa.array(places.astype(np.int64))], names=["owner", "k", "w", "hash", "at"])
-
-
 def _runs_of(df: DataFrame, classes: list[tuple[int, int]] | None) -> DataFrame:
-    """The kept runs of (owner, text): of the classes, or each text's of its own class."""
+    """The kept runs of (owner, text): of the classes, or each text's of its own class. Texts are hashed together,
+    some at a time, as most of them are short."""
 
     def run(batches):
         for batch in batches:
-            rows, size = [], 0
-            for owner, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                chars, _ = bare(text or "")
-                for k, w in classes if classes is not None else [class_of(len(chars))] if len(chars) else []:
-                    at, h = kept_runs(chars, k, w)
-                    rows.append((owner, k, w, h, at))
-                    size += len(at)
-                if size > 200_000:
-                    yield _emitted(rows)
-                    rows, size = [], 0
-            yield _emitted(rows)
+            owner, texts = batch.column(0).to_numpy(), [x or "" for x in batch.column(1).to_pylist()]
+            stop, lo = np.cumsum([0, *map(len, texts)]), 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(stop, stop[lo] + CHARS, "right")) - 1)
+                chars, at = bare("".join(texts[lo:hi]))
+                ends = np.searchsorted(at, stop[lo + 1 : hi + 1] - stop[lo])
+                own = None if classes is not None else [class_of(n) if n else None for n in np.diff(ends, prepend=0).tolist()]
+                for k, w in classes if own is None else {*own} - {None}:
+                    text, place, h = kept_runs(chars, ends, k, w)
+                    if own is not None:
+                        good = np.array([x == (k, w) for x in own])[text]
+                        text, place, h = text[good], place[good], h[good]
+                    same = [pa.array(np.full(len(h), x, np.int32)) for x in (k, w)]
+                    yield pa.RecordBatch.from_arrays([pa.array(owner[lo:hi][text]), *same, pa.array(h.view(np.int64)), pa.array(place)], names=["owner", "k", "w", "hash", "at"])
+                lo = hi
 
     return df.select("owner", "text").mapInArrow(run, RUNS)
 
@@ -122,8 +127,9 @@ def evidence_places(evidence: DataFrame, texts: DataFrame) -> DataFrame:
     often = hits.groupBy(*key).agg(F.count("*").alias("n"))
     rarest = own.join(often, key, "left").groupBy("owner").agg(F.min_by(F.struct(*key, "at", F.col("n").isNotNull().alias("held")), F.struct(F.coalesce("n", F.lit(0)), "at")).alias("m"))
     anchors = rarest.filter("m.held").select(F.col("owner").alias("item"), "m.k", "m.w", "m.hash", F.col("m.at").alias("back"))
-    meet = hits.join(anchors, key).select("owner", "item", (F.col("at") - F.col("back")).alias("place")).filter("place >= 0")
-    places = meet.join(asked.select(F.col("owner").alias("item"), "item_id", F.col("text").alias("evidence")), "item").join(pool, "owner")
+    # written, as its size tells the plan whether the texts have to be shuffled to meet it
+    meet = scratch(hits.join(anchors, key).select("owner", "item", (F.col("at") - F.col("back")).alias("place")).filter("place >= 0"))
+    places = pool.join(meet, "owner").join(asked.select(F.col("owner").alias("item"), "item_id", F.col("text").alias("evidence")), "item")
 
     def verified(batches):
         for batch in batches:

@@ -89,6 +89,13 @@ def gold_pairs(evidence: DataFrame, chunks: DataFrame, on: list[str] | None = No
     return evidence_places(evidence, chunks)
 
 
+def holders(pairs: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that hold any evidence by their gold pairs. A chunk is a part of its document's text, so
+    evidence is in chunks of these alone; no others need to be cut."""
+    some = pairs.select(F.col(key).alias("_key")).distinct()
+    return docs.join(some, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+
+
 def recall_at(hits: DataFrame, questions: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Share of all questions with a gold hit among the first k: hits (query_id, rank, gold)."""
     best = hits.filter("gold").groupBy("query_id").agg(F.min("rank").alias("best"))

@@ -5,7 +5,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.llm import tokens as T
+from quillspark.operators import anchors as A
 from quillspark.operators import chunking as K
+from quillspark.operators import metrics as M
 from quillspark.operators import tables
 from quillspark.operators import vector as V
 from quillspark.operators.providers import words
@@ -71,3 +73,46 @@ def test_pairs_are_cleaned_once(spark):
 
 def test_tokenizer_cuts_few_characters_at_once():
     assert T.BATCH_CHARS <= 500_000
+
+
+class _Table:
+    """Stands for a table: gives back what would run on its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    """Runs are those of each text by itself, none lies across two, and the steps do not grow with the texts."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ab \n\u3000\U0001f600"), n)) for n in rng.integers(0, 90, 400)] + ["", None, " ", "a" * 300]
+    calls, plain = [], A._runs
+    monkeypatch.setattr(A, "_runs", lambda chars, k: (calls.append(k), plain(chars, k))[1])
+    batch = lambda lo, hi: pa.record_batch([pa.array(range(lo, hi), pa.int64()), pa.array(texts[lo:hi], pa.string())], names=["owner", "text"])
+    rows = lambda out: sorted(tuple(r.values()) for b in out for r in b.to_pylist())
+    for classes in (list(A.CLASSES), None):
+        run = A._runs_of(_Table(), classes)
+        apart = rows(out for i in range(len(texts)) for out in run([batch(i, i + 1)]))
+        calls.clear()
+        assert rows(run([batch(0, len(texts))])) == apart and len(apart) > 400
+        assert len(calls) < 20
+        monkeypatch.setattr(A, "CHARS", 100)
+        assert rows(run([batch(0, len(texts))])) == apart
+        monkeypatch.setattr(A, "CHARS", 250_000)
+
+
+def test_texts_are_not_shuffled_to_meet_evidence(spark):
+    texts = spark.createDataFrame([(i, f"text {i} " + "the quick brown fox jumps over the lazy dog again and again " * (i % 3 == 0)) for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, "no text has this evidence at all, it is long")], "item_id long, evidence string")
+    found = M.gold_pairs(items, texts)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, 1) for i in range(0, 30, 3)}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_documents_with_evidence_are_cut(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "b2"), (3, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(2, 7), (2, 8), (None, 7)], "doc_id long, item_id long")
+    assert sorted(r["text"] for r in M.holders(pairs, docs).collect()) == ["b", "b2", "c"]
