@@ -1,6 +1,7 @@
 """Similarity join of sets by Jaccard, exactly: size steps, prefixes, positions, signatures.
 
-A set is the ordered array of its elements' codes, the rarest first (by how many sets hold them, then code).
+This is the join of two tables; sets of one table, of which nearly all share some elements of their prefixes, are joined
+block by block (blockjoin). A set is the ordered array of its elements' codes, the rarest first (by how many sets hold them, then code).
 With s the smaller of two sets and l the larger, a pair that reaches t shares at least
 a = ceil(t / (1 + t) * (|s| + |l|)) elements, and so
 
@@ -25,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blockjoin import block_pairs
 from .tables import scratch, tune
 
 WORDS = 8  # 64-bit words of a signature
@@ -206,6 +208,8 @@ def whole_keys(batches):
 def similar_pairs(sets: DataFrame, threshold: float, two_sided: bool = False) -> DataFrame:
     """a, b, jaccard of all pairs of ordered() sets with Jaccard of at least threshold: of ids a < b, or of side 0
     and side 1."""
+    if not two_sided:
+        return block_pairs(sets.filter("side = 0"), threshold)
     step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + EPS).cast("int")
     n, t, own = F.col("n"), threshold, ["side", "id", "n", *(f"s{i}" for i in range(WORDS))]
     short = F.slice("codes", F.lit(1), (n - F.ceil(F.lit(2 * t / (1 + t)) * n - EPS) + 1).cast("int"))
@@ -229,9 +233,9 @@ def similar_pairs(sets: DataFrame, threshold: float, two_sided: bool = False) ->
         small, large = (d.select("*", zero("px"), zero("py")) for d in (small, large))
     at = [*key, "px", "py"]
     rows = small.withColumn("kind", F.lit(0)).unionByName(large.withColumn("kind", F.lit(1)))
-    met = rows.repartition(*at).sortWithinPartitions(*at, "kind").mapInArrow(_met(threshold, two_sided), "a long, b long")
+    met = rows.repartition(*at).sortWithinPartitions(*at, "kind").mapInArrow(_met(threshold, True), "a long, b long")
     left = sets.filter("side = 0").select(F.col("id").alias("a"), F.col("codes").alias("ca"))
-    right = sets.filter("side = 1" if two_sided else "side = 0").select(F.col("id").alias("b"), F.col("codes").alias("cb"))
+    right = sets.filter("side = 1").select(F.col("id").alias("b"), F.col("codes").alias("cb"))
     return met.distinct().join(left, "a").join(right, "b").mapInArrow(_counted(threshold), "a long, b long, jaccard double")
 
 
