@@ -26,6 +26,7 @@ MOST_PARTS = 4096
 LINES, CELLS = 256, 1 << 18  # sets that meet a block together, and pairs that are looked at at once
 HEAD = 4096  # most frequent elements of a block that are bits
 MARKS = 1 << 22  # marks of listed elements at once
+PIECE = 1 << 20  # elements of some sets at once
 MOST_WORDS = 256  # 64-bit words of a signature
 COMPACT = 1 << 16  # codes below are written as their gaps
 
@@ -86,6 +87,15 @@ def _taken(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.
     return flat[np.repeat(offsets[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
 
 
+def _pieces(offsets: np.ndarray, most: int):
+    """Bounds of runs of at most so many sets and about PIECE elements, of one set at least."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = min(lo + most, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PIECE, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def _words(size: int) -> int:
     """Words of a signature of sets of this size: a power of two."""
     return min(MOST_WORDS, 1 << max(2, int(np.ceil(np.log2(max(1, size * 0.75 / 64))))))
@@ -93,16 +103,15 @@ def _words(size: int) -> int:
 
 def signatures(flat: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
     """words x sets: bits of the classes of which a set holds an odd number."""
-    x = flat.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    bit = ((x >> np.uint64(40)) & np.uint64(64 * words - 1)).astype(np.int64)
-    n, step = np.diff(offsets), max(1, (1 << 20) // (64 * words))
-    out = np.empty((words, len(n)), np.uint64)
-    for lo in range(0, len(n), step):
-        k = n[lo : lo + step]
-        odd = np.bincount(np.repeat(np.arange(len(k)), k) * (64 * words) + bit[offsets[lo] : offsets[lo + len(k)]], minlength=len(k) * 64 * words) & 1
-        out[:, lo : lo + len(k)] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.uint64).reshape(len(k), words).T
+    out = np.empty((words, len(offsets) - 1), np.uint64)
+    for lo, hi in _pieces(offsets, max(1, (1 << 20) // (64 * words))):
+        x = flat[offsets[lo] : offsets[hi]].astype(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bit = ((x >> np.uint64(40)) & np.uint64(64 * words - 1)).astype(np.int64)
+        k = hi - lo
+        odd = np.bincount(np.repeat(np.arange(k), np.diff(offsets[lo : hi + 1])) * (64 * words) + bit, minlength=k * 64 * words) & 1
+        out[:, lo:hi] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.uint64).reshape(k, words).T
     return out
 
 
@@ -127,7 +136,9 @@ class _Block:
     def _number(self, flat: np.ndarray) -> None:
         """Own numbers of the block's elements, the most frequent first."""
         if len(flat) and flat.min() >= 0 and flat.max() < MARKS:
-            count = np.bincount(flat)
+            count = np.zeros(int(flat.max()) + 1, np.int64)
+            for lo in range(0, len(flat), PIECE):
+                count += np.bincount(flat[lo : lo + PIECE], minlength=len(count))
             self.known, order = None, np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
             self.place = np.full(len(count) + 1, -1, np.int32)  # the last stands for larger codes
         else:
@@ -139,23 +150,24 @@ class _Block:
 
     def _split(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of the frequent elements, numbers of the others and their offsets; elements that the block lacks go."""
-        if self.known is None:
-            place = self.place[np.minimum(flat, len(self.place) - 1)]
-        else:
-            at = np.searchsorted(self.known, flat)
-            at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] != flat)] = len(self.known)
-            place = self.place[at]
-        bits = np.empty((len(offsets) - 1, HEAD // 64), np.uint64)
-        for lo in range(0, len(bits), LINES):
-            k = min(LINES, len(bits) - lo)
-            own = place[offsets[lo] : offsets[lo + k]]
-            owner = np.repeat(np.arange(k), np.diff(offsets[lo : lo + k + 1]))
-            head = (own >= 0) & (own < HEAD)
+        bits, tail, left = np.empty((len(offsets) - 1, HEAD // 64), np.uint64), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for lo, hi in _pieces(offsets, LINES):
+            own, k = self._placed(flat[offsets[lo] : offsets[hi]]), hi - lo
+            owner = np.repeat(np.arange(k), np.diff(offsets[lo : hi + 1]))
+            head, far = (own >= 0) & (own < HEAD), own >= HEAD
             one = np.zeros(k * HEAD, np.uint8)
             one[owner[head] * HEAD + own[head]] = 1
-            bits[lo : lo + k] = np.packbits(one.reshape(k, HEAD), axis=1).view(np.uint64)
-        far = place >= HEAD
-        return bits, place[far] - HEAD, np.concatenate([[0], np.cumsum(far)])[offsets]
+            bits[lo:hi] = np.packbits(one.reshape(k, HEAD), axis=1).view(np.uint64)
+            tail.append(own[far] - HEAD)
+            left.append(np.bincount(owner[far], minlength=k))
+        return bits, np.concatenate(tail), np.cumsum(np.concatenate(left))
+
+    def _placed(self, flat: np.ndarray) -> np.ndarray:
+        if self.known is None:
+            return self.place[np.minimum(flat, len(self.place) - 1)]
+        at = np.searchsorted(self.known, flat)
+        at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] != flat)] = len(self.known)
+        return self.place[at]
 
     def meet(self, ids: np.ndarray, n: np.ndarray, flat: np.ndarray, offsets: np.ndarray, once: bool):
         """x, y (rows of the block and of the others, in ascending size) and Jaccard; once: a y that was met is not
@@ -165,12 +177,12 @@ class _Block:
             self.signature[words] = _folded(self.signature[self.most], words)
         mine, other = self.signature[words], _folded(signatures(flat, offsets, max(words, _words(int(n[-1])))), words)
         others = self._split(flat, offsets)
-        t, far = self.threshold, np.float32((1 - self.threshold) / (1 + self.threshold))
+        t, far = self.threshold, (1 - self.threshold) / (1 + self.threshold) * (1 + 1e-6)  # more than single precision loses
         left = np.arange(len(n))
         lo = int(np.searchsorted(self.n, t * n[0] - EPS))
         hi = int(np.searchsorted(self.n, n[-1] if self.ordered else n[-1] / t + EPS, "right"))
-        room_x = (self.n * far + np.float32(0.01)).astype(np.float32)
-        room_y = (n * far + np.float32(0.01)).astype(np.float32)
+        room_x = (self.n * far + 0.01).astype(np.float32)
+        room_y = (n * far + 0.01).astype(np.float32)
         while lo < hi and len(left):
             top = min(hi, lo + max(1, CELLS // len(left)))
             apart, bit = np.zeros((len(left), top - lo), np.uint16), np.empty((len(left), top - lo), np.uint64)
@@ -185,9 +197,7 @@ class _Block:
             if self.ordered:
                 good &= (self.n[x] < n[y]) | ((self.n[x] == n[y]) & (self.ids[x] < ids[y]))
             x, y = x[good], y[good]
-            found = []
-            for k in range(0, len(x), 16_384):
-                found.append(self._shared(x[k : k + 16_384], y[k : k + 16_384], n, others))
+            found = [self._shared(x[k : k + 16_384], y[k : k + 16_384], n, others) for k in range(0, len(x), 16_384)]
             if found:
                 x, y, jaccard = (np.concatenate(z) for z in zip(*found, strict=True))
                 if once:
